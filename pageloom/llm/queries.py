@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, licenses, quality_rules
+from pageloom.llm import chat_format, decontaminate, language_id, licenses, pii, quality_classifier, quality_rules, sentencepiece_scan
 
+#: A public SentencePiece model, there on every machine.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -14,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find_pii(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return d.select("doc_id", *[n(k) for k in pii.KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -46,4 +63,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_license_scan, op5_chat_formatting, op8_quality_rules)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    d = sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = sentencepiece_scan.decode(d.withColumnRenamed("text", "source"), model)
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256).alias("ids_sha256"),
+        F.col("text").eqNullSafe(F.col("source")).alias("round_trip"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_decontamination, op4_license_scan, op5_chat_formatting, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
