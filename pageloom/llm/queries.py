@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, language_id, licenses, pii, quality_classifier, quality_rules, sentencepiece_scan
+from pageloom.llm import chat_format, decontaminate, language_id, licenses, near_duplicates, pii, quality_classifier, quality_rules, sentencepiece_scan
 
 #: A public SentencePiece model, there on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -74,4 +78,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) ->
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_decontamination, op4_license_scan, op5_chat_formatting, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_decontamination, op4_license_scan, op5_chat_formatting, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
