@@ -1,10 +1,69 @@
-"""The corpus pipeline: stages that each take (spark, docs, sf_dir) and return a DataFrame."""
+"""The corpus pipeline: documents in, token ids of the clean, distinct ones out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs.  A stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.llm import decontaminate, near_duplicates, pii, quality_classifier, sentencepiece_scan
+from pageloom.llm.queries import MODEL, table
+from pageloom.llm.store import Workspace
+
+#: Ids that may be sent to every executor (8 MB); more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs whose doc_id isn't among ids; a null doc_id stays."""
+    ids = Workspace(docs.sparkSession, name).keep(ids.filter("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_good(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    d = near_duplicates.near_duplicates(docs)
+    return without(docs, d.filter("doc_id <> component_id").select("doc_id"), "pipeline-distinct")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    d = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, d.filter("contaminated").select("doc_id"), "pipeline-contaminated")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked; n_chars follows the text."""
+    d = pii.mask_pii(docs)
+    if "n_chars" in d.columns:
+        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces and ids of each document."""
+    d = sentencepiece_scan.encode(docs.select("doc_id", "text"), MODEL)
+    return d.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", distinct), ("benchmark decontamination", uncontaminated), ("PII", private), ("SentencePiece encoding", encoded)]
+
+#: SQL can't express a trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = at.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs

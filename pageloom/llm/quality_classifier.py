@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -261,3 +262,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     d = docs.select("doc_id", "text", F.coalesce(held_out_by_id(), F.lit(False)).alias("held_out"))
     out = scores(d, learn(docs, labels), "doc_id", "held_out")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        vectors = Vectors(m.context)
+        for b in batches:
+            yield b.filter(pa.array(m.score(b.column(at).to_pylist(), vectors) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

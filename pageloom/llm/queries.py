@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, language_id, licenses, near_duplicates, pii, quality_classifier, quality_rules, sentencepiece_scan
+from pageloom.llm import chat_format, decontaminate, language_id, licenses, near_duplicates, pii, quality_classifier, quality_rules, repeats, sentencepiece_scan
 
 #: A public SentencePiece model, there on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[n(k) for k in pii.KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -78,4 +83,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) ->
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_decontamination, op4_license_scan, op5_chat_formatting, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_decontamination, op4_license_scan, op5_chat_formatting, op6_suffix_dedup, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
