@@ -5,6 +5,489 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.functions import geometry as g
+from pageloom.functions import metrics as m
+from pageloom.functions import text as t
+from pageloom.operators import dedup, jobs, layout, quota, split, translate
+from pageloom.plans import bridges as b
+from pageloom.plans import reports
+from pageloom.sources import documents as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with the SQL it must equal if SQL can express it."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# What the bridges of plans/bridges.py are in SQL.
+LINES = r"""
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
+placed AS (
+  SELECT doc_id, ord, text, CAST(ord // 40 + 1 AS INTEGER) AS page,
+    CASE ord % 7 WHEN 0 THEN 'heading' WHEN 3 THEN 'list item' WHEN 5 THEN 'caption' ELSE 'paragraph' END AS label,
+    CAST(72 + (ord % 3) * 4 AS DOUBLE) AS l, CAST(760 - (ord % 40) * 18 AS DOUBLE) AS t,
+    CAST(10 + ((ord + doc_id) % 5) * 6.25 AS DOUBLE) AS h, CAST(60 + ((ord * 37 + doc_id) % 11) * 40 AS DOUBLE) AS w,
+    CASE WHEN ord % 13 <> 12 THEN CAST(8 + (ord % 9) * 1.5 AS DOUBLE) END AS font,
+    regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare, length(regexp_replace(text, '\s+', '', 'g')) AS vis
+  FROM cut),
+counted AS (
+  SELECT *, CAST(CASE WHEN font IS NULL THEN 1 ELSE greatest(1, least(24, greatest(1, CASE WHEN length(bare) >= 80 THEN greatest(2, round_even(h / greatest(font * 1.15, 1), 0)) ELSE round_even(h / greatest(font * 1.15, 1), 0) END))) END AS INTEGER) AS lines FROM placed),
+units AS (
+  SELECT *, CASE WHEN font IS NOT NULL THEN round(least(greatest(h / lines, font), font * 1.8), 3) END AS line_height,
+    CASE WHEN font IS NOT NULL AND lines = 1 AND vis BETWEEN 2 AND 24 AND abs(least(greatest((w / greatest(vis, 1)) / font - 0.55, -0.05), 0.12)) > 0.005 THEN round(least(greatest((w / greatest(vis, 1)) / font - 0.55, -0.05), 0.12), 3) END AS spacing
+  FROM counted)"""
+BLOCKS = (
+    LINES
+    + r""",
+blocks AS (
+  SELECT doc_id, page, ord, label, text, 'b' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY t DESC, l, ord) AS VARCHAR), 4, '0') AS block_id,
+    l AS x0, 800 - t AS y0, l + w AS x1, 800 - t + h AS y1, coalesce(font, 12.0) AS font, lines, coalesce(line_height, round(12.0 * 1.2, 3)) AS line_height, spacing
+  FROM units)"""
+)
+BOXES = r"""
+boxes AS (
+  SELECT vec_id % 5 AS doc_id, CAST(vec_id // 5 % 12 + 1 AS INTEGER) AS page, CASE label % 2 WHEN 0 THEN 'paragraph' ELSE 'caption' END AS label, vec_id AS ord,
+    CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 1024) % 4 AS DOUBLE) AS l, CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 1024) % 4 AS DOUBLE) AS b,
+    CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 1024) % 4 + 40 + floor(abs(CAST(embedding[3] AS DOUBLE)) * 1024) % 4 * 2 AS DOUBLE) AS r,
+    CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 1024) % 4 + 40 + floor(abs(CAST(embedding[4] AS DOUBLE)) * 1024) % 4 * 2 AS DOUBLE) AS t
+  FROM embeddings)"""
+INTERVALS = r"""
+intervals AS (
+  SELECT event_id AS job_id, user_id AS client, ts AS start, ts + to_seconds(CAST(60 * least(floor(greatest(coalesce(value, 0), 0)), 2880) AS BIGINT)) AS stop
+  FROM (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, value FROM events))"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents")
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.lines(documents(spark, sf_dir))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.blocks(units(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(ord AS BIGINT) AS ord, lines, line_height, spacing FROM units")
+def unit_line_metrics(spark, sf_dir):
+    """P1-P3 on every line."""
+    return units(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), "lines", "line_height", "spacing")
+
+
+@query(
+    f"""WITH {LINES}
+SELECT doc_id, page, count(*) AS n_units, string_agg(text, chr(10) ORDER BY t DESC, l, ord) AS content, max(t) AS top, min(t - h) AS bottom FROM units GROUP BY doc_id, page"""
+)
+def page_assembly(spark, sf_dir):
+    """A page's units in reading order."""
+    u = layout.reading_order(units(spark, sf_dir))
+    p = u.groupBy("doc_id", "page").agg(F.count("*").alias("n_units"), F.array_sort(F.collect_list(F.struct("block_id", "text"))).alias("us"), F.max("box.top").alias("top"), F.min("box.bottom").alias("bottom"))
+    return p.select("doc_id", "page", "n_units", F.array_join(F.transform("us", lambda x: x["text"]), "\n").alias("content"), "top", "bottom")
+
+
+@query(
+    f"""WITH {LINES},
+parts AS (SELECT doc_id, ord, CASE WHEN page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY ord) THEN '## Page ' || page || chr(10) || chr(10) ELSE '' END || text AS part FROM units)
+SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY ord) AS markdown FROM parts GROUP BY doc_id"""
+)
+def markdown_render(spark, sf_dir):
+    """W2, K2."""
+    return reports.markdown(units(spark, sf_dir).withColumn("translated", F.lit("")))
+
+
+_MEASURES = """
+pairs AS (
+  SELECT a.doc_id, a.page, a.label, a.ord AS ord_a, b.ord AS ord_b, (a.r - a.l) * (a.t - a.b) AS sa, (b.r - b.l) * (b.t - b.b) AS sb,
+    greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.t, b.t) - greatest(a.b, b.b)) AS common
+  FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.label = b.label AND a.ord < b.ord)"""
+
+
+@query(
+    f"""WITH {BOXES}, {_MEASURES}
+SELECT doc_id, page, label, ord_a, ord_b, round(common / (sa + sb - common), 6) AS iou, round(common / least(sa, sb), 6) AS iom FROM pairs
+WHERE least(sa, sb) / greatest(sa, sb) >= 0.8 AND (common / (sa + sb - common) >= 0.85 OR common / least(sa, sb) >= 0.9)"""
+)
+def bbox_iou_pairs(spark, sf_dir):
+    """Duplicate pairs (texts are empty, so any two agree)."""
+    p = dedup.duplicate_pairs(b.vector_boxes(b.table(spark, sf_dir, "embeddings")))
+    return p.withColumns({"iou": F.round("iou", 6), "iom": F.round("iom", 6)})
+
+
+@query()
+def bbox_dedup_greedy(spark, sf_dir):
+    """What the greedy rule keeps (held against a plain model in the tests)."""
+    d = dedup.deduplicated(b.vector_boxes(b.table(spark, sf_dir, "embeddings")))
+    return d.select("doc_id", "page", "label", "ord", "box.left", "box.bottom", "box.right", "box.top")
+
+
+_GROWN = """
+grown AS (
+  SELECT *, least(greatest((x1 - x0) * 0.035, font * 0.2), 18) AS px, least(greatest((y1 - y0) * 0.15, font * 0.9), 28) AS py FROM blocks),
+rects AS (
+  SELECT doc_id, page, block_id, label, spacing, CASE WHEN font < 16 THEN x0 ELSE x0 - px END AS x0, CASE WHEN font < 16 THEN y0 ELSE y0 - py * 0.3 END AS y0,
+    CASE WHEN font < 16 THEN x1 ELSE x1 + px END AS x1, CASE WHEN font < 16 THEN y1 ELSE y1 + py END AS y1 FROM grown)"""
+
+
+@query(
+    f"""WITH {BLOCKS}, {_GROWN},
+met AS (
+  SELECT a.doc_id, a.page, a.block_id, least(a.x1, e.x1) - greatest(a.x0, e.x0) AS across, least(a.y1, e.y1) - greatest(a.y0, e.y0) AS down,
+    greatest(least(a.x1 - a.x0, e.x1 - e.x0), 1) AS narrow, least(a.y1 - a.y0, e.y1 - e.y0) AS low
+  FROM rects a JOIN rects e ON a.doc_id = e.doc_id AND a.page = e.page AND e.block_id < a.block_id),
+costs AS (
+  SELECT doc_id, page, block_id, CASE WHEN NOT (across > 0 AND across / narrow >= 0.2) THEN 0 WHEN down > 0 THEN least(0.22, down / greatest(low, 1) * 0.16 + 0.05)
+    WHEN -down <= greatest(low * 0.32, 4) THEN least(0.16, (1 + down / greatest(low * 0.32, 4)) * 0.1 + 0.04) ELSE 0 END AS p FROM met)
+SELECT doc_id, page, block_id, -round(max(p), 3) AS penalty FROM costs WHERE p > 0 GROUP BY doc_id, page, block_id"""
+)
+def overlap_penalty(spark, sf_dir):
+    """J3, G9, G7."""
+    return layout.overlap_spacing(blocks(spark, sf_dir)).filter("penalty is not null").select("doc_id", "page", "block_id", "penalty")
+
+
+@query()
+def column_clusters(spark, sf_dir):
+    """W5, G11, O2 (held against a plain model in the tests)."""
+    return layout.column_clusters(blocks(spark, sf_dir)).select("doc_id", "page", "block_id", "column")
+
+
+@query()
+def split_units(spark, sf_dir):
+    """X1-X9 in their order over all lines, as list items and paragraphs (facts of each rule are in the tests)."""
+    u = split.split_units(units(spark, sf_dir))
+    return u.select("doc_id", "unit_id", "ord", "page", "label", "text", "toc_page", F.round("box.bottom", 3).alias("bottom"), F.round("box.top", 3).alias("top"), "lines", "line_height", "spacing")
+
+
+@query(
+    r"""WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)
+SELECT doc_id, ord, regexp_extract(trim(line), '^(.+?)\s+([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$', 1) AS title, regexp_extract(trim(line), '^(.+?)\s+([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$', 2) AS toc_page
+FROM cut WHERE regexp_matches(trim(line), '^(.+?)\s+([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$')"""
+)
+def toc_trailing_page(spark, sf_dir):
+    """X3 on every line."""
+    u = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    return u.withColumn("p", split.trailing_page(m.stripped(F.col("line")))).filter("p is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("p.text").alias("title"), F.col("p.page").alias("toc_page"))
+
+
+@query(
+    """WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+parts AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM cut)
+SELECT doc_id, pos, line AS text, CAST(700 - pos * (640.0 / n) AS DOUBLE) AS top, CASE WHEN pos = n - 1 THEN 60.0 ELSE CAST(700 - (pos + 1) * (640.0 / n) AS DOUBLE) END AS bottom
+FROM (SELECT doc_id, n, line, pos FROM parts WHERE n IN (2, 4, 8, 16, 32, 64))"""
+)
+def vertical_subdivision(spark, sf_dir):
+    """A document's box shared equally by its lines (documents of 2, 4, ... 64 lines, whose shares are exact)."""
+    d = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("ls")).filter(F.size("ls").isin(2, 4, 8, 16, 32, 64))
+    d = d.select("doc_id", F.lit(0).alias("ord"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("page"), F.lit("text").alias("label"), F.struct(F.lit(72.0).alias("left"), F.lit(60.0).alias("bottom"), F.lit(540.0).alias("right"), F.lit(700.0).alias("top")).alias("box"), F.lit("").alias("text"), F.lit(12.0).alias("font_size"), F.lit("").alias("font_name"), F.lit("").alias("toc_page"), F.lit(1).alias("lines"), F.lit(14.0).alias("line_height"), F.lit(None).cast("double").alias("spacing"), "ls")
+    s = split.subdivided(d, F.transform("ls", lambda x: F.struct(x.alias("text"), F.lit("").alias("page"))), "equal")
+    return s.select("doc_id", F.get("path", 0).cast("long").alias("pos"), "text", "box.top", "box.bottom")
+
+
+_SAMPLES = ["plain words", "한국어 문장", "ひらがな", "中文句子", "カタカナ and 漢字", "한 ひ 中"]
+
+
+@query(
+    f"""WITH said AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - i AS doc_id, s AS text FROM (SELECT unnest(range(0, {len(_SAMPLES)})) AS i, unnest({_SAMPLES!r}) AS s))
+SELECT doc_id, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'zh' ELSE 'en' END AS tag FROM said"""
+)
+def language_detect(spark, sf_dir):
+    """T12."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, s) for i, s in enumerate(_SAMPLES)], d.schema)
+    return d.unionByName(more).select("doc_id", t.detected_language(F.col("text")).alias("tag"))
+
+
+@query()
+def sanitize_repeats(spark, sf_dir):
+    """T5 (RE2 has no back-references)."""
+    return documents(spark, sf_dir).select("doc_id", t.without_repeats(F.col("text")).alias("text"))
+
+
+_GLOSSARY = [(1, "the ", "THE "), (2, "Chapters", "Kapitel (pl.)"), (3, "Chapter", "Kapitel"), (4, "tion", "zion"), (5, "THE and", "DIE und")]
+
+
+@query(
+    r"SELECT doc_id, "
+    + "".join("replace(" for _ in _GLOSSARY)
+    + r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+    + "".join(f", '{s}', '{d}')" for _, s, d in _GLOSSARY)
+    + " AS text FROM documents"
+)
+def glossary_fallback(spark, sf_dir):
+    """T8, T3."""
+    gl = spark.createDataFrame(_GLOSSARY, "ord int, src string, dst string")
+    return t.with_glossary(documents(spark, sf_dir), "text", gl, "said").select("doc_id", F.col("said").alias("text"))
+
+
+@query()
+def translation_postprocess(spark, sf_dir):
+    """E1, E3, T5-T9 over all lines with the identity translator (facts are in the tests)."""
+    gl = spark.createDataFrame(_GLOSSARY, "ord int, src string, dst string")
+    u = translate.postprocessed(translate.translated(units(spark, sf_dir), "identity", "en"), gl)
+    return u.select("doc_id", "ord", "final")
+
+
+def _trees(spark, sf_dir):
+    """A nested tree of each conversation: turns as boxes inside pages, the first box of a page holding the others."""
+    c = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 80).alias("text"))
+    box = lambda k: F.array(F.lit(0), F.col("turn") * 10, F.lit(100), F.col("turn") * 10 + k)
+    leaf = F.struct(F.struct(F.col("turn").cast("int").alias("page"), box(8).alias("bbox"), F.lit("caption").alias("label"), F.col("role").alias("content")).alias("note"))
+    node = F.struct(F.col("turn").cast("int").alias("page"), F.lit("paragraph").alias("type"), box(9).alias("bbox"), "text", F.col("text").alias("content"), leaf.alias("kids"))
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", node.alias("node")))).alias("ns")).select("conv_id", F.to_json(F.struct(F.transform("ns", lambda x: x["node"]).alias("pages"))).alias("tree"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 80) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+SELECT conv_id, CAST(2 * k AS INTEGER) AS ord, CAST(turn AS INTEGER) AS page, 'paragraph' AS label, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, CAST(turn * 10 + 9 AS DOUBLE) AS top FROM c WHERE regexp_matches(text, '\\S')
+UNION ALL SELECT conv_id, CAST(2 * k + 1 AS INTEGER), CAST(turn AS INTEGER), 'caption', role, CAST(turn * 10 + 8 AS DOUBLE) FROM c""".replace("\\\\", "\\")
+)
+def json_walk_units(spark, sf_dir):
+    """S3, F1: parents before children, in document order."""
+    return src.units(_trees(spark, sf_dir), "conv_id").select("conv_id", "ord", "page", "label", "text", "box.top")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+SELECT conv_id, count(*) * 2 AS n_boxes, CAST(count(DISTINCT turn) AS BIGINT) AS n_pages FROM c GROUP BY conv_id"""
+)
+def json_walk_boxes(spark, sf_dir):
+    """S4, F2."""
+    return src.boxes(_trees(spark, sf_dir), "conv_id").groupBy("conv_id").agg(F.count("*").alias("n_boxes"), F.countDistinct("page").alias("n_pages"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, role, unnest(string_split(text, ' ')) AS word FROM conversations),
+d AS (SELECT conv_id, word FROM w WHERE role = 'assistant' EXCEPT ALL SELECT conv_id, word FROM w WHERE role = 'user')
+SELECT conv_id, count(*) AS added, min(word) AS first_word, max(word) AS last_word FROM d GROUP BY conv_id"""
+)
+def token_multiset_diff(spark, sf_dir):
+    """A multiset difference."""
+    w = b.table(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.split("text", " ")).alias("word"))
+    d = w.filter("role = 'assistant'").select("conv_id", "word").exceptAll(w.filter("role = 'user'").select("conv_id", "word"))
+    return d.groupBy("conv_id").agg(F.count("*").alias("added"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+_USAGE = """
+usage AS (
+  SELECT user_id AS client, CAST(CAST(ts AS TIMESTAMP) + INTERVAL 9 HOUR AS DATE) AS day, least(500.0, CAST(sum(CAST(greatest(value, 0) AS DECIMAL(20, 6))) AS DOUBLE)) AS used
+  FROM events GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_USAGE} SELECT client, CAST(day AS VARCHAR) AS day, used FROM usage")
+def quota_daily_usage(spark, sf_dir):
+    """A3, Q6."""
+    return quota.daily_usage(b.spent(b.table(spark, sf_dir, "events"))).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    f"""WITH {_USAGE}, leases AS (SELECT client, day, CAST(client % 7 * 10 AS DOUBLE) AS reserved FROM usage WHERE client % 2 = 0),
+both_ AS (SELECT client, day, used, 0.0::DOUBLE AS reserved FROM usage UNION ALL SELECT client, day, 0.0::DOUBLE, reserved FROM leases)
+SELECT client, CAST(day AS VARCHAR) AS day, sum(used) AS used, sum(reserved) AS reserved, greatest(500.0 - sum(used) - sum(reserved), 0.0) AS remaining, CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR AS resets_at FROM both_ GROUP BY client, day"""
+)
+def quota_snapshot(spark, sf_dir):
+    """Q1, A2, T18's figures."""
+    u = quota.daily_usage(b.spent(b.table(spark, sf_dir, "events")))
+    leases = u.filter("client % 2 = 0").select("client", "day", (F.col("client") % 7 * 10).cast("double").alias("reserved"))
+    return quota.snapshot(u, leases).withColumns({"resets_at": F.col("resets_at").cast("timestamp_ntz"), "day": F.col("day").cast("string")})
+
+
+@query(
+    f"""WITH {INTERVALS}, local AS (SELECT client, start + INTERVAL 9 HOUR AS a, stop + INTERVAL 9 HOUR AS b FROM intervals),
+days AS (SELECT client, a, b, CAST(unnest(generate_series(date_trunc('day', a), date_trunc('day', b), INTERVAL 1 DAY)) AS TIMESTAMP) AS d FROM local),
+parts AS (SELECT client, CAST(d AS DATE) AS day, (epoch_us(least(b, d + INTERVAL 1 DAY)) - epoch_us(greatest(a, d))) / 1e6 AS part FROM days)
+SELECT client, CAST(day AS VARCHAR) AS day, CAST(sum(CAST(part AS DECIMAL(20, 6))) AS DOUBLE) AS seconds FROM parts WHERE part > 0 GROUP BY client, day"""
+)
+def quota_rollover_split(spark, sf_dir):
+    """Q5: intervals charged to the local days they touch."""
+    return quota.by_day(b.job_intervals(b.table(spark, sf_dir, "events")).select("client", "start", "seconds")).withColumn("day", F.col("day").cast("string"))
+
+
+@query()
+def quota_lease_replay(spark, sf_dir):
+    """Q2-Q5: leases as events start, check and end them (facts are in the tests)."""
+    i = b.job_intervals(b.table(spark, sf_dir, "events"))
+    start = i.select("client", F.col("start").alias("ts"), F.col("job_id").cast("string").alias("lease"), F.lit("start").alias("action"))
+    end = i.select("client", F.col("end").alias("ts"), F.col("job_id").cast("string").alias("lease"), F.lit("end").alias("action"))
+    return quota.replay(start.unionByName(end))
+
+
+@query(
+    f"""WITH {INTERVALS},
+days AS (SELECT start, stop, CAST(unnest(generate_series(date_trunc('day', start), date_trunc('day', stop), INTERVAL 1 DAY)) AS TIMESTAMP) AS bucket FROM intervals),
+steps AS (SELECT bucket, greatest(start, bucket) AS t, 1 AS d FROM days UNION ALL SELECT bucket, stop, -1 FROM days WHERE stop < bucket + INTERVAL 1 DAY),
+summed AS (SELECT bucket, t, sum(d) AS d FROM steps GROUP BY bucket, t),
+ran AS (SELECT bucket, sum(d) OVER (PARTITION BY bucket ORDER BY t) AS n FROM summed)
+SELECT bucket, CAST(max(n) AS BIGINT) AS most FROM ran GROUP BY bucket"""
+)
+def job_concurrency(spark, sf_dir):
+    """A9, B1's load."""
+    d = jobs.concurrency(b.job_intervals(b.table(spark, sf_dir, "events")).select("job_id", "start", "end"))
+    return d.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.col("most").cast("long").alias("most"))
+
+
+@query()
+def job_admission(spark, sf_dir):
+    """B1: run, wait or be turned away; each user stands for a surface (facts are in the tests)."""
+    i = b.job_intervals(b.table(spark, sf_dir, "events"))
+    return jobs.admission(i.select(F.col("client").alias("surface"), "job_id", F.unix_seconds("start").cast("double").alias("arrival_s"), F.col("seconds").alias("takes_s")))
+
+
+@query(
+    """WITH e AS (
+  SELECT user_id AS job_id, CAST(ts AS TIMESTAMP) AS ts, event_id, CASE event_id % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'parsing' WHEN 2 THEN 'translating' WHEN 3 THEN 'rendering' WHEN 4 THEN 'succeeded' ELSE 'failed' END AS status, value / 100 AS progress FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, status DESC, progress DESC) AS n FROM e)
+SELECT job_id, max(CASE WHEN n = 1 THEN status END) AS status, max(CASE WHEN n = 1 THEN CASE WHEN status = 'succeeded' THEN 1.0 ELSE least(greatest(coalesce(progress, 0), 0), 1) END END) AS progress,
+  min(CASE WHEN status <> 'queued' THEN ts END) AS started_at, max(ts) AS updated_at FROM r GROUP BY job_id"""
+)
+def job_status_latest(spark, sf_dir):
+    """B2, B3, T17."""
+    names = ["queued", "parsing", "translating", "rendering", "succeeded", "failed"]
+    e = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 6).cast("int")).alias("status"), (F.col("value") / 100).alias("progress"))
+    d = jobs.latest_status(e)
+    return d.select("job_id", "status", "progress", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query(
+    f"""WITH {BLOCKS},
+few AS (SELECT *, greatest(line_height, round(font * 1.02, 3)) AS base FROM blocks),
+xs AS (SELECT doc_id, page, block_id, spacing, font, base, list_prepend(spacing, list_transform([0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.16, 0.2], lambda d: CASE WHEN abs(round(greatest(coalesce(spacing, 0) - d, -0.22), 3)) >= 0.005 THEN round(greatest(coalesce(spacing, 0) - d, -0.22), 3) END)) AS letters FROM few),
+made AS (
+  SELECT doc_id, page, block_id, coalesce(spacing, 0) AS spacing, font * 1.0 AS f0, base, s, r, letter
+  FROM xs, LATERAL (SELECT unnest(CASE WHEN font >= 16 OR font <= 11.5 THEN [1.0, 0.96, 0.92, 0.86, 0.82, 0.74, 0.68] ELSE [1.0, 0.96, 0.92, 0.88, 0.82, 0.76, 0.68, 0.62] END)::DOUBLE AS s) a, LATERAL (SELECT unnest([1.0, 0.96, 0.92, 0.88, 0.84, 0.8])::DOUBLE AS r) b, LATERAL (SELECT unnest(letters)::DOUBLE AS letter) c),
+keyed AS (SELECT DISTINCT doc_id, page, block_id, round(f0 * s, 3) AS font, round(greatest(round(f0 * s, 3) * 1.02, base * s * r), 3) AS line, letter FROM made)
+SELECT doc_id, page, block_id, count(*) AS candidates, max(font) AS largest, min(font) AS smallest FROM keyed GROUP BY doc_id, page, block_id"""
+)
+def typography_candidates(spark, sf_dir):
+    """L1-L3, A10, O3: how many candidates each block has, and their range of sizes."""
+    c = layout.typography_candidates(blocks(spark, sf_dir))
+    return c.groupBy("doc_id", "page", "block_id").agg(F.count("*").alias("candidates"), F.max("font").alias("largest"), F.min("font").alias("smallest"))
+
+
+@query()
+def first_feasible_candidate(spark, sf_dir):
+    """O6 by the blocks' own heights, L5's analytic estimator, J5 (facts are in the tests)."""
+    return layout.first_feasible(blocks(spark, sf_dir))
+
+
+@query()
+def page_layout_plan(spark, sf_dir):
+    """L4, L8, P9, W6 (facts are in the tests)."""
+    return layout.page_plan(blocks(spark, sf_dir))
+
+
+@query()
+def layout_feedback_shift(spark, sf_dir):
+    """The plan after each fifth block was drawn 6 pt taller (facts are in the tests)."""
+    x = layout.column_clusters(blocks(spark, sf_dir))
+    tall = F.when(F.col("ord") % 5 == 0, 6.0).otherwise(0.0)
+    p = x.select("doc_id", "page", "column", "block_id", F.col("rect.y0").alias("plan_y0"), F.col("rect.y1").alias("plan_y1"), F.col("rect.y0").alias("actual_y0"), (F.col("rect.y1") + tall).alias("actual_y1"), F.col("line_height").alias("line"))
+    return layout.shifted_plan(p)
+
+
+@query()
+def render_report(spark, sf_dir):
+    """A report of each document as JSON."""
+    x = blocks(spark, sf_dir)
+    keep = x.select("doc_id", "page", "block_id", "rect", "label", "text")
+    r = reports.layout_report(layout.matched(keep, layout.page_plan(x)))
+    return r.select("doc_id", F.to_json(F.struct("layout_engine", "overflow", "layout_plan")).alias("report"))
+
+
+@query(
+    f"""WITH {LINES}, p AS (SELECT doc_id, page, count(*) AS n FROM units GROUP BY doc_id, page)
+SELECT doc_id, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_elements, CAST(max(n) AS BIGINT) AS most FROM p GROUP BY doc_id"""
+)
+def structured_document(spark, sf_dir):
+    """Nested documents, and their shape."""
+    d = reports.structured_documents(units(spark, sf_dir).withColumn("unit_id", F.lit("u")).withColumn("translated", F.lit("")), provider="identity")
+    n = F.transform("pages", lambda p: F.size(p["elements"]).cast("long"))
+    return d.select("doc_id", F.size("pages").cast("long").alias("n_pages"), F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_elements"), F.array_max(n).alias("most"))
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS workspace, max(CAST(ts AS TIMESTAMP)) AS newest FROM events GROUP BY user_id)
+SELECT workspace, newest FROM e WHERE epoch(newest) < epoch((SELECT max(CAST(ts AS TIMESTAMP)) FROM events)) - 86400"""
+)
+def retention_expired(spark, sf_dir):
+    """F15, A7, B6, J11."""
+    e = b.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("workspace"), F.col("ts").cast("timestamp").alias("modified"))
+    x = jobs.expired(e, F.lit(e.agg(F.max("modified")).first()[0]))  # "now" is the time of the last event
+    return x.select("workspace", F.col("newest").cast("timestamp_ntz").alias("newest"))
+
+
+@query(
+    r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document') AS slug,
+  CASE WHEN contains(lower(text), 'translat') THEN 'translating' WHEN contains(lower(text), 'render') THEN 'rendering' ELSE 'parsing' END AS stage,
+  coalesce(nullif(regexp_replace(regexp_replace(source || ' Font_1!', '[^A-Za-z0-9 _-]', '', 'g'), '^\s+|\s+$', '', 'g'), ''), 'sans-serif') AS family FROM documents"""
+)
+def text_slugs(spark, sf_dir):
+    """T1, T2, T11, T16."""
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", t.slug(F.substring("text", 1, 60)).alias("slug"), t.stage(F.col("text")).alias("stage"), t.font_family(F.concat("source", F.lit(" Font_1!"))).alias("family"))
+
+
+@query(
+    f"""WITH {BLOCKS}, g AS (SELECT doc_id, page, block_id, label, x1, x1 - x0 AS w, font, least(greatest(font * 3.2, (x1 - x0) * 0.14), (x1 - x0) * 0.24) AS p, least(greatest(font * 6, (x1 - x0) * 0.18), (x1 - x0) * 0.34) AS l FROM blocks)
+SELECT doc_id, page, block_id, round(x1 - p - l, 6) AS title_x1, round(x1 - p, 6) AS page_x0, l > font AS leader_drawn, CAST(greatest(CAST(trunc(l / greatest(font * 0.42, 1)) AS INTEGER), 4) AS INTEGER) AS dots,
+  CASE label WHEN 'paragraph' THEN 0.12 WHEN 'heading' THEN 0.87 WHEN 'caption' THEN 0.14 ELSE 0.78 END AS red FROM g"""
+)
+def toc_row_geometry(spark, sf_dir):
+    """P15, P16, P17, K6."""
+    x = blocks(spark, sf_dir).withColumn("r", m.toc_row(F.col("rect.x0"), F.col("rect.y0"), F.col("rect.x1"), F.col("rect.y1"), F.col("font_size")))
+    return x.select("doc_id", "page", "block_id", F.round("r.title_x1", 6).alias("title_x1"), F.round("r.page_x0", 6).alias("page_x0"), F.col("r.leader_drawn").alias("leader_drawn"), F.length(m.leader_text(F.col("r.leader_width"), F.col("font_size"))).alias("dots"), F.get(m.colour(F.col("label")), 0).alias("red"))
+
+
+@query(
+    f"""WITH {BLOCKS} SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM blocks WHERE page <= 20 GROUP BY doc_id, page"""
+)
+def page_rects(spark, sf_dir):
+    """Pages of the first twenty, with the rectangle around their blocks."""
+    x = jobs.first_pages(blocks(spark, sf_dir), 20).groupBy("doc_id", "page").agg(g.union_of("rect").alias("r"), F.count("*").alias("n"))
+    x = x.withColumn("r", g.page_rect(F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"), F.col("r")))
+    return x.select("doc_id", "page", "r.x0", "r.y0", "r.x1", "r.y1", "n")
+
+
+@query(
+    r"""WITH c AS (SELECT user_id, event_id, CAST(user_id % 256 AS VARCHAR) || '.' || (event_id % 256) || '.3.4' AS ip FROM events),
+f AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN ' 10.0.0.1 , ' || ip ELSE ip || ',10.0.0.2' END AS fwd, CASE WHEN event_id % 2 = 0 THEN '127.0.0.1' ELSE '' END AS peer FROM c)
+SELECT event_id, coalesce(nullif(trim(string_split(fwd, ',')[1]), ''), peer) AS client,
+  NOT (coalesce(nullif(trim(string_split(fwd, ',')[1]), ''), peer) IN ('', 'localhost', '::1') OR starts_with(coalesce(nullif(trim(string_split(fwd, ',')[1]), ''), peer), '127.')) AS limited FROM f"""
+)
+def client_addresses(spark, sf_dir):
+    """T15, F13, F14."""
+    e = b.table(spark, sf_dir, "events")
+    ip = F.concat((F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(".3.4"))
+    fwd = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat(F.lit(" 10.0.0.1 , "), ip)).otherwise(F.concat(ip, F.lit(",10.0.0.2")))
+    who = t.client_ip(fwd, F.lit(""), F.when(F.col("event_id") % 2 == 0, "127.0.0.1").otherwise(""))
+    return e.select("event_id", who.alias("client"), t.limited(who).alias("limited"))
+
+
+@query(
+    f"""WITH {LINES}, n AS (SELECT doc_id, ord + 1 AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM units)
+SELECT doc_id, CAST(n AS BIGINT) AS n, total FROM n WHERE n = 1 OR n = total OR n % 10 = 0"""
+)
+def progress_cadence(spark, sf_dir):
+    """B7, W1."""
+    from pyspark.sql import Window
+
+    u = units(spark, sf_dir).select("doc_id", (F.col("ord") + 1).cast("long").alias("n"), F.count("*").over(Window.partitionBy("doc_id")).alias("total"))
+    return jobs.progress_lines(u)
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    """Styled blocks (facts are in the tests)."""
+    x = blocks(spark, sf_dir)
+    return x.select("doc_id", "page", "block_id", t.html_block(F.col("text"), t.font_family(F.col("font_name")), F.col("font_size"), F.col("line_height"), F.col("spacing")).alias("html"))
