@@ -50,7 +50,8 @@ def toc_entries(text: Column) -> Column:
     both = F.zip_with(titles, pages, lambda a, b: F.struct(m.stripped(a).alias("text"), b.alias("page")))
     both = F.filter(both, lambda x: x["text"] != "")
     dots = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))
-    return F.when((F.size(both) > 1) | ((F.size(both) == 1) & (dots >= FEW_DOTS)), both)
+    # Looking for a leader first is linear; looking for entries isn't.
+    return F.when(text.rlike(f"(?U){LEADER}[A-Za-z0-9]") & ((F.size(both) > 1) | ((F.size(both) == 1) & (dots >= FEW_DOTS))), both)
 
 
 def trailing_page(text: Column) -> Column:
@@ -93,7 +94,8 @@ def _heights(kind: str) -> Column:
     add = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
     if kind == "weighted":
         w = F.transform(s, lambda x: m.line_count(x["text"], total, font).cast("double"))
-        return F.struct(F.transform(w, lambda x: total * x / F.greatest(add(w), F.lit(1.0))).alias("heights"), zero.alias("gap"))
+        shares = F.transform(F.array(w), lambda ws: F.transform(F.array(F.greatest(add(ws), F.lit(1.0))), lambda all_: F.transform(ws, lambda x: total * x / all_)))  # each bound once
+        return F.struct(F.flatten(F.flatten(shares)).alias("heights"), zero.alias("gap"))
     has = F.coalesce(font > 0, F.lit(False))
     natural = F.transform(s, lambda x: F.when(has, F.greatest(font * NATURAL_LINE * F.greatest(F.size(m.full_lines(x["text"])), F.lit(1)), font * LEAST_NATURAL)).otherwise(F.lit(1.0)))
     extra = F.greatest(total - add(natural), zero)
@@ -135,11 +137,9 @@ def split_lists(units: DataFrame) -> DataFrame:
 
 
 def split_toc(units: DataFrame) -> DataFrame:
-    entries = toc_entries(F.col("text"))
-    leaders = F.regexp_count(F.col("text"), F.lit(ENTRY)) > 0
-    one = trailing_page(m.stripped(F.col("text")))
-    single = F.when((_label() == "list item") & one.isNotNull(), F.array(one))
-    return subdivided(units, F.when(leaders, entries).otherwise(single), "equal")
+    u = once(units, __leaders=F.col("text").rlike(f"(?U){LEADER}[A-Za-z0-9]"))
+    u = once(u, __entries=F.when(F.col("__leaders"), toc_entries(F.col("text"))), __one=F.when(~F.col("__leaders") & (_label() == "list item"), trailing_page(m.stripped(F.col("text")))))
+    return subdivided(u, F.when(F.col("__leaders"), F.col("__entries")).when(F.col("__one").isNotNull(), F.array("__one")), "equal").select(*units.columns)
 
 
 def normalise_special(units: DataFrame) -> DataFrame:
