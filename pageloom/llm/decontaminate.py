@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.quality_rules import once
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a text not yet lower-cased, so A-Z belong to them too.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
