@@ -43,7 +43,7 @@ CHATML = Template()
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(c: Column) -> Column:
@@ -52,7 +52,7 @@ def unescape(c: Column) -> Column:
 
 def escape_role(c: Column) -> Column:
     """As escape; a line feed, which ends the role, becomes ``<n|`` (and ``<n|`` itself ``<\\n|``)."""
-    return F.replace(F.regexp_replace(c, r"<(\\*)(n?)\|", r"<$1\\\\$2|"), F.lit("\n"), F.lit("<n|"))
+    return F.replace(F.regexp_replace(c, r"<(\\*)(n?)\|", r"<$1\\$2|"), F.lit("\n"), F.lit("<n|"))
 
 
 def unescape_role(c: Column) -> Column:
