@@ -1,5 +1,74 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others rest on a trained model, on the search for disguises, or on bytes at every position of
+a text; tests hold those against brute force, an exact round trip or held-out labels.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from pageloom.llm import licenses
+from pageloom.llm.queries import CONTROL
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 175 * k >= 75 * (p.n + q.n)),
+reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, links.y FROM reach JOIN links ON links.x = reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.r) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.d = d.doc_id GROUP BY d.doc_id, n.n"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_CONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(ws[p:p + 12], ' ') AS s, least(len(ws), 13) AS size FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) AS p FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, size, p, array_to_string(ws[p:p + size - 1], ' ') AS s FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, sizes WHERE len(ws) >= size)),
+hits AS (SELECT dw.doc_id, dw.p, iw.size, iw.item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.size = iw.size),
+places AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS place FROM (SELECT DISTINCT doc_id, p, size FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+_ESC = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+_CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
+step AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(12 + length({_ESC.format("role")}) + 1 + length({_ESC.format("text")}) + 11)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role IN ('assistant', 'tool') WHEN before = 'assistant' THEN role IN ('user', 'tool') WHEN before = 'tool' THEN role IN ('assistant', 'tool') ELSE false END AND (back > 1 OR role = 'assistant')) AS valid
+FROM step GROUP BY conv_id"""
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{v}', '{k}')" for k, v in licenses.SENTENCES.items())
+    line = lambda ids: "|" + "|".join(ids) + "|"
+    named = []
+    for rule, license_, ids in licenses.RULES:
+        rest = "said"
+        for longer in sorted((r[2] for r in licenses.RULES if licenses._inside(ids, r[2])), key=len, reverse=True):
+            rest = f"replace({rest}, '{line(longer)}', '||')"
+        named.append(f"SELECT doc_id, {len(named)} AS k, '{rule}' AS rule, '{license_}' AS license FROM lined WHERE contains({rest}, '{line(ids)}')")
+    return rf"""
+WITH catalogue(sentence, id) AS (VALUES {rows}),
+cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS ss FROM documents),
+s AS (SELECT doc_id, trim(regexp_replace(lower(unnest(ss)), '[^a-z0-9]+', ' ', 'g')) AS sentence, generate_subscripts(ss, 1) AS pos FROM cut),
+found AS (SELECT doc_id, count(*) FILTER (length(s.sentence) > 0) AS n_sentences, coalesce(string_agg(id, '|' ORDER BY pos) FILTER (id IS NOT NULL), '') AS ids FROM s LEFT JOIN catalogue c ON c.sentence = s.sentence GROUP BY doc_id),
+lined AS (SELECT doc_id, n_sentences, replace(ids, '|', ',') AS known, '|' || ids || '|' AS said FROM found),
+named AS ({" UNION ALL ".join(named)})
+SELECT l.doc_id, l.n_sentences, l.known, coalesce(string_agg(rule, ',' ORDER BY k), '') AS rules, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT license AS x FROM named m WHERE m.doc_id = l.doc_id)), '') AS licenses
+FROM lined l LEFT JOIN named n ON n.doc_id = l.doc_id GROUP BY l.doc_id, l.n_sentences, l.known"""
+
+
+SQL: dict[str, str] = {
+    "op2_jaccard_join": _JACCARD,
+    "op3_decontamination": _CONTAMINATION,
+    "op4_license_scan": _license_sql(),
+    "op5_chat_formatting": _CHAT,
+}
