@@ -156,9 +156,8 @@ def typography_candidates(blocks: DataFrame) -> DataFrame:
 
 def first_feasible(blocks: DataFrame) -> DataFrame:
     """The cheapest candidate of each block that fits its own height, else the last one, marked as overflow (O6 without running positions)."""
-    b = with_candidates(blocks)
-    room, safe = g.rect_height(F.col("rect")), m.safety(F.col("line_height"))
-    b = once(b, __fits=F.get(F.filter("candidates", lambda c: height(c) + safe <= room), 0))
+    b = with_candidates(blocks.withColumns({"__room": g.rect_height(F.col("rect")), "__safe": m.safety(F.col("line_height"))}))
+    b = once(b, __fits=F.get(F.filter("candidates", lambda c: height(c) + F.col("__safe") <= F.col("__room")), 0))
     b = once(b, c=F.coalesce("__fits", F.element_at("candidates", -1)))
     c = F.col("c")
     return b.select("doc_id", "page", "block_id", "c.scale", "c.font", "c.line", "c.letter", "c.lines", height(c).alias("height"), reason(c, F.col("line_height"), F.col("font_size"), F.col("spacing")).alias("reason"), F.col("__fits").isNull().alias("overflow"))

@@ -231,7 +231,7 @@ def test_walk_order_and_aliases(spark):
 
 
 def test_reports_round_trip(spark, tmp_path):
-    u = units(spark, unit("Hello"), unit("World")).withColumn("ord", F.monotonically_increasing_id().cast("int")).withColumn("unit_id", F.lit("u00001")).withColumn("translated", F.lit(""))
+    u = units(spark, unit("Hello"), unit("World")).withColumn("ord", F.when(F.col("text") == "Hello", 0).otherwise(1)).withColumn("unit_id", F.lit("u00001")).withColumn("translated", F.lit(""))
     d = reports.structured_documents(u, job_id="j", provider="identity")
     reports.write_json(d, str(tmp_path / "s"))
     assert [r["content"] for r in src.structured(spark, str(tmp_path / "s")).orderBy("pos").collect()] == ["Hello", "World"]
