@@ -5,7 +5,7 @@ rewrite a copy of the text, each output character remembering the source charact
 stands for: homoglyphs, full-width forms and foreign digits become ASCII, invisible
 characters vanish, runs of spelled digits become digits, and at/dot disguises become @ and
 a point.  The same patterns run over the copy, and what they find is mapped back to source
-characters.  A span is added only if it holds rewritten characters and meets no base span of its kind, so base spans
+characters.  A span is added only if it holds rewritten characters and reaches beyond any base span of its kind; base spans
 always stay.
 
 Rows are judged one by one: a null text is empty, repeated rows give repeated results, an
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pageloom.llm import bytehash as bh
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The patterns of the four kinds.
@@ -168,7 +170,7 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     more = []
     for kind, i, j in detect(said):
         a, b = start[i], end[j - 1]
-        if any(new[i:j]) and not any(k == kind and a < y and x < b for k, x, y in base):
+        if any(new[i:j]) and not any(k == kind and x <= a and b <= y for k, x, y in base):
             more.append((kind, a, b))
     return base, sorted({*base, *more})
 
@@ -177,7 +179,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of structs kind, start, end) for each row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in bh.tidy(batches):
             found = [find(t) for t in b["text"]]
             named = lambda x: [(KINDS[k], i, j) for k, i, j in x]
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": pd.Series([named(x[0]) for x in found], dtype=object), "spans": pd.Series([named(x[1]) for x in found], dtype=object)})
@@ -203,7 +205,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in bh.tidy(batches):
             b.isetitem(at, [t if t is None or t != t else masked(t, find(t)[1]) for t in b.iloc[:, at]])
             yield b
 
