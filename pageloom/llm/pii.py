@@ -49,13 +49,16 @@ DIGITS = {
 }
 _SPELLED = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe)", r"(?:dot|punkt|point|punto)"
+#: Between labels of a spaced address; what its last label must be, as "at" and "dot" are also plain words.
+_STOP = r"(?:\.|[ \t]{1,3}" + _DOT + r"[ \t]{1,3})"
+_TOP = r"(?:com|org|net|edu|gov|info|io|co|ai|dev|app|de|fr|es|it|nl|ch|at|eu|uk|us|ca|example)"
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 
 #: Rewriting rules in order: pattern -> what stands in its place.
 _RULES: list[tuple[re.Pattern, object]] = [
     (re.compile(_OPEN + r"(?:" + _AT + r"|@)" + _CLOSE, re.I), "@"),
     (re.compile(_OPEN + r"(?:" + _DOT + r"|\.)" + _CLOSE, re.I), "."),
-    (re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}" + _AT + r"[ \t]{1,3}(?=[A-Za-z0-9-]+(?:[ \t]{0,3}\.[ \t]{0,3}|[ \t]{1,3}" + _DOT + r"[ \t]{1,3})[A-Za-z]{2,})", re.I), "@"),
+    (re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}" + _AT + r"[ \t]{1,3}(?=[A-Za-z0-9-]+(?:" + _STOP + r"[A-Za-z0-9-]+){0,4}?" + _STOP + _TOP + r"\b)", re.I), "@"),
     (re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}" + _DOT + r"[ \t]{1,3}(?=[A-Za-z0-9])", re.I), "."),
     (re.compile(r"\b" + _SPELLED + r"(?:[ \t,-]{1,3}" + _SPELLED + r"){2,}\b", re.I), lambda m: "".join(DIGITS[w.lower()] for w in re.findall(_SPELLED, m, re.I))),
     (re.compile(r"\bplus[ \t]{1,3}(?=[0-9])", re.I), "+"),
@@ -67,7 +70,8 @@ _SPACED = re.compile(r"[ \t]" + _DOT + r"[ \t]", re.I)
 _DIGIT_RUN = re.compile(r"\b" + _SPELLED + r"(?:[ \t,-]{1,3}" + _SPELLED + r"){2,}\b", re.I)
 
 
-_DOT_WORDS, _DIGIT_WORDS = ("dot", "punkt", "point", "punto"), frozenset(DIGITS)
+_AT_NAME = re.compile(r"[ \t]" + _AT + r"[ \t]{1,3}[a-z0-9.-]+\." + _TOP + r"\b")
+_AT_WORDS, _DOT_WORDS, _DIGIT_WORDS = (" at ", "arroba", "arobase", "klammeraffe"), ("dot", "punkt", "point", "punto"), frozenset(DIGITS)
 
 
 def luhn(digits: str) -> bool:
@@ -157,6 +161,8 @@ def suspicious(text: str) -> bool:
         return True
     if any(w in low for w in _DOT_WORDS) and _SPACED.search(low):
         return True
+    if any(w in low for w in _AT_WORDS) and _AT_NAME.search(low):
+        return True
     return not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and bool(_DIGIT_RUN.search(low))
 
 

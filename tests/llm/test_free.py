@@ -142,6 +142,8 @@ def test_repeats_edges(spark):
         ("4111 1111 1111 1111 and 4111 1111 1111 1112", ["4111 1111 1111 1111"]),
         ("b​ob@ex.org", ["b​ob@ex.org", "ob@ex.org"]),
         ("we met at the dot of noon, one two three times", []),
+        ("bob at example.com", ["bob at example.com"]),
+        ("he looked at home. It was", []),
         (None, []),
         ("", []),
     ],
