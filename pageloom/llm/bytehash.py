@@ -8,6 +8,9 @@ where a hash stands for a text without a later comparison.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -68,6 +71,25 @@ def kgrams(sums: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
     return (sums[k:] - sums[:-k]) * Powers.of(base, n).down[:n]
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The batches; between them, and at the end, freed memory goes back to the system.
+
+    Python workers live on from task to task, and their allocator would keep what one operator's task has used.
+    """
+    for b in batches:
+        yield b
+        del b
+        trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, n+1 offsets) of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,7 +103,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 18):
     """Ranges (i, j) of texts of up to ``most`` bytes together; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -11,9 +11,11 @@ threshold.  Here:
 * Round 1 sorts (name of an anchor, name of its context, doc_id): the context is all that the
   strings of this anchor cover.  A name met once is unique and falls away.  A context that
   a smaller document has too is repeated whole, and past the threshold at once.
-* Round 2, for the anchors whose name is shared but whose contexts differ: the offset grows to the full
-  length; each 50-byte string is sorted by its pair (name of its first 24 bytes and those before
-  the last ones, name of the rest), and is repeated if the pair's smallest document is another.
+* Round 2, for anchors whose name is shared but whose contexts differ: the offset grows by half of what is left, to
+  both sides; the 37 bytes up to the anchor's end and the 37 from its start get names, and a side whose name one document
+  alone has is unique.
+* Round 3, for the other sides: the offset grows to the full length; each 50-byte string that holds such a side is
+  sorted by the pair of names of its halves, and is repeated if the pair's smallest document is another.
 
 Sorting is Spark's; what comes back to a document are spans.  A null or empty text has nothing
 to remove.  A null doc_id takes no part in comparisons and keeps all its bytes.  Rows that repeat a doc_id are judged
@@ -45,6 +47,7 @@ class Contexts:
         none = np.zeros(0, np.int64)
         self.p = self.first = self.last = none
         self.a = self.c = np.zeros(0, np.uint64)
+        self.sums = self.other = np.zeros(1, np.uint64)
         n = len(data) - LENGTH + 1
         if n <= 0:
             return
@@ -74,10 +77,10 @@ class Contexts:
         self.c = bh.mix(bh.spans(other, self.first, self.last + LENGTH, bh.BASES[1]) + (self.p - self.first).astype(np.uint64))
         self.other = other
 
-    def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the strings of the chosen anchors, and the pair of names of each."""
-        size = self.last[chosen] - self.first[chosen] + 1
-        at = np.repeat(self.first[chosen] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(chosen) else np.zeros(0, np.int64)
+    def strings(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All starts from first to last, and the pair of names of each string."""
+        size = last - first + 1
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(first) else np.zeros(0, np.int64)
         half = LENGTH // 2
         # Both names over the whole length: rank pair (first half, second half), each folded with the other base.
         left = bh.spans(self.sums, at, at + half) + np.uint64(0x9E3779B97F4A7C15) * bh.spans(self.sums, at + half, at + LENGTH)
@@ -108,7 +111,7 @@ def _key(a: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, c, doc_id: each context of a document, once in a part."""
-    for b in batches:
+    for b in bh.tidy(batches):
         data, offsets = bh.text_buffers(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for i, j, shift, x in parts(data, offsets):
@@ -131,7 +134,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known whether another context follows.
     """
     last = None  # (a, c, doc_id) of the first row of the last context, and whether its anchor has others (then it was given out)
-    for b in batches:
+    for b in bh.tidy(batches):
         a, c, d = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         if not len(a):
             continue
@@ -159,74 +162,105 @@ def _out(a, c, d, whole: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_longs(np.asarray(d, np.int64)), _longs(_key(a, c)), pa.array(np.full(len(a), whole))], names=["doc_id", "key", "whole"])
 
 
-def _sorted_longs(x) -> np.ndarray:
-    return np.sort(np.asarray(x if x is not None else [], np.int64))
-
-
 def _within(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(x), bool)
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-def _list(column: pa.Array, k: int) -> np.ndarray:
-    v = column[k].values if column[k].is_valid else None
-    return _sorted_longs(v.to_numpy(zero_copy_only=False) if v is not None else None)
+def _of_text(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Keys of several texts made different from each other's."""
+    return keys.astype(np.uint64) ^ bh.mix(text.astype(np.uint64) + np.uint64(1))
 
 
-def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Mask of bytes under strings starting from first to last."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, np.minimum(last + LENGTH, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.nan_to_num(np.array([len(x) if x.is_valid else 0 for x in column], float)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _mask(data: np.ndarray, whole: np.ndarray, strings: np.ndarray) -> np.ndarray:
-    """Mask of the bytes of a text that go: contexts named by whole, strings starting at strings."""
-    gone = _covered(len(data), strings, strings)
-    if len(whole):
-        for _, _, shift, x in parts(data, np.array([0, len(data)])):
-            hit = _within(_key(x.a, x.c).view(np.int64), whole)
-            if hit.any():
-                gone |= _covered(len(data), x.first[hit] + shift, x.last[hit] + shift)
-    return gone
+def _chosen(data: np.ndarray, offsets: np.ndarray, keys: pa.Array) -> Iterator[tuple[int, int, int, Contexts, np.ndarray, np.ndarray]]:
+    """(i, j, shift, contexts, indices of those named in their text's keys, the text of each)."""
+    values, rows = _flat(keys)
+    wanted = np.sort(_of_text(values.view(np.uint64), rows))
+    for i, j, shift, x in parts(data, offsets):
+        of = np.searchsorted(offsets[i : j + 1], x.first + shift, "right") - 1 + i
+        hit = np.flatnonzero(_within(_of_text(_key(x.a, x.c), of), wanted))
+        yield i, j, shift, x, hit, of[hit]
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, whole (keys), strings (starts) -> doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (bytes)."""
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    for b in batches:
+#: What a side of an anchor is named by: half of what the anchor leaves of the length, to one side.
+REACH = (LENGTH - NAME) // 2
+
+
+def _sides(x: Contexts, hit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each side, the anchors of hit whose strings hold it, and its name (a pair's two halves in one)."""
+    p = x.p[hit]
+    for side, ok, a, b in ((0, x.first[hit] <= p - REACH, p - REACH, p + NAME), (1, x.last[hit] > p - REACH, p, p + NAME + REACH)):
+        a, b = a[ok], b[ok]
+        yield side, ok, bh.mix(bh.spans(x.sums, a, b) + np.uint64(0x9E3779B97F4A7C15) * bh.spans(x.other, a, b, bh.BASES[1]) + np.uint64(side))
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, keys -> name and document of each side of the anchors to look into."""
+    for b in bh.tidy(batches):
         data, offsets = bh.text_buffers(b.column(1))
-        for s in range(0, b.num_rows, 256):
-            rows = range(s, min(s + 256, b.num_rows))
-            n_bytes, n_removed, spans, kept = [], [], [], []
-            for k in rows:
-                t = data[offsets[k] : offsets[k + 1]]
-                whole, strings = _list(b.column(2), k), _list(b.column(3), k)
-                if not (len(whole) or len(strings)):
-                    n_bytes.append(len(t)), n_removed.append(0), spans.append([]), kept.append(t.tobytes())
-                    continue
-                gone = _mask(t, whole, strings)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                n_bytes.append(len(t)), n_removed.append(int(gone.sum())), kept.append(t[~gone].tobytes())
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(s, len(rows)), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for _, _, _, x, hit, of in _chosen(data, offsets, b.column(2)):
+            for side, ok, name in _sides(x, hit):
+                if len(name):
+                    yield pa.RecordBatch.from_arrays([_longs(name), _longs(ids[of[ok]]), _longs(_key(x.a, x.c)[hit[ok]]), pa.array(np.full(len(name), side, np.int32))], names=["name", "doc_id", "key", "side"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, keys -> doc_id, start and the pair of names of each string of the anchors to look into."""
-    for b in batches:
+    """doc_id, text, keys by side -> doc_id, start and the pair of names of each string that holds one of the sides."""
+    for b in bh.tidy(batches):
         data, offsets = bh.text_buffers(b.column(1))
-        ids = b.column(0).to_numpy()
-        for k in range(b.num_rows):
-            keys = _list(b.column(2), k)
-            t = data[offsets[k] : offsets[k + 1]]
-            for _, _, shift, x in parts(t, np.array([0, len(t)])):
-                chosen = np.flatnonzero(_within(_key(x.a, x.c).view(np.int64), keys))
-                if len(chosen):
-                    at, r1, r2 = x.strings(chosen)
-                    yield pa.RecordBatch.from_arrays([_longs(r1), _longs(r2), _longs(np.full(len(at), ids[k])), _longs(at + shift)], names=["r1", "r2", "doc_id", "start"])
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for side in (0, 1):
+            for _, _, shift, x, hit, of in _chosen(data, offsets, b.column(2 + side)):
+                if not len(hit):
+                    continue
+                # A string belongs to the left side if it starts REACH bytes or more before the anchor, else to the right.
+                middle = x.p[hit] - REACH
+                first, last = (x.first[hit], np.minimum(x.last[hit], middle)) if side == 0 else (np.maximum(x.first[hit], middle + 1), x.last[hit])
+                ok = first <= last
+                at, r1, r2 = x.strings(first[ok], last[ok])
+                yield pa.RecordBatch.from_arrays([_longs(r1), _longs(r2), _longs(np.repeat(ids[of[ok]], (last - first + 1)[ok])), _longs(at + shift - np.repeat(offsets[of[ok]], (last - first + 1)[ok]))], names=["r1", "r2", "doc_id", "start"])
+
+
+def _mark(edge: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    """Strings starting from first to last cover bytes."""
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.minimum(last + LENGTH, len(edge) - 1), -1)
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, whole (keys), strings (starts) -> doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (bytes)."""
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    for b in bh.tidy(batches):
+        for s in range(0, b.num_rows, 512):
+            part = b.slice(s, 512)
+            data, offsets = bh.text_buffers(part.column(1))
+            base = int(offsets[0])
+            edge = np.zeros(int(offsets[-1]) - base + 1, np.int32)
+            starts, rows = _flat(part.column(3))
+            _mark(edge, starts + offsets[rows] - base, starts + offsets[rows] - base)
+            for _, _, shift, x, hit, _ in _chosen(data, offsets, part.column(2)):
+                _mark(edge, x.first[hit] + shift - base, x.last[hit] + shift - base)
+            gone = np.cumsum(edge[:-1]) > 0
+            n_bytes, n_removed, spans, kept = [], [], [], []
+            for k in range(part.num_rows):
+                t, g = data[offsets[k] : offsets[k + 1]], gone[offsets[k] - base : offsets[k + 1] - base]
+                n = int(np.count_nonzero(g))
+                n_bytes.append(len(t))
+                n_removed.append(n)
+                at = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))) if n else np.zeros(0, np.int64)
+                spans.append([{"start": int(p), "end": int(q)} for p, q in zip(at[::2], at[1::2], strict=True)])
+                kept.append((t[~g] if n else t).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -235,13 +269,22 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     ranks = known.mapInArrow(_anchors, "a long, c int, doc_id long").repartition("a").sortWithinPartitions("a", "c", "doc_id")
-    ranks = at.keep(ranks.mapInArrow(_ranked, "doc_id long, key long, whole boolean"), "ranks")
+    ranks = at.keep(ranks.mapInArrow(_ranked, "doc_id long, key long, whole boolean"), "ranks", free=True)
     whole = ranks.filter("whole").groupBy("doc_id").agg(F.collect_list("key").alias("whole"))
-    open_ = ranks.filter("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    pairs = known.join(open_, "doc_id").select("doc_id", "text", "keys").mapInArrow(_strings, "r1 long, r2 long, doc_id long, start long")
-    pairs = at.keep(pairs, "pairs")
+    look = ranks.filter("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    # Names of sides: only those that several documents have go on.
+    sides = known.join(look, "doc_id").select("doc_id", "text", "keys").mapInArrow(_extended, "name long, doc_id long, key long, side int")
+    sides = at.keep(sides, "sides", free=True)
+    shared = sides.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("name")
+    of = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("key")))
+    look = sides.join(shared, "name").groupBy("doc_id").agg(of(0).alias("left"), of(1).alias("right"))
+    pairs = known.join(look, "doc_id").select("doc_id", "text", "left", "right").mapInArrow(_strings, "r1 long, r2 long, doc_id long, start long")
+    pairs = at.keep(pairs, "pairs", free=True)
+    at.drop("sides")
     least = pairs.groupBy("r1", "r2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     strings = pairs.join(least, ["r1", "r2"]).filter(F.col("doc_id") > F.col("low")).groupBy("doc_id").agg(F.collect_set("start").alias("strings"))
-    found = at.keep(whole.join(strings, "doc_id", "full"), "found")
+    found = at.keep(whole.join(strings, "doc_id", "full"), "found", free=True)
+    at.drop("pairs")
+    at.drop("ranks")
     out = docs.join(found, "doc_id", "left").select("doc_id", "text", "whole", "strings")
     return out.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")

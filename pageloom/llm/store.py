@@ -8,7 +8,9 @@ has none (tests on one machine).
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +33,19 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written and read again; shuffle files of its plan can go from then on."""
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """df, written and read again; shuffle files of its plan can go from then on.
+
+        free: they are large, so they go now (the context cleaner removes what a collection finds unreferenced).
+        """
         at = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         del df
-        self.spark.sparkContext._jvm.System.gc()  # the context cleaner removes unreferenced shuffles
+        for _ in range(2 * free):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
         return out
 
     def drop(self, name: str) -> None:
