@@ -74,11 +74,11 @@ def _vote(bad: Column, good: Column) -> Column:
 
 #: Each rule: figures -> 0 (bad), 1 (good) or null (abstains).
 RULES: dict[str, Callable[[], Column]] = {
-    "length": lambda: _vote(F.col("n_words") < 50, F.col("n_words") >= 80),
+    "length": lambda: _vote(F.col("n_words") < 5, F.col("n_words") >= 80),
     "symbols": lambda: _vote(_ratio("n_symbols", "n_words") >= 0.1, _ratio("n_symbols", "n_words") <= 0.01),
-    "repeats": lambda: _vote(_ratio("n_repeat_words", "n_words") > 0.35, _ratio("n_repeat_words", "n_words") <= 0.2),
+    "repeats": lambda: _vote(_ratio("n_repeat_words", "n_words") > 0.45, _ratio("n_repeat_words", "n_words") <= 0.35),
     "variety": lambda: _vote((_ratio("n_distinct", "n_words") < 0.12) & (F.col("n_words") < 5000), _ratio("n_distinct", "n_words") >= 0.2),
-    "lines": lambda: _vote(_ratio("n_dup_lines", "n_lines") >= 0.3, _ratio("n_dup_lines", "n_lines") <= 0.1),
+    "lines": lambda: _vote(_ratio("n_dup_lines", "n_lines") >= 0.6, _ratio("n_dup_lines", "n_lines") <= 0.4),
     "word_length": lambda: _vote((_ratio("word_chars", "n_words") < 2.2) | (_ratio("word_chars", "n_words") > 15), (_ratio("word_chars", "n_words") >= 3) & (_ratio("word_chars", "n_words") <= 11)),
 }
 
@@ -87,11 +87,12 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: in
     """Expectation-maximisation over counted vote patterns: {pattern: posterior of good}.
 
     A vote is 0, 1 or 2 (abstains).  Each rule has, for good and for bad documents, the
-    probabilities of its three answers; pseudo-counts keep a rule better than chance, so
+    probabilities of its three answers; pseudo-counts, and a bound on false alarms, keep a rule better than chance, so
     the classes can't change places.  Patterns: at most 3**rules.
     """
-    answers = {1: [[0.05, 0.85, 0.10] for _ in range(rules)], 0: [[0.45, 0.40, 0.15] for _ in range(rules)]}
-    strength, good = 50.0, 0.9
+    # A bad vote is rarely wrong, but a bad document shows only some of its faults: absence of one says little.
+    answers = {1: [[0.002, 0.80, 0.198] for _ in range(rules)], 0: [[0.20, 0.65, 0.15] for _ in range(rules)]}
+    strength, good, most_false = 20.0, 0.9, 0.005
     prior = {c: [[x * strength for x in r] for r in answers[c]] for c in (0, 1)}
 
     def posterior(p: tuple[int, ...]) -> float:
@@ -111,6 +112,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: in
                 sums[0][r][v] += (1 - q) * n
         good = min(0.99, max(0.5, (mass + 9) / (total + 10)))
         answers = {c: [[x / sum(r) for x in r] for r in sums[c]] for c in (0, 1)}
+        for r in answers[1]:  # a fault may not become a mark of good documents
+            r[0] = min(r[0], most_false)
     return {p: posterior(p) for p, _ in patterns}
 
 
