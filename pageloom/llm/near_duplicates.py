@@ -116,7 +116,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = pa.array(np.zeros(len(h), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _longs(h), _longs(c), zero, zero], names=names)
 
-    for b in batches:
+    for b in bh.tidy(batches):
         for i, j, h, first in sets(b.column(1)):
             digest = np.zeros((j - i, 2), np.int64)
             for k in range(j - i):
@@ -124,7 +124,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), _longs(np.diff(first)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=names)
             seen.append(h)
             held += len(h)
-            if held > 4_000_000:  # bounded memory: what is frequent shows again and again
+            if held > 2_000_000:  # bounded memory: what is frequent shows again and again
                 yield frequent()
                 seen, held = [], 0
     yield frequent()
@@ -135,7 +135,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["h", "id", "n", "c", "cn"]
     last = None  # h, id, c, cn of the row before those at hand
     held = None  # a row that may stand alone
-    for b in batches:
+    for b in bh.tidy(batches):
         h, i, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         if held is not None:
             h, i, n = (np.concatenate([a, x]) for a, x in zip(held, (h, i, n), strict=True))
@@ -166,7 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """Columns of batches, cut so that rows equal in the first ``keys`` columns stay together."""
     held: list[np.ndarray] | None = None
-    for b in batches:
+    for b in bh.tidy(batches):
         x = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
         if held is not None:
             x = [np.concatenate([a, y]) for a, y in zip(held, x, strict=True)]
@@ -295,7 +295,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, few: int = 1
         ids = F.broadcast(ids)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bh.tidy(batches):
             for i, j, h, first in sets(b.column(1)):
                 digest = np.array([np.frombuffer(blake2b(h[first[k] : first[k + 1]].tobytes(), digest_size=16).digest(), np.int64) for k in range(j - i)]).reshape(-1, 2)
                 mine = (digest[:, 0] == b.column(2).to_numpy()[i:j]) & (digest[:, 1] == b.column(3).to_numpy()[i:j])
@@ -326,7 +326,7 @@ def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
-        for b in batches:
+        for b in bh.tidy(batches):
             for i, _, h, first in sets(b.column(1)):
                 size = np.diff(first)
                 of = np.repeat(np.arange(len(size)), size)
