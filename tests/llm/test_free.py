@@ -35,7 +35,7 @@ def plain_components(rows):
 
     for a in s:
         for b in s:
-            if a < b and s[a] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+            if a < b and s[a] and 3 * len(s[a]) <= 4 * len(s[b]) and 3 * len(s[b]) <= 4 * len(s[a]) and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return sorted((k, len(s[k]), find(k)) for k in s)

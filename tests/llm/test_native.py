@@ -70,15 +70,18 @@ def test_kept_follows_labels(spark):
 
 def plain_hits(doc, items, size=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    w, hit, found = words(doc), set(), set()
+    w, hit, found, places = words(doc), set(), set(), {}
     for k, t in items:
         x = words(t)
         n = min(size, len(x))
-        for win in {tuple(x[i : i + n]) for i in range(len(x) - n + 1)} if n else ():
+        if n and n not in places:
+            places[n] = {}
             for i in range(len(w) - n + 1):
-                if tuple(w[i : i + n]) == win:
-                    hit |= set(range(i, i + n))
-                    found.add("" if k is None else str(k))
+                places[n].setdefault(tuple(w[i : i + n]), []).append(i)
+        for j in range(len(x) - n + 1) if n else ():
+            for i in places[n].get(tuple(x[j : j + n]), ()):
+                hit |= set(range(i, i + n))
+                found.add("" if k is None else str(k))
     return len(w), len(hit), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)
 
 

@@ -10,7 +10,7 @@ import corpus_pipeline
 from pageloom.llm import pii, sentencepiece_scan
 from pageloom.llm.queries import MODEL
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not (os.path.isdir(SF) and os.path.exists(MODEL)), reason="needs the given tables and a model")
 
 
