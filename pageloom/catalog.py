@@ -188,13 +188,29 @@ SELECT doc_id, pos, line AS text, CAST(700 - pos * (640.0 / n) AS DOUBLE) AS top
 FROM (SELECT doc_id, n, line, pos FROM parts WHERE n IN (2, 4, 8, 16, 32, 64))"""
 )
 def vertical_subdivision(spark, sf_dir):
-    """A document's box shared equally by its lines (documents of 2, 4, ... 64 lines, whose shares are exact)."""
-    d = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("ls")).filter(F.size("ls").isin(2, 4, 8, 16, 32, 64))
+    """A document's box shared equally by its lines (documents of 2, 4, ... 64 lines, whose shares are exact; vertical_subdivision_all takes every document)."""
+    return _shared_by_lines(documents(spark, sf_dir).filter(F.size(F.split("text", "\n")).isin(2, 4, 8, 16, 32, 64))).select("doc_id", "pos", "text", "top", "bottom")
+
+
+def _shared_by_lines(docs):
+    d = docs.select("doc_id", F.split("text", "\n").alias("ls"))
     d = d.select("doc_id", F.lit(0).alias("ord"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("page"), F.lit("text").alias("label"), F.struct(F.lit(72.0).alias("left"), F.lit(60.0).alias("bottom"), F.lit(540.0).alias("right"), F.lit(700.0).alias("top")).alias("box"), F.lit("").alias("text"), F.lit(12.0).alias("font_size"), F.lit("").alias("font_name"), F.lit("").alias("toc_page"), F.lit(1).alias("lines"), F.lit(14.0).alias("line_height"), F.lit(None).cast("double").alias("spacing"), "ls")
     s = split.subdivided(d, F.transform("ls", lambda x: F.struct(x.alias("text"), F.lit("").alias("page"))), "equal")
     return s.select("doc_id", F.get("path", 0).cast("long").alias("pos"), "text", "box.top", "box.bottom")
 
 
+@query(
+    """WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+parts AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM cut)
+SELECT doc_id, pos, line AS text, round(CAST(700 - pos * (640.0 / n) AS DOUBLE), 6) AS top, CASE WHEN pos = n - 1 THEN 60.0 ELSE round(CAST(700 - (pos + 1) * (640.0 / n) AS DOUBLE), 6) END AS bottom
+FROM parts"""
+)
+def vertical_subdivision_all(spark, sf_dir):
+    """X8 over every document, whatever its number of lines; shares rounded to six places."""
+    s = _shared_by_lines(documents(spark, sf_dir))
+    return s.select("doc_id", "pos", "text", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
+
+
 _SAMPLES = ["plain words", "한국어 문장", "ひらがな", "中文句子", "カタカナ and 漢字", "한 ひ 中"]
 
 

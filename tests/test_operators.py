@@ -244,3 +244,17 @@ def test_files(spark, tmp_path):
     f = src.binary_files(spark, str(tmp_path), "*")
     assert {r["path"].rsplit("/")[-1]: r["verdict"] for r in src.uploads(f, most=3).collect()} == {"b.PDF": "too_large", "a.txt": "not_pdf"}
     assert src.first_matching(f, (".pdf",)).first()["path"].endswith("b.PDF")
+
+
+def test_vertical_subdivision_takes_every_document(spark, tmp_path):
+    texts = {1: "a\nb\nc", 2: "alone", 3: "\n".join("x" * 7), 4: "p\nq"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from pageloom import catalog
+
+    got = {(r["doc_id"], r["pos"]): (r["text"], r["top"], r["bottom"]) for r in catalog.QUERIES["vertical_subdivision_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, t in texts.items():
+        ls = t.split("\n")
+        for i, x in enumerate(ls):
+            want[k, i] = (x, round(700 - 640 * i / len(ls), 6), round(700 - 640 * (i + 1) / len(ls), 6))
+    assert got == want
