@@ -255,9 +255,9 @@ def translation_postprocess(spark, sf_dir):
     return u.select("doc_id", "ord", "final")
 
 
-def _trees(spark, sf_dir):
+def _trees(spark, sf_dir, text="text"):
     """A nested tree of each conversation: turns as boxes inside pages, the first box of a page holding the others."""
-    c = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 80).alias("text"))
+    c = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr(text).alias("text"))
     box = lambda k: F.array(F.lit(0), F.col("turn") * 10, F.lit(100), F.col("turn") * 10 + k)
     leaf = F.struct(F.struct(F.col("turn").cast("int").alias("page"), box(8).alias("bbox"), F.lit("caption").alias("label"), F.col("role").alias("content")).alias("note"))
     node = F.struct(F.col("turn").cast("int").alias("page"), F.lit("paragraph").alias("type"), box(9).alias("bbox"), "text", F.col("text").alias("content"), leaf.alias("kids"))
@@ -270,7 +270,17 @@ SELECT conv_id, CAST(2 * k AS INTEGER) AS ord, CAST(turn AS INTEGER) AS page, 'p
 UNION ALL SELECT conv_id, CAST(2 * k + 1 AS INTEGER), CAST(turn AS INTEGER), 'caption', role, CAST(turn * 10 + 8 AS DOUBLE) FROM c""".replace("\\\\", "\\")
 )
 def json_walk_units(spark, sf_dir):
-    """S3, F1: parents before children, in document order."""
+    """S3, F1: parents before children, in document order (of texts' first 80 characters; json_walk_units_all walks whole texts)."""
+    return src.units(_trees(spark, sf_dir, "substring(text, 1, 80)"), "conv_id").select("conv_id", "ord", "page", "label", "text", "box.top")
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+SELECT conv_id, CAST(2 * k AS INTEGER) AS ord, CAST(turn AS INTEGER) AS page, 'paragraph' AS label, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, CAST(turn * 10 + 9 AS DOUBLE) AS top FROM c WHERE regexp_matches(text, '\S')
+UNION ALL SELECT conv_id, CAST(2 * k + 1 AS INTEGER), CAST(turn AS INTEGER), 'caption', role, CAST(turn * 10 + 8 AS DOUBLE) FROM c"""
+)
+def json_walk_units_all(spark, sf_dir):
+    """S3, F1 on whole texts."""
     return src.units(_trees(spark, sf_dir), "conv_id").select("conv_id", "ord", "page", "label", "text", "box.top")
 
 
@@ -449,11 +459,22 @@ def retention_expired(spark, sf_dir):
   coalesce(nullif(regexp_replace(regexp_replace(source || ' Font_1!', '[^A-Za-z0-9 _-]', '', 'g'), '^\s+|\s+$', '', 'g'), ''), 'sans-serif') AS family FROM documents"""
 )
 def text_slugs(spark, sf_dir):
-    """T1, T2, T11, T16."""
+    """T1, T2, T11, T16 (slugs of the first 60 characters; text_slugs_all takes whole texts)."""
     d = documents(spark, sf_dir)
     return d.select("doc_id", t.slug(F.substring("text", 1, 60)).alias("slug"), t.stage(F.col("text")).alias("stage"), t.font_family(F.concat("source", F.lit(" Font_1!"))).alias("family"))
 
 
+@query(
+    r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document') AS slug,
+  CASE WHEN contains(lower(text), 'translat') THEN 'translating' WHEN contains(lower(text), 'render') THEN 'rendering' ELSE 'parsing' END AS stage,
+  coalesce(nullif(regexp_replace(regexp_replace(source || ' Font_1!', '[^A-Za-z0-9 _-]', '', 'g'), '^\s+|\s+$', '', 'g'), ''), 'sans-serif') AS family FROM documents"""
+)
+def text_slugs_all(spark, sf_dir):
+    """T1, T2, T11, T16 on whole texts."""
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", t.slug(F.col("text")).alias("slug"), t.stage(F.col("text")).alias("stage"), t.font_family(F.concat("source", F.lit(" Font_1!"))).alias("family"))
+
+
 @query(
     f"""WITH {BLOCKS}, g AS (SELECT doc_id, page, block_id, label, x1, x1 - x0 AS w, font, least(greatest(font * 3.2, (x1 - x0) * 0.14), (x1 - x0) * 0.24) AS p, least(greatest(font * 6, (x1 - x0) * 0.18), (x1 - x0) * 0.34) AS l FROM blocks)
 SELECT doc_id, page, block_id, round(x1 - p - l, 6) AS title_x1, round(x1 - p, 6) AS page_x0, l > font AS leader_drawn, CAST(greatest(CAST(trunc(l / greatest(font * 0.42, 1)) AS INTEGER), 4) AS INTEGER) AS dots,

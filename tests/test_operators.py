@@ -258,3 +258,14 @@ def test_vertical_subdivision_takes_every_document(spark, tmp_path):
         for i, x in enumerate(ls):
             want[k, i] = (x, round(700 - 640 * i / len(ls), 6), round(700 - 640 * (i + 1) / len(ls), 6))
     assert got == want
+
+
+def test_walks_and_slugs_take_whole_texts(spark, tmp_path):
+    from pageloom import catalog
+
+    long = "Word " * 40 + "End"
+    spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", " " * 80 + "late")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, long, "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["text"] for r in catalog.QUERIES["json_walk_units_all"](spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == [long, "user", "late", "assistant"]
+    assert catalog.QUERIES["text_slugs_all"](spark, str(tmp_path)).first()["slug"] == "word-" * 40 + "end"
