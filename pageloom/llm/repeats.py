@@ -8,7 +8,7 @@ threshold.  Here:
 * Positions are sampled by content: of the h-byte strings (h = 24) inside each 50-byte string,
   the one with the smallest rank is its anchor.  Equal strings have equal anchors at equal
   offsets, so only anchors are sorted, about one position in 14; a rank is a 64-bit name.
-* Round 1 sorts (name of an anchor, name of its context, doc_id): the context is all that the
+* Round 1 sorts (name of an anchor, two independent names of its context, doc_id): the context is all that the
   strings of this anchor cover.  A name met once is unique and falls away.  A context that
   a smaller document has too is repeated whole, and past the threshold at once.
 * Round 2, for anchors whose name is shared but whose contexts differ: the offset grows by half of what is left, to
@@ -40,13 +40,13 @@ PART = 1 << 19  # of a long text, strings that start in one part are handled tog
 
 
 class Contexts:
-    """Anchors of a piece of text: position p, strings from first to last (starts), names a and c."""
+    """Anchors of a piece of text: position p, strings from first to last (starts), names a, c and e (c and e by different bases)."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, starts: int | None = None):
         """data: texts one after the other, each ending at one of ends; strings starting at ``starts`` or later are left out."""
         none = np.zeros(0, np.int64)
         self.p = self.first = self.last = none
-        self.a = self.c = np.zeros(0, np.uint64)
+        self.a = self.c = self.e = np.zeros(0, np.uint64)
         self.sums = self.other = np.zeros(1, np.uint64)
         n = len(data) - LENGTH + 1
         if n <= 0:
@@ -74,7 +74,9 @@ class Contexts:
         self.p = p[self.first]
         self.a = names[self.p]
         other = bh.prefix_sums(data, bh.BASES[1])
-        self.c = bh.mix(bh.spans(other, self.first, self.last + LENGTH, bh.BASES[1]) + (self.p - self.first).astype(np.uint64))
+        before = (self.p - self.first).astype(np.uint64)
+        self.c = bh.mix(bh.spans(other, self.first, self.last + LENGTH, bh.BASES[1]) + before)
+        self.e = bh.mix(bh.spans(self.sums, self.first, self.last + LENGTH) + before)
         self.other = other
 
     def strings(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,13 +106,13 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _key(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _key(a: np.ndarray, c: np.ndarray, e: np.ndarray) -> np.ndarray:
     """What a context is called within its document."""
-    return bh.mix(a + np.uint64(0x9E3779B97F4A7C15) * (c >> np.uint64(32)))
+    return bh.mix(a + np.uint64(0x9E3779B97F4A7C15) * c + np.uint64(0xD1342543DE82EF95) * e)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, c, doc_id: each context of a document, once in a part."""
+    """a, c, e, doc_id: each context of a document, once in a part."""
     for b in bh.tidy(batches):
         data, offsets = bh.text_buffers(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -118,48 +120,47 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(x.p):
                 continue
             of = np.searchsorted(offsets[i : j + 1], x.first + shift, "right") - 1 + i
-            c = (x.c >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((c, x.a, of))
-            a, c, of = x.a[order], c[order], of[order]
+            order = np.lexsort((x.e, x.c, x.a, of))
+            a, c, e, of = x.a[order], x.c[order], x.e[order], of[order]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (of[1:] != of[:-1])
-            yield pa.RecordBatch.from_arrays([_longs(a[new]), pa.array((c[new] - (1 << 31)).astype(np.int32)), _longs(ids[of[new]])], names=["a", "c", "doc_id"])
+            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (e[1:] != e[:-1]) | (of[1:] != of[:-1])
+            yield pa.RecordBatch.from_arrays([_longs(a[new]), _longs(c[new]), _longs(e[new]), _longs(ids[of[new]])], names=["a", "c", "e", "doc_id"])
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, c, doc_id) in order -> (doc_id, key, whole).
+    """Rows (a, c, e, doc_id) in order -> (doc_id, key, whole).
 
     whole: a smaller document has the context.  Not whole: the first document of a context whose
     anchor other contexts share, to be looked into.  A row is held until it is
     known whether another context follows.
     """
-    last = None  # (a, c, doc_id) of the first row of the last context, and whether its anchor has others (then it was given out)
+    last = None  # (a, c, e, doc_id) of the first row of the last context, and whether its anchor has others (then it was given out)
     for b in bh.tidy(batches):
-        a, c, d = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        a, c, e, d = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         if not len(a):
             continue
         if last:
-            a, c, d = (np.concatenate([[x], y]) for x, y in zip(last[:3], (a, c, d), strict=True))
+            a, c, e, d = (np.concatenate([[x], y]) for x, y in zip(last[:4], (a, c, e, d), strict=True))
         same_a = np.concatenate([[False], a[1:] == a[:-1]])
-        same_c = same_a & np.concatenate([[False], c[1:] == c[:-1]])
+        same_c = same_a & np.concatenate([[False], (c[1:] == c[:-1]) & (e[1:] == e[:-1])])
         head = d[np.maximum.accumulate(np.where(same_c, 0, np.arange(len(a))))]
         whole = same_c & (d > head)
         group = np.cumsum(~same_a) - 1
         shared = np.zeros(group[-1] + 1, bool)
         shared[group[same_a & ~same_c]] = True
-        if last and last[3]:
+        if last and last[4]:
             shared[0] = True
         look = ~same_c & shared[group]
-        if last and last[3]:
+        if last and last[4]:
             look[0] = False
-        yield _out(a[whole], c[whole], d[whole], True)
-        yield _out(a[look], c[look], d[look], False)
-        last = (a[-1], c[-1], head[-1], bool(shared[-1]))
+        yield _out(a[whole], c[whole], e[whole], d[whole], True)
+        yield _out(a[look], c[look], e[look], d[look], False)
+        last = (a[-1], c[-1], e[-1], head[-1], bool(shared[-1]))
 
 
-def _out(a, c, d, whole: bool) -> pa.RecordBatch:
-    a, c = np.asarray(a, np.int64).view(np.uint64), (np.asarray(c, np.int64) + (1 << 31)).astype(np.uint64) << np.uint64(32)
-    return pa.RecordBatch.from_arrays([_longs(np.asarray(d, np.int64)), _longs(_key(a, c)), pa.array(np.full(len(a), whole))], names=["doc_id", "key", "whole"])
+def _out(a, c, e, d, whole: bool) -> pa.RecordBatch:
+    a, c, e = (np.asarray(x, np.int64).view(np.uint64) for x in (a, c, e))
+    return pa.RecordBatch.from_arrays([_longs(np.asarray(d, np.int64)), _longs(_key(a, c, e)), pa.array(np.full(len(a), whole))], names=["doc_id", "key", "whole"])
 
 
 def _within(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -187,7 +188,7 @@ def _chosen(data: np.ndarray, offsets: np.ndarray, keys: pa.Array) -> Iterator[t
     wanted = np.sort(_of_text(values.view(np.uint64), rows))
     for i, j, shift, x in parts(data, offsets):
         of = np.searchsorted(offsets[i : j + 1], x.first + shift, "right") - 1 + i
-        hit = np.flatnonzero(_within(_of_text(_key(x.a, x.c), of), wanted))
+        hit = np.flatnonzero(_within(_of_text(_key(x.a, x.c, x.e), of), wanted))
         yield i, j, shift, x, hit, of[hit]
 
 
@@ -211,7 +212,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, x, hit, of in _chosen(data, offsets, b.column(2)):
             for side, ok, name in _sides(x, hit):
                 if len(name):
-                    yield pa.RecordBatch.from_arrays([_longs(name), _longs(ids[of[ok]]), _longs(_key(x.a, x.c)[hit[ok]]), pa.array(np.full(len(name), side, np.int32))], names=["name", "doc_id", "key", "side"])
+                    yield pa.RecordBatch.from_arrays([_longs(name), _longs(ids[of[ok]]), _longs(_key(x.a, x.c, x.e)[hit[ok]]), pa.array(np.full(len(name), side, np.int32))], names=["name", "doc_id", "key", "side"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +269,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     at = Workspace(documents.sparkSession, "repeats")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
-    ranks = known.mapInArrow(_anchors, "a long, c int, doc_id long").repartition("a").sortWithinPartitions("a", "c", "doc_id")
+    ranks = known.mapInArrow(_anchors, "a long, c long, e long, doc_id long").repartition("a").sortWithinPartitions("a", "c", "e", "doc_id")
     ranks = at.keep(ranks.mapInArrow(_ranked, "doc_id long, key long, whole boolean"), "ranks", free=True)
     whole = ranks.filter("whole").groupBy("doc_id").agg(F.collect_list("key").alias("whole"))
     look = ranks.filter("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))

@@ -130,6 +130,14 @@ def test_repeats_edges(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeats_of_names_with_32_equal_bits(spark):
+    # One anchor, different contexts whose names agree in their upper 32 bits.
+    pairs = [("a passage that very many documents sha422944474821", "a passage that very many documents sha793055076757"), ("a passage that very many documents sha275272269763", "a passage that very many documents sha672054690182")]
+    rows = [(k, t) for k, t in enumerate(t for p in pairs for t in p)]
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs(spark, *rows, (9, pairs[0][0]))).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 50}
+
+
 @pytest.mark.parametrize(
     ("text", "found"),
     [
