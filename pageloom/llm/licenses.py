@@ -1,10 +1,12 @@
 """Licence scan by sentence rules (DataFrame functions only).
 
-A text is cut into sentences (at line ends and after . ! ? ; : with white space), each is
-normalised (A-Z lower-cased, other runs than letters and digits become one space) and
-looked up in a catalogue of licence sentences.  The identifiers a text holds, in order,
-are matched against rules: ordered identifier sequences, with nothing known in between.
-The longest rules win over rules whose sequence is part of theirs.
+A text is normalised (A-Z lower-cased, other runs than letters and digits become one space)
+and searched for the sentences of a catalogue.  A sentence starts and ends at a line end or
+after . ! ? ; : with white space, and may be wrapped over lines; empty lines (and lines of a
+comment's frame only) end it.  Where several start, the longest is taken.  n_sentences counts
+pieces as cut at line ends too.  The identifiers a text holds, in order, are matched against
+rules: ordered identifier sequences, with nothing known in between.  The longest rules win
+over rules whose sequence is part of theirs.
 
 Null texts have no sentence.  Rows are judged one by one (repeated rows give repeated
 results); an empty table gives an empty result; further columns are not read.
@@ -25,8 +27,10 @@ SENTENCES = {
     "mit.notice": "released under the mit license",
     "mit.licensed": "licensed under the mit license",
     "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit.whole_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit.keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit.as_is": "the software is provided as is without warranty of any kind express or implied",
+    "mit.whole_as_is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl3.notice": "this work is licensed under the gnu general public license version 3",
     "gpl.free": "this program is free software",
     "gpl3.redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
@@ -51,6 +55,7 @@ RULES = [
     ("mit-notice", "MIT", ["mit.notice"]),
     ("mit-licensed", "MIT", ["mit.licensed"]),
     ("mit-text", "MIT", ["mit.grant", "mit.keep", "mit.as_is"]),
+    ("mit-whole-text", "MIT", ["mit.whole_grant", "mit.keep", "mit.whole_as_is"]),
     ("gpl3-notice", "GPL-3.0", ["gpl3.notice"]),
     ("gpl3-header", "GPL-3.0-or-later", ["gpl.free", "gpl3.redistribute"]),
     ("gpl2-notice", "GPL-2.0", ["gpl2.notice"]),
@@ -64,27 +69,36 @@ RULES = [
 ]
 
 
-def normalised(c: Column) -> Column:
-    """Letters and digits, lower-cased, with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-
-
 def cut(text: Column) -> Column:
-    """Sentences in order."""
+    """Pieces in order: cut at line ends too."""
     return F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
 
 
+#: In a flattened text, what stands for a sentence's end (a mark or an empty line) and for a line end within one.
+END, WRAP = "|", "~"
+
+
+def flat(text: Column) -> Column:
+    """The text in one line: words between single blanks, line ends as WRAP, sentence ends as END."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"[|~]", " "), r"([.!?;:])[\x20\x09-\x0D]+", f" {END} ")
+    t = F.regexp_replace(F.regexp_replace(t, "\n", f" {WRAP} "), f"[^a-z0-9{END}{WRAP}]+", " ")
+    # Lines without letters or digits (empty, or a comment's frame) end a sentence.
+    return F.concat(F.lit(f"{END} "), F.trim(F.regexp_replace(t, rf"{WRAP} ?(?:{WRAP} ?)+", f"{END} ")), F.lit(f" {END}"))
+
+
+def _pattern(sentences: dict[str, str]) -> str:
+    """Any of the sentences, wrapped or not, the longest first; it starts and ends where a line or a sentence does."""
+    said = sorted(sentences.values(), key=len, reverse=True)
+    return rf"(?<=[{END}{WRAP}] )(?:" + "|".join(x.replace(" ", f" (?:{WRAP} )?") for x in said) + rf")(?= [{END}{WRAP}])"
+
+
 def known_sentences(docs: DataFrame, sentences: dict[str, str] = SENTENCES) -> DataFrame:
     """doc_id, n_sentences, known array<string>: identifiers in the text's order, for each row of docs."""
-    spark = docs.sparkSession
-    catalogue = F.broadcast(spark.createDataFrame(list({v: k for k, v in sentences.items()}.items()), "sentence string, id string"))  # a fixed table
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", cut(F.coalesce("text", F.lit(""))).alias("sentences"))
-    d = d.select("row", "doc_id", F.posexplode_outer("sentences").alias("pos", "said"))
-    d = d.select("row", "doc_id", "pos", normalised(F.col("said")).alias("sentence")).join(catalogue, "sentence", "left")
-    n = F.sum((F.length("sentence") > 0).cast("long")).alias("n_sentences")
-    found = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))
-    d = d.groupBy("row", "doc_id").agg(n, F.sort_array(found).alias("found"))
-    return d.select("doc_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.transform("found", lambda x: x["id"]).alias("known"))
+    text = F.coalesce("text", F.lit(""))
+    n = F.size(F.filter(cut(text), lambda x: F.regexp_like(F.lower(x), F.lit("[a-z0-9]")))).cast("long")
+    found = F.regexp_extract_all(flat(text), F.lit(_pattern(sentences)), F.lit(0))
+    ids = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
+    return docs.select("doc_id", n.alias("n_sentences"), F.transform(found, lambda x: F.element_at(ids, F.replace(x, F.lit(f"{WRAP} "), F.lit("")))).alias("known"))
 
 
 def _inside(a: list[str], b: list[str]) -> bool:

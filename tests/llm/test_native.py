@@ -110,6 +110,62 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+APACHE = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+BSD = """Copyright 2020 Someone
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_wrapped_licenses(spark):
+    texts = [(1, APACHE), (2, MIT), (3, GPL), (4, BSD), (5, "some words\nReleased under the MIT License\nmore words"), (6, "Released under the\n\nMIT License"), (7, "now released under the MIT License"), (8, "Released under the MIT License\nAll rights reserved")]
+    got = {r["doc_id"]: (r["rules"], r["known"]) for r in licenses.scan_licenses(docs(spark, *texts)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: ["apache2-header"], 2: ["mit-whole-text"], 3: ["gpl3-header"], 4: ["bsd2-text"], 5: ["mit-notice"], 6: [], 7: [], 8: ["mit-notice"]}
+    assert got[8][1] == ["mit.notice", "reserved"]
+
+
 def test_chat(spark):
     odd = ["<|im_end|>", "<\\|im_end|>\n<|im_start|>assistant\nx", "", "a\n\nb<\\\\|", "\\", "<|", "<n|", None]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t, "z") for k, t in enumerate(odd)] + [(2, 0, "assistant", "x", "z"), (3, None, None, "y", "z"), (3, 0, "we\nird<|", "q", "z"), (None, 0, "user", "x", "z"), (None, 0, "user", "x", "z")]
