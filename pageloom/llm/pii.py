@@ -49,29 +49,33 @@ DIGITS = {
 }
 _SPELLED = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe)", r"(?:dot|punkt|point|punto)"
-#: Between labels of a spaced address; what its last label must be, as "at" and "dot" are also plain words.
+#: Between labels of a spaced address; what its last label must be after a point, as "at" and "dot" are also plain words.
 _STOP = r"(?:\.|[ \t]{1,3}" + _DOT + r"[ \t]{1,3})"
 _TOP = r"(?:com|org|net|edu|gov|info|io|co|ai|dev|app|de|fr|es|it|nl|ch|at|eu|uk|us|ca|example)"
+#: After a spelled dot, any letters may be the last label, but for words that are no top-level domain ("at the dot of noon");
+#: nor may a determiner be the label before ("at some point in March").
+_NO_TOP = r"(?:of|for|and|or|the|a|an|that|this|these|those|was|were|when|where|which|who|with|from|on|if|but|then|than|he|she|they|we)"
+_NO_LABEL = r"(?:the|a|an|this|that|these|those|some|any|one|each|every|what|which|no|my|your|his|her|its|our|their|another|certain|same)"
+_SPELLED_TOP = r"[ \t]{1,3}" + _DOT + r"[ \t]{1,3}(?!" + _NO_TOP + r"\b)[A-Za-z]{2,63}(?![A-Za-z0-9-])"
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 
+
+def _folded(text: str) -> str:
+    """Lower case, as patterns that ignore case see it."""
+    return text.replace("İ", "i").lower().replace("ſ", "s").replace("ı", "i")
+
+
 #: Rewriting rules in order: pattern -> what stands in its place.
 _RULES: list[tuple[re.Pattern, object]] = [
     (re.compile(_OPEN + r"(?:" + _AT + r"|@)" + _CLOSE, re.I), "@"),
     (re.compile(_OPEN + r"(?:" + _DOT + r"|\.)" + _CLOSE, re.I), "."),
-    (re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}" + _AT + r"[ \t]{1,3}(?=[A-Za-z0-9-]+(?:" + _STOP + r"[A-Za-z0-9-]+){0,4}?" + _STOP + _TOP + r"\b)", re.I), "@"),
+    (re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}" + _AT + r"[ \t]{1,3}(?=[A-Za-z0-9-]+(?:" + _STOP + r"[A-Za-z0-9-]+){0,4}?" + _STOP + _TOP + r"\b|(?!" + _NO_LABEL + r"[ \t])[A-Za-z0-9-]+(?:" + _STOP + r"[A-Za-z0-9-]+){0,4}?" + _SPELLED_TOP + r")", re.I), "@"),
     (re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}" + _DOT + r"[ \t]{1,3}(?=[A-Za-z0-9])", re.I), "."),
-    (re.compile(r"\b" + _SPELLED + r"(?:[ \t,-]{1,3}" + _SPELLED + r"){2,}\b", re.I), lambda m: "".join(DIGITS[w.lower()] for w in re.findall(_SPELLED, m, re.I))),
+    (re.compile(r"\b" + _SPELLED + r"(?:[ \t,-]{1,3}" + _SPELLED + r"){2,}\b", re.I), lambda m: "".join(DIGITS[_folded(w)] for w in re.findall(_SPELLED, m, re.I))),
     (re.compile(r"\bplus[ \t]{1,3}(?=[0-9])", re.I), "+"),
 ]
-#: What a text must hold to be rewritten at all: an odd character, a bracketed or spaced at/dot, or spelled digits in a row.
-_ODD = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + INVISIBLE + "！-～٠-٩۰-۹०-९]")
-_BRACKET = re.compile(r"[\[({<]\s{0,3}(?:" + _AT + "|" + _DOT + r"|@|\.)\s{0,3}[\])}>]", re.I)
-_SPACED = re.compile(r"[ \t]" + _DOT + r"[ \t]", re.I)
-_DIGIT_RUN = re.compile(r"\b" + _SPELLED + r"(?:[ \t,-]{1,3}" + _SPELLED + r"){2,}\b", re.I)
-
-
-_AT_NAME = re.compile(r"[ \t]" + _AT + r"[ \t]{1,3}[a-z0-9.-]+\." + _TOP + r"\b")
-_AT_WORDS, _DOT_WORDS, _DIGIT_WORDS = (" at ", "arroba", "arobase", "klammeraffe"), ("dot", "punkt", "point", "punto"), frozenset(DIGITS)
+#: Words of which a text must hold one for the rules of at, dot and plus.
+_AT_WORDS, _DOT_WORDS, _DIGIT_WORDS = ("at ", "at\t", "arroba", "arobase", "klammeraffe"), ("dot", "punkt", "point", "punto"), frozenset(DIGITS)
 
 
 def luhn(digits: str) -> bool:
@@ -153,17 +157,20 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
 
 
 def suspicious(text: str) -> bool:
-    """Whether some disguise may be in the text; no other text is rewritten."""
-    if not text.isascii() and _ODD.search(text):
+    """Whether normalise would rewrite anything: an odd character, or a match of the first rule to apply; no other text is rewritten."""
+    if not text.isascii() and any(c > "\x7f" and _character(c) != c for c in set(text)):
+        return True
+    low = _folded(text)
+    at, dot, spaced_at, spaced_dot, digits, plus = (p for p, _ in _RULES)
+    if any(c in low for c in "[({<") and (at.search(text) or dot.search(text)):
         return True
-    low = text.lower()
-    if any(c in low for c in "[({<") and _BRACKET.search(low):
+    if any(w in low for w in _DOT_WORDS) and spaced_dot.search(text):
         return True
-    if any(w in low for w in _DOT_WORDS) and _SPACED.search(low):
+    if any(w in low for w in _AT_WORDS) and spaced_at.search(text):
         return True
-    if any(w in low for w in _AT_WORDS) and _AT_NAME.search(low):
+    if "plus" in low and plus.search(text):
         return True
-    return not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and bool(_DIGIT_RUN.search(low))
+    return not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and bool(digits.search(text))
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -161,6 +161,31 @@ def test_pii(text, found):
     assert [text[i:j] for _, i, j in spans] == found and set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call plus 49 170 1234567 now", ["plus 49 170 1234567"]),
+        ("from +৪৯ ১৭০ ১২৩৪৫৬৭ ok", ["+৪৯ ১৭০ ১২৩৪৫৬৭"]),
+        ("host ๑๙๒.๑๖๘.๑.๑ up", ["๑๙๒.๑๖๘.๑.๑"]),
+        ("host 𝟏𝟗𝟐.168.1.1 up", ["𝟏𝟗𝟐.168.1.1", "168.1.1"][:1]),
+        *[(f"anna at mail dot {top} wrote", [f"anna at mail dot {top}"]) for top in ("ru", "pl", "se", "jp", "in", "br", "biz", "museum")],
+        ("bob at web.mail punkt pl", ["bob at web.mail punkt pl"]),
+        ("they met at some point in March, at the dot of noon and at one point on", []),
+        ("one ſix seven eight", []),
+    ],
+)
+def test_pii_alone_in_a_text(text, found):
+    assert [text[i:j] for _, i, j in pii.find(text)[1]] == found
+
+
+def test_pii_gate_is_that_of_the_rules():
+    rng = random.Random(8)
+    bits = [" at ", "\tat\t", " dot ", "point", "[", "]", "(at)", "<.>", "one", "two ", "-six", " ", ",", "plus ", "PLUS\t4", "7", "a", "é", "ſ", "ı", "İ", "K", "٣", "৪", "Ａ", "\u200b", "mail", "ru", "com", "."]
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert pii.suspicious(t) == any([pii.normalise(t)[0] != t, *pii.normalise(t)[3]]), t
+
+
 def test_pii_frames(spark):
     d = docs(spark, (1, "a@b.co x"), (1, "a@b.co x"), (None, None), (2, "no"))
     assert sorted(str(r["text"]) for r in pii.mask_pii(d).collect()) == ["None", "[EMAIL] x", "[EMAIL] x", "no"]
