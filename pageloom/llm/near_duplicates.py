@@ -309,11 +309,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, few: int = 1
     return p.withColumn("both", F.size(F.array_intersect("x", "y"))).filter(175 * F.col("both") >= 75 * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of documents."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = Workspace(spark, "near-duplicates")
+def _runs_of_classes(docs: DataFrame, at: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal sets, each row's class, and runs of classes that share a prefix shingle."""
+    spark = docs.sparkSession
     t = at.keep(docs.mapInArrow(_summary, "kind int, id long, n long, s1 long, s2 long"), "summary")
     texts = t.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2")
     classes = at.keep(texts.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -342,16 +340,11 @@ def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
     p = p.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_runs, run)
     p = at.keep(p.select("h", "id"), "shared")
     p = p.join(member.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "rep", "n").distinct(), "id").select("h", F.col("rep").alias("id"), "n")
-    p = at.keep(p.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_runs, run), "runs")
+    return classes, member, at.keep(p.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_runs, run), "runs")
 
-    # Each class against the smallest of its run.
-    star = p.filter((F.col("id") != F.col("c")) & _sizes_fit("n", "cn")).groupBy(F.col("c").alias("a"), F.col("id").alias("b"), F.col("cn").alias("n"), F.col("n").alias("m")).agg(F.count("*").alias("k"))
-    star = at.keep(star.filter(F.col("k") + _rest("n", "m") >= _needed("n", "m")).drop("k"), "stars")
-    links = at.keep(verified(star, docs, classes), "links")
-    roots = components(links, at, "roots")
 
-    # What different components still share, searched by trees.
-    p = p.select("h", "id", "n").join(roots, "id", "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
+def _found(p: DataFrame, most: int) -> DataFrame:
+    """Pairs of classes with different roots that may be linked (a, b, n, m), of runs (h, id, n, root)."""
     mixed = p.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k")).filter("r0 <> r1").select("h", F.ceil(F.col("k") / most).cast("int").alias("blocks"))
     word = F.shiftright(F.col("h"), 6).bitwiseAND(F.lit(3))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
@@ -361,9 +354,45 @@ def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
     g = g.select("h", F.least("block", "other").alias("ka"), F.greatest("block", "other").alias("kb"), "id", "n", "q", "root", "block", "b0", "b1", "b2", "b3")
     g = g.repartition("h", "ka", "kb").sortWithinPartitions("h", "ka", "kb", "n", "id")
     found = g.mapInArrow(_search, "a long, b long, n long, m long").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
-    found = at.keep(found.filter(F.col("k") + _rest("n", "m") >= _needed("n", "m")).drop("k"), "found")
+    return found.filter(F.col("k") + _rest("n", "m") >= _needed("n", "m")).drop("k")
+
+
+def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of documents."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    at = Workspace(documents.sparkSession, "near-duplicates")
+    classes, member, p = _runs_of_classes(docs, at)
+
+    # Each class against the smallest of its run.
+    star = p.filter((F.col("id") != F.col("c")) & _sizes_fit("n", "cn")).groupBy(F.col("c").alias("a"), F.col("id").alias("b"), F.col("cn").alias("n"), F.col("n").alias("m")).agg(F.count("*").alias("k"))
+    star = at.keep(star.filter(F.col("k") + _rest("n", "m") >= _needed("n", "m")).drop("k"), "stars")
+    links = at.keep(verified(star, docs, classes), "links")
+    roots = components(links, at, "roots")
+
+    # What different components still share, searched by trees.
+    p = p.select("h", "id", "n").join(roots, "id", "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
+    found = at.keep(_found(p, most), "found")
     more = at.keep(verified(found, docs, classes), "more")
     final = components(links.unionByName(more), at, "final")
 
     out = member.join(final, member["rep"] == final["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def links(documents: DataFrame, most: int = 4096) -> DataFrame:
+    """doc_id, n_links (other rows whose text is linked to this one's) for each row of documents: every pair is searched by the trees and verified, no component stands for its pairs.
+
+    A row without shingles or with a null doc_id has none.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    at = Workspace(documents.sparkSession, "links")
+    classes, member, p = _runs_of_classes(docs, at)
+    # As each class is its own root, no pair is left out.
+    found = at.keep(_found(p.select("h", "id", "n", F.col("id").alias("root")), most), "found")
+    pairs = at.keep(verified(found, docs, classes), "pairs")
+    rows = member.filter("doc_id is not null and n > 0").groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("rows"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(rows, both["b"] == rows["id"]).groupBy("a").agg(F.sum("rows").alias("others"))
+    n = rows.join(others, rows["id"] == others["a"], "left").select("id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = member.join(n, member["rep"] == n["id"], "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(None)).alias("n_links")).na.fill(0, ["n_links"])

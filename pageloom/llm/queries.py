@@ -40,6 +40,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.links(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -83,4 +87,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) ->
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_decontamination, op4_license_scan, op5_chat_formatting, op6_suffix_dedup, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op2_jaccard_links, op3_decontamination, op4_license_scan, op5_chat_formatting, op6_suffix_dedup, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}

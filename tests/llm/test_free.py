@@ -65,6 +65,16 @@ def test_near_duplicates(spark, most):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_links(spark, most):
+    rows = list(enumerate(near_rows(random.Random(6))))
+    s = {k: word_sets(t) for k, t in rows}
+    want = {a: sum(a != b and bool(s[a]) and 175 * len(s[a] & s[b]) >= 75 * (len(s[a]) + len(s[b])) for b in s) for a in s}
+    random.Random(7).shuffle(rows)
+    got = {r["doc_id"]: r["n_links"] for r in near_duplicates.links(docs(spark, *rows, (None, rows[0][1])), most=most).collect()}
+    assert got == {**want, None: 0} and max(want.values()) > 3
+
+
 def test_near_duplicates_edges(spark):
     same = "a b c d e f"
     got = sorted((tuple(r) for r in near_duplicates.near_duplicates(docs(spark, (5, same), (5, same), (2, same), (None, same), (None, "lonely text"))).collect()), key=str)
