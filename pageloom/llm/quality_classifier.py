@@ -204,12 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int = 20
                     else:
                         total[x] = v.copy()
                 times.update(w)
-        often = [x for x, k in times.items() if k >= 3]
-        yield pd.DataFrame({"word": pd.Series(often, dtype=object), "n": pd.Series([times[x] for x in often], dtype="int64"), "v": pd.Series([total[x].tolist() for x in often], dtype=object)})
+        seen = list(times)
+        yield pd.DataFrame({"word": pd.Series(seen, dtype=object), "n": pd.Series([times[x] for x in seen], dtype="int64"), "v": pd.Series([total[x].tolist() for x in seen], dtype=object)})
 
     summed = d.select("text").mapInPandas(neighbours, "word string, n long, v array<float>")
     summed = summed.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]).cast("float") for i in range(SIZE)]).alias("v"))
-    top = summed.orderBy(F.desc("n"), "word").limit(words).collect()
+    top = summed.filter("n >= 3").orderBy(F.desc("n"), "word").limit(words).collect()
     context = {r["word"]: (v / max(1e-6, float(np.linalg.norm(v)))).astype(np.float32) * np.float32(0.5) for r in top if (v := np.array(r["v"], np.float32)) is not None}
     shared = docs.sparkSession.sparkContext.broadcast(context)
 

@@ -224,6 +224,15 @@ def test_quality_classifier(spark):
     assert [r["score"] for r in none] == [0.5] * 3
 
 
+def test_quality_classifier_in_any_layout(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(30)) + (" !!! ### buy" if k % 3 == 0 else " and so on.")) for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    d = docs(spark, *rows)
+    one, many = ({r["doc_id"]: r["score"] for r in quality_classifier.classify(x, labels).collect()} for x in (d.coalesce(1), d.repartition(40)))
+    assert one == pytest.approx(many, rel=1e-9)  # (sums of a batch are rounded by its size)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     if not os.path.exists(queries.MODEL):
