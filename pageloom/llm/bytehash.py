@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +76,26 @@ def tidy(batches: Iterator) -> Iterator:
     """The batches; between them, and at the end, freed memory goes back to the system.
 
     Python workers live on from task to task, and their allocator would keep what one operator's task has used.
+    Within a batch it shall keep it, though: else each numpy step waits for fresh pages.
     """
+    hold()
     for b in batches:
         yield b
         del b
         trim()
 
 
+@lru_cache(maxsize=1)
+def hold() -> None:
+    """Once a process: arrays up to 32 MB come from the heap, and it shrinks only when trimmed (or by 256 MB at once)."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trim() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ from pageloom.llm import bytehash as bh
 from pageloom.llm.store import Workspace
 
 LENGTH, NAME = 50, 24
-PART = 1 << 19  # of a long text, strings that start in one part are handled together
+PART = 1 << 16  # strings that start in so many bytes are handled together, so that arrays stay in the processor's cache
+_INDEX = np.uint64((1 << 20) - 1)
 
 
 class Contexts:
@@ -52,32 +54,34 @@ class Contexts:
         if n <= 0:
             return
         self.sums = bh.prefix_sums(data)
-        names = bh.mix(bh.kgrams(self.sums, NAME))
+        names = bh.kgrams(self.sums, NAME)
         # The smallest name in each window, the leftmost if several are (44 bits tell names apart).
         window = LENGTH - NAME + 1
-        low = (names >> np.uint64(20) << np.uint64(20)) | np.arange(len(names), dtype=np.uint64)
+        low = names & ~_INDEX
+        low |= np.arange(len(names), dtype=np.uint64)
         step = 1
         while 2 * step <= window:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
         low = np.minimum(low[: len(low) - (window - step)], low[window - step :])
-        p = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
-        at = np.arange(n)
-        ok = at + LENGTH <= ends[np.searchsorted(ends, at, "right")]
+        p = (low & _INDEX).astype(np.int64)
+        # A string may not reach over its text's end.
+        ok = np.ones(n, bool)
+        for end in ends[ends < len(data)]:
+            ok[max(0, end - LENGTH + 1) : end] = False
         if starts is not None:
-            ok &= at < starts
-        begin = ok.copy()
-        begin[1:] &= ~ok[:-1] | (p[1:] != p[:-1])
-        end = ok.copy()
-        end[:-1] &= ~ok[1:] | (p[1:] != p[:-1])
-        self.first, self.last = np.flatnonzero(begin), np.flatnonzero(end)
+            ok[starts:] = False
+        changed = np.empty(n + 1, bool)
+        changed[0] = changed[n] = True
+        np.not_equal(p[1:], p[:-1], out=changed[1:n])
+        self.first = np.flatnonzero(ok & (changed[:n] | np.concatenate([[True], ~ok[:-1]])))
+        self.last = np.flatnonzero(ok & (changed[1:] | np.concatenate([~ok[1:], [True]])))
         self.p = p[self.first]
-        self.a = names[self.p]
-        other = bh.prefix_sums(data, bh.BASES[1])
+        self.a = bh.mix(names[self.p])
+        self.other = bh.prefix_sums(data, bh.BASES[1])
         before = (self.p - self.first).astype(np.uint64)
-        self.c = bh.mix(bh.spans(other, self.first, self.last + LENGTH, bh.BASES[1]) + before)
+        self.c = bh.mix(bh.spans(self.other, self.first, self.last + LENGTH, bh.BASES[1]) + before)
         self.e = bh.mix(bh.spans(self.sums, self.first, self.last + LENGTH) + before)
-        self.other = other
 
     def strings(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All starts from first to last, and the pair of names of each string."""
@@ -178,18 +182,20 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and the row of each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.nan_to_num(np.array([len(x) if x.is_valid else 0 for x in column], float)).astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _chosen(data: np.ndarray, offsets: np.ndarray, keys: pa.Array) -> Iterator[tuple[int, int, int, Contexts, np.ndarray, np.ndarray]]:
-    """(i, j, shift, contexts, indices of those named in their text's keys, the text of each)."""
-    values, rows = _flat(keys)
-    wanted = np.sort(_of_text(values.view(np.uint64), rows))
+def _chosen(data: np.ndarray, offsets: np.ndarray, *keys: pa.Array) -> Iterator[tuple[int, Contexts, list[np.ndarray], np.ndarray]]:
+    """(shift, contexts, for each column of keys the indices of those named in their text's keys, the text of every context)."""
+    wanted = []
+    for k in keys:
+        values, rows = _flat(k)
+        wanted.append(np.sort(_of_text(values.view(np.uint64), rows)))
     for i, j, shift, x in parts(data, offsets):
         of = np.searchsorted(offsets[i : j + 1], x.first + shift, "right") - 1 + i
-        hit = np.flatnonzero(_within(_of_text(_key(x.a, x.c, x.e), of), wanted))
-        yield i, j, shift, x, hit, of[hit]
+        name = _of_text(_key(x.a, x.c, x.e), of)
+        yield shift, x, [np.flatnonzero(_within(name, w)) for w in wanted], of
 
 
 #: What a side of an anchor is named by: half of what the anchor leaves of the length, to one side.
@@ -209,10 +215,11 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in bh.tidy(batches):
         data, offsets = bh.text_buffers(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        for _, _, _, x, hit, of in _chosen(data, offsets, b.column(2)):
+        for _, x, (hit,), of in _chosen(data, offsets, b.column(2)):
+            key = _key(x.a[hit], x.c[hit], x.e[hit])
             for side, ok, name in _sides(x, hit):
                 if len(name):
-                    yield pa.RecordBatch.from_arrays([_longs(name), _longs(ids[of[ok]]), _longs(_key(x.a, x.c, x.e)[hit[ok]]), pa.array(np.full(len(name), side, np.int32))], names=["name", "doc_id", "key", "side"])
+                    yield pa.RecordBatch.from_arrays([_longs(name), _longs(ids[of[hit[ok]]]), _longs(key[ok]), pa.array(np.full(len(name), side, np.int32))], names=["name", "doc_id", "key", "side"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,16 +227,18 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in bh.tidy(batches):
         data, offsets = bh.text_buffers(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        for side in (0, 1):
-            for _, _, shift, x, hit, of in _chosen(data, offsets, b.column(2 + side)):
-                if not len(hit):
-                    continue
-                # A string belongs to the left side if it starts REACH bytes or more before the anchor, else to the right.
-                middle = x.p[hit] - REACH
-                first, last = (x.first[hit], np.minimum(x.last[hit], middle)) if side == 0 else (np.maximum(x.first[hit], middle + 1), x.last[hit])
-                ok = first <= last
-                at, r1, r2 = x.strings(first[ok], last[ok])
-                yield pa.RecordBatch.from_arrays([_longs(r1), _longs(r2), _longs(np.repeat(ids[of[ok]], (last - first + 1)[ok])), _longs(at + shift - np.repeat(offsets[of[ok]], (last - first + 1)[ok]))], names=["r1", "r2", "doc_id", "start"])
+        for shift, x, (left, right), of in _chosen(data, offsets, b.column(2), b.column(3)):
+            # A string belongs to the left side if it starts REACH bytes or more before the anchor, else to the right.
+            hit = np.concatenate([left, right])
+            first = np.concatenate([x.first[left], np.maximum(x.first[right], x.p[right] - REACH + 1)])
+            last = np.concatenate([np.minimum(x.last[left], x.p[left] - REACH), x.last[right]])
+            ok = first <= last
+            if not ok.any():
+                continue
+            hit, first, last = of[hit[ok]], first[ok], last[ok]
+            at, r1, r2 = x.strings(first, last)
+            text = np.repeat(hit, last - first + 1)
+            yield pa.RecordBatch.from_arrays([_longs(r1), _longs(r2), _longs(ids[text]), _longs(at + shift - offsets[text])], names=["r1", "r2", "doc_id", "start"])
 
 
 def _mark(edge: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
@@ -238,30 +247,46 @@ def _mark(edge: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
     np.add.at(edge, np.minimum(last + LENGTH, len(edge) - 1), -1)
 
 
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def _cleaned(part: pa.RecordBatch, named: bool) -> pa.RecordBatch:
+    """Of doc_id, text, whole, strings, as _removed; named: some rows have keys in whole."""
+    data, offsets = bh.text_buffers(part.column(1))
+    base = int(offsets[0])
+    data, offsets = data[base : int(offsets[-1])], offsets - base
+    edge = np.zeros(len(data) + 1, np.int32)
+    starts, rows = _flat(part.column(3))
+    _mark(edge, starts + offsets[rows], starts + offsets[rows])
+    if named:
+        for shift, x, (hit,), _ in _chosen(data, offsets, part.column(2)):
+            _mark(edge, x.first[hit] + shift, x.last[hit] + shift)
+    gone = np.cumsum(edge[:-1]) > 0
+    before = np.concatenate([[0], np.cumsum(gone)])[offsets]
+    n_bytes, n_removed = np.diff(offsets), np.diff(before)
+    # Runs of removed bytes, cut at the ends of texts.
+    inside = np.zeros(len(data) + 1, bool)
+    inside[offsets] = True
+    prior, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
+    start, end = np.flatnonzero(gone & (~prior | inside[:-1])), np.flatnonzero(gone & (~after | inside[1:])) + 1
+    of = np.searchsorted(offsets, start, "right") - 1
+    per = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
+    spans = pa.ListArray.from_arrays(pa.array(per), pa.StructArray.from_arrays([_longs(start - offsets[of]), _longs(end - offsets[of])], fields=list(SPAN)))
+    left = data[~gone]
+    kept = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(offsets - before).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(left))]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([part.column(0), _longs(n_bytes), _longs(n_removed), spans, kept], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, whole (keys), strings (starts) -> doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (bytes)."""
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    """doc_id, text, whole (keys), strings (starts) -> doc_id, n_bytes, n_removed, spans array<struct<start, end>>, kept (bytes).
+
+    Only texts that have keys are named again.
+    """
     for b in bh.tidy(batches):
-        for s in range(0, b.num_rows, 512):
-            part = b.slice(s, 512)
-            data, offsets = bh.text_buffers(part.column(1))
-            base = int(offsets[0])
-            edge = np.zeros(int(offsets[-1]) - base + 1, np.int32)
-            starts, rows = _flat(part.column(3))
-            _mark(edge, starts + offsets[rows] - base, starts + offsets[rows] - base)
-            for _, _, shift, x, hit, _ in _chosen(data, offsets, part.column(2)):
-                _mark(edge, x.first[hit] + shift - base, x.last[hit] + shift - base)
-            gone = np.cumsum(edge[:-1]) > 0
-            n_bytes, n_removed, spans, kept = [], [], [], []
-            for k in range(part.num_rows):
-                t, g = data[offsets[k] : offsets[k + 1]], gone[offsets[k] - base : offsets[k + 1] - base]
-                n = int(np.count_nonzero(g))
-                n_bytes.append(len(t))
-                n_removed.append(n)
-                at = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))) if n else np.zeros(0, np.int64)
-                spans.append([{"start": int(p), "end": int(q)} for p, q in zip(at[::2], at[1::2], strict=True)])
-                kept.append((t[~g] if n else t).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        keyed = pc.fill_null(pc.greater(pc.list_value_length(b.column(2)), 0), False)
+        for named, rows in ((True, b.filter(keyed)), (False, b.filter(pc.invert(keyed)))):
+            for i, j in bh.pieces(bh.text_buffers(rows.column(1))[1], 1 << 22):
+                yield _cleaned(rows.slice(i, j - i), named)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -270,22 +295,21 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     ranks = known.mapInArrow(_anchors, "a long, c long, e long, doc_id long").repartition("a").sortWithinPartitions("a", "c", "e", "doc_id")
-    ranks = at.keep(ranks.mapInArrow(_ranked, "doc_id long, key long, whole boolean"), "ranks", free=True)
+    ranks = at.keep(ranks.mapInArrow(_ranked, "doc_id long, key long, whole boolean"), "ranks")
     whole = ranks.filter("whole").groupBy("doc_id").agg(F.collect_list("key").alias("whole"))
     look = ranks.filter("not whole").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     # Names of sides: only those that several documents have go on.
     sides = known.join(look, "doc_id").select("doc_id", "text", "keys").mapInArrow(_extended, "name long, doc_id long, key long, side int")
-    sides = at.keep(sides, "sides", free=True)
+    sides = at.keep(sides, "sides")
     shared = sides.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("name")
     of = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("key")))
     look = sides.join(shared, "name").groupBy("doc_id").agg(of(0).alias("left"), of(1).alias("right"))
     pairs = known.join(look, "doc_id").select("doc_id", "text", "left", "right").mapInArrow(_strings, "r1 long, r2 long, doc_id long, start long")
-    pairs = at.keep(pairs, "pairs", free=True)
+    pairs = at.keep(pairs, "pairs")
     at.drop("sides")
     least = pairs.groupBy("r1", "r2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     strings = pairs.join(least, ["r1", "r2"]).filter(F.col("doc_id") > F.col("low")).groupBy("doc_id").agg(F.collect_set("start").alias("strings"))
-    found = at.keep(whole.join(strings, "doc_id", "full"), "found", free=True)
-    at.drop("pairs")
-    at.drop("ranks")
+    found = at.keep(whole.join(strings, "doc_id", "full"), "found")
+    at.drop("pairs", "ranks")
     out = docs.join(found, "doc_id", "left").select("doc_id", "text", "whole", "strings")
     return out.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")

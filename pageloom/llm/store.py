@@ -2,16 +2,15 @@
 
 A stage that several later ones read, or whose lineage would grow, is written as Parquet
 under spark.checkpoint.dir, which a cluster shares between driver and executors: lost
-executors then cost the running tasks only.  The folder is set here only where the session
-has none (tests on one machine).
+executors then cost the running tasks only.  Where the session names no folder, one is made on
+this machine if driver and executors are one process there (tests); elsewhere that is an error.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,36 +21,45 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not kept.isDefined():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     return kept.get().rstrip("/")
 
 
+#: With it, Spark removes the shuffle files of an execution at its end (the written table stands in for them).
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 class Workspace:
     """Tables of one call of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """df, written and read again; shuffle files of its plan can go from then on.
-
-        free: they are large, so they go now (the context cleaner removes what a collection finds unreferenced).
-        """
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again; the shuffle files of its plan go."""
         at = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        del df
-        for _ in range(2 * free):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
-        return out
-
-    def drop(self, name: str) -> None:
+        with cleaned(self.spark):
+            df.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for name in names:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole(df: DataFrame, *columns: str) -> DataFrame:
