@@ -1,19 +1,21 @@
 """Quality rules as weak supervision (DataFrame functions only).
 
 Rules vote good (1), bad (0) or abstain (null) on figures of the whole text.  The votes
-of all documents are counted by pattern (at most 3**rules patterns, whatever the input),
-expectation-maximisation on those counts estimates each rule's accuracies and the share
-of good documents, and a document's posterior probability of being good decides, instead
-of a demand that every rule pass.
-
-Null text has no words; an empty table gives an empty result; repeated rows are judged
-each for itself; further columns of the input are not read.
+of all documents are counted by pattern (at most 3**rules patterns, whatever the input).
+Expectation-maximisation on those counts estimates, for each rule, how often its votes are right on good and on bad
+documents, and the share of good documents; a document's posterior probability of being good decides, instead
+of a demand that every rule pass.  An abstention says nothing, so a document on which all rules abstain has the share
+of good documents as its probability.  Labels are not used.
+
+Null text has no words; very long texts are read whole; an empty table gives an empty result; repeated rows are judged
+each for itself; a null doc_id is kept; a posterior of just ``at_least`` is kept; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,18 +37,26 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct."""
+    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct, n_letters, n_capitals, n_exclaims, n_ends (words
+    that end in a mark), n_symbol_lines."""
+    size = lambda c: F.size(c).cast("long")
+    left = lambda other: F.length(F.regexp_replace("text", other, "")).cast("long")
     t = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", t.alias("text"))
     d = once(d, words=F.array_remove(F.split("text", SPACES), ""), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACES, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        size("words").alias("n_words"),
+        left(SPACES).alias("word_chars"),
+        left(SYMBOLS).alias("n_symbols"),
+        left(r"\P{L}+").alias("n_letters"),
+        left(r"\P{Lu}+").alias("n_capitals"),
+        left("[^!]+").alias("n_exclaims"),
+        F.regexp_count("text", F.lit(r"[.,;:!?](?:[\x20\x09-\x0D]|\z)")).cast("long").alias("n_ends"),
+        size("lines").alias("n_lines"),
+        size(F.filter("lines", lambda x: x.rlike("[#*$%&|<>]"))).alias("n_symbol_lines"),
+        (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        size(F.array_distinct("words")).alias("n_distinct"),
         "words",
     )
     w = F.col("words")
@@ -72,49 +82,75 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, 0).when(good, 1)
 
 
-#: Each rule: figures -> 0 (bad), 1 (good) or null (abstains).
+def _between(a: str, b: str, bad: tuple[float, float], good: tuple[float, float]) -> Column:
+    """Bad if a / b is outside ``bad``, good if it is within ``good``."""
+    x = _ratio(a, b)
+    return _vote((x < bad[0]) | (x > bad[1]), (x >= good[0]) & (x <= good[1]))
+
+
+#: Each rule: figures -> 0 (bad), 1 (good) or null (abstains).  The limits are those that web corpora are usually filtered by,
+#: with room between bad and good.  Several rules look at one fault from different sides, so that they can confirm each other.
 RULES: dict[str, Callable[[], Column]] = {
-    "length": lambda: _vote(F.col("n_words") < 5, F.col("n_words") >= 80),
-    "symbols": lambda: _vote(_ratio("n_symbols", "n_words") >= 0.1, _ratio("n_symbols", "n_words") <= 0.01),
-    "repeats": lambda: _vote(_ratio("n_repeat_words", "n_words") > 0.45, _ratio("n_repeat_words", "n_words") <= 0.35),
-    "variety": lambda: _vote((_ratio("n_distinct", "n_words") < 0.12) & (F.col("n_words") < 5000), _ratio("n_distinct", "n_words") >= 0.2),
-    "lines": lambda: _vote(_ratio("n_dup_lines", "n_lines") >= 0.6, _ratio("n_dup_lines", "n_lines") <= 0.4),
-    "word_length": lambda: _vote((_ratio("word_chars", "n_words") < 2.2) | (_ratio("word_chars", "n_words") > 15), (_ratio("word_chars", "n_words") >= 3) & (_ratio("word_chars", "n_words") <= 11)),
+    "length": lambda: _vote(F.col("n_words") < 20, F.col("n_words") >= 100),
+    "symbols": lambda: _vote(_ratio("n_symbols", "n_words") >= 0.1, _ratio("n_symbols", "n_words") <= 0.02),
+    "letters": lambda: _vote(_ratio("n_letters", "word_chars") < 0.8, _ratio("n_letters", "word_chars") >= 0.9),
+    "symbol_lines": lambda: _vote(_ratio("n_symbol_lines", "n_lines") >= 0.5, _ratio("n_symbol_lines", "n_lines") <= 0.1),
+    "repeats": lambda: _vote(_ratio("n_repeat_words", "n_words") > 0.3, _ratio("n_repeat_words", "n_words") <= 0.1),
+    "variety": lambda: _vote((_ratio("n_distinct", "n_words") < 0.2) & (F.col("n_words") < 2000), _ratio("n_distinct", "n_words") >= 0.35),
+    "lines": lambda: F.when(F.col("n_lines") >= 2, _vote(_ratio("n_dup_lines", "n_lines") >= 0.3, _ratio("n_dup_lines", "n_lines") <= 0.1)),
+    "word_length": lambda: _between("word_chars", "n_words", (3, 10), (3.5, 8.5)),
+    "capitals": lambda: _vote(_ratio("n_capitals", "word_chars") > 0.3, _ratio("n_capitals", "word_chars") <= 0.1),
+    "exclaims": lambda: _vote(_ratio("n_exclaims", "n_words") >= 0.1, _ratio("n_exclaims", "n_words") <= 0.02),
+    "ends": lambda: _between("n_ends", "n_words", (0.01, 0.4), (0.03, 0.3)),
 }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 60) -> dict[tuple[int, ...], float]:
-    """Expectation-maximisation over counted vote patterns: {pattern: posterior of good}.
+@dataclass(frozen=True)
+class Belief:
+    """What is believed of a rule before any document is seen, and how strongly (as a share of the documents)."""
+
+    good: float = 0.9  # documents that are good
+    caught: float = 0.3  # votes on a bad document that are bad: it shows some faults only
+    wrong: float = 0.02  # votes on a good document that are bad
+    weight: float = 0.05
 
-    A vote is 0, 1 or 2 (abstains).  Each rule has, for good and for bad documents, the
-    probabilities of its three answers; pseudo-counts, and a bound on false alarms, keep a rule better than chance, so
-    the classes can't change places.  Patterns: at most 3**rules.
-    """
-    # A bad vote is rarely wrong, but a bad document shows only some of its faults: absence of one says little.
-    answers = {1: [[0.002, 0.80, 0.198] for _ in range(rules)], 0: [[0.20, 0.65, 0.15] for _ in range(rules)]}
-    strength, good, most_false = 20.0, 0.9, 0.005
-    prior = {c: [[x * strength for x in r] for r in answers[c]] for c in (0, 1)}
 
-    def posterior(p: tuple[int, ...]) -> float:
-        a = math.log(good) - math.log(1 - good)
-        a += sum(math.log(answers[1][r][v]) - math.log(answers[0][r][v]) for r, v in enumerate(p))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a))))
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, belief: Belief = Belief(), rounds: int = 200) -> dict[tuple[int, ...], float]:
+    """Expectation-maximisation over counted vote patterns: {pattern: posterior of good}.
 
+    A vote is 0, 1 or 2 (abstains; it has no part in the likelihood).  A rule has two probabilities: that a vote it casts
+    on a bad document is bad, and that one it casts on a good document is bad.  Pseudo-counts of the beliefs keep the classes
+    from changing places.  Patterns: at most 3**rules.
+    """
+    if not patterns:
+        return {}
+    patterns = sorted(patterns)
     total = sum(n for _, n in patterns)
+    strength = belief.weight * total
+    good, bad_votes = belief.good, [[belief.caught] * rules, [belief.wrong] * rules]  # of a bad, of a good document
+    cast = [[(r, v) for r, v in enumerate(p) if v < 2] for p, _ in patterns]
+    last: list[float] = []
     for _ in range(rounds):
-        sums = {c: [list(r) for r in prior[c]] for c in (0, 1)}
-        mass = 0.0
-        for p, n in patterns:
-            q = posterior(p)
-            mass += q * n
-            for r, v in enumerate(p):
-                sums[1][r][v] += q * n
-                sums[0][r][v] += (1 - q) * n
-        good = min(0.99, max(0.5, (mass + 9) / (total + 10)))
-        answers = {c: [[x / sum(r) for x in r] for r in sums[c]] for c in (0, 1)}
-        for r in answers[1]:  # a fault may not become a mark of good documents
-            r[0] = min(r[0], most_false)
-    return {p: posterior(p) for p, _ in patterns}
+        weigh = [(math.log(1 - g) - math.log(1 - b), math.log(g) - math.log(b)) for b, g in zip(*bad_votes, strict=True)]  # of a good, of a bad vote
+        prior = math.log(good) - math.log(1 - good)
+        odds = [prior + sum(weigh[r][1 - v] for r, v in c) for c in cast]
+        q = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in odds]
+        if last and max(abs(a - b) for a, b in zip(q, last, strict=True)) < 1e-9:
+            break
+        last = q
+        votes = [[strength] * rules, [strength] * rules]
+        bad = [[strength * belief.caught] * rules, [strength * belief.wrong] * rules]
+        for (_, n), c, x in zip(patterns, cast, q, strict=True):
+            for r, v in c:
+                votes[0][r] += n * (1 - x)
+                votes[1][r] += n * x
+                if v == 0:
+                    bad[0][r] += n * (1 - x)
+                    bad[1][r] += n * x
+        good = (strength * belief.good + sum(n * x for (_, n), x in zip(patterns, q, strict=True))) / (strength + total)
+        bad_votes = [[min(1 - 1e-6, max(1e-6, b / v)) for b, v in zip(bad[k], votes[k], strict=True)] for k in (0, 1)]
+        good = min(1 - 1e-6, max(1e-6, good))
+    return {p: x for (p, _), x in zip(patterns, last, strict=True)}
 
 
 def quality_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, at_least: float = 0.5) -> DataFrame:
