@@ -159,14 +159,20 @@ def test_decontamination(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     d = docs(spark, *texts)
     for most in (200_000, 2):  # broadcast, and joined by a shuffle
-        h = decontaminate.hits(d, b, broadcast_windows=most)
-        assert h.count() == len(texts)
-    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in decontaminate.decontaminate(d, b).na.fill(-1, ["doc_id"]).collect())
-    assert got == sorted((-1 if k is None else k, *plain_hits(t, items)) for k, t in texts)
+        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in decontaminate.decontaminate(d, b, broadcast_windows=most).na.fill(-1, ["doc_id"]).collect())
+        assert got == sorted((-1 if k is None else k, *plain_hits(t, items)) for k, t in texts)
     assert decontaminate.decontaminate(d, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_a_very_long_text_by_many_windows(spark):
+    item = " ".join(f"v{i}" for i in range(2_000))
+    b = spark.createDataFrame([(1, item), (2, "a a a a a a a a a a a a a b")], "item_id long, text string")
+    d = docs(spark, (1, "a " * 300_000 + item), (2, item.replace("v7 ", "w7 ") + " tail"), (3, "a " * 12))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(d, b, broadcast_windows=10).collect()}
+    assert got == {1: (302_000, 302_000, ["1", "2"]), 2: (2_001, 1_992, ["1"]), 3: (12, 0, [])}
+
+
 def test_licenses(spark):
     bsd = [licenses.SENTENCES[k] for k in ("bsd.redistribute", "bsd.source", "bsd.binary")]
     end = licenses.SENTENCES["bsd.endorse"]
