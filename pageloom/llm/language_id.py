@@ -7,9 +7,9 @@ the mean of their log frequencies.  A text's score is the posterior of the best
 for the dependence between words.
 
 The model is fitted on at most about ``sample`` labelled rows, drawn by a hash of doc_id
-(all of them while there are fewer), and holds at most ``words`` words and ``grams``
-n-grams, the most frequent ones; so the size of what is broadcast is bounded.  Every text
-is then scored whole.
+(all of them while there are fewer), and holds each language's ``words`` most frequent words and ``grams`` most frequent
+n-grams (ties by name), with their counts in all languages; so the size of what is broadcast is bounded and a language of few
+documents keeps its own words.  Every text is then scored whole, however long.
 
 A null text, or one without a letter, is ``und`` with score 0; with no labelled rows every
 text is.  A null lang is not learned from; rows are judged one by one, so repeated
@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm import bytehash as bh
+from pageloom.llm.store import Workspace
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -38,7 +39,12 @@ SMOOTH = 0.5
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters (Unicode's L categories), lower-cased."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii() or all(w.isalpha() for w in found):
+        return found
+    # The pattern also takes signs like a half or a Roman numeral.
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -87,7 +93,7 @@ class Model:
         return self.languages[best], float(1 / share.sum())
 
 
-def fit(docs: DataFrame, sample: int = 20_000, words: int = 60_000, grams: int = 40_000) -> Model:
+def fit(docs: DataFrame, sample: int = 20_000, words: int = 20_000, grams: int = 12_000) -> Model:
     """A model of the rows of docs (text, lang) whose lang isn't null."""
     d = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = d.count()
@@ -102,36 +108,34 @@ def fit(docs: DataFrame, sample: int = 20_000, words: int = 60_000, grams: int =
                     counted.update(words_of(t))
                 yield pd.DataFrame({"lang": lang, "word": list(counted), "n": list(counted.values())}, columns=["lang", "word", "n"])
 
+    at = Workspace(docs.sparkSession, "language-id")
     counted = d.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word", "lang").limit(2 * words).collect()
-    sizes = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(sizes)
-    at = {x: i for i, x in enumerate(languages)}
-
-    def table(rows: list[tuple[str, str, int]], most: int) -> tuple[dict[str, int], np.ndarray]:
-        index: dict[str, int] = {}
-        for _, key, _ in rows:
-            if key not in index and len(index) < most:
-                index[key] = len(index)
-        seen = np.zeros((len(index), len(languages)))
-        for lang, key, k in rows:
-            if key in index:
-                seen[index[key], at[lang]] += k
-        return index, np.log(seen + SMOOTH) - np.log(seen.sum(axis=0, keepdims=True) + SMOOTH * max(1, len(index)))
-
-    known = [(r["lang"], r["word"], r["n"]) for r in top]
-    word_index, word_logs = table(known, words)
+    counted = at.keep(counted, "counted")  # of at most about ``sample`` rows
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    chosen = counted.withColumn("k", first).filter(F.col("k") <= words).select("word").distinct()
+    known = [(r["lang"], r["word"], r["n"]) for r in counted.join(chosen, "word", "left_semi").collect()]  # at most ``words`` a language, each in all languages
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    at.drop("counted")
     pieces: Counter = Counter()
     for lang, word, _ in known:  # each distinct word once: unseen words are like rare ones
         for size in range(1, LONGEST + 1):
             pieces.update((lang, g) for g in grams_of(word, size))
-    gram_index, gram_logs = table([(lang, g, k) for (lang, g), k in pieces.most_common()], grams)
-    return Model(languages, word_index, word_logs, gram_index, gram_logs)
+    top = {g for lang in languages for _, g in sorted((-k, g) for (x, g), k in pieces.items() if x == lang)[:grams]}
+    return Model(languages, *logs(known, languages), *logs([(x, g, k) for (x, g), k in pieces.items() if g in top], languages))
+
+
+def logs(rows: list[tuple[str, str, int]], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Of counts (language, key, n): the keys' rows, and their smoothed log frequencies by language."""
+    index = {k: i for i, k in enumerate(sorted({k for _, k, _ in rows}))}
+    seen, at = np.zeros((len(index), len(languages))), {x: i for i, x in enumerate(languages)}
+    for lang, key, k in rows:
+        seen[index[key], at[lang]] += k
+    return index, np.log(seen + SMOOTH) - np.log(seen.sum(axis=0, keepdims=True) + SMOOTH * max(1, len(index)))
 
 
 def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most words + grams rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most words + grams rows a language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, cache = shared.value, {}

@@ -4,12 +4,13 @@ Every trigram of a word's UTF-8 bytes (with ends marked) has a fixed sparse rand
 vector, drawn from its hash; a word's vector is the sum over its trigrams plus, for words of
 the training sample, the index vectors of their neighbours there (random indexing).  A
 text's features are the mean and the deviation of its words' vectors, how
-often two of its words are the same and how alike different ones are, and its length.  A network with one hidden layer, trained in
+often two of its words are the same and how alike different ones are, and its length (six figures beside the vectors).  A network with one hidden layer, trained in
 numpy by Adam with a validation part, gives a logit; dividing it by a temperature fitted on
 that part calibrates the probability.
 
 Labels are learned from at most about ``sample`` labelled rows, drawn by a hash of doc_id;
-the model holds at most ``words`` word vectors.  Every text is then scored whole.
+the model holds at most ``words`` word vectors.  Sums over the sample are of integers, so the model doesn't depend on the
+layout of the rows.  Every text is then scored whole, however long.  A score of just ``threshold`` counts as good.
 
 A null or empty text has features too (zeros) and a score; null labels are not learned
 from; several labels of one doc_id each count; without labels, or with one class only, the
@@ -189,13 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int = 20
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         times: Counter = Counter()
+        around_vectors = NEIGHBOURS.astype(np.int64)
         for b in bh.tidy(batches):
             for t in b["text"]:
                 w = WORD.findall(t) if isinstance(t, str) else []
                 if not w:
                     continue
-                index = NEIGHBOURS[[zlib.crc32(x.encode("utf-8", "surrogatepass")) & 0x7FFF for x in w]]
-                sums = np.concatenate([np.zeros((1, SIZE), np.float32), np.cumsum(index, axis=0)])
+                index = around_vectors[[zlib.crc32(x.encode("utf-8", "surrogatepass")) & 0x7FFF for x in w]]
+                sums = np.concatenate([np.zeros((1, SIZE), np.int64), np.cumsum(index, axis=0)])
                 i = np.arange(len(w))
                 around = sums[np.minimum(i + reach + 1, len(w))] - sums[np.maximum(i - reach, 0)] - index
                 for x, v in zip(w, around, strict=True):
@@ -207,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int = 20
         seen = list(times)
         yield pd.DataFrame({"word": pd.Series(seen, dtype=object), "n": pd.Series([times[x] for x in seen], dtype="int64"), "v": pd.Series([total[x].tolist() for x in seen], dtype=object)})
 
-    summed = d.select("text").mapInPandas(neighbours, "word string, n long, v array<float>")
-    summed = summed.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]).cast("float") for i in range(SIZE)]).alias("v"))
+    summed = d.select("text").mapInPandas(neighbours, "word string, n long, v array<bigint>")
+    summed = summed.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(SIZE)]).alias("v"))
     top = summed.filter("n >= 3").orderBy(F.desc("n"), "word").limit(words).collect()
     context = {r["word"]: (v / max(1e-6, float(np.linalg.norm(v)))).astype(np.float32) * np.float32(0.5) for r in top if (v := np.array(r["v"], np.float32)) is not None}
     shared = docs.sparkSession.sparkContext.broadcast(context)

@@ -1,6 +1,7 @@
 """The other operators, against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -273,6 +274,72 @@ def test_language_id(spark):
     assert und == {None: ("und", 0.0), -5: ("und", 0.0), -6: ("und", 0.0)}
 
 
+def plain_languages(rows, query, words=20_000, grams=12_000):
+    """Predictions by counts in plain dictionaries; rows: (lang, text)."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    parts = lambda w, n: [x[i : i + n] for x in [f"<{w}>" if n > 1 else w] for i in range(len(x) - n + 1)]
+    seen = {}
+    for lang, t in rows:
+        for w in letters(t):
+            seen.setdefault(lang, {}).setdefault(w, 0)
+            seen[lang][w] += 1
+    langs = sorted(seen)
+    top = lambda c, n: {k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]}
+    known = set().union(*(top(seen[x], words) for x in langs))
+    word = {x: {w: seen[x].get(w, 0) for w in known} for x in langs}
+    gram = {x: {} for x in langs}
+    for x in langs:
+        for w in known & set(seen[x]):
+            for n in (1, 2, 3, 4):
+                for g in parts(w, n):
+                    gram[x][g] = gram[x].get(g, 0) + 1
+    kept = set().union(*(top(gram[x], grams) for x in langs))
+    gram = {x: {g: gram[x].get(g, 0) for g in kept} for x in langs}
+    log = lambda c, k: math.log(c[k] + 0.5) - math.log(sum(c.values()) + 0.5 * len(c))
+    out = []
+    for t in query:
+        total, n = dict.fromkeys(langs, 0.0), 0
+        for w in letters(t or ""):
+            hits = [w] if w in known else next((h for k in (4, 3, 2, 1) if (h := [g for g in parts(w, k) if g in kept])), [])
+            n += bool(hits)
+            for x in langs:
+                total[x] += sum(log(word[x] if w in known else gram[x], h) for h in hits) / max(1, len(hits))
+        best = max(langs, key=lambda x: total[x])
+        share = 1 / sum(math.exp((total[x] - total[best]) / max(1.0, n / 30)) for x in langs)
+        out.append((best, share) if letters(t or "") else ("und", 0.0))
+    return out
+
+
+def test_language_id_equals_counts(spark):
+    rng = random.Random(3)
+    syllables = {"aa": "ka to mi ra", "bb": "sch un der ä", "cc": "qu le au é"}
+    said = lambda x, n: " ".join("".join(rng.choice(syllables[x].split()) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(k, x, said(x, rng.randint(1, 20))) for k in range(90) for x in [rng.choice(["aa", "aa", "aa", "bb", "cc"])]]
+    query = [said("bb", 3), said("cc", 1) + " zzz", "½ ² Ⅷ", "Ⅷka½to", "xyz", "", None, "KATO", "katoÉ m²ra"]
+    d = spark.createDataFrame([(k, t, x) for k, x, t in rows] + [(1000 + k, t, None) for k, t in enumerate(query)], "doc_id long, text string, lang string")
+    want = plain_languages([(x, t) for _, x, t in rows], query, 60, 40)
+    for layout in (d.coalesce(1), d.repartition(64)):
+        m = language_id.fit(layout, words=60, grams=40)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(layout, m, F.lit(False)).filter("doc_id >= 1000").collect()}
+        for k, (lang, score) in enumerate(want):
+            assert got[1000 + k] == (lang, pytest.approx(score, rel=1e-9)), query[k]
+
+
+def test_language_id_frames(spark):
+    d = spark.createDataFrame([(1, "le la", "fr", 1), (1, "le la", "fr", 1), (2, "the of", "en", 2), (None, "the of", "en", 3), (3, "both", "en", 4), (3, "both", "fr", 4)], "doc_id long, text string, lang string, score long")
+    m = language_id.fit(d)
+    got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in language_id.identify(d, m, F.lit(None).cast("boolean")).collect())
+    assert got == [("1", "fr"), ("1", "fr"), ("2", "en"), ("3", "en"), ("3", "en"), ("None", "en")]  # a tie goes to the first language
+
+
+def test_quality_classifier_frames(spark):
+    d = docs(spark, *[(k, "good words here " * 9 if k % 2 else "x y " * 3) for k in range(40)], (0, "x y " * 3), (None, None))
+    labels = spark.createDataFrame([(k, k % 2, "z") for k in range(40)] + [(0, 0, "z"), (5, None, "z")], "doc_id long, quality int, text string")
+    got = quality_classifier.classify(d, labels).collect()
+    assert len(got) == 42 and {r["score"] for r in got if r["doc_id"] == 0} == {got[0]["score"]} and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert quality_classifier.classify(d.limit(0), labels).count() == 0
+
+
 @given
 def test_quality_classifier(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
