@@ -5,7 +5,7 @@ Words are runs of other characters than ASCII white space, A-Z lower-cased; a te
 texts link when the sets' Jaccard similarity is 0.75 or more.
 
 1. Texts with equal sets form one class, led by the smallest doc_id.
-2. Sets are ordered: shingles that many documents hold come last, others by hash.  Two
+2. In each task one text stands for its class.  Sets are ordered: shingles that many documents hold come last, others by hash.  Two
    similar sets share a shingle among the first n - ceil(0.75 n) + 1 of each (the prefix);
    these are shuffled by shingle, and shingles of one class fall away.
 3. Within each shingle's run every class is first held against the run's smallest doc_id only;
@@ -101,6 +101,11 @@ def _sizes_fit(n: str, m: str) -> Column:
     return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
 
 
+def _digests(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A 128-bit name of each text's set."""
+    return [blake2b(h[i:j].tobytes(), digest_size=16).digest() for i, j in zip(first[:-1], first[1:], strict=True)]
+
+
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: doc_id, n, set digest of each text.  kind 1: shingles that often occur in this task, and how often."""
     names = ["kind", "id", "n", "s1", "s2"]
@@ -118,9 +123,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in bh.tidy(batches):
         for i, j, h, first in sets(b.column(1)):
-            digest = np.zeros((j - i, 2), np.int64)
-            for k in range(j - i):
-                digest[k] = np.frombuffer(blake2b(h[first[k] : first[k + 1]].tobytes(), digest_size=16).digest(), np.int64)
+            digest = np.frombuffer(b"".join(_digests(h, first)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), b.column(0).slice(i, j - i), _longs(np.diff(first)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=names)
             seen.append(h)
             held += len(h)
@@ -297,7 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, few: int = 1
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bh.tidy(batches):
             for i, j, h, first in sets(b.column(1)):
-                digest = np.array([np.frombuffer(blake2b(h[first[k] : first[k + 1]].tobytes(), digest_size=16).digest(), np.int64) for k in range(j - i)]).reshape(-1, 2)
+                digest = np.frombuffer(b"".join(_digests(h, first)), np.int64).reshape(-1, 2)
                 mine = (digest[:, 0] == b.column(2).to_numpy()[i:j]) & (digest[:, 1] == b.column(3).to_numpy()[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _longs(h))
                 out = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], names=["rep", "tokens"])
@@ -305,7 +308,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, few: int = 1
 
     t = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("rep")).select("rep", "text", "s1", "s2")
     t = t.mapInArrow(read, "rep long, tokens array<bigint>").dropDuplicates(["rep"])
-    p = pairs.join(t.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(t.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+    # The smaller id is the one that many pairs may share: its set comes last, so that no shuffle carries it pair by pair.
+    p = pairs.join(t.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").join(t.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
     return p.withColumn("both", F.size(F.array_intersect("x", "y"))).filter(175 * F.col("both") >= 75 * (F.col("n") + F.col("m"))).select("a", "b")
 
 
@@ -323,16 +327,18 @@ def _runs_of_classes(docs: DataFrame, at: Workspace) -> tuple[DataFrame, DataFra
     last = spark.sparkContext.broadcast(np.sort(np.array([r["id"] for r in heavy.collect()], np.int64).view(np.uint64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = last.value
+        late, sent = last.value, set()
         for b in bh.tidy(batches):
             for i, _, h, first in sets(b.column(1)):
                 size = np.diff(first)
-                of = np.repeat(np.arange(len(size)), size)
+                # Of equal sets in a task one stands for all; which class it is in is known from its id.
+                size = np.where([x in sent or sent.add(x) is not None for x in _digests(h, first)], -1, size)
+                of = np.repeat(np.arange(len(size)), np.diff(first))
                 where = np.searchsorted(late, h)
                 hot = late[np.minimum(where, len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
                 order = np.lexsort((h, hot, of))
                 rank = np.arange(len(h)) - first[of]
-                kept = order[rank < prefix_size(size)[of]]
+                kept = order[rank < np.where(size < 0, 0, prefix_size(size))[of]]
                 yield pa.RecordBatch.from_arrays([_longs(h[kept]), b.column(0).take(pa.array(of[kept] + i)), pa.array(np.zeros(len(kept), np.int64))], names=["h", "id", "n"])
 
     run = "h long, id long, n long, c long, cn long"
@@ -374,6 +380,7 @@ def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
     found = at.keep(_found(p, most), "found")
     more = at.keep(verified(found, docs, classes), "more")
     final = components(links.unionByName(more), at, "final")
+    at.drop("summary", "classes", "shared", "runs", "stars", "links", "found", "more")
 
     out = member.join(final, member["rep"] == final["id"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
