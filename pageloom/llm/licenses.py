@@ -1,71 +1,161 @@
 """Licence scan by sentence rules (DataFrame functions only).
 
-A text is normalised (A-Z lower-cased, other runs than letters and digits become one space)
+A text is normalised (A-Z lower-cased, other runs than letters and digits become one space, so marks of comments vanish)
 and searched for the sentences of a catalogue.  A sentence starts and ends at a line end or
 after . ! ? ; : with white space, and may be wrapped over lines; empty lines (and lines of a
 comment's frame only) end it.  Where several start, the longest is taken.  n_sentences counts
 pieces as cut at line ends too.  The identifiers a text holds, in order, are matched against
 rules: ordered identifier sequences, with nothing known in between.  The longest rules win
-over rules whose sequence is part of theirs.
+over rules whose sequence is part of theirs, place by place, so a text may hold both.
 
-Null texts have no sentence.  Rows are judged one by one (repeated rows give repeated
+Null texts have no sentence; very long texts are read whole; a null doc_id is kept.  Rows are judged one by one (repeated rows give repeated
 results); an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of common licence notices, normalised: identifier -> text.
-SENTENCES = {
-    "apache2.notice": "licensed under the apache license version 2 0",
-    "apache2.the_license": "licensed under the apache license version 2 0 the license",
-    "apache2.compliance": "you may not use this file except in compliance with the license",
-    "apache2.obtain": "you may obtain a copy of the license at",
-    "apache2.as_is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "mit.notice": "released under the mit license",
-    "mit.licensed": "licensed under the mit license",
-    "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "mit.whole_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit.keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit.as_is": "the software is provided as is without warranty of any kind express or implied",
-    "mit.whole_as_is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "gpl3.notice": "this work is licensed under the gnu general public license version 3",
-    "gpl.free": "this program is free software",
-    "gpl3.redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2.notice": "this work is licensed under the gnu general public license version 2",
-    "bsd.redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd.endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "mpl2.notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "ccbync4.notice": "licensed under cc by nc 4 0",
-    "ccby4.notice": "licensed under cc by 4 0",
-    "ccbysa4.notice": "licensed under cc by sa 4 0",
-    "cc0.notice": "released under cc0 1 0",
-    "reserved": "all rights reserved",
+from pageloom.llm.quality_rules import once
+
+
+def normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+#: Sentences of licence texts and headers, as they are written there.
+TEXTS = {
+    "apache2.the_license": 'Licensed under the Apache License, Version 2.0 (the "License")',
+    "apache2.compliance": "you may not use this file except in compliance with the License",
+    "apache2.obtain": "You may obtain a copy of the License at",
+    "apache2.as_is": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    "mit.grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "mit.whole_grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    "mit.keep": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit.as_is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
+    "mit.whole_as_is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc.as_is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "bsd.redistribute": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd.endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.advertise": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "gpl.program": "This program is free software",
+    "gpl.library": "This library is free software",
+    "gpl2.only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2.later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl3.later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl.published": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl.published": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "later2": "either version 2 of the License, or (at your option) any later version",
+    "later2.1": "either version 2.1 of the License, or (at your option) any later version",
+    "later3": "either version 3 of the License, or (at your option) any later version",
+    "lgpl2.later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3.later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3.later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl2.terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl2.joined": "This Source Code Form is subject to the terms of the Mozilla Public License, v.2.0",
+    "mpl2.copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "mpl2.old_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "epl2.terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl1.terms": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "zlib.as_is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib.liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib.grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense.free": "This is free and unencumbered software released into the public domain",
+    "unlicense.anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "boost.grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
+    "wtfpl.verbatim": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
+    "cc0.dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "ofl.font": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "reserved": "All rights reserved",
+    "spdx": "SPDX-License-Identifier",
+}
+
+#: Licences by identifier, with the names that notices give them.
+NAMES = {
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0", "the Apache 2.0 License"],
+    "MIT": ["the MIT License", "MIT", "the MIT license (MIT)"],
+    "ISC": ["the ISC License"],
+    "0BSD": ["the Zero-Clause BSD License"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the Simplified BSD License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the New BSD License", "the 3-Clause BSD License"],
+    "GPL-2.0": ["the GNU General Public License version 2", "the GNU General Public License v2.0", "the GPLv2", "GPL-2.0"],
+    "GPL-3.0": ["the GNU General Public License version 3", "the GNU General Public License v3.0", "the GPLv3", "GPL-3.0"],
+    "LGPL-2.1": ["the GNU Lesser General Public License version 2.1", "the LGPLv2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License version 3", "the LGPLv3"],
+    "AGPL-3.0": ["the GNU Affero General Public License version 3", "the AGPLv3"],
+    "MPL-2.0": ["the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0", "MPL 2.0"],
+    "EPL-2.0": ["the Eclipse Public License 2.0"],
+    "BSL-1.0": ["the Boost Software License, Version 1.0"],
+    "Zlib": ["the zlib License"],
+    "Unlicense": ["the Unlicense"],
+    "WTFPL": ["the WTFPL"],
+    "Artistic-2.0": ["the Artistic License 2.0"],
+    "PostgreSQL": ["the PostgreSQL License"],
+    "OFL-1.1": ["the SIL Open Font License, Version 1.1", "the SIL Open Font License 1.1"],
+    "CDDL-1.0": ["the Common Development and Distribution License 1.0"],
+    "EUPL-1.2": ["the European Union Public License 1.2", "the EUPL v1.2"],
+    "CC0-1.0": ["CC0 1.0", "CC0", "the CC0 1.0 Universal Public Domain Dedication"],
+    "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "CC-BY-3.0": ["CC BY 3.0", "a Creative Commons Attribution 3.0 Unported License"],
+    "CC-BY-SA-3.0": ["CC BY-SA 3.0", "a Creative Commons Attribution-ShareAlike 3.0 Unported License"],
+}
+FORMS = ["licensed under {}", "released under {}", "distributed under {}", "available under {}", "this work is licensed under {}", "this project is licensed under {}", "this software is licensed under {}", "this file is licensed under {}"]
+#: Identifiers that stand in tags only.
+TAGS = ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-4-Clause", "EPL-1.0", "Python-2.0", "MS-PL", "X11"]
+
+#: normalised sentence -> identifier.
+SENTENCES: dict[str, str] = {
+    **{normal(n): f"tag.{n}" for n in [*NAMES, *TAGS]},
+    **{normal(f.format(n)): f"notice.{k}" for k, names in NAMES.items() for n in names for f in FORMS},
+    **{normal(t): k for k, t in TEXTS.items()},
 }
 
 #: Ordered rules: (rule, licence, identifiers in a row).
-RULES = [
-    ("apache2-notice", "Apache-2.0", ["apache2.notice"]),
+RULES: list[tuple[str, str, list[str]]] = [
     ("apache2-header", "Apache-2.0", ["apache2.the_license", "apache2.compliance", "apache2.obtain", "apache2.as_is"]),
     ("apache2-short", "Apache-2.0", ["apache2.the_license", "apache2.compliance"]),
-    ("mit-notice", "MIT", ["mit.notice"]),
-    ("mit-licensed", "MIT", ["mit.licensed"]),
     ("mit-text", "MIT", ["mit.grant", "mit.keep", "mit.as_is"]),
     ("mit-whole-text", "MIT", ["mit.whole_grant", "mit.keep", "mit.whole_as_is"]),
-    ("gpl3-notice", "GPL-3.0", ["gpl3.notice"]),
-    ("gpl3-header", "GPL-3.0-or-later", ["gpl.free", "gpl3.redistribute"]),
-    ("gpl2-notice", "GPL-2.0", ["gpl2.notice"]),
+    ("isc-text", "ISC", ["isc.grant", "isc.as_is"]),
+    ("0bsd-text", "0BSD", ["0bsd.grant", "isc.as_is"]),
     ("bsd2-text", "BSD-2-Clause", ["bsd.redistribute", "bsd.source", "bsd.binary"]),
     ("bsd3-text", "BSD-3-Clause", ["bsd.redistribute", "bsd.source", "bsd.binary", "bsd.endorse"]),
-    ("mpl2-notice", "MPL-2.0", ["mpl2.notice"]),
-    ("ccbync4-notice", "CC-BY-NC-4.0", ["ccbync4.notice"]),
-    ("ccby4-notice", "CC-BY-4.0", ["ccby4.notice"]),
-    ("ccbysa4-notice", "CC-BY-SA-4.0", ["ccbysa4.notice"]),
-    ("cc0-notice", "CC0-1.0", ["cc0.notice"]),
+    ("bsd4-text", "BSD-4-Clause", ["bsd.redistribute", "bsd.source", "bsd.binary", "bsd.advertise", "bsd.endorse"]),
+    ("gpl2-header", "GPL-2.0", ["gpl.program", "gpl2.only"]),
+    ("gpl2-later", "GPL-2.0-or-later", ["gpl.program", "gpl.published", "later2"]),
+    ("gpl3-later", "GPL-3.0-or-later", ["gpl.program", "gpl.published", "later3"]),
+    ("gpl3-header", "GPL-3.0-or-later", ["gpl.program", "gpl3.later"]),
+    ("lgpl2-later", "LGPL-2.1-or-later", ["gpl.library", "lgpl.published", "later2.1"]),
+    ("lgpl2-header", "LGPL-2.1-or-later", ["gpl.library", "lgpl2.later"]),
+    ("lgpl3-header", "LGPL-3.0-or-later", ["gpl.library", "lgpl3.later"]),
+    ("lgpl3-program", "LGPL-3.0-or-later", ["gpl.program", "lgpl3.later"]),
+    ("agpl3-header", "AGPL-3.0-or-later", ["gpl.program", "agpl3.later"]),
+    ("mpl2-header", "MPL-2.0", ["mpl2.terms", "mpl2.copy"]),
+    ("mpl2-old-header", "MPL-2.0", ["mpl2.terms", "mpl2.old_copy"]),
+    ("mpl2-terms", "MPL-2.0", ["mpl2.joined"]),
+    ("epl2-header", "EPL-2.0", ["epl2.terms"]),
+    ("epl1-header", "EPL-1.0", ["epl1.terms"]),
+    ("zlib-text", "Zlib", ["zlib.as_is", "zlib.liable", "zlib.grant"]),
+    ("unlicense-text", "Unlicense", ["unlicense.free", "unlicense.anyone"]),
+    ("unlicense-notice", "Unlicense", ["unlicense.free"]),
+    ("boost-text", "BSL-1.0", ["boost.grant"]),
+    ("wtfpl-text", "WTFPL", ["wtfpl.verbatim"]),
+    ("cc0-text", "CC0-1.0", ["cc0.dedicated"]),
+    ("ofl-text", "OFL-1.1", ["ofl.font"]),
+    *((f"{k}-notice", k, [f"notice.{k}"]) for k in NAMES),
+    *((f"{k}-tag", k, ["spdx", f"tag.{k}"]) for k in [*NAMES, *TAGS]),
 ]
 
 
@@ -87,9 +177,17 @@ def flat(text: Column) -> Column:
 
 
 def _pattern(sentences: dict[str, str]) -> str:
-    """Any of the sentences, wrapped or not, the longest first; it starts and ends where a line or a sentence does."""
-    said = sorted(sentences.values(), key=len, reverse=True)
-    return rf"(?<=[{END}{WRAP}] )(?:" + "|".join(x.replace(" ", f" (?:{WRAP} )?") for x in said) + rf")(?= [{END}{WRAP}])"
+    """Any of the sentences, wrapped or not, the longest first; it starts and ends where a line or a sentence does.
+
+    Those with the same first word share it, so that few are tried at a place.
+    """
+    by: dict[str, list[list[str]]] = {}
+    for x in sorted(sentences, key=lambda x: -len(x)):
+        by.setdefault(x.split()[0], []).append(x.split()[1:])
+    gap = f" (?:{WRAP} )?"
+    after = rf"(?= [{END}{WRAP}])"
+    parts = [first + "(?:" + "|".join("".join(gap + w for w in rest) + after for rest in rests) + ")" for first, rests in by.items()]
+    return rf"(?<=[{END}{WRAP}] )(?:" + "|".join(parts) + ")"
 
 
 def known_sentences(docs: DataFrame, sentences: dict[str, str] = SENTENCES) -> DataFrame:
@@ -97,7 +195,7 @@ def known_sentences(docs: DataFrame, sentences: dict[str, str] = SENTENCES) -> D
     text = F.coalesce("text", F.lit(""))
     n = F.size(F.filter(cut(text), lambda x: F.regexp_like(F.lower(x), F.lit("[a-z0-9]")))).cast("long")
     found = F.regexp_extract_all(flat(text), F.lit(_pattern(sentences)), F.lit(0))
-    ids = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
+    ids = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     return docs.select("doc_id", n.alias("n_sentences"), F.transform(found, lambda x: F.element_at(ids, F.replace(x, F.lit(f"{WRAP} "), F.lit("")))).alias("known"))
 
 
@@ -105,21 +203,23 @@ def _inside(a: list[str], b: list[str]) -> bool:
     return len(a) < len(b) and any(b[i : i + len(a)] == a for i in range(len(b)))
 
 
+def line(ids: list[str]) -> str:
+    """Identifiers in a row, each between marks of its own."""
+    return "".join(f"[{x}]" for x in ids)
+
+
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """doc_id, n_sentences, known, rules, licenses: rules that match, in the order of the rules; licences sorted, each once."""
     d = known_sentences(docs, sentences)
-    line = lambda ids: "|" + "|".join(ids) + "|"
-    said = F.concat(F.lit("|"), F.array_join("known", "|"), F.lit("|"))
-    d = d.withColumn("said", said)
+    d = once(d, said=F.array_join(F.transform("known", lambda x: F.concat(F.lit("["), x, F.lit("]"))), ""))
 
     def matches(i: int) -> Column:
         """A rule matches where it is found outside matches of the longer rules that hold it."""
         rest = F.col("said")
         for longer in sorted((r[2] for r in rules if _inside(rules[i][2], r[2])), key=len, reverse=True):
-            rest = F.replace(rest, F.lit(line(longer)), F.lit("||"))
+            rest = F.replace(rest, F.lit(line(longer)), F.lit("."))
         return F.contains(rest, F.lit(line(rules[i][2])))
 
-    some = F.size("known") > 0
-    named = F.array_compact(F.array(*[F.when(some & matches(i), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("license"))) for i, r in enumerate(rules)]))
-    d = d.withColumn("named", named)
+    named = F.array_compact(F.array(*[F.when(matches(i), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("license"))) for i, r in enumerate(rules)]))
+    d = once(d, named=F.when(F.size("known") > 0, named).otherwise(F.array().cast("array<struct<rule: string, license: string>>")))
     return d.select("doc_id", "n_sentences", "known", F.transform("named", lambda x: x["rule"]).alias("rules"), F.array_sort(F.array_distinct(F.transform("named", lambda x: x["license"]))).alias("licenses"))
