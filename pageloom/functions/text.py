@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,15 @@ def same_content(a: Column, b: Column) -> Column:
     return F.contains(x, y) | F.contains(y, x)
 
 
+#: What counts as stuttering.
+REPEATED = [r"([A-Za-z가-힣]{2,4})\1{4,}", r"(?U)\b([A-Za-z가-힣])(?:\s+\1){4,}\b", r"(?U)(\S)\1{9,}"]
+
+
 def without_repeats(c: Column) -> Column:
     """Stuttering undone: fragments five times over, spaced letters five times, any character ten times (T5)."""
-    c = F.regexp_replace(c, r"([A-Za-z가-힣]{2,4})\1{4,}", "$1")
-    c = F.regexp_replace(c, r"(?U)\b([A-Za-z가-힣])(?:\s+\1){4,}\b", "$1")
-    return F.regexp_replace(c, r"(?U)(\S)\1{9,}", "$1")
+    for pattern in REPEATED:
+        c = F.regexp_replace(c, pattern, "$1")
+    return c
 
 
 def detected_language(c: Column) -> Column:
@@ -96,13 +103,51 @@ def page_label(page: Column, pages: Column) -> Column:
     return F.format_string("%d / %d", page, pages)
 
 
+#: Networks that aren't publicly routed, and parts of them that are.
+PRIVATE = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10"]
+PUBLIC = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
+
+def address(c: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 address, an IPv4 one as ::ffff:a.b.c.d; null if it is neither."""
+    x = F.regexp_replace(F.lower(stripped(c)), r"%[^%:]+$", "")
+    four = r"(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})$"
+    octet = [F.regexp_extract(x, four, k).try_cast("int") for k in (1, 2, 3, 4)]
+    octets = x.rlike("(^|:)" + four) & (F.greatest(*octet) <= 255)
+    tail = F.concat_ws(":", F.lower(F.hex(octet[0] * 256 + octet[1])), F.lower(F.hex(octet[2] * 256 + octet[3])))
+    y = F.when(octets, F.concat(F.when(F.contains(x, F.lit(":")), F.regexp_replace(x, four, "")).otherwise("::ffff:"), tail)).when(F.contains(x, F.lit(".")), F.lit(None)).otherwise(x)
+    halves = F.split(y, "::")
+    groups = lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":"))
+    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
+    zeros = F.lit(8) - F.size(left) - F.size(right)
+    all_ = F.when((F.size(halves) == 1) & (F.size(left) == 8), left).when((F.size(halves) == 2) & (zeros >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right))
+    return F.when(F.forall(all_, lambda h: h.rlike("^[0-9a-f]{1,4}$")), F.transform(all_, lambda h: F.conv(h, 16, 10).cast("int")))
+
+
+def within(groups: Column, network: str) -> Column:
+    """Whether an address is in a network."""
+    n = ipaddress.ip_network(network)
+    shift = 96 if n.version == 4 else 0
+    value, bits = int(n.network_address) + (0xFFFF << 32 if shift else 0), n.prefixlen + shift
+    out = F.lit(True)
+    for k in range((bits + 15) // 16):
+        mask = (0xFFFF << max(0, 16 * (k + 1) - bits)) & 0xFFFF
+        out = out & (F.get(groups, k).bitwiseAND(F.lit(mask)) == (value >> 16 * (7 - k)) & mask)
+    return out
+
+
+def _any(groups: Column, networks: list[str]) -> Column:
+    return F.coalesce(functools.reduce(lambda a, b: a | b, [within(groups, n) for n in networks]), F.lit(False))
+
+
 def public_ip(c: Column) -> Column:
-    """Whether an IPv4 address is publicly routed."""
-    p = F.split(c, r"\.")
-    n = lambda i: F.get(p, i).try_cast("int")
-    whole = c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (n(0) <= 255) & (n(1) <= 255) & (n(2) <= 255) & (n(3) <= 255)
-    private = n(0).isin(0, 10, 127) | ((n(0) == 172) & n(1).between(16, 31)) | ((n(0) == 192) & (n(1) == 168)) | ((n(0) == 169) & (n(1) == 254)) | ((n(0) == 100) & n(1).between(64, 127)) | (n(0) >= 224)
-    return F.coalesce(whole & ~private, F.lit(False))
+    """Whether an address, IPv4 or IPv6, is publicly routed."""
+    a = address(c)
+    return a.isNotNull() & (_any(a, PUBLIC) | ~_any(a, PRIVATE))
+
+
+def loopback(c: Column) -> Column:
+    return _any(address(c), ["127.0.0.0/8", "::1/128"])
 
 
 def client_ip(forwarded: Column, real: Column, peer: Column, public_only: bool = False) -> Column:
@@ -114,7 +159,7 @@ def client_ip(forwarded: Column, real: Column, peer: Column, public_only: bool =
 def limited(ip: Column, enabled: bool = True) -> Column:
     """Whether a quota holds for this client: not for blank and local ones."""
     x = F.lower(stripped(F.coalesce(ip, F.lit(""))))
-    return F.lit(enabled) & ~(x.isin("", "localhost", "::1") | x.startswith("127."))
+    return F.lit(enabled) & ~(x.isin("", "localhost") | loopback(x))
 
 
 def stage(progress: Column) -> Column:
@@ -146,13 +191,10 @@ def retry_detail(body: Column) -> Column:
 def with_glossary(df: DataFrame, column: str, glossary: DataFrame, into: str) -> DataFrame:
     """``into``: collapsed text with the glossary's (ord, src, dst) replaced in order.
 
-    A glossary is a short user-supplied table; it is read on the driver, at most 10,000 entries.
+    A glossary is a short user-supplied table, at most 10,000 entries (more are an error): one row that is broadcast.
     """
-    rows = glossary.orderBy("ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a glossary holds at most 10,000 entries")
-    c = collapsed(F.col(column))
-    if not rows:
-        return df.withColumn(into, c)
-    entries = F.array(*[F.struct(F.lit(r["src"]).alias("src"), F.lit(r["dst"]).alias("dst")) for r in rows])
-    return df.withColumn(into, F.aggregate(entries, c, lambda a, g: F.replace(a, g["src"], g["dst"])))
+    entry = F.struct("ord", "src", "dst")
+    g = glossary.agg(F.array_sort(F.collect_list(entry)).alias("__entries"))
+    g = g.select(F.when(F.size("__entries") > 10_000, F.raise_error(F.lit("a glossary holds at most 10,000 entries")).cast(g.schema["__entries"].dataType)).otherwise(F.col("__entries")).alias("__entries"))
+    said = F.aggregate("__entries", collapsed(F.col(column)), lambda a, e: F.replace(a, e["src"], e["dst"]))
+    return df.join(F.broadcast(g)).withColumn(into, said).drop("__entries")

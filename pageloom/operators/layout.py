@@ -7,13 +7,11 @@ in order (columns, the plan, shifts); everything else is relational.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pageloom.functions import geometry as g
 from pageloom.functions import metrics as m
@@ -27,6 +25,7 @@ SCALES = {"outer": (1.0, 0.96, 0.92, 0.86, 0.82, 0.74, 0.68), "middle": (1.0, 0.
 LINE_RATIOS = (1.0, 0.96, 0.92, 0.88, 0.84, 0.8)
 TIGHTER = (0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.16, 0.2)
 TIGHTEST, NO_SPACING, LEAST_LINE = -0.22, 0.005, 1.02
+CHANGED = {"scale": 0.999, "line": 0.01}
 COST = {"scale": 1000.0, "line": 4.0, "spacing": 25.0}
 LADDERS = {"large": (1.0, 0.92, 0.82, 0.68, 0.0), "small": (0.92, 0.82, 0.68, 0.0), "middle": (0.88, 0.76, 0.62, 0.0), "pretext": (1.0, 0.96, 0.92)}
 BLOCKED = ("planner_overflow", "pymupdf_probe_overflow", "postpass_overlap_overflow")
@@ -43,9 +42,21 @@ def planned(label: Column, toc_page: Column) -> Column:
 
 
 def reading_order(units: DataFrame) -> DataFrame:
-    """units with block_id: from top to bottom, then left to right, then as they came."""
+    """units with nr (1...) and block_id: from top to bottom, then left to right, then as they came.
+
+    Ids have four digits or more; what must be in order goes by nr.
+    """
     w = Window.partitionBy("doc_id", "page").orderBy(F.desc("box.top"), "box.left", "ord")
-    return units.withColumn("block_id", F.format_string("b%04d", F.row_number().over(w)))
+    return units.withColumn("nr", F.row_number().over(w)).withColumn("block_id", block_id(F.col("nr")))
+
+
+def block_id(nr: Column) -> Column:
+    return F.format_string("b%04d", nr)
+
+
+def number(block: Column) -> Column:
+    """The number in a block's id: ids sort by it, not as strings."""
+    return F.substring(block, 2, 12).cast("int")
 
 
 def overlap_penalty(a: Column, b: Column) -> Column:
@@ -70,7 +81,7 @@ def overlap_spacing(blocks: DataFrame) -> DataFrame:
     earlier = b.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), F.col("block_id").alias("__b"), F.col("__r").alias("__e"))
     mine = b.filter(planned(F.col("label"), F.col("toc_page"))).select("doc_id", "page", "block_id", "__r")
     p = overlap_penalty(F.col("__r"), F.col("__e"))
-    worst = mine.join(earlier, (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & (F.col("__b") < F.col("block_id")) & (p > 0)).groupBy("doc_id", "page", "block_id").agg((-F.round(F.max(p), 3)).alias("penalty"))
+    worst = mine.join(earlier, (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & (number(F.col("__b")) < number(F.col("block_id"))) & (p > 0)).groupBy("doc_id", "page", "block_id").agg((-F.round(F.max(p), 3)).alias("penalty"))
     out = b.drop("__r").join(worst, ["doc_id", "page", "block_id"], "left")
     return out.withColumn("adjusted", F.when(F.col("penalty").isNotNull(), m.combined_spacing(F.col("spacing"), F.col("penalty"))).otherwise(F.col("spacing")))
 
@@ -80,7 +91,7 @@ def column_clusters(blocks: DataFrame) -> DataFrame:
 
     First fit over blocks from left to right; the columns' first blocks never move, so one fold over the page does.
     """
-    x = F.struct(F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"), "block_id", "rect")
+    x = F.struct(F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"), number(F.col("block_id")).alias("nr"), "block_id", "rect")
     p = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(x)).alias("bs"))
     anchors = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
     rows = F.array().cast("array<struct<block_id:string,at:int>>")
@@ -136,10 +147,10 @@ def with_candidates(blocks: DataFrame) -> DataFrame:
     return b.select(*blocks.columns, "candidates")
 
 
-def reason(c: Column, line_height: Column, font: Column, spacing: Column) -> Column:
-    """What a candidate changes (L3)."""
-    line = F.round(F.greatest(line_height, F.round(font * LEAST_LINE, 3)) * c["scale"], 3)
-    said = F.concat_ws("+", F.when(c["scale"] < 1, "font_scale"), F.when(c["line"] < line, "line_height"), F.when(~c["letter"].eqNullSafe(spacing), "letter_spacing"))
+def reason(c: Column, line_height: Column, spacing: Column) -> Column:
+    """What a candidate changes (L3): by more than rounding may, and against the block's own line height."""
+    apart = F.abs(F.coalesce(c["letter"], F.lit(0.0)) - F.coalesce(spacing, F.lit(0.0))) >= NO_SPACING
+    said = F.concat_ws("+", F.when(c["scale"] < CHANGED["scale"], "font_scale"), F.when(c["line"] < line_height * c["scale"] - CHANGED["line"], "line_height"), F.when(apart, "letter_spacing"))
     return F.coalesce(F.nullif(said, F.lit("")), F.lit("none"))
 
 
@@ -151,7 +162,7 @@ def typography_candidates(blocks: DataFrame) -> DataFrame:
     """A row for each candidate of each planned block, with its rank by cost."""
     b = with_candidates(blocks).select("doc_id", "page", "block_id", "line_height", "font_size", "spacing", F.posexplode("candidates").alias("rank", "c"))
     c = F.col("c")
-    return b.select("doc_id", "page", "block_id", (F.col("rank") + 1).alias("rank"), "c.gen", "c.scale", "c.font", "c.line", "c.letter", "c.cost", "c.lines", height(c).alias("height"), reason(c, F.col("line_height"), F.col("font_size"), F.col("spacing")).alias("reason"))
+    return b.select("doc_id", "page", "block_id", (F.col("rank") + 1).alias("rank"), "c.gen", "c.scale", "c.font", "c.line", "c.letter", "c.cost", "c.lines", height(c).alias("height"), reason(c, F.col("line_height"), F.col("spacing")).alias("reason"))
 
 
 def first_feasible(blocks: DataFrame) -> DataFrame:
@@ -160,92 +171,127 @@ def first_feasible(blocks: DataFrame) -> DataFrame:
     b = once(b, __fits=F.get(F.filter("candidates", lambda c: height(c) + F.col("__safe") <= F.col("__room")), 0))
     b = once(b, c=F.coalesce("__fits", F.element_at("candidates", -1)))
     c = F.col("c")
-    return b.select("doc_id", "page", "block_id", "c.scale", "c.font", "c.line", "c.letter", "c.lines", height(c).alias("height"), reason(c, F.col("line_height"), F.col("font_size"), F.col("spacing")).alias("reason"), F.col("__fits").isNull().alias("overflow"))
+    return b.select("doc_id", "page", "block_id", "c.scale", "c.font", "c.line", "c.letter", "c.lines", height(c).alias("height"), reason(c, F.col("line_height"), F.col("spacing")).alias("reason"), F.col("__fits").isNull().alias("overflow"))
 
 
 #: A validator gets (block, x0, y0, x1, y1, candidate) and says (fits, y0, y1 of what it drew, scale used).
 Validator = Callable[[dict, float, float, float, float, dict], tuple[bool, float, float, float]]
+#: How far below its column's end a trial may reach.
+OVER = 0.01
+
+
+def to_plan(blocks: DataFrame, adjust: bool = True) -> DataFrame:
+    """blocks as they are planned (J3, G9): spacing after overlaps, and the rectangle that large type is given."""
+    b = overlap_spacing(blocks)
+    b = b.withColumn("spacing", F.col("adjusted") if adjust else F.col("spacing")).select(*blocks.columns)
+    return b.withColumn("rect", g.render_rect(F.col("rect"), F.col("font_size")))
 
 
-def _plan_column(blocks: list[dict], validator: Validator | None) -> list[dict]:
-    """Running layout of one column: each block below what stands above it, in the cheapest candidate that fits."""
-    out, bottom, above = [], None, None
-    floor = max(b["y1"] for b in blocks)
-    for b in blocks:
-        gap, safe = (max(1.0, round(b["line_height"] * s, 3)) for s in (m.GAP_SHARE, m.SAFETY_SHARE))
-        own = b["y1"] - b["y0"]
-        y = b["y0"] if bottom is None else max(b["y0"], bottom + gap)
-        r = {"scale": 1.0, "font": b["font_size"], "line": b["line_height"], "letter": b["spacing"], "lines": None, "height": None, "reason": "none", "used": 1.0, "overlap": 0.0, "top_delta": 0.0, "bottom_delta": 0.0}
-        drawn = None
-
-        def fit(y0: float, tall: float, c: dict, b: dict = b) -> tuple[bool, float, float, float]:
-            y1 = y0 + max(tall, 1.0)
-            return validator(b, b["x0"], y0, b["x1"], y1, c) if validator else (True, y0, y1, 1.0)
-
-        if not b["planned"]:
-            tall, fallback = own, "toc_passthrough" if b["toc_page"] else "legacy_passthrough"
-        else:
-            chosen, blocked, seen = None, False, None
-            for c in b["candidates"]:
-                seen = c
-                tall = max(own, c["height"] + safe)
-                if tall > floor - y:
-                    continue
-                ok, a0, a1, used = fit(y, tall, c)
-                if not ok or a1 > floor + 0.01:
-                    blocked = True
-                    continue
-                chosen, drawn = c, (a0, a1)
-                r["used"] = used
-                r["top_delta"], r["bottom_delta"] = a0 - y, a1 - (y + max(tall, 1.0))
-                break
-            fallback = chosen["reason"] if chosen else "pymupdf_probe_overflow" if blocked else "planner_overflow"
-            last = chosen or seen or {"scale": 1.0, "font": b["font_size"], "line": b["line_height"], "letter": b["spacing"], "lines": 1, "height": own, "reason": "none"}
-            r.update({k: last[k] for k in ("scale", "font", "line", "letter", "lines", "height", "reason")})
-            r["used"] = r["used"] if chosen else 0.0
-            tall = max(own, last["height"] + safe)
-        p0, p1 = y, y + max(tall, 1.0)
-        drawn = drawn or (p0, p1)
-        if above is not None and (over := above[1] - drawn[0]) > 0 and b["planned"]:
-            r["overlap"] = round(over, 3)
-            moved = y + over + gap
-            if floor - moved >= 1.0:
-                ok, a0, a1, used = fit(moved, tall, last)
-                if ok and a1 <= floor + 0.01:
-                    p0, p1, drawn = moved, moved + max(tall, 1.0), (a0, a1)
-                    r["used"], r["overlap"], r["top_delta"], r["bottom_delta"] = used, 0.0, a0 - moved, a1 - p1
-                    fallback = "postpass_shift" if fallback == "none" else fallback
-            if r["overlap"] > 0:
-                fallback, drawn = "postpass_overlap_overflow", None
-        if drawn is not None:
-            bottom, above = drawn[1], drawn
-        out.append({"block_id": b["block_id"], "column": b["column"], "plan_y0": p0, "plan_y1": p1, "actual_y0": drawn and drawn[0], "actual_y1": drawn and drawn[1], "shift": round(y - b["y0"], 3), "fallback": fallback, **r})
-    return out
-
-
-PLAN = "doc_id bigint, page int, block_id string, column int, plan_y0 double, plan_y1 double, actual_y0 double, actual_y1 double, shift double, fallback string, scale double, font double, line double, letter double, lines int, height double, reason string, used double, overlap double, top_delta double, bottom_delta double"
-
-
-def page_plan(blocks: DataFrame, validator: Validator | None = None) -> DataFrame:
-    """The plan of every block (L4): candidates are made and measured relationally, then each page is laid out in order."""
+def legacy_plan(blocks: DataFrame) -> DataFrame:
+    """block_id, plan rectangle and shift without a planner (P13): the rectangle large type is given; the shift is never negative."""
+    r = g.render_rect(F.col("rect"), F.col("font_size"))
+    return blocks.select("doc_id", "page", "block_id", r.alias("planned"), F.greatest(F.lit(0.0), F.round(r["y0"] - F.col("rect.y0"), 3)).alias("shift"))
+
+
+def _columns_of(blocks: DataFrame) -> DataFrame:
+    """doc_id, page, column, floor, bs: the blocks of each column from top to bottom, with all that planning them takes."""
     c = with_candidates(blocks)
-    pick = F.transform("candidates", lambda x: F.struct(x["scale"].alias("scale"), x["font"].alias("font"), x["line"].alias("line"), x["letter"].alias("letter"), x["lines"].alias("lines"), height(x).alias("height"), reason(x, F.col("line_height"), F.col("font_size"), F.col("spacing")).alias("reason")))
-    c = c.select("doc_id", "page", "block_id", pick.alias("candidates"))
-    b = column_clusters(blocks).join(c, ["doc_id", "page", "block_id"], "left")
-    b = b.select("doc_id", "page", "block_id", "column", F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"), F.col("rect.x1").alias("x1"), F.col("rect.y1").alias("y1"), "text", "font_size", "line_height", "spacing", F.coalesce("toc_page", F.lit("")).alias("toc_page"), planned(F.col("label"), F.col("toc_page")).alias("planned"), "candidates")
-    names = [f.name for f in T._parse_datatype_string(PLAN).fields]
+    pick = F.transform("candidates", lambda x: F.struct(x["scale"].alias("scale"), x["font"].alias("font"), x["line"].alias("line"), x["letter"].alias("letter"), x["lines"].alias("lines"), height(x).alias("height"), reason(x, F.col("line_height"), F.col("spacing")).alias("reason")))
+    b = column_clusters(blocks).join(c.select("doc_id", "page", "block_id", pick.alias("candidates")), ["doc_id", "page", "block_id"], "left")
+    row = F.struct(F.col("rect.y0").alias("y0"), F.col("rect.x0").alias("x0"), number(F.col("block_id")).alias("nr"), "block_id", F.col("rect.y1").alias("y1"), F.col("rect.x1").alias("x1"), g.rect_height(F.col("rect")).alias("own"), F.col("candidates").isNotNull().alias("planned"), (F.coalesce("toc_page", F.lit("")) != "").alias("toc"), m.gap(F.col("line_height")).alias("gap"), m.safety(F.col("line_height")).alias("safe"), F.col("font_size").alias("font"), F.col("line_height").alias("line"), F.col("spacing").alias("letter"), "text", "candidates")
+    return b.groupBy("doc_id", "page", "column").agg(F.max("rect.y1").alias("floor"), F.array_sort(F.collect_list(row)).alias("bs"))
+
+
+PLACED = "block_id string, plan_y0 double, plan_y1 double, actual_y0 double, actual_y1 double, shift double, fallback string, scale double, font double, line double, letter double, lines int, height double, reason string, used double, overlap double, top_delta double, bottom_delta double"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def page_plan(blocks: DataFrame, validator: Validator | None = None, adjust: bool = True) -> DataFrame:
+    """The plan of every block (L4, W6, O6), column by column from top to bottom.
 
-    def lay(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, col in page.sort_values(["column", "y0", "x0", "block_id"]).groupby("column", sort=True):
-            rows = col.to_dict("records")
-            for r in rows:
-                r["spacing"] = None if r["spacing"] is None or math.isnan(r["spacing"]) else r["spacing"]
-                r["candidates"] = [dict(x) for x in r["candidates"]] if r["candidates"] is not None and not isinstance(r["candidates"], float) else []
-            out += _plan_column(rows, validator)
-        return pd.DataFrame([{"doc_id": key[0], "page": key[1], **r} for r in out], columns=names)
+    A block stands below what stands above it, in its cheapest candidate that ends within its column; if none does, in the last
+    one, as an overflow.  Blocks that aren't planned keep their height.  Without a validator that is a fold over the column's
+    blocks, candidates and all; with one, the trials of a column are made by a worker in order.
+    """
+    d = _columns_of(to_plan(blocks, adjust))
+    if validator is not None:
+        return _validated(d, validator)
+    kind = F.array().cast(f"array<struct<{PLACED.replace(' ', ':').replace(',:', ',')}>>")
 
-    return b.groupBy("doc_id", "page").applyInPandas(lay, PLAN)
+    def step(s: Column, x: Column) -> Column:
+        def place(y: Column) -> Column:
+            first = F.get(F.filter(x["candidates"], lambda c: F.greatest(x["own"], c["height"] + x["safe"]) <= s["floor"] - y), 0)
+            return let(F.struct(first.alias("chosen"), F.coalesce(first, F.get(x["candidates"], F.size(x["candidates"]) - 1)).alias("last")), lambda t: row(y, t["chosen"], t["last"]))
+
+        def row(y: Column, chosen: Column, last: Column) -> Column:
+            end = y + F.greatest(F.when(x["planned"], F.greatest(x["own"], last["height"] + x["safe"])).otherwise(x["own"]), F.lit(1.0))
+            why = F.when(x["planned"], F.coalesce(chosen["reason"], F.lit("planner_overflow"))).when(x["toc"], "toc_passthrough").otherwise("legacy_passthrough")
+            used = F.when(x["planned"] & chosen.isNull(), 0.0).otherwise(1.0)
+            own = lambda k, other: F.when(x["planned"], last[k]).otherwise(other).alias(k)
+            made = F.struct(x["block_id"].alias("block_id"), y.alias("plan_y0"), end.alias("plan_y1"), y.alias("actual_y0"), end.alias("actual_y1"), F.round(y - x["y0"], 3).alias("shift"), why.alias("fallback"), own("scale", F.lit(1.0)), own("font", x["font"]), own("line", x["line"]), own("letter", x["letter"]), own("lines", F.lit(None)), own("height", F.lit(None)), own("reason", F.lit("none")), used.alias("used"), *[F.lit(0.0).alias(k) for k in ("overlap", "top_delta", "bottom_delta")])
+            return F.struct(s["floor"].alias("floor"), end.alias("bottom"), F.concat(s["rows"], F.array(made)).alias("rows"))
+
+        return let(F.greatest(x["y0"], F.coalesce(s["bottom"] + x["gap"], x["y0"])), place)
+
+    start = F.struct(F.col("floor"), F.lit(None).cast("double").alias("bottom"), kind.alias("rows"))
+    d = d.select("doc_id", "page", "column", F.explode(F.aggregate("bs", start, step)["rows"]).alias("r"))
+    return d.select("doc_id", "page", "r.block_id", "column", *[f"r.{x.split()[0]}" for x in PLACED.split(", ")[1:]])
+
+
+def _validated(columns: DataFrame, validator: Validator) -> DataFrame:
+    """As page_plan, each trial being put to a validator."""
+    names = [x.split()[0] for x in PLACED.split(", ")]
+
+    def trial(b: dict, y: float, tall: float, c: dict, floor: float) -> tuple[float, float, float] | None:
+        """(top, bottom, scale used) of a candidate drawn at y, if it fits."""
+        fits, top, bottom, used = validator(b, b["x0"], y, b["x1"], y + max(tall, 1.0), c)
+        return (top, bottom, used) if fits and bottom <= floor + OVER else None
+
+    def lay(columns: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in columns:
+            rows = [{**{k: c[k] for k in ("doc_id", "page", "column")}, **r} for c in frame.to_dict("records") for r in column(list(c["bs"]), c["floor"])]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "column", *names])
+
+    def column(bs: list[dict], floor: float) -> Iterator[dict]:
+        bottom: float | None = None
+        for b in bs:
+            y = b["y0"] if bottom is None else max(b["y0"], bottom + b["gap"])
+            shift, overlap, drawn, asked, chosen = round(y - b["y0"], 3), 0.0, None, False, None
+            tall_of = lambda c, b=b: max(b["own"], c["height"] + b["safe"])
+            if not b["planned"]:
+                tall, why, last = b["own"], "toc_passthrough" if b["toc"] else "legacy_passthrough", {"scale": 1.0, "font": b["font"], "line": b["line"], "letter": b["letter"], "reason": "none"}
+                drawn = (y, y + max(tall, 1.0), 1.0)
+            else:
+                for c in b["candidates"]:
+                    if tall_of(c) <= floor - y:
+                        asked, drawn = True, trial(b, y, tall_of(c), c, floor)
+                        if drawn:
+                            chosen = c
+                            break
+                last = chosen or b["candidates"][-1]
+                tall, why = tall_of(last), last["reason"] if chosen else "pymupdf_probe_overflow" if asked else "planner_overflow"
+                drawn = drawn or (y, y + max(tall, 1.0), 0.0)
+                if bottom is not None and drawn[0] < bottom:  # drawn into what stands above: once more, further down
+                    overlap = round(bottom - drawn[0], 3)
+                    down = y + (bottom - drawn[0]) + b["gap"]
+                    again = trial(b, down, tall, last, floor) if floor - down >= 1.0 else None
+                    if again:
+                        y, drawn, overlap, why = down, again, 0.0, "postpass_shift" if why == "none" else why
+                    else:
+                        drawn, why = (None, None, drawn[2]), "postpass_overlap_overflow"
+            end = y + max(tall, 1.0)
+            if drawn[0] is not None:
+                bottom = drawn[1]
+            delta = [0.0 if drawn[0] is None else round(a - p, 3) for a, p in zip(drawn[:2], (y, end), strict=True)]
+            yield {"block_id": b["block_id"], "plan_y0": y, "plan_y1": end, "actual_y0": drawn[0], "actual_y1": drawn[1], "shift": shift, "fallback": why, **{k: last.get(k) for k in ("scale", "font", "line", "letter", "lines", "height", "reason")}, "used": drawn[2], "overlap": overlap, "top_delta": delta[0], "bottom_delta": delta[1]}
+
+    kind = columns.schema["doc_id"].dataType.simpleString()
+    out = columns.mapInPandas(lay, f"doc_id {kind}, page int, column int, {PLACED}")
+    return out.select("doc_id", "page", "block_id", "column", *names[1:])
 
 
 def shifted_plan(plan: DataFrame) -> DataFrame:
@@ -253,7 +299,7 @@ def shifted_plan(plan: DataFrame) -> DataFrame:
 
     plan has doc_id, page, column, block_id, plan_y0, plan_y1, actual_y0, actual_y1, line.  A fold over each column.
     """
-    b = F.struct("plan_y0", "block_id", "plan_y1", "actual_y0", "actual_y1", m.gap(F.col("line")).alias("gap"))
+    b = F.struct("plan_y0", number(F.col("block_id")).alias("nr"), "block_id", "plan_y1", "actual_y0", "actual_y1", m.gap(F.col("line")).alias("gap"))
     d = plan.groupBy("doc_id", "page", "column").agg(F.array_sort(F.collect_list(b)).alias("bs"))
     empty = F.array().cast("array<struct<block_id:string,y0:double,y1:double,moved:double>>")
 
@@ -273,11 +319,56 @@ def allowed(fallback: Column) -> Column:
 
 
 def matched(blocks: DataFrame, plan: DataFrame) -> DataFrame:
-    """blocks with their plan; those without one are planner_missing and aren't drawn."""
-    j = blocks.join(plan, ["doc_id", "page", "block_id"], "left").withColumn("fallback", F.coalesce("fallback", F.lit("planner_missing")))
+    """blocks with their plan (J4, J6): by block_id; plans without an id go, in order (``pos``, if there), to the blocks that are left.
+
+    Blocks without a plan are planner_missing and aren't drawn.
+    """
+    named = plan.filter("block_id is not null")
+    j = blocks.join(named.drop("pos"), ["doc_id", "page", "block_id"], "left")
+    if "pos" in plan.columns:
+        order = lambda c: F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(c))
+        left = blocks.join(named.select("doc_id", "page", "block_id"), ["doc_id", "page", "block_id"], "left_anti").withColumn("__k", order(number(F.col("block_id"))))
+        queue = plan.filter("block_id is null").withColumn("__k", order("pos")).drop("block_id", "pos")
+        j = blocks.join(named.drop("pos"), ["doc_id", "page", "block_id"]).unionByName(left.join(queue, ["doc_id", "page", "__k"], "left").drop("__k"))
+    j = j.withColumn("fallback", F.coalesce("fallback", F.lit("planner_missing")))
     return j.withColumn("drawn", allowed(F.col("fallback")))
 
 
+def measured(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """requests (request_id, ...) with what was measured for each; a request without a result is an error.
+
+    results: request_id, line_count, and height_px or height_pt.
+    """
+    r = results.select(F.col("request_id").alias("__id"), F.coalesce(*[F.col(c) for c in ("height_px", "height_pt") if c in results.columns]).alias("height"), "line_count")
+    j = requests.join(r, F.col("request_id") == F.col("__id"), "left")
+    missing = F.raise_error(F.concat(F.lit("no measurement for request "), "request_id")).cast("double")
+    return j.withColumn("height", F.when(F.col("__id").isNull(), missing).otherwise(F.col("height"))).drop("__id")
+
+
+def remembered(validator: Validator, places: int = 3) -> Validator:
+    """A validator that answers equal trials from memory (L7): by the block's text, its place, and the candidate, rounded."""
+    seen: dict[tuple, tuple[bool, float, float, float]] = {}
+
+    def ask(b: dict, x0: float, y0: float, x1: float, y1: float, c: dict) -> tuple[bool, float, float, float]:
+        near = lambda v: None if v is None else round(v, places)
+        key = (b.get("text"), b.get("font"), *map(near, (x0, y0, x1, y1, c["scale"], c["font"], c["line"], c["letter"])), c["lines"])
+        if key not in seen:
+            seen[key] = validator(b, x0, y0, x1, y1, c)
+        return seen[key]
+
+    return ask
+
+
+def text_box(words: DataFrame, *keys: str) -> DataFrame:
+    """The rectangle around what was drawn, by keys (L9): around words that aren't blank, else around blocks; null if there is neither.
+
+    words has kind ("word" or "block"), text and x0, y0, x1, y1.
+    """
+    around = lambda k, f, c: f(F.when((F.col("kind") == k) & (F.trim("text") != ""), F.col(c)))
+    sides = [(F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")]
+    return words.groupBy(*keys).agg(*[F.coalesce(around("word", f, c), around("block", f, c)).alias(c) for f, c in sides])
+
+
 def added_words(before: DataFrame, after: DataFrame) -> DataFrame:
     """The rectangle around words (x0, y0, x1, y1, word, ...) that came in between, one row; null if none did."""
     return after.exceptAll(before).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -48,60 +48,71 @@ def by_day(intervals: DataFrame, zone: str = ZONE) -> DataFrame:
 
 
 def replay_client(events: list[dict], limit: float = LIMIT, zone: str = ZONE) -> list[dict]:
-    """Leases of one client in order of time (Q2-Q5): events (ts, lease, action: start, check or end).
+    """Leases of one client in order (Q2-Q5): events (ts, lease, action: start, check or end).
 
-    A start reserves all that remains of the day, and is refused if nothing does or another lease holds it.
-    A check or end past local midnight first charges the old day up to midnight, then goes on with what
-    today has left (a day skipped altogether is charged nothing).  A lease that has used its reservation expires.
+    A start reserves all that remains of its day, and is refused if nothing does; leases of other days don't count.
+    A check or end past local midnight first charges the lease's day with the time up to its midnight; the lease goes on, from
+    that midnight, with what today has left (so today bears all the rest, also of days skipped), or expires if that is nothing.
+    A lease that has used its reservation expires.
     """
-    tz, used, lease, out = ZoneInfo(zone), {}, None, []
-
-    def midnight(t: dt.datetime) -> dt.datetime:
-        local = t.replace(tzinfo=dt.UTC).astimezone(tz)
-        day = dt.datetime.combine(local.date() + dt.timedelta(days=1), dt.time(), tz)
-        return day.astimezone(dt.UTC).replace(tzinfo=None)
+    tz, used, held, out = ZoneInfo(zone), {}, {}, []  # held: open leases, {id: [day, began, reserved]}
 
     def day_of(t: dt.datetime) -> dt.date:
         return t.replace(tzinfo=dt.UTC).astimezone(tz).date()
 
-    def charge(seconds: float) -> None:
-        used[lease["day"]] = min(limit, used.get(lease["day"], 0.0) + max(0.0, min(seconds, lease["reserved"])))
+    def end_of(day: dt.date) -> dt.datetime:
+        return dt.datetime.combine(day + dt.timedelta(days=1), dt.time(), tz).astimezone(dt.UTC).replace(tzinfo=None)
+
+    def remaining(day: dt.date) -> float:
+        return max(0.0, limit - used.get(day, 0.0) - sum(x[2] for x in held.values() if x[0] == day))
+
+    def charge(day: dt.date, seconds: float) -> None:
+        used[day] = min(limit, used.get(day, 0.0) + max(0.0, seconds))
+
+    def started(name: str, t: dt.datetime, today: dt.date) -> str:
+        if (left := remaining(today)) <= 0:
+            return "refused"
+        held[name] = [today, t, left]
+        return "granted"
+
+    def looked_at(name: str, t: dt.datetime, today: dt.date, ending: bool) -> str:
+        day, began, reserved = held.pop(name)
+        if day != today:
+            midnight = end_of(day)
+            charge(day, min((t - began).total_seconds(), (midnight - began).total_seconds()))
+            day, began, reserved = today, midnight, remaining(today)
+            if reserved <= 0:
+                return "expired"
+        spent = max(0.0, (t - began).total_seconds())
+        over = spent + 1e-6 >= reserved
+        if not (ending or over):
+            held[name] = [day, began, reserved]
+            return "running"
+        charge(day, min(spent, reserved))
+        return "expired" if over else "ended"
 
     for e in events:
-        t, today = e["ts"], day_of(e["ts"])
-        left = max(0.0, limit - used.get(today, 0.0) - (lease["reserved"] if lease and lease["day"] == today else 0.0))
+        t, today, name = e["ts"], day_of(e["ts"]), e["lease"]
         if e["action"] == "start":
-            said = "refused" if left <= 0 else "granted"
-            if said == "granted" and lease is None:
-                lease = {"id": e["lease"], "day": today, "start": t, "reserved": left}
-            elif said == "granted":
-                said = "refused"
-        elif lease is None or lease["id"] != e["lease"]:
-            said = "ignored"
+            said = started(name, t, today)
         else:
-            if lease["day"] != today:
-                charge((midnight(lease["start"]) - lease["start"]).total_seconds())
-                left = max(0.0, limit - used.get(today, 0.0))
-                start = dt.datetime.combine(today, dt.time(), tz).astimezone(dt.UTC).replace(tzinfo=None)
-                lease = {"id": lease["id"], "day": today, "start": start, "reserved": left} if left > 0 else None
-            spent = (t - lease["start"]).total_seconds() if lease else 0.0
-            if lease is None:
-                said = "expired"
-            elif e["action"] == "end" or spent + 1e-6 >= lease["reserved"]:
-                said = "ended" if spent + 1e-6 < lease["reserved"] else "expired"
-                charge(spent)
-                lease = None
-            else:
-                said = "running"
+            said = looked_at(name, t, today, e["action"] == "end") if name in held else "ignored"
         out.append({**e, "day": today, "result": said, "used": used.get(today, 0.0)})
     return out
 
 
+#: Events of one moment are taken in this order.
+ORDER = {"start": 0, "check": 1, "end": 2}
+
+
 def replay(events: DataFrame, limit: float = LIMIT, zone: str = ZONE) -> DataFrame:
-    """events (client, ts, lease, action) with result, day and used after each (Q2-Q5)."""
+    """events (client, ts, lease, action) with result, day and used after each (Q2-Q5).
+
+    What a client does must be seen in order: one client's events are one task's.
+    """
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        rows = x.sort_values(["ts", "lease"]).to_dict("records")
+        rows = x.assign(__k=x["action"].map(ORDER)).sort_values(["ts", "lease", "__k"], kind="stable").drop(columns="__k").to_dict("records")
         out = replay_client([{**r, "ts": r["ts"].to_pydatetime()} for r in rows], limit, zone)
         return pd.DataFrame(out, columns=["client", "ts", "lease", "action", "day", "result", "used"])
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.metrics import stripped
 from pageloom.functions.text import collapsed, with_glossary, without_repeats
 
 #: A translator gets (texts, target language, model) and gives as many texts.
@@ -93,7 +94,7 @@ def suspicious(said: Column, words: list[str]) -> Column:
 def postprocessed(units: DataFrame, glossary: DataFrame, target: str = "en", terms: list[tuple[str, str, str]] = (), spam: list[str] = ("publication",)) -> DataFrame:
     """units (text, translated, toc_page) with final: structure first, then fallbacks, then what was said."""
     u = with_glossary(units, "text", glossary, "__fallback")
-    said = corrected(F.col("text"), F.trim(without_repeats(F.coalesce("translated", F.lit("")))), list(terms))
+    said = corrected(F.col("text"), stripped(without_repeats(F.coalesce("translated", F.lit("")))), list(terms))
     u = u.withColumn("__said", said)
     plain = collapsed(F.col("text"))
     untouched = (F.col("__fallback") != plain) & (F.col("__said") == plain)

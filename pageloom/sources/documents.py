@@ -81,10 +81,8 @@ class Walk:
 
 def walked(trees: DataFrame, key: str, tree: str) -> DataFrame:
     """key and the walked rows of each tree; a page or label filter that is known belongs before this."""
-    spark = trees.sparkSession
-    spark.udtf.register("pageloom_walk", Walk)
-    trees.select(F.col(key).alias("__key"), F.col(tree).alias("__tree")).createOrReplaceTempView("pageloom_trees")
-    return spark.sql(f"SELECT t.__key AS `{key}`, w.* FROM pageloom_trees t, LATERAL pageloom_walk(t.__tree) w")
+    t = trees.select(F.col(key).alias("__key"), F.col(tree).alias("__tree"))
+    return t.lateralJoin(Walk(F.col("__tree").outer())).withColumnRenamed("__key", key).drop("__tree")
 
 
 def _box() -> Column:
