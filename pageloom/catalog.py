@@ -52,20 +52,20 @@ BLOCKS = (
     LINES
     + r""",
 blocks AS (
-  SELECT doc_id, page, ord, label, text, 'b' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY t DESC, l, ord) AS VARCHAR), 4, '0') AS block_id,
+  SELECT doc_id, page, ord, label, text, format('b{:04d}', row_number() OVER (PARTITION BY doc_id, page ORDER BY t DESC, l, ord)) AS block_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY t DESC, l, ord) AS nr,
     l AS x0, 800 - t AS y0, l + w AS x1, 800 - t + h AS y1, coalesce(font, 12.0) AS font, lines, coalesce(line_height, round(12.0 * 1.2, 3)) AS line_height, spacing
   FROM units)"""
 )
 BOXES = r"""
 boxes AS (
-  SELECT vec_id % 5 AS doc_id, CAST(vec_id // 5 % 12 + 1 AS INTEGER) AS page, CASE label % 2 WHEN 0 THEN 'paragraph' ELSE 'caption' END AS label, vec_id AS ord,
+  SELECT vec_id // 120 AS doc_id, CAST(vec_id % 4 + 1 AS INTEGER) AS page, CASE label % 2 WHEN 0 THEN 'paragraph' ELSE 'caption' END AS label, vec_id AS ord,
     CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 1024) % 4 AS DOUBLE) AS l, CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 1024) % 4 AS DOUBLE) AS b,
     CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 1024) % 4 + 40 + floor(abs(CAST(embedding[3] AS DOUBLE)) * 1024) % 4 * 2 AS DOUBLE) AS r,
     CAST(floor(abs(CAST(embedding[2] AS DOUBLE)) * 1024) % 4 + 40 + floor(abs(CAST(embedding[4] AS DOUBLE)) * 1024) % 4 * 2 AS DOUBLE) AS t
   FROM embeddings)"""
 INTERVALS = r"""
 intervals AS (
-  SELECT event_id AS job_id, user_id AS client, ts AS start, ts + to_seconds(CAST(60 * least(floor(greatest(coalesce(value, 0), 0)), 2880) AS BIGINT)) AS stop
+  SELECT event_id AS job_id, user_id AS client, ts AS start, ts + to_seconds(CAST(60 * floor(greatest(coalesce(value, 0), 0)) AS BIGINT)) AS stop
   FROM (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, value FROM events))"""
 
 
@@ -94,7 +94,7 @@ SELECT doc_id, page, count(*) AS n_units, string_agg(text, chr(10) ORDER BY t DE
 def page_assembly(spark, sf_dir):
     """A page's units in reading order."""
     u = layout.reading_order(units(spark, sf_dir))
-    p = u.groupBy("doc_id", "page").agg(F.count("*").alias("n_units"), F.array_sort(F.collect_list(F.struct("block_id", "text"))).alias("us"), F.max("box.top").alias("top"), F.min("box.bottom").alias("bottom"))
+    p = u.groupBy("doc_id", "page").agg(F.count("*").alias("n_units"), F.array_sort(F.collect_list(F.struct("nr", "text"))).alias("us"), F.max("box.top").alias("top"), F.min("box.bottom").alias("bottom"))
     return p.select("doc_id", "page", "n_units", F.array_join(F.transform("us", lambda x: x["text"]), "\n").alias("content"), "top", "bottom")
 
 
@@ -126,9 +126,27 @@ def bbox_iou_pairs(spark, sf_dir):
     return p.withColumns({"iou": F.round("iou", 6), "iom": F.round("iom", 6)})
 
 
-@query()
+_FOLD = """
+gs AS (SELECT doc_id, page, label, row_number() OVER (PARTITION BY doc_id, page, label ORDER BY ord) AS n, {'slot': ord, 'l': l, 'b': b, 'r': r, 't': t, 'hits': []::BIGINT[]} AS c FROM boxes),
+run AS (
+  SELECT doc_id, page, label, n, [c] AS kept FROM gs WHERE n = 1
+  UNION ALL
+  SELECT doc_id, page, label, n, CASE WHEN len(f.hits) = 0 THEN list_append(kept, c)
+    ELSE list_transform(list_filter(kept, lambda k: k.slot = f.hits[1] OR NOT list_contains(f.hits, k.slot)), lambda k: CASE WHEN k.slot = f.hits[1] THEN {'slot': k.slot, 'l': f.l, 'b': f.b, 'r': f.r, 't': f.t, 'hits': []::BIGINT[]} ELSE k END) END
+  FROM (
+    SELECT g.doc_id, g.page, g.label, g.n, u.kept, g.c, list_reduce(u.kept, lambda a, k: CASE
+      WHEN NOT (least((a.r - a.l) * (a.t - a.b), (k.r - k.l) * (k.t - k.b)) / greatest((a.r - a.l) * (a.t - a.b), (k.r - k.l) * (k.t - k.b)) >= 0.8
+        AND (greatest(0, least(a.r, k.r) - greatest(a.l, k.l)) * greatest(0, least(a.t, k.t) - greatest(a.b, k.b)) / ((a.r - a.l) * (a.t - a.b) + (k.r - k.l) * (k.t - k.b) - greatest(0, least(a.r, k.r) - greatest(a.l, k.l)) * greatest(0, least(a.t, k.t) - greatest(a.b, k.b))) >= 0.85
+          OR greatest(0, least(a.r, k.r) - greatest(a.l, k.l)) * greatest(0, least(a.t, k.t) - greatest(a.b, k.b)) / least((a.r - a.l) * (a.t - a.b), (k.r - k.l) * (k.t - k.b)) >= 0.9)) THEN a
+      WHEN (a.r - a.l) * (a.t - a.b) > (k.r - k.l) * (k.t - k.b) THEN {'slot': a.slot, 'l': a.l, 'b': a.b, 'r': a.r, 't': a.t, 'hits': list_append(a.hits, k.slot)}
+      ELSE {'slot': a.slot, 'l': k.l, 'b': k.b, 'r': k.r, 't': k.t, 'hits': list_append(a.hits, k.slot)} END, g.c) AS f
+    FROM run u JOIN gs g ON g.doc_id = u.doc_id AND g.page = u.page AND g.label = u.label AND g.n = u.n + 1)),
+ends AS (SELECT doc_id, page, label, unnest(arg_max(kept, n)) AS k FROM run GROUP BY doc_id, page, label)"""
+
+
+@query(f"WITH RECURSIVE {BOXES.lstrip()}, {_FOLD} SELECT doc_id, page, label, k.slot AS ord, k.l AS \"left\", k.b AS bottom, k.r AS \"right\", k.t AS top FROM ends")
 def bbox_dedup_greedy(spark, sf_dir):
-    """What the greedy rule keeps (held against a plain model in the tests)."""
+    """What the greedy rule keeps."""
     d = dedup.deduplicated(b.vector_boxes(b.table(spark, sf_dir, "embeddings")))
     return d.select("doc_id", "page", "label", "ord", "box.left", "box.bottom", "box.right", "box.top")
 
@@ -137,29 +155,43 @@ _GROWN = """
 grown AS (
   SELECT *, least(greatest((x1 - x0) * 0.035, font * 0.2), 18) AS px, least(greatest((y1 - y0) * 0.15, font * 0.9), 28) AS py FROM blocks),
 rects AS (
-  SELECT doc_id, page, block_id, label, spacing, CASE WHEN font < 16 THEN x0 ELSE x0 - px END AS x0, CASE WHEN font < 16 THEN y0 ELSE y0 - py * 0.3 END AS y0,
+  SELECT doc_id, page, block_id, nr, label, spacing, CASE WHEN font < 16 THEN x0 ELSE x0 - px END AS x0, CASE WHEN font < 16 THEN y0 ELSE y0 - py * 0.3 END AS y0,
     CASE WHEN font < 16 THEN x1 ELSE x1 + px END AS x1, CASE WHEN font < 16 THEN y1 ELSE y1 + py END AS y1 FROM grown)"""
 
 
 @query(
     f"""WITH {BLOCKS}, {_GROWN},
 met AS (
-  SELECT a.doc_id, a.page, a.block_id, least(a.x1, e.x1) - greatest(a.x0, e.x0) AS across, least(a.y1, e.y1) - greatest(a.y0, e.y0) AS down,
+  SELECT a.doc_id, a.page, a.block_id, a.nr, least(a.x1, e.x1) - greatest(a.x0, e.x0) AS across, least(a.y1, e.y1) - greatest(a.y0, e.y0) AS down,
     greatest(least(a.x1 - a.x0, e.x1 - e.x0), 1) AS narrow, least(a.y1 - a.y0, e.y1 - e.y0) AS low
-  FROM rects a JOIN rects e ON a.doc_id = e.doc_id AND a.page = e.page AND e.block_id < a.block_id),
+  FROM rects a JOIN rects e ON a.doc_id = e.doc_id AND a.page = e.page AND e.nr < a.nr),
 costs AS (
   SELECT doc_id, page, block_id, CASE WHEN NOT (across > 0 AND across / narrow >= 0.2) THEN 0 WHEN down > 0 THEN least(0.22, down / greatest(low, 1) * 0.16 + 0.05)
     WHEN -down <= greatest(low * 0.32, 4) THEN least(0.16, (1 + down / greatest(low * 0.32, 4)) * 0.1 + 0.04) ELSE 0 END AS p FROM met)
-SELECT doc_id, page, block_id, -round(max(p), 3) AS penalty FROM costs WHERE p > 0 GROUP BY doc_id, page, block_id"""
+SELECT c.doc_id, c.page, c.block_id, -round(max(p), 3) AS penalty, CASE WHEN abs(least(greatest(coalesce(any_value(b.spacing), 0) - round(max(p), 3), -0.22), 0.12)) >= 0.005 THEN round(least(greatest(coalesce(any_value(b.spacing), 0) - round(max(p), 3), -0.22), 0.12), 3) END AS adjusted
+FROM costs c JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.block_id = c.block_id WHERE p > 0 GROUP BY c.doc_id, c.page, c.block_id"""
 )
 def overlap_penalty(spark, sf_dir):
-    """J3, G9, G7."""
-    return layout.overlap_spacing(blocks(spark, sf_dir)).filter("penalty is not null").select("doc_id", "page", "block_id", "penalty")
+    """J3, G9, G7, P8."""
+    return layout.overlap_spacing(blocks(spark, sf_dir)).filter("penalty is not null").select("doc_id", "page", "block_id", "penalty", "adjusted")
 
 
-@query()
+#: First fit over a page's blocks from left to right; the state is the columns' first blocks.
+_COLUMNS = """
+lr AS (SELECT doc_id, page, block_id, nr, x0, x1, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, y0, nr) AS n FROM blocks),
+opened AS (
+  SELECT doc_id, page, block_id, n, 1::BIGINT AS col, [{'x0': x0, 'x1': x1}] AS firsts FROM lr WHERE n = 1
+  UNION ALL
+  SELECT doc_id, page, block_id, n, coalesce(place, len(firsts) + 1)::BIGINT, CASE WHEN place IS NULL THEN list_append(firsts, {'x0': x0, 'x1': x1}) ELSE firsts END
+  FROM (SELECT b.*, o.firsts, nullif(list_position(list_transform(o.firsts, lambda f: (least(f.x1, b.x1) - greatest(f.x0, b.x0)) / greatest(least(f.x1 - f.x0, b.x1 - b.x0), 1) >= 0.55
+      OR (abs(f.x0 - b.x0) <= greatest(12, least(f.x1 - f.x0, b.x1 - b.x0) * 0.18) AND abs(f.x1 - b.x1) <= greatest(12, least(f.x1 - f.x0, b.x1 - b.x0) * 0.18))), true), 0) AS place
+    FROM opened o JOIN lr b ON b.doc_id = o.doc_id AND b.page = o.page AND b.n = o.n + 1)),
+cols AS (SELECT doc_id, page, block_id, CAST(col AS INTEGER) AS "column" FROM opened)"""
+
+
+@query(f"WITH RECURSIVE {BLOCKS.lstrip()}, {_COLUMNS} SELECT * FROM cols")
 def column_clusters(spark, sf_dir):
-    """W5, G11, O2 (held against a plain model in the tests)."""
+    """W5, G11, O2."""
     return layout.column_clusters(blocks(spark, sf_dir)).select("doc_id", "page", "block_id", "column")
 
 
@@ -171,27 +203,19 @@ def split_units(spark, sf_dir):
 
 
 @query(
-    r"""WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)
+    r"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
+cut AS (SELECT doc_id, ord, line || CASE ord % 4 WHEN 0 THEN '  ' || (doc_id % 20000) WHEN 1 THEN ' xiv' WHEN 2 THEN ' 7a' ELSE '' END AS line FROM raw)
 SELECT doc_id, ord, regexp_extract(trim(line), '^(.+?)\s+([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$', 1) AS title, regexp_extract(trim(line), '^(.+?)\s+([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$', 2) AS toc_page
 FROM cut WHERE regexp_matches(trim(line), '^(.+?)\s+([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,8})$')"""
 )
 def toc_trailing_page(spark, sf_dir):
-    """X3 on every line."""
+    """X3 on every line, of which some get a page number, a roman one, or something that is none."""
     u = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    end = F.when(F.col("ord") % 4 == 0, F.concat(F.lit("  "), F.col("doc_id") % 20000)).when(F.col("ord") % 4 == 1, " xiv").when(F.col("ord") % 4 == 2, " 7a").otherwise("")
+    u = u.withColumn("line", F.concat("line", end))
     return u.withColumn("p", split.trailing_page(m.stripped(F.col("line")))).filter("p is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("p.text").alias("title"), F.col("p.page").alias("toc_page"))
 
 
-@query(
-    """WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-parts AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM cut)
-SELECT doc_id, pos, line AS text, CAST(700 - pos * (640.0 / n) AS DOUBLE) AS top, CASE WHEN pos = n - 1 THEN 60.0 ELSE CAST(700 - (pos + 1) * (640.0 / n) AS DOUBLE) END AS bottom
-FROM (SELECT doc_id, n, line, pos FROM parts WHERE n IN (2, 4, 8, 16, 32, 64))"""
-)
-def vertical_subdivision(spark, sf_dir):
-    """A document's box shared equally by its lines (documents of 2, 4, ... 64 lines, whose shares are exact; vertical_subdivision_all takes every document)."""
-    return _shared_by_lines(documents(spark, sf_dir).filter(F.size(F.split("text", "\n")).isin(2, 4, 8, 16, 32, 64))).select("doc_id", "pos", "text", "top", "bottom")
-
-
 def _shared_by_lines(docs):
     d = docs.select("doc_id", F.split("text", "\n").alias("ls"))
     d = d.select("doc_id", F.lit(0).alias("ord"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("page"), F.lit("text").alias("label"), F.struct(F.lit(72.0).alias("left"), F.lit(60.0).alias("bottom"), F.lit(540.0).alias("right"), F.lit(700.0).alias("top")).alias("box"), F.lit("").alias("text"), F.lit(12.0).alias("font_size"), F.lit("").alias("font_name"), F.lit("").alias("toc_page"), F.lit(1).alias("lines"), F.lit(14.0).alias("line_height"), F.lit(None).cast("double").alias("spacing"), "ls")
@@ -205,8 +229,8 @@ parts AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(l
 SELECT doc_id, pos, line AS text, round(CAST(700 - pos * (640.0 / n) AS DOUBLE), 6) AS top, CASE WHEN pos = n - 1 THEN 60.0 ELSE round(CAST(700 - (pos + 1) * (640.0 / n) AS DOUBLE), 6) END AS bottom
 FROM parts"""
 )
-def vertical_subdivision_all(spark, sf_dir):
-    """X8 over every document, whatever its number of lines; shares rounded to six places."""
+def vertical_subdivision(spark, sf_dir):
+    """A document's box shared equally by its lines; shares rounded to six places."""
     s = _shared_by_lines(documents(spark, sf_dir))
     return s.select("doc_id", "pos", "text", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
 
@@ -255,32 +279,22 @@ def translation_postprocess(spark, sf_dir):
     return u.select("doc_id", "ord", "final")
 
 
-def _trees(spark, sf_dir, text="text"):
+def _trees(spark, sf_dir):
     """A nested tree of each conversation: turns as boxes inside pages, the first box of a page holding the others."""
-    c = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr(text).alias("text"))
+    c = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     box = lambda k: F.array(F.lit(0), F.col("turn") * 10, F.lit(100), F.col("turn") * 10 + k)
     leaf = F.struct(F.struct(F.col("turn").cast("int").alias("page"), box(8).alias("bbox"), F.lit("caption").alias("label"), F.col("role").alias("content")).alias("note"))
     node = F.struct(F.col("turn").cast("int").alias("page"), F.lit("paragraph").alias("type"), box(9).alias("bbox"), "text", F.col("text").alias("content"), leaf.alias("kids"))
     return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", node.alias("node")))).alias("ns")).select("conv_id", F.to_json(F.struct(F.transform("ns", lambda x: x["node"]).alias("pages"))).alias("tree"))
 
 
-@query(
-    """WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 80) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
-SELECT conv_id, CAST(2 * k AS INTEGER) AS ord, CAST(turn AS INTEGER) AS page, 'paragraph' AS label, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, CAST(turn * 10 + 9 AS DOUBLE) AS top FROM c WHERE regexp_matches(text, '\\S')
-UNION ALL SELECT conv_id, CAST(2 * k + 1 AS INTEGER), CAST(turn AS INTEGER), 'caption', role, CAST(turn * 10 + 8 AS DOUBLE) FROM c""".replace("\\\\", "\\")
-)
-def json_walk_units(spark, sf_dir):
-    """S3, F1: parents before children, in document order (of texts' first 80 characters; json_walk_units_all walks whole texts)."""
-    return src.units(_trees(spark, sf_dir, "substring(text, 1, 80)"), "conv_id").select("conv_id", "ord", "page", "label", "text", "box.top")
-
-
 @query(
     r"""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
 SELECT conv_id, CAST(2 * k AS INTEGER) AS ord, CAST(turn AS INTEGER) AS page, 'paragraph' AS label, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, CAST(turn * 10 + 9 AS DOUBLE) AS top FROM c WHERE regexp_matches(text, '\S')
 UNION ALL SELECT conv_id, CAST(2 * k + 1 AS INTEGER), CAST(turn AS INTEGER), 'caption', role, CAST(turn * 10 + 8 AS DOUBLE) FROM c"""
 )
-def json_walk_units_all(spark, sf_dir):
-    """S3, F1 on whole texts."""
+def json_walk_units(spark, sf_dir):
+    """S3, F1: parents before children, in document order."""
     return src.units(_trees(spark, sf_dir), "conv_id").select("conv_id", "ord", "page", "label", "text", "box.top")
 
 
@@ -363,9 +377,19 @@ def job_concurrency(spark, sf_dir):
     return d.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.col("most").cast("long").alias("most"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {INTERVALS.lstrip()},
+js AS (SELECT client AS surface, job_id, CAST(floor(epoch(start)) AS DOUBLE) AS arrival_s, CAST(epoch(stop) - epoch(start) AS DOUBLE) AS takes_s, row_number() OVER (PARTITION BY client ORDER BY floor(epoch(start)), job_id) AS n FROM intervals),
+run AS (
+  SELECT surface, job_id, arrival_s, takes_s, n, 'running' AS verdict, arrival_s AS start_s, [-1e18, arrival_s + takes_s]::DOUBLE[] AS free, []::DOUBLE[] AS queue FROM js WHERE n = 1
+  UNION ALL
+  SELECT surface, job_id, arrival_s, takes_s, n, verdict, CASE verdict WHEN 'running' THEN arrival_s WHEN 'waiting' THEN free[1] END, CASE verdict WHEN 'running' THEN list_sort([free[2], arrival_s + takes_s]) WHEN 'waiting' THEN list_sort([free[2], free[1] + takes_s]) ELSE free END, CASE verdict WHEN 'waiting' THEN list_append(queue, free[1]) ELSE queue END
+  FROM (SELECT *, CASE WHEN free[1] <= arrival_s THEN 'running' WHEN len(queue) < 8 THEN 'waiting' ELSE 'busy' END AS verdict
+    FROM (SELECT j.*, r.free, list_filter(r.queue, lambda q: q > j.arrival_s) AS queue FROM run r JOIN js j ON j.surface = r.surface AND j.n = r.n + 1)))
+SELECT surface, job_id, arrival_s, takes_s, verdict, start_s FROM run"""
+)
 def job_admission(spark, sf_dir):
-    """B1: run, wait or be turned away; each user stands for a surface (facts are in the tests)."""
+    """B1: run, wait or be turned away; each user stands for a surface."""
     i = b.job_intervals(b.table(spark, sf_dir, "events"))
     return jobs.admission(i.select(F.col("client").alias("surface"), "job_id", F.unix_seconds("start").cast("double").alias("arrival_s"), F.col("seconds").alias("takes_s")))
 
@@ -413,13 +437,22 @@ def page_layout_plan(spark, sf_dir):
     return layout.page_plan(blocks(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BLOCKS.lstrip()}, {_COLUMNS},
+down AS (SELECT b.doc_id, b.page, c."column", b.block_id, b.y0, b.y1, b.y1 + CASE WHEN b.ord % 5 = 0 THEN 6.0 ELSE 0.0 END AS drawn, greatest(1.0, round(b.line_height * 0.12, 3)) AS gap, row_number() OVER (PARTITION BY b.doc_id, b.page, c."column" ORDER BY b.y0, b.nr) AS n FROM blocks b JOIN cols c ON c.doc_id = b.doc_id AND c.page = b.page AND c.block_id = b.block_id),
+moved AS (
+  SELECT doc_id, page, "column", block_id, n, y0, y1, 0.0::DOUBLE AS moved, drawn AS bottom FROM down WHERE n = 1
+  UNION ALL
+  SELECT doc_id, page, "column", block_id, n, y0 + by_, y1 + by_, by_, drawn + by_
+  FROM (SELECT *, CASE WHEN round(greatest(y0, bottom + gap) - y0, 3) > 0.5 THEN round(greatest(y0, bottom + gap) - y0, 3) ELSE 0.0 END AS by_ FROM (SELECT d.*, m.bottom FROM moved m JOIN down d ON d.doc_id = m.doc_id AND d.page = m.page AND d."column" = m."column" AND d.n = m.n + 1)))
+SELECT doc_id, page, "column", block_id, round(y0, 3) AS y0, round(y1, 3) AS y1, moved FROM moved"""
+)
 def layout_feedback_shift(spark, sf_dir):
-    """The plan after each fifth block was drawn 6 pt taller (facts are in the tests)."""
+    """The plan after each fifth block was drawn 6 pt taller."""
     x = layout.column_clusters(blocks(spark, sf_dir))
     tall = F.when(F.col("ord") % 5 == 0, 6.0).otherwise(0.0)
     p = x.select("doc_id", "page", "column", "block_id", F.col("rect.y0").alias("plan_y0"), F.col("rect.y1").alias("plan_y1"), F.col("rect.y0").alias("actual_y0"), (F.col("rect.y1") + tall).alias("actual_y1"), F.col("line_height").alias("line"))
-    return layout.shifted_plan(p)
+    return layout.shifted_plan(p).withColumns({"y0": F.round("y0", 3), "y1": F.round("y1", 3)})
 
 
 @query()
@@ -453,24 +486,13 @@ def retention_expired(spark, sf_dir):
     return x.select("workspace", F.col("newest").cast("timestamp_ntz").alias("newest"))
 
 
-@query(
-    r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document') AS slug,
-  CASE WHEN contains(lower(text), 'translat') THEN 'translating' WHEN contains(lower(text), 'render') THEN 'rendering' ELSE 'parsing' END AS stage,
-  coalesce(nullif(regexp_replace(regexp_replace(source || ' Font_1!', '[^A-Za-z0-9 _-]', '', 'g'), '^\s+|\s+$', '', 'g'), ''), 'sans-serif') AS family FROM documents"""
-)
-def text_slugs(spark, sf_dir):
-    """T1, T2, T11, T16 (slugs of the first 60 characters; text_slugs_all takes whole texts)."""
-    d = documents(spark, sf_dir)
-    return d.select("doc_id", t.slug(F.substring("text", 1, 60)).alias("slug"), t.stage(F.col("text")).alias("stage"), t.font_family(F.concat("source", F.lit(" Font_1!"))).alias("family"))
-
-
 @query(
     r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document') AS slug,
   CASE WHEN contains(lower(text), 'translat') THEN 'translating' WHEN contains(lower(text), 'render') THEN 'rendering' ELSE 'parsing' END AS stage,
   coalesce(nullif(regexp_replace(regexp_replace(source || ' Font_1!', '[^A-Za-z0-9 _-]', '', 'g'), '^\s+|\s+$', '', 'g'), ''), 'sans-serif') AS family FROM documents"""
 )
-def text_slugs_all(spark, sf_dir):
-    """T1, T2, T11, T16 on whole texts."""
+def text_slugs(spark, sf_dir):
+    """T1, T11, T16."""
     d = documents(spark, sf_dir)
     return d.select("doc_id", t.slug(F.col("text")).alias("slug"), t.stage(F.col("text")).alias("stage"), t.font_family(F.concat("source", F.lit(" Font_1!"))).alias("family"))
 
@@ -496,19 +518,23 @@ def page_rects(spark, sf_dir):
     return x.select("doc_id", "page", "r.x0", "r.y0", "r.x1", "r.y1", "n")
 
 
+#: Forwarding lists and the first entry of each, the first public one, and whether a quota holds for the first.
+_FORWARDED = [(" 10.0.0.1 , 8.8.8.8", "10.0.0.1", "8.8.8.8", True), ("::ffff:127.0.0.1", "::ffff:127.0.0.1", None, False), ("0:0:0:0:0:0:0:1,2001:4860:4860::8888", "0:0:0:0:0:0:0:1", "2001:4860:4860::8888", False), ("127.evil, fe80::1, 1.1.1.1", "127.evil", "1.1.1.1", True), ("2001:db8::1,192.168.0.9", "2001:db8::1", None, True), ("localhost", "localhost", None, False), (" ", None, None, None), ("300.1.1.1,fd00::1,9.9.9.9", "300.1.1.1", "9.9.9.9", True)]
+
+
 @query(
-    r"""WITH c AS (SELECT user_id, event_id, CAST(user_id % 256 AS VARCHAR) || '.' || (event_id % 256) || '.3.4' AS ip FROM events),
-f AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN ' 10.0.0.1 , ' || ip ELSE ip || ',10.0.0.2' END AS fwd, CASE WHEN event_id % 2 = 0 THEN '127.0.0.1' ELSE '' END AS peer FROM c)
-SELECT event_id, coalesce(nullif(trim(string_split(fwd, ',')[1]), ''), peer) AS client,
-  NOT (coalesce(nullif(trim(string_split(fwd, ',')[1]), ''), peer) IN ('', 'localhost', '::1') OR starts_with(coalesce(nullif(trim(string_split(fwd, ',')[1]), ''), peer), '127.')) AS limited FROM f"""
+    "WITH f(k, fwd, first, public, held) AS (VALUES "
+    + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in (k, *row)) + ")" for k, row in enumerate(_FORWARDED))
+    + """), e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '127.0.0.1' ELSE CAST(user_id % 256 AS VARCHAR) || '.' || (event_id % 256) || '.3.4' END AS peer, event_id % 2 = 1 AND user_id % 256 <> 127 AS held, event_id % 8 AS k FROM events)
+SELECT event_id, coalesce(f.first, peer) AS client, coalesce(f.public, peer) AS public_client, coalesce(f.held, e.held) AS limited FROM e JOIN f ON f.k = e.k"""
 )
 def client_addresses(spark, sf_dir):
-    """T15, F13, F14."""
+    """The first entry, the first public one, and whether the limit holds."""
     e = b.table(spark, sf_dir, "events")
-    ip = F.concat((F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(".3.4"))
-    fwd = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat(F.lit(" 10.0.0.1 , "), ip)).otherwise(F.concat(ip, F.lit(",10.0.0.2")))
-    who = t.client_ip(fwd, F.lit(""), F.when(F.col("event_id") % 2 == 0, "127.0.0.1").otherwise(""))
-    return e.select("event_id", who.alias("client"), t.limited(who).alias("limited"))
+    fwd = F.get(F.array(*[F.lit(x[0]) for x in _FORWARDED]), (F.col("event_id") % len(_FORWARDED)).cast("int"))
+    peer = F.when(F.col("event_id") % 2 == 0, "127.0.0.1").otherwise(F.concat((F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(".3.4")))
+    x = e.select("event_id", t.client_ip(fwd, F.lit(""), peer).alias("client"), t.client_ip(fwd, F.lit(""), peer, public_only=True).alias("public_client"))
+    return x.withColumn("limited", t.limited(F.col("client")))
 
 
 @query(
@@ -523,8 +549,18 @@ def progress_cadence(spark, sf_dir):
     return jobs.progress_lines(u)
 
 
-@query()
+@query(
+    rf"""WITH {BLOCKS}, said AS (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS safe FROM blocks)
+SELECT doc_id, page, block_id, '<div style="font-family: sans-serif; font-size: ' || printf('%.3f', font) || 'pt; line-height: ' || printf('%.3f', line_height) || 'pt' || coalesce('; letter-spacing: ' || printf('%.3f', spacing) || 'em', '') || '">'
+  || regexp_replace(regexp_replace(safe, '([•◦▪●○■])', '<span class="glyph">\1</span>', 'g'), '
+|[
+
+]', '<br/>', 'g') || '</div>' AS html FROM said"""
+)
 def html_blocks(spark, sf_dir):
-    """Styled blocks (facts are in the tests)."""
+    """Styled blocks."""
     x = blocks(spark, sf_dir)
     return x.select("doc_id", "page", "block_id", t.html_block(F.col("text"), t.font_family(F.col("font_name")), F.col("font_size"), F.col("line_height"), F.col("spacing")).alias("html"))
+
+
+from pageloom import catalog_values  # noqa: E402, F401  (registers its queries)

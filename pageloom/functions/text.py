@@ -8,6 +8,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.columns import let
 from pageloom.functions.metrics import BLANKS, stripped
 
 
@@ -108,20 +109,30 @@ PRIVATE = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0
 PUBLIC = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
 
 
+_FOUR = r"(?:(?:0|[1-9]\d{0,2})\.){3}(?:0|[1-9]\d{0,2})$"
+
+
 def address(c: Column) -> Column:
     """The eight 16-bit numbers of an IPv6 address, an IPv4 one as ::ffff:a.b.c.d; null if it is neither."""
+    hex_ = lambda a, b: F.lower(F.hex(a * 256 + b))
+
+    def colons(x: Column) -> Column:
+        """With the four decimal parts, if there are, as two groups."""
+        octets = F.transform(F.split(F.regexp_extract(x, f"({_FOUR})", 1), r"\."), lambda p: p.try_cast("int"))
+        before = F.when(F.contains(x, F.lit(":")), F.regexp_replace(x, _FOUR, "")).otherwise("::ffff:")
+        four = lambda o: F.when(x.rlike(f"(?:^|:){_FOUR}") & F.forall(o, lambda v: v <= 255), F.concat(before, hex_(F.get(o, 0), F.get(o, 1)), F.lit(":"), hex_(F.get(o, 2), F.get(o, 3))))
+        return F.when(F.contains(x, F.lit(".")), let(octets, four)).otherwise(x)
+
+    def filled(halves: Column) -> Column:
+        """All eight groups, the gap filled with zeros."""
+        n, there = F.size(halves), F.size(F.flatten(halves))
+        gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - there, F.lit(0)))
+        return F.when((n == 1) & (there == 8), F.get(halves, 0)).when((n == 2) & (there <= 7), F.concat(F.get(halves, 0), gap, F.get(halves, 1)))
+
+    halves = lambda y: F.transform(F.split(y, "::"), lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":")))
+    numbers = lambda a: F.when(F.forall(a, lambda h: h.rlike("^[0-9a-f]{1,4}$")), F.transform(a, lambda h: F.conv(h, 16, 10).cast("int")))
     x = F.regexp_replace(F.lower(stripped(c)), r"%[^%:]+$", "")
-    four = r"(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})\.(0|[1-9]\d{0,2})$"
-    octet = [F.regexp_extract(x, four, k).try_cast("int") for k in (1, 2, 3, 4)]
-    octets = x.rlike("(^|:)" + four) & (F.greatest(*octet) <= 255)
-    tail = F.concat_ws(":", F.lower(F.hex(octet[0] * 256 + octet[1])), F.lower(F.hex(octet[2] * 256 + octet[3])))
-    y = F.when(octets, F.concat(F.when(F.contains(x, F.lit(":")), F.regexp_replace(x, four, "")).otherwise("::ffff:"), tail)).when(F.contains(x, F.lit(".")), F.lit(None)).otherwise(x)
-    halves = F.split(y, "::")
-    groups = lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":"))
-    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
-    zeros = F.lit(8) - F.size(left) - F.size(right)
-    all_ = F.when((F.size(halves) == 1) & (F.size(left) == 8), left).when((F.size(halves) == 2) & (zeros >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right))
-    return F.when(F.forall(all_, lambda h: h.rlike("^[0-9a-f]{1,4}$")), F.transform(all_, lambda h: F.conv(h, 16, 10).cast("int")))
+    return let(x, lambda x: let(colons(x), lambda y: let(halves(y), lambda h: let(filled(h), numbers))))
 
 
 def within(groups: Column, network: str) -> Column:
@@ -142,12 +153,11 @@ def _any(groups: Column, networks: list[str]) -> Column:
 
 def public_ip(c: Column) -> Column:
     """Whether an address, IPv4 or IPv6, is publicly routed."""
-    a = address(c)
-    return a.isNotNull() & (_any(a, PUBLIC) | ~_any(a, PRIVATE))
+    return let(address(c), lambda a: a.isNotNull() & (_any(a, PUBLIC) | ~_any(a, PRIVATE)))
 
 
 def loopback(c: Column) -> Column:
-    return _any(address(c), ["127.0.0.0/8", "::1/128"])
+    return let(address(c), lambda a: _any(a, ["127.0.0.0/8", "::1/128"]))
 
 
 def client_ip(forwarded: Column, real: Column, peer: Column, public_only: bool = False) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import message
@@ -15,6 +16,7 @@ RUNNING, WAITING = 2, 8
 TERMINAL = ("succeeded", "failed", "quota_exceeded", "queue_busy")
 EVERY_UNIT, EVERY_PAGE = 10, 5
 RETENTION_S = 86_400
+HEARTBEAT_S, POLL_S, CLEANUP_S = 10.0, 1.5, 600.0
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -88,3 +90,81 @@ def page_limit(mode: Column, unknown: int | None = 1) -> Column:
 def first_pages(units: DataFrame, limit: int | None) -> DataFrame:
     """The first pages; none given, or no positive number, keeps all."""
     return units if limit is None or limit <= 0 else units.filter(F.col("page") <= limit)
+
+
+def on_pages(units: DataFrame, pages: DataFrame) -> DataFrame:
+    """Units whose page is there (F3, J11): a semi-join with the pages (doc_id, page)."""
+    return units.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+
+
+def queue_counters(admitted: DataFrame, at: Column, running: int = RUNNING, waiting: int = WAITING) -> DataFrame:
+    """surface, active, waiting, capacity and queue_capacity at a moment (A9), of what admission gives."""
+    begun = F.col("verdict").isin("running", "waiting")
+    active = begun & (F.col("start_s") <= at) & (at < F.col("start_s") + F.col("takes_s"))
+    queued = begun & (F.col("arrival_s") <= at) & (at < F.col("start_s"))
+    return admitted.groupBy("surface").agg(F.count_if(active).alias("active"), F.count_if(queued).alias("waiting"), F.lit(running).alias("capacity"), F.lit(waiting).alias("queue_capacity"))
+
+
+def lookup(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (job_id) with its job's columns and http: 200, or 404 for an unknown job."""
+    j = asked.select("job_id").join(jobs.withColumn("__there", F.lit(True)), "job_id", "left")
+    return j.withColumn("http", F.when(F.col("__there"), 200).otherwise(404)).drop("__there")
+
+
+def response(jobs: DataFrame) -> DataFrame:
+    """job_id and the job as JSON, nulls written."""
+    return jobs.select("job_id", F.to_json(F.struct(*jobs.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def heartbeats(phases: DataFrame, every: float = HEARTBEAT_S) -> DataFrame:
+    """phases (job_id, phase, start, end, context) -> a log line each ``every`` seconds while a phase runs."""
+    n = F.floor((F.unix_micros("end") - F.unix_micros("start")) / (every * 1e6)).cast("int")
+    p = phases.filter(n > 0).select("*", F.explode(F.sequence(F.lit(1), n)).alias("beat"))
+    ts = F.timestamp_micros((F.unix_micros("start") + F.col("beat") * int(every * 1e6)).cast("long"))
+    return p.select("job_id", ts.alias("ts"), F.format_string("heartbeat phase=%s elapsed=%.0fs %s", "phase", F.col("beat") * every, F.coalesce("context", F.lit(""))).alias("message"))
+
+
+def polls(jobs: DataFrame, every: float = POLL_S) -> DataFrame:
+    """jobs (job_id, asked, ended) -> how often a client polls until it sees the end, and when that is."""
+    gone = (F.unix_micros("ended") - F.unix_micros("asked")) / 1e6
+    n = F.greatest(F.ceil(gone / every), F.lit(0)).cast("long")
+    return jobs.select("job_id", (n + 1).alias("polls"), F.timestamp_micros((F.unix_micros("asked") + n * int(every * 1e6)).cast("long")).alias("seen"))
+
+
+def sweep(spark: SparkSession, root: str, now: float, seconds: int = RETENTION_S) -> list[str]:
+    """Deletes workspaces under root whose newest file is older, and their published folders (B6, F15, J11); gives their names.
+
+    A scheduled job calls it each ``CLEANUP_S``.  Names are a directory's listing, not data.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def newest(p: object) -> int:
+        at = [fs.getFileStatus(p).getModificationTime()]
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            at.append(files.next().getModificationTime())
+        return max(at)
+
+    gone = []
+    for s in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName()) if fs.exists(path) and seconds > 0 else []:
+        name = s.getPath().getName()
+        if s.isDirectory() and name != "public" and newest(s.getPath()) / 1000 < now - seconds:
+            for p in (s.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/public/{name}")):
+                if fs.exists(p):
+                    fs.delete(p, True)
+            gone.append(name)
+    return gone
+
+
+class Progress:
+    """A callback (value, text) that clamps, keeps and tells progress (E8); values never go back."""
+
+    def __init__(self, tell: Callable[[float, str], None] = lambda value, text: None):
+        self.tell, self.value, self.lines = tell, 0.0, []
+
+    def __call__(self, value: float, text: str = "") -> None:
+        self.value = max(self.value, min(1.0, max(0.0, value)))
+        self.lines.append((self.value, text))
+        self.tell(self.value, text)

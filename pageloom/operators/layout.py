@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import geometry as g
 from pageloom.functions import metrics as m
-from pageloom.functions.columns import once
+from pageloom.functions.columns import let, once
 
 #: Labels that are planned; penalties; candidate steps.
 PLANNED = ("paragraph", "heading", "caption", "list item")
@@ -205,11 +205,6 @@ def _columns_of(blocks: DataFrame) -> DataFrame:
 PLACED = "block_id string, plan_y0 double, plan_y1 double, actual_y0 double, actual_y1 double, shift double, fallback string, scale double, font double, line double, letter double, lines int, height double, reason string, used double, overlap double, top_delta double, bottom_delta double"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), the value being worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def page_plan(blocks: DataFrame, validator: Validator | None = None, adjust: bool = True) -> DataFrame:
     """The plan of every block (L4, W6, O6), column by column from top to bottom.
 

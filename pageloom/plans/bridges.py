@@ -55,11 +55,11 @@ def blocks(units: DataFrame, default_font: float = 12.0) -> DataFrame:
 
 
 def vector_boxes(embeddings: DataFrame) -> DataFrame:
-    """Boxes of the first four numbers of each vector, in sixteenths: 12 pages of few positions."""
+    """Boxes of the first four numbers of each vector, few positions: documents of 120 boxes on four pages."""
     v = lambda k, n: F.pmod(F.floor(F.abs(F.get("embedding", k).cast("double")) * 1024), F.lit(n))
     left, bottom = v(0, 4) * 1.0, v(1, 4) * 1.0
     b = F.struct(left.alias("left"), bottom.alias("bottom"), (left + 40.0 + v(2, 4) * 2.0).alias("right"), (bottom + 40.0 + v(3, 4) * 2.0).alias("top"))
-    return embeddings.select((F.col("vec_id") % 5).alias("doc_id"), (F.floor(F.col("vec_id") / 5) % 12 + 1).cast("int").alias("page"), F.when(F.col("label") % 2 == 0, "paragraph").otherwise("caption").alias("label"), F.col("vec_id").alias("ord"), b.alias("box"), F.lit("").alias("text"))
+    return embeddings.select(F.floor(F.col("vec_id") / 120).alias("doc_id"), (F.col("vec_id") % 4 + 1).cast("int").alias("page"), F.when(F.col("label") % 2 == 0, "paragraph").otherwise("caption").alias("label"), F.col("vec_id").alias("ord"), b.alias("box"), F.lit("").alias("text"))
 
 
 def spent(events: DataFrame) -> DataFrame:
@@ -67,6 +67,6 @@ def spent(events: DataFrame) -> DataFrame:
 
 
 def job_intervals(events: DataFrame) -> DataFrame:
-    """Each event as a job that runs for its value in whole minutes, two days at most."""
-    minutes = F.least(F.floor(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0))), F.lit(2880)).cast("long")
+    """Each event as a job that runs for its value in whole minutes."""
+    minutes = F.floor(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0))).cast("long")
     return events.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("start"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + minutes * 60).alias("end"), (minutes * 60).cast("double").alias("seconds"), F.col("user_id").alias("client"))

@@ -59,8 +59,16 @@ def append_log(messages: DataFrame, path: str) -> None:
     messages.select(F.format_string("[%s] %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "message").alias("value")).write.mode("append").text(path)
 
 
-def artifacts(jobs: DataFrame, root: str) -> DataFrame:
-    """jobs (job_id) with the map of what is published for each (K8, K9)."""
-    names = {"structured": "structured.json", "markdown": "result.md", "report": "render_report.json", "units": "translation_units.jsonl"}
-    pairs = [x for k, v in names.items() for x in (F.lit(k), F.concat(F.lit(f"{root}/"), F.col("job_id"), F.lit(f"/{v}")))]
-    return jobs.withColumn("artifacts", F.create_map(*pairs))
+#: What is published for a job.
+ARTIFACTS = {"translated": "translated.pdf", "boxes": "boxes.pdf", "markdown": "result.md", "structured": "structured.json", "report": "render_report.json", "units": "translation_units.jsonl"}
+
+
+def artifacts(jobs: DataFrame, root: str, files: DataFrame | None = None) -> DataFrame:
+    """jobs (job_id) with the map of what is published for each (K8); with files (path), of those that exist only (K9)."""
+    pairs = [x for k, v in ARTIFACTS.items() for x in (F.lit(k), F.concat(F.lit(f"{root}/"), F.col("job_id"), F.lit(f"/{v}")))]
+    all_ = F.create_map(*pairs)
+    if files is None:
+        return jobs.withColumn("artifacts", all_)
+    each = jobs.select("job_id", F.explode(all_).alias("__k", "path")).join(files.select("path").distinct(), "path", "left_semi")
+    there = each.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "path")))).alias("artifacts"))
+    return jobs.join(there, "job_id", "left").withColumn("artifacts", F.coalesce("artifacts", F.create_map().cast("map<string,string>")))

@@ -1,5 +1,8 @@
 """Facts about single functions."""
 
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +65,24 @@ def test_addresses(spark):
     assert one(spark, t.client_ip(fwd, F.lit(""), F.lit("p")), t.client_ip(fwd, F.lit(""), F.lit("p"), public_only=True), t.client_ip(F.lit(None).cast("string"), F.lit(" "), F.lit("p"))) == ["10.0.0.1", "8.8.8.8", "p"]
 
 
+def test_addresses_equal_the_standard_library(spark):
+    rng = random.Random(4)
+    said = ["", "127.evil", "::ffff:127.0.0.1", "0:0:0:0:0:0:0:1", "::1", "2001:4860:4860::8888", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "::", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "12345::", "g::1", "fe80::1%eth0", "64:ff9b:1::9", "2002::1", "100.64.0.1", "224.0.0.1", "192.0.0.9", "2001:20::1", "::1.2.3.4", "::ffff:8.8.8.8", "1:2:3:4:5:6:1.2.3.4"]
+    said += [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(200)]
+    said += [str(ipaddress.IPv6Address(rng.choice([0x2001, 0xFC00, 0xFE80, 0x2002, 0x2A00, 0]) << 112 | rng.getrandbits(rng.choice([16, 32, 112])))) for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in said], "x string").select("x", t.public_ip(F.col("x")).alias("p"), t.loopback(F.col("x")).alias("l")).collect()
+
+    def plain(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return False, False
+        a = getattr(a, "ipv4_mapped", None) or a
+        return a.is_global, a.is_loopback
+
+    assert {r["x"]: (r["p"], r["l"]) for r in got} == {x: plain(x) for x in said}
+
+
 def test_glossary_replaces_in_order(spark):
     gl = spark.createDataFrame([(1, "Comments", "X"), (2, "Comment", "Y")], "ord int, src string, dst string")
     df = spark.createDataFrame([("Comments  and Comment",)], "text string")

@@ -2,14 +2,18 @@
 
 import datetime as dt
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom import settings
 from pageloom.operators import dedup, jobs, layout, quota, split, translate
 from pageloom.plans import reports
 from pageloom.sources import documents as src
+from pageloom.sources import parsers
 
 UNIT = "doc_id int, ord int, path array<int>, page int, label string, box struct<left:double,bottom:double,right:double,top:double>, text string, font_size double, font_name string, toc_page string, lines int, line_height double, spacing double"
 
@@ -144,6 +148,71 @@ def test_validator_is_asked_in_order_of_cost(spark):
     assert r["scale"] == 0.92 and "font_scale" in r["reason"]
 
 
+def test_fold_equals_trials_that_all_fit(spark):
+    rng = random.Random(6)
+    rows = [block(k, (x := rng.choice([0.0, 150.0, 320.0]), y := k * 14.0 + rng.random() * 9, x + rng.choice([60.0, 120.0]), y + rng.choice([8.0, 20.0, 30.0])), "word " * rng.randint(1, 40), rng.choice(["paragraph", "heading", "figure"]), rng.choice(["", "", "7"]), rng.choice([9.0, 12.0, 18.0])) for k in range(1, 40)]
+    b = blocks(spark, *rows)
+    plain = {r["block_id"]: r.asDict() for r in layout.page_plan(b).collect()}
+    asked = {r["block_id"]: r.asDict() for r in layout.page_plan(b, layout.remembered(lambda b, x0, y0, x1, y1, c: (True, y0, y1, 1.0))).collect()}
+    assert set(plain) == set(asked) and len(plain) == 39
+    for k, r in plain.items():
+        assert {c: v if not isinstance(v, float) else round(v, 6) for c, v in r.items()} == {c: v if not isinstance(v, float) else round(v, 6) for c, v in asked[k].items()}
+
+
+def test_large_type_is_planned_where_it_is_drawn(spark):
+    r = layout.page_plan(blocks(spark, block(1, (0.0, 50.0, 100.0, 80.0), font=20.0), block(2, (0.0, 200.0, 100.0, 400.0)))).filter("block_id = 'b0001'").first()
+    assert r["plan_y0"] == pytest.approx(50.0 - 18.0 * 0.3)
+    p = layout.legacy_plan(blocks(spark, block(1, (0.0, 50.0, 100.0, 80.0), font=20.0))).first()
+    assert p["planned"]["y1"] == pytest.approx(98.0) and p["shift"] == 0.0
+
+
+def test_drawn_into_what_stands_above(spark):
+    def rises(b, x0, y0, x1, y1, c):
+        return True, y0 - (8.0 if b["block_id"] == "b0002" and y0 < 45 else 0.0), y1, 1.0
+
+    b = blocks(spark, block(1, (0.0, 0.0, 100.0, 30.0)), block(2, (0.0, 31.0, 100.0, 60.0)), block(3, (0.0, 100.0, 100.0, 300.0)))
+    got = {r["block_id"]: r for r in layout.page_plan(b, rises).collect()}
+    assert got["b0002"]["fallback"] == "postpass_shift" and got["b0002"]["overlap"] == 0.0
+    always = {r["block_id"]: r for r in layout.page_plan(b, lambda b, x0, y0, x1, y1, c: (b["block_id"] != "b0002" or y0 < 35, y0 - (8.0 if b["block_id"] == "b0002" else 0.0), y1, 1.0)).collect()}
+    assert always["b0002"]["fallback"] == "postpass_overlap_overflow" and always["b0002"]["actual_y0"] is None and always["b0002"]["overlap"] > 0
+    none = layout.page_plan(b, lambda b, x0, y0, x1, y1, c: (False, y0, y1, 1.0)).filter("block_id = 'b0001'").first()
+    assert none["fallback"] == "pymupdf_probe_overflow" and none["used"] == 0.0
+
+
+def test_reason_needs_more_than_rounding(spark):
+    c = F.struct(F.lit(0.9995).alias("scale"), F.lit(11.99).alias("line"), F.lit(0.004).alias("letter"))
+    d = F.struct(F.lit(0.9).alias("scale"), F.lit(10.0).alias("line"), F.lit(-0.05).alias("letter"))
+    none = F.lit(None).cast("double")
+    assert list(spark.range(1).select(layout.reason(c, F.lit(12.0), none), layout.reason(d, F.lit(12.0), none)).first()) == ["none", "font_scale+line_height+letter_spacing"]
+
+
+def test_pages_of_more_than_9999_blocks(spark):
+    d = spark.range(12_000).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.struct(F.lit(0.0).alias("left"), (12_000.0 - F.col("id")).alias("top")).alias("box"), F.col("id").alias("ord"))
+    got = layout.reading_order(d).filter("ord in (0, 9998, 10500)").orderBy("ord").collect()
+    assert [r["block_id"] for r in got] == ["b0001", "b9999", "b10501"] and spark.range(1).select(layout.number(F.lit("b10501"))).first()[0] == 10501
+
+
+def test_missing_measurement_is_an_error(spark):
+    asked = spark.createDataFrame([("a",), ("b",)], "request_id string")
+    there = spark.createDataFrame([("a", 3.0, 1), ("b", 4.0, 2)], "request_id string, height_pt double, line_count int")
+    assert {r["request_id"]: r["height"] for r in layout.measured(asked, there).collect()} == {"a": 3.0, "b": 4.0}
+    with pytest.raises(Exception, match="no measurement for request b"):
+        layout.measured(asked, there.filter("request_id = 'a'")).collect()
+
+
+def test_equal_trials_are_asked_once():
+    asked = []
+    v = layout.remembered(lambda *a: asked.append(a) or (True, 0.0, 1.0, 1.0))
+    c = {"scale": 1.0, "font": 9.0, "line": 12.0, "letter": None, "lines": 1}
+    assert v({"text": "x"}, 0, 0.0, 1, 1, c) == v({"text": "x"}, 0, 0.00001, 1, 1, c) and len(asked) == 1
+    assert v({"text": "y"}, 0, 0.0, 1, 1, c) and len(asked) == 2
+
+
+def test_text_boxes(spark):
+    w = spark.createDataFrame([(1, "word", "a", 1.0, 2.0, 3.0, 4.0), (1, "word", " ", 0.0, 0.0, 9.0, 9.0), (1, "block", "a", 0.0, 0.0, 9.0, 9.0), (2, "block", "b", 5.0, 5.0, 6.0, 6.0), (3, "word", "", 5.0, 5.0, 6.0, 6.0)], "page int, kind string, text string, x0 double, y0 double, x1 double, y1 double")
+    assert {r["page"]: tuple(r)[1:] for r in layout.text_box(w, "page").collect()} == {1: (1.0, 2.0, 3.0, 4.0), 2: (5.0, 5.0, 6.0, 6.0), 3: (None,) * 4}
+
+
 def test_feedback_shift(spark):
     p = spark.createDataFrame([(1, 1, 1, "b1", 0.0, 20.0, 0.0, 28.0, 14.0), (1, 1, 1, "b2", 22.0, 42.0, None, None, 14.0), (1, 1, 2, "b3", 22.0, 42.0, None, None, 14.0)], "doc_id int, page int, column int, block_id string, plan_y0 double, plan_y1 double, actual_y0 double, actual_y1 double, line double")
     got = {r["block_id"]: (r["y0"], r["y1"]) for r in layout.shifted_plan(p).collect()}
@@ -184,6 +253,20 @@ def test_leases():
     assert run((late, "x", "start"), (late + 60 * s, "y", "start")) == [("granted", 0.0), ("granted", 0.0)]
 
 
+def test_lease_over_two_midnights_and_checks():
+    def run(*events, **k):
+        return [(r["result"], r["used"]) for r in quota.replay_client([{"ts": t, "lease": x, "action": a} for t, x, a in events], **k)]
+
+    s, late = dt.timedelta(seconds=1), at(4, 14, 59)
+    two_days = late + dt.timedelta(days=1, seconds=120)
+    # All that came after the first midnight is today's.
+    assert run((late, "x", "start"), (two_days, "x", "check")) == [("granted", 0.0), ("expired", 500.0)]
+    assert run((late, "x", "start"), (late + 90 * s, "x", "check"), (late + 100 * s, "x", "end")) == [("granted", 0.0), ("running", 0.0), ("ended", 40.0)]
+    assert run((late, "x", "start"), (late, "y", "start"), (late + 10 * s, "z", "end")) == [("granted", 0.0), ("refused", 0.0), ("ignored", 0.0)]
+    # Two leases of different days are open; the older one finds nothing left of today.
+    assert run((late, "x", "start"), (late + 60 * s, "y", "start"), (late + 70 * s, "x", "check")) == [("granted", 0.0), ("granted", 0.0), ("expired", 0.0)]
+
+
 def test_usage_by_client_and_day(spark):
     d = spark.createDataFrame([("a", at(4, 14, 50), 120.0), ("b", at(4, 14, 50), 80.0), ("a", at(4, 15, 10), 5.0), ("a", at(4, 14, 0), 900.0)], "client string, ts timestamp, seconds double")
     got = {(r["client"], str(r["day"])): r["used"] for r in quota.daily_usage(d).collect()}
@@ -221,6 +304,88 @@ def test_translators(spark):
     assert sorted(str(r["translated"]) for r in translate.translated(d, "identity", "de").collect()) == ["None", "a", "a"]
 
 
+def test_remote_translator():
+    said, waits = [], []
+
+    def service(*answers):
+        left = list(answers)
+        return lambda url, headers, body: said.append(json.loads(body)) or left.pop(0)
+
+    good = json.dumps({"choices": [{"message": {"content": " Hallo "}}]})
+    f = translate.remote(service((429, "{}"), (503, "busy"), (200, good)), "k", "u", sleep=waits.append)
+    assert f(["Hello", "  "], "German", "m") == ["Hallo", "  "] and waits == [1.0, 2.0]
+    assert said[0]["temperature"] == 0 and "German" in said[0]["messages"][0]["content"]
+    with pytest.raises(translate.RemoteError, match="HTTP 401 after 1 attempts: no key"):
+        translate.remote(service((401, '{"error": {"message": "no key"}}')), "k", "u")(["x"], "de", "m")
+    with pytest.raises(translate.RemoteError, match="HTTP 500 after 3 attempts: oops"):
+        translate.remote(service(*[(500, "oops")] * 3), "k", "u", sleep=waits.append)(["x"], "de", "m")
+    for bad in ("{", "{}", '{"choices": []}', json.dumps({"choices": [{"message": {"content": " "}}]})):
+        with pytest.raises(translate.RemoteError):
+            translate.answer(bad)
+
+
+def test_fallbacks(spark):
+    u = spark.createDataFrame([("Comments  and Comment", "Comments and Comment", ""), ("Introduction and Road Map", "검색사이트 x", ""), ("Plain", "Plain\n\t", "")], "text string, translated string, toc_page string")
+    got = [r["final"] for r in translate.postprocessed(u, translate.phrases(spark), "ko").collect()]
+    assert got == ["논평 and 논평", "소개 및 로드맵", "Plain"]
+
+
+def test_parsers(spark, tmp_path):
+    f = spark.createDataFrame([("a.json", bytearray(b'{"pages": []}')), ("b.json", bytearray(b"{"))], "path string, content binary")
+    p = parsers.parsed(f, "json")
+    assert {r["path"]: (r["tree"], r["error"] is None) for r in p.collect()} == {"a.json": ('{"pages": []}', True), "b.json": (None, False)}
+    with pytest.raises(Exception, match="could not parse b.json"):
+        parsers.required(p).collect()
+    good = parsers.split_off(p, "error is not null", str(tmp_path / "dead"))
+    assert [r["path"] for r in good.collect()] == ["a.json"] and spark.read.parquet(str(tmp_path / "dead")).count() == 1
+
+    def needs(path, content):
+        raise ModuleNotFoundError("x", name="pdflib")
+
+    with pytest.raises(Exception, match="parsing needs pdflib"):
+        parsers.parsed(f, needs).collect()
+
+
+def test_settings(spark):
+    assert settings.version("v3.10.2-rc1") == (3, 10, 2) and settings.settings({})["target_language"] == "Simplified Chinese"
+    spark.conf.set("pageloom.workspace_retention_hours", "-3")
+    assert settings.of_session(spark)["retention_h"] == 0.0
+    spark.conf.unset("pageloom.workspace_retention_hours")
+    with pytest.raises(ValueError):
+        settings.settings({"PAGELOOM_BASE_FONT_SIZE": "large"})
+
+
+def test_sweep_and_progress(spark, tmp_path):
+    for name in ("old", "new", "public", "public/old", "public/new"):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / "f").write_text("x")
+    for p in (tmp_path / "old", tmp_path / "old" / "f"):
+        os.utime(p, (1_000, 1_000))
+    now = time.time()
+    assert jobs.sweep(spark, str(tmp_path), now, 0) == [] and jobs.sweep(spark, str(tmp_path), now, 3600) == ["old"]
+    assert not (tmp_path / "old").exists() and not (tmp_path / "public" / "old").exists() and (tmp_path / "public" / "new").exists()
+    told = []
+    p = jobs.Progress(lambda v, text: told.append((v, text)))
+    for v in (0.2, 0.1, 7):
+        p(v, "x")
+    assert told == [(0.2, "x"), (0.2, "x"), (1.0, "x")]
+
+
+def test_queue_counters(spark):
+    d = spark.createDataFrame([("s", 0.0, 10.0, "running", 0.0), ("s", 0.0, 4.0, "running", 0.0), ("s", 1.0, 3.0, "waiting", 4.0), ("s", 2.0, 1.0, "busy", None)], "surface string, arrival_s double, takes_s double, verdict string, start_s double")
+    assert [tuple(jobs.queue_counters(d, F.lit(t)).first()) for t in (2.0, 5.0, 20.0)] == [("s", 2, 1, 2, 8), ("s", 2, 0, 2, 8), ("s", 0, 0, 2, 8)]
+
+
+def test_logs(spark, tmp_path):
+    d = spark.createDataFrame([(at(1, 0, 0), "phase=parse:done pages=3")], "ts timestamp, message string")
+    reports.append_log(d, str(tmp_path / "log"))
+    r = src.run_log(spark, str(tmp_path / "log")).first()
+    assert r["fields"] == {"phase": "parse:done", "pages": "3"} and r["ts"] == at(1, 0, 0)
+    m = spark.createDataFrame([(1, "## Page 1")], "doc_id long, markdown string")
+    reports.write_markdown(m, str(tmp_path / "md"))
+    assert spark.read.text(str(tmp_path / "md")).first()["value"] == "## Page 1"
+
+
 def test_walk_order_and_aliases(spark):
     tree = {"pages": [{"page": 1, "bbox": [0, 20, 100, 0], "type": "Paragraph", "content": " hello ", "kids": [{"page number": 2, "bounding box": [1, 2, 3, 4], "content": "x", "font size": 9}]}, {"page": 1, "bbox": [0, 0, 1], "content": "no box"}, {"page": None, "page number": None, "bbox": [0, 0, 1, 1], "content": "no page"}, {"page": 1, "bbox": [0, 0, 1, 1], "type": "caption", "content": ""}]}
     d = spark.createDataFrame([(7, json.dumps(tree)), (8, None), (9, "{")], "doc_id int, tree string")
@@ -251,7 +416,7 @@ def test_vertical_subdivision_takes_every_document(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     from pageloom import catalog
 
-    got = {(r["doc_id"], r["pos"]): (r["text"], r["top"], r["bottom"]) for r in catalog.QUERIES["vertical_subdivision_all"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["pos"]): (r["text"], r["top"], r["bottom"]) for r in catalog.QUERIES["vertical_subdivision"](spark, str(tmp_path)).collect()}
     want = {}
     for k, t in texts.items():
         ls = t.split("\n")
@@ -266,6 +431,6 @@ def test_walks_and_slugs_take_whole_texts(spark, tmp_path):
     long = "Word " * 40 + "End"
     spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", " " * 80 + "late")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(1, long, "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [r["text"] for r in catalog.QUERIES["json_walk_units_all"](spark, str(tmp_path)).orderBy("ord").collect()]
+    got = [r["text"] for r in catalog.QUERIES["json_walk_units"](spark, str(tmp_path)).orderBy("ord").collect()]
     assert got == [long, "user", "late", "assistant"]
-    assert catalog.QUERIES["text_slugs_all"](spark, str(tmp_path)).first()["slug"] == "word-" * 40 + "end"
+    assert catalog.QUERIES["text_slugs"](spark, str(tmp_path)).first()["slug"] == "word-" * 40 + "end"
