@@ -30,15 +30,18 @@ def latest_status(events: DataFrame) -> DataFrame:
 def concurrency(jobs: DataFrame, unit: str = "day") -> DataFrame:
     """jobs (job_id, start, end): most jobs at once in each hour, day, ....
 
-    Running sums of +1 and -1 within a bucket, on top of the jobs that reach into it: no global window.
+    Running sums of +1 and -1 within a minute, on top of the sums of the bucket's minutes before it: what a bucket needs in
+    order is a number a minute, however many jobs it has.
     """
     step = F.expr(f"interval 1 {unit}")
     spread = jobs.select("job_id", "start", "end", F.explode(F.sequence(F.date_trunc(unit, "start"), F.date_trunc(unit, "end"), step)).alias("bucket"))
     up = spread.select("bucket", F.greatest("start", "bucket").alias("t"), F.lit(1).alias("d"))
     down = spread.select("bucket", F.col("end").alias("t"), F.lit(-1).alias("d")).filter(F.col("t") < F.col("bucket") + step)
-    s = up.unionByName(down).groupBy("bucket", "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return s.withColumn("n", F.sum("d").over(w)).groupBy("bucket").agg(F.max("n").alias("most"))
+    s = up.unionByName(down).groupBy("bucket", "t").agg(F.sum("d").alias("d")).withColumn("minute", F.date_trunc("minute", "t"))
+    w = Window.partitionBy("bucket", "minute").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    m = s.withColumn("n", F.sum("d").over(w)).groupBy("bucket", "minute").agg(F.max("n").alias("top"), F.sum("d").alias("net"))
+    earlier = Window.partitionBy("bucket").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    return m.withColumn("n", F.col("top") + F.coalesce(F.sum("net").over(earlier), F.lit(0))).groupBy("bucket").agg(F.max("n").alias("most"))
 
 
 def admit(arrivals: list[tuple[float, float]], running: int = RUNNING, waiting: int = WAITING) -> list[tuple[str, float | None]]:

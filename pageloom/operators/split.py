@@ -182,8 +182,17 @@ def renumbered(units: DataFrame) -> DataFrame:
     return units.withColumn("unit_id", F.format_string("u%05d", n))
 
 
+def may_split(units: DataFrame) -> Column:
+    """False only for units that every splitter leaves as they are: one line, no leader, no number at its end, no chapter, no list marks."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marks = (_label() == "list item") & text.rlike(rf"(?U)[{BULLETS}]|(?<!\S)\d+[.)]|(?<!\S){SECTION}")
+    return F.coalesce(marks, F.lit(False)) | text.rlike(rf"(?U)[\n\r]|{LEADER}[A-Za-z0-9]|\s(?:\d{{1,4}}|[ivxlcdmIVXLCDM]{{1,8}})\s*$|(?i:^\s*chapter\s)") | (F.coalesce("toc_page", F.lit("")) != "")
+
+
 def split_units(units: DataFrame) -> DataFrame:
-    """All splitters in their order, then numbering."""
-    for step in (split_lists, split_toc, normalise_special, split_explicit_lines, renumbered):
-        units = step(units)
-    return units
+    """All splitters in their order, then numbering.  Units that can't split go round the splitters."""
+    may = may_split(units)
+    split = units.filter(may)
+    for step in (split_lists, split_toc, normalise_special, split_explicit_lines):
+        split = step(split)
+    return renumbered(split.unionByName(units.filter(~may)))

@@ -115,3 +115,13 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
     message = F.regexp_extract("value", r"^\[[^\]]*\] (.*)$", 1)
     pairs = F.transform(F.regexp_extract_all(message, F.lit(r"(\w+=\S+)"), F.lit(1)), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, r"^\w+=", "").alias("v")))
     return t.select(F.regexp_extract("value", r"^\[([^\]]*)\]", 1).try_cast("timestamp").alias("ts"), message.alias("message"), F.map_from_entries(F.array_distinct(pairs)).alias("fields"))
+
+
+#: How a pointer to a large file begins, and the least size of a real model file.
+POINTER, LEAST_MODEL = "version https://git-lfs.github.com/spec/", 1 << 20
+
+
+def model_assets(files: DataFrame) -> DataFrame:
+    """files (path, length, content) with state: pointer (the file itself is elsewhere), too_small or ready."""
+    start = F.substring("content", 1, len(POINTER)).cast("string")
+    return files.withColumn("state", F.when(start == POINTER, "pointer").when(F.col("length") <= LEAST_MODEL, "too_small").otherwise("ready"))

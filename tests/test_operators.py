@@ -9,9 +9,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom import __main__ as cli
 from pageloom import settings
 from pageloom.operators import dedup, jobs, layout, quota, split, translate
-from pageloom.plans import reports
+from pageloom.plans import reports, store
 from pageloom.sources import documents as src
 from pageloom.sources import parsers
 
@@ -371,6 +372,48 @@ def test_sweep_and_progress(spark, tmp_path):
     assert told == [(0.2, "x"), (0.2, "x"), (1.0, "x")]
 
 
+def test_store(spark, tmp_path):
+    st = store.UsageStore(spark, str(tmp_path / "s"))
+    st.commit(spark.createDataFrame([("a", at(4, 14, 0), 300.0), ("a", at(4, 14, 30), 900.0), ("b", at(4, 14, 0), 20.0), ("b", at(4, 14, 1), -5.0)], "client string, ts timestamp, seconds double"))
+    kind = "lease string, client string, day date, reserved double, at timestamp, open boolean"
+    day = dt.date(2026, 4, 4)
+    st.note(spark.createDataFrame([("x", "b", day, 480.0, at(4, 14, 0), True), ("y", "b", day, 30.0, at(4, 14, 0), True), ("x", "b", day, 480.0, at(4, 14, 0), False)], kind))
+    st = store.UsageStore(spark, str(tmp_path / "s"))  # opened again
+    assert {r["client"]: (r["used"], r["reserved"], r["remaining"]) for r in st.snapshot().collect()} == {"a": (500.0, 0.0, 0.0), "b": (20.0, 30.0, 450.0)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    tree = {"pages": [{"page": 1, "bbox": [10, 700, 300, 720], "type": "paragraph", "content": "Hello there", "font size": 10}, {"page": 2, "bbox": [10, 600, 300, 640], "type": "list item", "content": "1. one 2. two", "font size": 10}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "doc.json").write_text(json.dumps(tree))
+    for engine in ("pretext", "legacy"):
+        out = str(tmp_path / engine)
+        assert cli.main(["translate", str(tmp_path / "in"), "--output", out, "--engine", engine]) == 0
+        assert spark.read.text(f"{out}/markdown").first()["value"] == "## Page 1"
+        assert [r["content"] for r in spark.read.json(f"{out}/structured").selectExpr("explode(pages) p").selectExpr("explode(p.elements) e").select("e.content").collect()] == ["Hello there", "1. one", "2. two"]
+        assert spark.read.json(f"{out}/report").count() == (1 if engine == "pretext" else 3)
+    assert cli.main(["translate", "x.pdf", "--output", "y"]) == 2
+    assert cli.main(["queries"]) == 0 and "page_assembly" in capsys.readouterr().out
+
+
+def test_model_assets(spark):
+    rows = [("a", 120, bytearray(b"version https://git-lfs.github.com/spec/v1\noid x")), ("b", 5, bytearray(b"tiny")), ("c", 2 << 20, bytearray(b"weights"))]
+    got = src.model_assets(spark.createDataFrame(rows, "path string, length long, content binary"))
+    assert {r["path"]: r["state"] for r in got.collect()} == {"a": "pointer", "b": "too_small", "c": "ready"}
+
+
+def test_units_that_go_round_the_splitters(spark):
+    rng = random.Random(5)
+    bits = ["word", "1.1", "2)", "•", "\n", "....", "·····", "12", "xiv", "Chapter 3", "PART", ".", " "]
+    rows = [(1, k, [], 1, rng.choice(["list item", "paragraph", "heading", "figure"]), (0.0, 0.0, 100.0, 40.0), " ".join(rng.choice(bits) for _ in range(rng.randint(1, 6))), 10.0, "", rng.choice(["", "", "4"]), 1, 12.0, None) for k in range(300)]
+    u = units(spark, *rows)
+    whole = u
+    for step in (split.split_lists, split.split_toc, split.normalise_special, split.split_explicit_lines, split.renumbered):
+        whole = step(whole)
+    keep = lambda d: sorted(tuple(map(str, (r["unit_id"], r["ord"], r["label"], r["text"], r["toc_page"], r["box"], r["lines"]))) for r in d.collect())
+    assert keep(split.split_units(u)) == keep(whole) and u.filter(~split.may_split(u)).count() > 20
+
+
 def test_queue_counters(spark):
     d = spark.createDataFrame([("s", 0.0, 10.0, "running", 0.0), ("s", 0.0, 4.0, "running", 0.0), ("s", 1.0, 3.0, "waiting", 4.0), ("s", 2.0, 1.0, "busy", None)], "surface string, arrival_s double, takes_s double, verdict string, start_s double")
     assert [tuple(jobs.queue_counters(d, F.lit(t)).first()) for t in (2.0, 5.0, 20.0)] == [("s", 2, 1, 2, 8), ("s", 2, 0, 2, 8), ("s", 0, 0, 2, 8)]

@@ -1,10 +1,12 @@
 """Streams over the event table, run to the end of what there is."""
 
+import datetime as dt
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.operators import quota
 from pageloom.streaming import ledger
 
 SF = "/root/testdata/sf0.001/events.parquet"
@@ -34,7 +36,22 @@ def test_windows(spark, events):
 def test_ledger(spark, events):
     s = events.select(F.col("user_id").alias("client"), "ts", F.col("value").alias("seconds"))
     got = run(ledger.ledger(s), "ledger", "update")
-    assert got.count() > 0 and got.agg(F.max("used")).first()[0] <= 500.0
+    last = {(r["client"], str(r["day"])): r["used"] for r in got.groupBy("client", "day").agg(F.max("used").alias("used")).collect()}
+    whole = quota.daily_usage(spark.read.parquet(SF).select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("seconds")))
+    assert last == {(r["client"], str(r["day"])): pytest.approx(r["used"]) for r in whole.collect()}
+
+
+def test_sessions(spark, events):
+    got = {(r["user_id"], str(r["start"])): r["n"] for r in run(ledger.sessions(events), "sessions").collect()}
+    gap, want = dt.timedelta(minutes=30), {}
+    seen: dict = {}
+    for r in spark.read.parquet(SF).select("user_id", F.col("ts").cast("timestamp").alias("ts")).orderBy("ts").collect():
+        start, last = seen.get(r["user_id"], (None, None))
+        if last is None or r["ts"] >= last + gap:
+            start = r["ts"]
+        want[r["user_id"], str(start)] = want.get((r["user_id"], str(start)), 0) + 1
+        seen[r["user_id"]] = (start, r["ts"])
+    assert got and all(want[k] == n for k, n in got.items())  # the last sessions are still open
 
 
 def test_unique(spark, events):
