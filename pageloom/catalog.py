@@ -159,15 +159,18 @@ rects AS (
     CASE WHEN font < 16 THEN x1 ELSE x1 + px END AS x1, CASE WHEN font < 16 THEN y1 ELSE y1 + py END AS y1 FROM grown)"""
 
 
-@query(
-    f"""WITH {BLOCKS}, {_GROWN},
+_MET = """
 met AS (
   SELECT a.doc_id, a.page, a.block_id, a.nr, least(a.x1, e.x1) - greatest(a.x0, e.x0) AS across, least(a.y1, e.y1) - greatest(a.y0, e.y0) AS down,
     greatest(least(a.x1 - a.x0, e.x1 - e.x0), 1) AS narrow, least(a.y1 - a.y0, e.y1 - e.y0) AS low
   FROM rects a JOIN rects e ON a.doc_id = e.doc_id AND a.page = e.page AND e.nr < a.nr),
 costs AS (
   SELECT doc_id, page, block_id, CASE WHEN NOT (across > 0 AND across / narrow >= 0.2) THEN 0 WHEN down > 0 THEN least(0.22, down / greatest(low, 1) * 0.16 + 0.05)
-    WHEN -down <= greatest(low * 0.32, 4) THEN least(0.16, (1 + down / greatest(low * 0.32, 4)) * 0.1 + 0.04) ELSE 0 END AS p FROM met)
+    WHEN -down <= greatest(low * 0.32, 4) THEN least(0.16, (1 + down / greatest(low * 0.32, 4)) * 0.1 + 0.04) ELSE 0 END AS p FROM met)"""
+
+
+@query(
+    f"""WITH {BLOCKS}, {_GROWN}, {_MET}
 SELECT c.doc_id, c.page, c.block_id, -round(max(p), 3) AS penalty, CASE WHEN abs(least(greatest(coalesce(any_value(b.spacing), 0) - round(max(p), 3), -0.22), 0.12)) >= 0.005 THEN round(least(greatest(coalesce(any_value(b.spacing), 0) - round(max(p), 3), -0.22), 0.12), 3) END AS adjusted
 FROM costs c JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.block_id = c.block_id WHERE p > 0 GROUP BY c.doc_id, c.page, c.block_id"""
 )
@@ -426,16 +429,61 @@ def typography_candidates(spark, sf_dir):
     return c.select("doc_id", "page", "block_id", F.size("candidates").cast("long").alias("candidates"), F.array_max(fonts).alias("largest"), F.array_min(fonts).alias("smallest"))
 
 
-@query()
+def _candidates(source: str) -> str:
+    """SQL for cs: each block of ``source`` with its candidates in the order of cost."""
+    spaced = "round(greatest(coalesce(spacing, 0) - d, -0.22), 3)"
+    return f"""
+few AS (SELECT *, greatest(line_height, round(font * 1.02, 3)) AS base, list_prepend(spacing, list_transform([0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.16, 0.2], lambda d: CASE WHEN abs({spaced}) >= 0.005 THEN {spaced} END)) AS letters,
+  CASE WHEN font >= 16 OR font <= 11.5 THEN [1.0, 0.96, 0.92, 0.86, 0.82, 0.74, 0.68] ELSE [1.0, 0.96, 0.92, 0.88, 0.82, 0.76, 0.68, 0.62] END::DOUBLE[] AS scales FROM {source}),
+sized AS (SELECT *, unnest(scales) AS s, generate_subscripts(scales, 1) AS si FROM few),
+lined AS (SELECT *, unnest([1.0, 0.96, 0.92, 0.88, 0.84, 0.8]::DOUBLE[]) AS r, generate_subscripts([1.0, 0.96, 0.92, 0.88, 0.84, 0.8], 1) AS ri FROM sized),
+heights AS (SELECT doc_id, page, block_id, si, any_value(s) AS s, round(greatest(round(font * s, 3) * 1.02, base * s * r), 3) AS line, min(ri) AS ri FROM lined GROUP BY doc_id, page, block_id, si, round(greatest(round(font * s, 3) * 1.02, base * s * r), 3)),
+spaces AS (SELECT doc_id, page, block_id, letter, min(li) AS li FROM (SELECT doc_id, page, block_id, unnest(letters) AS letter, generate_subscripts(letters, 1) AS li FROM few) GROUP BY doc_id, page, block_id, letter),
+priced AS (
+  SELECT f.doc_id, f.page, f.block_id, h.si, h.ri, l.li, h.s AS scale, round(f.font * h.s, 3) AS font, h.line, l.letter,
+    round((1.0 - h.s) * 1000.0 + greatest(0.0, f.base * h.s - h.line) * 4.0 + abs(coalesce(l.letter, 0.0) - coalesce(f.spacing, 0.0)) * 25.0, 6) AS cost,
+    CAST(greatest(ceil(length(f.text) / greatest(floor((f.x1 - f.x0) / greatest((0.55 + coalesce(l.letter, 0.0)) * round(f.font * h.s, 3), 0.1)), 1)), 1) AS INTEGER) AS n,
+    coalesce(nullif(concat_ws('+', CASE WHEN h.s < 0.999 THEN 'font_scale' END, CASE WHEN h.line < f.line_height * h.s - 0.01 THEN 'line_height' END, CASE WHEN abs(coalesce(l.letter, 0) - coalesce(f.spacing, 0)) >= 0.005 THEN 'letter_spacing' END), ''), 'none') AS reason
+  FROM few f JOIN heights h ON h.doc_id = f.doc_id AND h.page = f.page AND h.block_id = f.block_id JOIN spaces l ON l.doc_id = f.doc_id AND l.page = f.page AND l.block_id = f.block_id),
+listed AS (SELECT doc_id, page, block_id, list({{'scale': scale, 'font': font, 'line': line, 'letter': letter, 'lines': n, 'height': round(n * line, 3), 'reason': reason}} ORDER BY cost, si, ri, li) AS cs FROM priced GROUP BY doc_id, page, block_id),
+cs AS (SELECT b.*, c.cs, greatest(1.0, round(b.line_height * 0.12, 3)) AS gap, greatest(1.0, round(b.line_height * 0.08, 3)) AS safe FROM {source} b JOIN listed c ON c.doc_id = b.doc_id AND c.page = b.page AND c.block_id = b.block_id)"""
+
+
+@query(
+    f"""WITH {BLOCKS}, {_candidates("blocks")},
+found AS (SELECT doc_id, page, block_id, list_filter(cs, lambda c: c.height + safe <= y1 - y0)[1] AS hit, cs[len(cs)] AS last FROM cs),
+picked AS (SELECT doc_id, page, block_id, hit IS NULL AS overflow, coalesce(hit, last) AS c FROM found)
+SELECT doc_id, page, block_id, c.scale, c.font, c.line, c.letter, c.lines, c.height, c.reason, overflow FROM picked"""
+)
 def first_feasible_candidate(spark, sf_dir):
-    """O6 by the blocks' own heights, L5's analytic estimator, J5 (facts are in the tests)."""
+    """O6 by the blocks' own heights, L1-L3, L5's analytic estimator."""
     return layout.first_feasible(blocks(spark, sf_dir))
 
 
-@query()
+#: Blocks as they are planned: spacing after overlaps, rectangles as they are drawn.
+_TO_PLAN = f"""{_GROWN.strip()}, {_MET},
+worst AS (SELECT doc_id, page, block_id, round(max(p), 3) AS p FROM costs WHERE p > 0 GROUP BY doc_id, page, block_id),
+plans AS (
+  SELECT b.doc_id, b.page, b.block_id, b.nr, b.text, b.font, b.line_height, r.x0, r.y0, r.x1, r.y1,
+    CASE WHEN w.p IS NULL THEN b.spacing WHEN abs(least(greatest(coalesce(b.spacing, 0) - w.p, -0.22), 0.12)) >= 0.005 THEN round(least(greatest(coalesce(b.spacing, 0) - w.p, -0.22), 0.12), 3) END AS spacing
+  FROM blocks b JOIN rects r ON r.doc_id = b.doc_id AND r.page = b.page AND r.block_id = b.block_id LEFT JOIN worst w ON w.doc_id = b.doc_id AND w.page = b.page AND w.block_id = b.block_id)"""
+_PLANNED = f"""{BLOCKS.lstrip()}, {_TO_PLAN}, {_COLUMNS.replace("FROM blocks)", "FROM plans)").strip()}, {_candidates("plans").strip()},
+down AS (SELECT c.*, k."column", row_number() OVER w AS n, max(y1) OVER (PARTITION BY c.doc_id, c.page, k."column") AS floor_ FROM cs c JOIN cols k ON k.doc_id = c.doc_id AND k.page = c.page AND k.block_id = c.block_id WINDOW w AS (PARTITION BY c.doc_id, c.page, k."column" ORDER BY c.y0, c.x0, c.nr)),
+stood AS (
+  SELECT doc_id, page, "column", block_id, n, y, y0, c, hit, y + greatest(greatest(own, c.height + safe), 1.0) AS bottom
+  FROM (SELECT *, coalesce(hit, cs[len(cs)]) AS c FROM (SELECT *, y0 AS y, y1 - y0 AS own, list_filter(cs, lambda c: greatest(y1 - y0, c.height + safe) <= floor_ - y0)[1] AS hit FROM down WHERE n = 1))
+  UNION ALL
+  SELECT doc_id, page, "column", block_id, n, y, y0, c, hit, y + greatest(greatest(own, c.height + safe), 1.0)
+  FROM (SELECT *, coalesce(hit, cs[len(cs)]) AS c FROM (SELECT *, list_filter(cs, lambda c: greatest(own, c.height + safe) <= floor_ - y)[1] AS hit FROM (
+    SELECT d.*, greatest(d.y0, p.bottom + d.gap) AS y, d.y1 - d.y0 AS own FROM stood p JOIN down d ON d.doc_id = p.doc_id AND d.page = p.page AND d."column" = p."column" AND d.n = p.n + 1)))),
+plan AS (SELECT doc_id, page, "column", block_id, round(y, 3) AS plan_y0, round(bottom, 3) AS plan_y1, round(y - y0, 3) AS shift, CASE WHEN hit IS NULL THEN 'planner_overflow' ELSE hit.reason END AS fallback, c.scale, c.font, c.line, c.letter, c.lines, c.height, c.reason, CASE WHEN hit IS NULL THEN 0.0 ELSE 1.0 END AS used FROM stood)"""
+
+
+@query(f"WITH RECURSIVE {_PLANNED} SELECT * FROM plan")
 def page_layout_plan(spark, sf_dir):
-    """L4, L8, P9, W6 (facts are in the tests)."""
-    return layout.page_plan(blocks(spark, sf_dir))
+    """Overlap spacing, drawn rectangles, columns, candidates, running positions."""
+    p = layout.page_plan(blocks(spark, sf_dir)).withColumns({"plan_y0": F.round("plan_y0", 3), "plan_y1": F.round("plan_y1", 3), "shift": F.round("shift", 3)})
+    return p.drop("actual_y0", "actual_y1", "overlap", "top_delta", "bottom_delta")
 
 
 @query(
@@ -456,13 +504,23 @@ def layout_feedback_shift(spark, sf_dir):
     return layout.shifted_plan(p).withColumns({"y0": F.round("y0", 3), "y1": F.round("y1", 3)})
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PLANNED}
+SELECT p.doc_id, p.page, p.block_id, b.label, p."column", round(b.x0, 3) AS x0, p.plan_y0 AS y0, round(b.x1, 3) AS x1, p.plan_y1 AS y1, p.shift, p.lines, p.height, p.used, p.fallback, p.reason, used = 0.0 AS overflows, CASE WHEN used = 0.0 THEN substr(b.text, 1, 160) END AS preview
+FROM plan p JOIN blocks b ON b.doc_id = p.doc_id AND b.page = p.page AND b.block_id = p.block_id"""
+)
 def render_report(spark, sf_dir):
-    """A report of each document as JSON."""
+    """Each document's report, written as JSON, read back and laid out as rows."""
     x = blocks(spark, sf_dir)
     keep = x.select("doc_id", "page", "block_id", "rect", "label", "text")
     r = reports.layout_report(layout.matched(keep, layout.page_plan(x)))
-    return r.select("doc_id", F.to_json(F.struct("layout_engine", "overflow", "layout_plan")).alias("report"))
+    kind = r.schema
+    j = r.select("doc_id", F.to_json(F.struct("overflow", "layout_plan"), {"ignoreNullFields": "false"}).alias("report"))
+    j = j.select("doc_id", F.from_json("report", f"struct<overflow: {kind['overflow'].dataType.simpleString()}, layout_plan: {kind['layout_plan'].dataType.simpleString()}>").alias("r"))
+    e = j.select("doc_id", F.explode("r.layout_plan").alias("p"), F.col("r.overflow").alias("os"))
+    e = e.withColumn("o", F.get(F.filter("os", lambda o: (o["block_id"] == F.col("p.block_id")) & (o["page"] == F.col("p.page"))), 0))
+    bbox = [F.get("p.planned_bbox", i).alias(k) for i, k in enumerate(("x0", "y0", "x1", "y1"))]
+    return e.select("doc_id", "p.page", "p.block_id", "p.label", "p.column", *bbox, F.round("p.vertical_shift_pt", 3).alias("shift"), F.col("p.pretext_line_count").alias("lines"), F.col("p.pretext_height_pt").alias("height"), F.col("p.final_scale_used").alias("used"), F.col("p.layout_fallback").alias("fallback"), F.col("p.planner_candidate_reason").alias("reason"), F.col("o").isNotNull().alias("overflows"), F.col("o.text_preview").alias("preview"))
 
 
 @query(
