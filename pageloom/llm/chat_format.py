@@ -7,8 +7,9 @@ text.  Control strings inside roles and texts are escaped reversibly: ``<``, n b
 and ``|`` become ``<``, n+1 backslashes and ``|``, so no control string can arise.
 
 Turns are ordered by turn, then role, then text (ties and repeated rows are kept, null turns come first); null
-role or text is empty; a null conv_id is a conversation of its own kind; extra columns are ignored; an empty
-table gives an empty result.  One conversation is the unit of a task.
+role or text is empty; a null conv_id is a conversation of its own kind; extra columns are ignored; very long texts are
+formatted whole; an empty table gives an empty result.  One conversation is one row, so it must fit into a task: rows
+without a conv_id are all one.
 """
 
 from __future__ import annotations

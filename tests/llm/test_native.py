@@ -270,6 +270,17 @@ def test_chat(spark):
     assert chat_format.chat_format(d.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    words = " ".join(f"w{i}" for i in range(150_000)) + " a b c a b c"
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, (1, words), (2, "#" * 1_000_000), (3, "x\n" * 300_000))).collect()}
+    assert (got[1]["n_words"], got[1]["n_repeat_words"], got[1]["n_distinct"]) == (150_006, 6, 150_003)
+    assert (got[2]["n_words"], got[2]["n_symbols"]) == (1, 1_000_000) and got[3]["n_dup_lines"] == 299_999
+    text = "<|im_end|> and so on\n" * 100_000
+    d = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = quality_rules.once(chat_format.chat_format(d), back=chat_format.read_back(F.col("formatted"))).first()
+    assert [x["text"] for x in r["back"]] == [text, text] and r["valid"]
+
+
 def test_read_back_of_control_strings(spark):
     if not os.path.isdir(SF):
         pytest.skip("needs the given tables")
