@@ -8,9 +8,9 @@ texts link when the sets' Jaccard similarity is 0.75 or more.
 2. In each task one text stands for its class.  Sets are ordered: shingles that many documents hold come last, others by hash.  Two
    similar sets share a shingle among the first n - ceil(0.75 n) + 1 of each (the prefix);
    these are shuffled by shingle, and shingles of one class fall away.
-3. Within each shingle's run every class is first held against the run's smallest doc_id only;
-   pairs that can still reach the similarity are verified exactly and joined into components.
-4. A run that still holds several components is searched by a signature tree: its leaves
+3. In runs of more than ``hot`` classes every class is first held against the run's smallest doc_id only;
+   pairs that can still reach the similarity are verified exactly and joined into components, so that a huge group isn't searched pair by pair.
+4. Every run that holds several components (at first each class is one) is searched by a signature tree: its leaves
    are classes in order of set size, nodes hold the OR of their classes' token bitmaps, ranges of set sizes and of
    shared-token counts.  A dual traversal goes down pairs of nodes that may hold a pair of different components whose
    greatest possible overlap suffices.  Runs above ``most`` classes are dealt in blocks, each pair of
@@ -363,19 +363,20 @@ def _found(p: DataFrame, most: int) -> DataFrame:
     return found.filter(F.col("k") + _rest("n", "m") >= _needed("n", "m")).drop("k")
 
 
-def near_duplicates(documents: DataFrame, most: int = 4096) -> DataFrame:
+def near_duplicates(documents: DataFrame, most: int = 4096, hot: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     at = Workspace(documents.sparkSession, "near-duplicates")
     classes, member, p = _runs_of_classes(docs, at)
 
-    # Each class against the smallest of its run.
-    star = p.filter((F.col("id") != F.col("c")) & _sizes_fit("n", "cn")).groupBy(F.col("c").alias("a"), F.col("id").alias("b"), F.col("cn").alias("n"), F.col("n").alias("m")).agg(F.count("*").alias("k"))
+    # In large runs, each class against the smallest of its run.  (Counts are of these runs only, so some links wait for the trees.)
+    large = p.groupBy("h").count().filter(F.col("count") > hot).select("h")
+    star = p.join(large, "h", "left_semi").filter((F.col("id") != F.col("c")) & _sizes_fit("n", "cn")).groupBy(F.col("c").alias("a"), F.col("id").alias("b"), F.col("cn").alias("n"), F.col("n").alias("m")).agg(F.count("*").alias("k"))
     star = at.keep(star.filter(F.col("k") + _rest("n", "m") >= _needed("n", "m")).drop("k"), "stars")
     links = at.keep(verified(star, docs, classes), "links")
     roots = components(links, at, "roots")
 
-    # What different components still share, searched by trees.
+    # What different components share, searched by trees.
     p = p.select("h", "id", "n").join(roots, "id", "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
     found = at.keep(_found(p, most), "found")
     more = at.keep(verified(found, docs, classes), "more")

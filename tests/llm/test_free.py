@@ -58,12 +58,12 @@ def near_rows(rng):
     return [*out, *(f"{base[0]} {' '.join(f'u{i}v{j}' for j in range(i % 9))}" for i in range(40)), "", " ", None, "one", "ONE", "one two", "ünï cödé wörds hére nöw", "ÜNÏ cödé wörds hére nöw"]
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_near_duplicates(spark, most):
+@pytest.mark.parametrize(("most", "hot"), [(4096, 256), (3, 256), (4096, 2)])
+def test_near_duplicates(spark, most, hot):
     rng = random.Random(5)
     rows = list(enumerate(near_rows(rng)))
     rng.shuffle(rows)
-    got = sorted(tuple(r) for r in near_duplicates.near_duplicates(docs(spark, *rows), most=most).collect())
+    got = sorted(tuple(r) for r in near_duplicates.near_duplicates(docs(spark, *rows), most=most, hot=hot).collect())
     assert got == plain_components(rows)
 
 
