@@ -476,7 +476,7 @@ stood AS (
   SELECT doc_id, page, "column", block_id, n, y, y0, c, hit, y + greatest(greatest(own, c.height + safe), 1.0)
   FROM (SELECT *, coalesce(hit, cs[len(cs)]) AS c FROM (SELECT *, list_filter(cs, lambda c: greatest(own, c.height + safe) <= floor_ - y)[1] AS hit FROM (
     SELECT d.*, greatest(d.y0, p.bottom + d.gap) AS y, d.y1 - d.y0 AS own FROM stood p JOIN down d ON d.doc_id = p.doc_id AND d.page = p.page AND d."column" = p."column" AND d.n = p.n + 1)))),
-plan AS (SELECT doc_id, page, "column", block_id, round(y, 3) AS plan_y0, round(bottom, 3) AS plan_y1, round(y - y0, 3) AS shift, CASE WHEN hit IS NULL THEN 'planner_overflow' ELSE hit.reason END AS fallback, c.scale, c.font, c.line, c.letter, c.lines, c.height, c.reason, CASE WHEN hit IS NULL THEN 0.0 ELSE 1.0 END AS used FROM stood)"""
+plan AS (SELECT doc_id, page, "column", block_id, round(y, 3) AS plan_y0, round(bottom, 3) AS plan_y1, round(y - y0, 3) AS shift, CASE WHEN hit IS NULL THEN 'planner_overflow' ELSE hit.reason END AS fallback, c.scale, c.font, c.line, c.letter, c.lines, c.height, c.reason, CASE WHEN hit IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS used FROM stood)"""
 
 
 @query(f"WITH RECURSIVE {_PLANNED} SELECT * FROM plan")

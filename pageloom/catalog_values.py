@@ -243,7 +243,7 @@ def plan_matching(spark, sf_dir):
 
 @query(
     f"""WITH {BLOCKS}, g AS (SELECT *, least(greatest((x1 - x0) * 0.035, font * 0.2), 18) AS px, least(greatest((y1 - y0) * 0.15, font * 0.9), 28) AS py FROM blocks)
-SELECT doc_id, page, block_id, round(CASE WHEN font < 16 THEN y0 ELSE y0 - py * 0.3 END, 6) AS y0, round(CASE WHEN font < 16 THEN y1 ELSE y1 + py END, 6) AS y1, 0.0 AS shift FROM g"""
+SELECT doc_id, page, block_id, round(CASE WHEN font < 16 THEN y0 ELSE y0 - py * 0.3 END, 6) AS y0, round(CASE WHEN font < 16 THEN y1 ELSE y1 + py END, 6) AS y1, 0.0::DOUBLE AS shift FROM g"""
 )
 def legacy_plan(spark, sf_dir):
     """P13, G9."""
@@ -271,7 +271,7 @@ _GIVEN = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{e}', {f!r}, {n}, {i!r}, {r}, '{p}')" for k, (_, e, f, n, i, r, p) in enumerate(_GIVEN)) + ") AS s(k, engine, font, jobs, iom, rate_limit, provider)")
+@query("SELECT k, engine, font::DOUBLE AS font, jobs, iom::DOUBLE AS iom, rate_limit, provider FROM (VALUES " + ", ".join(f"({k}, '{e}', {f!r}, {n}, {i!r}, {r}, '{p}')" for k, (_, e, f, n, i, r, p) in enumerate(_GIVEN)) + ") AS s(k, engine, font, jobs, iom, rate_limit, provider)")
 def settings_resolved(spark, sf_dir):
     """Defaults, aliases, clamps."""
     rows = [(k, x["layout_engine"], x["base_font_size"], x["running_jobs"], x["iom_threshold"], x["rate_limit"], x["default_provider"]) for k, x in enumerate(st.settings(given) for given, *_ in _GIVEN)]
