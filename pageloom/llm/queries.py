@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, language_id, licenses, near_duplicates, pii, quality_classifier, quality_rules, repeats, sentencepiece_scan
+from pageloom.llm import chat_format, conversation_repair, decontaminate, language_id, lexical_search, licenses, near_duplicates, pii, quality_classifier, quality_rules, repeats, sentencepiece_scan, window_dedup
 
 #: A public SentencePiece model, there on every machine.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -87,4 +87,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) ->
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op2_jaccard_links, op3_decontamination, op4_license_scan, op5_chat_formatting, op6_suffix_dedup, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    audits, repaired = conversation_repair.repair(conversation_repair.damaged(c), every=c)
+    d = audits.join(conversation_repair.digests(repaired), "key", "left")
+    return d.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op2_jaccard_links, op3_decontamination, op4_license_scan, op5_chat_formatting, op6_suffix_dedup, op7_language_id, op8_quality_rules, op9_quality_classifier, op10_sentencepiece, op11_conversation_repair, op12_substring_dedup, op13_lexical_search)}

@@ -70,9 +70,74 @@ SELECT c.doc_id, c.n_sentences, coalesce(array_to_string(l.ids, ','), '') AS kno
 FROM counted c LEFT JOIN listed l ON l.doc_id = c.doc_id LEFT JOIN named n ON n.doc_id = c.doc_id GROUP BY c.doc_id, c.n_sentences, l.ids"""
 
 
+def _crc_table() -> list[int]:
+    out = []
+    for k in range(256):
+        for _ in range(8):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        out.append(k)
+    return out
+
+
+def _repair_sql() -> str:
+    """Damage by crc32, then the cheapest edits row by row: for each role before (z none yet, s, u, a) the least (cost, audit)."""
+    pair = lambda x, cost, edit: f"{{'c': {x}.c + {cost}, 't': {x}.t || '{edit}'}}"
+    far = "{'c': 1000000000000::BIGINT, 't': ''}"
+    keep = lambda kind, x: f"CASE WHEN kind = '{kind}' THEN {pair(x, 'extra', 'K')} ELSE {far} END"
+    reset = lambda x: f"CASE WHEN kind <> 'x' THEN {pair(x, 'extra + 2', 'R')} ELSE {far} END"
+    grown = lambda source: f"""(SELECT key, pos, z, s, least(u1, {pair('a1', 2, 'I')}) AS u, a1 AS a FROM (SELECT *, least(a, {pair('u1', 2, 'I')}) AS a1 FROM (SELECT *, least(u, {pair('z', 2, 'I')}, {pair('s', 2, 'I')}, {pair('a', 2, 'I')}) AS u1 FROM {source})))"""
+    return rf"""
+WITH RECURSIVE crc(t) AS (SELECT {_crc_table()!r}::BIGINT[]),
+said AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)), lambda h, b: xor(t[(xor(h, b) & 255) + 1], h >> 8)), 4294967295::BIGINT) % 20 AS fate FROM said, crc),
+d AS (SELECT key, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key, role, text ORDER BY pos) AS seen FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS pos FROM d)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY key ORDER BY pos) AS before FROM o),
+m AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN initial IN ('u', 'a', 's') THEN initial ELSE 'o' END AS kind, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra FROM f),
+counts AS (SELECT key, coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY key),
+run AS (
+  SELECT key, pos, z, s, u, a FROM {grown(f"(SELECT DISTINCT key, 0::BIGINT AS pos, {{'c': 0::BIGINT, 't': ''}} AS z, {far} AS s, {far} AS u, {far} AS a FROM m)")}
+  UNION ALL
+  SELECT key, pos, z, s, u, a FROM {grown(f"(SELECT r.key, r.pos + 1 AS pos, {pair('z', 3, 'D')} AS z, least({pair('s', 3, 'D')}, {keep('s', 'z')}) AS s, least({pair('u', 3, 'D')}, {', '.join([keep('u', x) for x in 'zsa'] + [reset(x) for x in 'zsa'])}) AS u, least({pair('a', 3, 'D')}, {keep('a', 'u')}, {reset('u')}) AS a FROM run r JOIN m ON m.key = r.key AND m.pos = r.pos + 1)")}),
+best AS (SELECT key, least(arg_max(z, pos), arg_max(a, pos)) AS b FROM run GROUP BY key),
+edits AS (SELECT key, unnest(string_split(b.t, '')) AS edit, generate_subscripts(string_split(b.t, ''), 1) AS n FROM best WHERE b.t <> ''),
+placed AS (SELECT *, sum((edit <> 'I')::INT) OVER w AS pos, sum((edit <> 'D')::INT) OVER w AS nth FROM edits WINDOW w AS (PARTITION BY key ORDER BY n)),
+kept AS (SELECT p.*, m.role, m.text, m.initial FROM placed p LEFT JOIN m ON m.key = p.key AND m.pos = p.pos WHERE edit <> 'D'),
+opened AS (SELECT *, max((edit = 'K' AND nth = 1 AND initial = 's')::INT) OVER (PARTITION BY key) AS skip FROM kept),
+lines AS (SELECT key, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - skip) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY n)) AS sha FROM opened GROUP BY key),
+ids AS (SELECT DISTINCT conv_id, key FROM said)
+SELECT i.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.b.c, 0)::BIGINT AS cost, coalesce(b.b.t, '') AS audit, coalesce(l.sha, sha256('')) AS repaired_sha256
+FROM ids i LEFT JOIN counts c ON c.key = i.key LEFT JOIN best b ON b.key = i.key LEFT JOIN lines l ON l.key = i.key"""
+
+
+_WINDOWS = r"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT row, doc_id, p, array_to_string(ws[p:p + 19], ' ') AS s FROM (SELECT row, doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w WHERE len(ws) >= 20)),
+later AS (SELECT row, p FROM (SELECT row, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT row, unnest(range(p, p + 20)) AS place FROM later),
+words AS (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+kept AS (SELECT words.row, count(*) AS n, string_agg(word, ' ' ORDER BY words.place) AS text FROM words ANTI JOIN gone ON gone.row = words.row AND gone.place = words.place GROUP BY words.row)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.row = w.row"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM benchmark),
+asked AS (SELECT DISTINCT item, unnest(ts) AS term FROM i),
+every AS (SELECT count(*) AS N, sum(len(ts))::BIGINT AS L FROM d WHERE len(ts) > 0),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, every GROUP BY term),
+scored AS (SELECT a.item, p.row, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * len(d.ts) * N) // L))))::BIGINT AS score FROM asked a JOIN postings p ON p.term = a.term JOIN weights w ON w.term = p.term JOIN d ON d.row = p.row, every GROUP BY a.item, p.row),
+ranked AS (SELECT s.item, d.doc_id, s.score, row_number() OVER (PARTITION BY s.item ORDER BY s.score DESC, d.doc_id, s.row) AS rank FROM scored s JOIN d ON d.row = s.row WHERE s.score > 0)
+SELECT i.item_id, r.rank::INTEGER AS rank, r.doc_id, r.score FROM ranked r JOIN i ON i.item = r.item WHERE r.rank <= 50"""
+
+
 SQL: dict[str, str] = {
     "op2_jaccard_join": _JACCARD,
     "op3_decontamination": _CONTAMINATION,
     "op4_license_scan": _license_sql(),
     "op5_chat_formatting": _CHAT,
+    "op11_conversation_repair": _repair_sql(),
+    "op12_substring_dedup": _WINDOWS,
+    "op13_lexical_search": _SEARCH,
 }

@@ -48,11 +48,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written and read again; the shuffle files of its plan go."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df, written (in a folder for each value of ``by``) and read again; the shuffle files of its plan go."""
         at = f"{self.path}/{name}"
         with cleaned(self.spark):
-            df.write.option("compression", "zstd").parquet(at)
+            out = df.write.option("compression", "zstd")
+            (out.partitionBy(by) if by else out).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:
