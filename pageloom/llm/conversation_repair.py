@@ -154,7 +154,7 @@ def repair(conversations: DataFrame, every: DataFrame | None = None) -> tuple[Da
     solved = at.keep(signed.select("signature").distinct().mapInPandas(_solved, f"signature string, cost long, audit string, edits {EDITS}"), "solved")
     found = signed.join(solved, "signature")
     ids = (every if every is not None else conversations).select(_key(F.col("conv_id")).alias("key"), "conv_id").distinct()
-    audits = ids.join(found.drop("edits"), "key", "left").na.fill(0).na.fill({"signature": "", "audit": ""})
+    audits = ids.join(found.drop("edits"), "key", "left").na.fill({"signature": "", "audit": "", **dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), 0)})
     each = found.select("key", F.posexplode("edits").alias("n", "e")).filter("e.edit <> 'D'").select("key", "n", "e.edit", F.col("e.role").alias("given"), "e.pos")
     repaired = each.join(rows.select("key", "pos", "turn", "role", "text"), ["key", "pos"], "left")
     inserted = F.col("edit") == "I"

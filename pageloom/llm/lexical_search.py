@@ -148,7 +148,7 @@ def weight(df: int, count: int) -> int:
 class Index:
     """The tiered index of the terms of a vocabulary, over all documents."""
 
-    def __init__(self, documents: DataFrame, vocabulary: Vocabulary, at: Workspace, name: str = "index"):
+    def __init__(self, documents: DataFrame, vocabulary: Vocabulary, at: Workspace, name: str = "index", first: int = FIRST):
         self.at, self.name = at, name
         p = at.keep(_postings(documents, vocabulary), f"{name}-postings")
         self.count, total = p.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -158,7 +158,7 @@ class Index:
         each = each.select("term", F.expr("(1000000000L * tf) div (1000 * tf + 20 * m)").alias("impact"))
         h = at.keep(each.groupBy("term", F.floor(F.col("impact") / STEP).cast("int").alias("step")).agg(F.count("*").alias("k"), F.max("impact").alias("top")), f"{name}-steps")
         most = h.groupBy("term").agg(F.sum("k").alias("k")).agg(F.max("k")).first()[0] or 0
-        sizes = [FIRST]
+        sizes = [first]
         while sizes[-1] < most:
             sizes.append(sizes[-1] * GROWTH)
         self.tiers = len(sizes)
@@ -288,13 +288,13 @@ def _exact(index: Index, found: DataFrame, sums: Sums, name: str) -> DataFrame:
     return rows.select("row", "doc_id", *[f"{x}{t}" for t in range(tiers) for x in ("terms", "impacts")], "items").mapInArrow(run, "item long, row long, doc_id long, score long")
 
 
-def _batch(documents: DataFrame, wanted: list, best: int, at: Workspace, name: str) -> list[DataFrame]:
+def _batch(documents: DataFrame, wanted: list, best: int, at: Workspace, name: str, first: int) -> list[DataFrame]:
     """Answers (item, row, doc_id, score) of a batch of items with their terms (item, x, y): for each item its best and some more."""
     items = np.array([r["item"] for r in wanted], np.int64)
     x, y = (np.array([r[k] for r in wanted], np.int64) for k in ("x", "y"))
     vocabulary = Vocabulary(x, y)
     term = vocabulary.numbers(x, y)
-    index = Index(documents, vocabulary, at, name)
+    index = Index(documents, vocabulary, at, name, first)
     ids, item = np.unique(items, return_inverse=True)
     named = lambda d, own: d.join(F.broadcast(d.sparkSession.createDataFrame([(k, int(ids[i])) for k, i in enumerate(own)], "item long, __item long")), "item").select(F.col("__item").alias("item"), "row", "doc_id", "score")
     counts = index.weights[term] > 0  # a term of weight 0, or of no document, adds nothing
@@ -322,8 +322,11 @@ def _batch(documents: DataFrame, wanted: list, best: int, at: Workspace, name: s
     return out
 
 
-def search(documents: DataFrame, items: DataFrame, best: int = BEST, batch: int = BATCH) -> DataFrame:
-    """item_id, rank, doc_id, score of the ``best`` documents for each row of items (item_id, text)."""
+def search(documents: DataFrame, items: DataFrame, best: int = BEST, batch: int = BATCH, first: int = FIRST) -> DataFrame:
+    """item_id, rank, doc_id, score of the ``best`` documents for each row of items (item_id, text).
+
+    batch, first: terms of a batch and postings of a term's first tier; they change time, not results.
+    """
     spark = documents.sparkSession
     at = Workspace(spark, "search")
     asked = at.keep(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
@@ -332,7 +335,7 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST, batch: int
     out = spark.createDataFrame([], "item long, row long, doc_id long, score long")
     for b in range(batches):
         wanted = terms.filter(F.pmod(F.xxhash64("item"), F.lit(batches)) == b).collect()  # at most about ``batch`` rows, by the number of batches
-        for found in _batch(documents, wanted, best, at, f"index-{b}"):
+        for found in _batch(documents, wanted, best, at, f"index-{b}", first):
             out = out.unionByName(found)
     # The best of a part of the documents first, so that no task sorts all of an item's.
     order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row")]

@@ -159,7 +159,7 @@ def _sketched(bits: int):
     """A task's sketch: row, block, the two planes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, size = Sketch(bits), BLOCK >> 3
+        s, size = Sketch(bits), _block(bits)
         for _, _, _, t, _ in _texts(batches, 0):
             for x in t.runs():
                 s.add(x.a)
@@ -172,37 +172,46 @@ def _sketched(bits: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Planes in order of row and block -> one plane of what is seen again for each; a block at a time is held."""
-    key, seen, again, size = None, None, None, BLOCK >> 3
+def _block(bits: int) -> int:
+    """Bytes of a block of a plane."""
+    return min(BLOCK, 1 << bits) >> 3
 
-    def out() -> pa.RecordBatch:
+
+def _merged(size: int):
+    """Planes (blocks of ``size`` bytes) in order of row and block -> one plane of what is seen again for each; a block at a time is held."""
+
+    def out(key: tuple[int, int], again: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"row": pa.array([key[0]], pa.int32()), "block": pa.array([key[1]], pa.int32()), "again": [pa.compress(again, "zstd", asbytes=True)]})
 
-    for b in batches:
-        for row, block, s, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            s, t = (np.frombuffer(pa.decompress(v, size, "zstd", asbytes=True), np.uint8) for v in (s, t))
-            if key != (row, block):
-                if key:
-                    yield out()
-                key, seen, again = (row, block), s.copy(), t.copy()
-            else:
-                again |= t | (seen & s)
-                seen |= s
-    if key:
-        yield out()
-
-
-def sketch(texts: DataFrame, at: Workspace) -> tuple[int, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen, again = None, None, None
+        for b in batches:
+            for row, block, s, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                s, t = (np.frombuffer(pa.decompress(v, size, "zstd", asbytes=True), np.uint8) for v in (s, t))
+                if key != (row, block):
+                    if key:
+                        yield out(key, again)
+                    key, seen, again = (row, block), s.copy(), t.copy()
+                else:
+                    again |= t | (seen & s)
+                    seen |= s
+        if key:
+            yield out(key, again)
+
+    return run
+
+
+def sketch(texts: DataFrame, at: Workspace, most: int = MOST) -> tuple[int, np.ndarray]:
     """Bits, and the plane (two rows) of what is counted twice or more, over the anchors of all texts (column text)."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST, max(LEAST, (size // 16).bit_length()))
+    n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(most, max(LEAST, (n // 16).bit_length()))
+    size = _block(bits)
     parts = texts.select("text").mapInArrow(_sketched(bits), "row int, block int, seen binary, again binary")
-    merged = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged, "row int, block int, again binary")
+    merged = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged(size), "row int, block int, again binary")
     plane = np.zeros((2, 1 << (bits - 3)), np.uint8)
-    for r in at.keep(merged, "sketch").toLocalIterator():  # at most 2 * 2**MOST bits, 64 MB
-        k = r["block"] * (BLOCK >> 3)
-        plane[r["row"], k : k + (BLOCK >> 3)] = np.frombuffer(pa.decompress(bytes(r["again"]), BLOCK >> 3, "zstd", asbytes=True), np.uint8)
+    for r in at.keep(merged, "sketch").toLocalIterator():  # at most 2 * 2**most bits, 64 MB
+        k = r["block"] * size
+        plane[r["row"], k : k + size] = np.frombuffer(pa.decompress(bytes(r["again"]), size, "zstd", asbytes=True), np.uint8)
     return bits, plane
 
 
@@ -222,13 +231,16 @@ def _among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
     return found[np.minimum(np.searchsorted(found, x), len(found) - 1)] == x if len(found) else np.zeros(len(x), bool)
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (removed runs of words), kept (the other words, joined by one space) for each row."""
+def remove_repeats(documents: DataFrame, most: int = MOST) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (removed runs of words), kept (the other words, joined by one space) for each row.
+
+    most: counters of a row of the sketch, as a power of two; it changes time, not results.
+    """
     spark = documents.sparkSession
     at = Workspace(spark, "windows")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     known = docs.filter("doc_id is not null and text is not null")
-    bits, plane = sketch(known, at)
+    bits, plane = sketch(known, at, most)
     counted = spark.sparkContext.broadcast(plane)
 
     def repeated(a: np.ndarray) -> np.ndarray:
