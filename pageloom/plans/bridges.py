@@ -69,4 +69,4 @@ def spent(events: DataFrame) -> DataFrame:
 def job_intervals(events: DataFrame) -> DataFrame:
     """Each event as a job that runs for its value in whole minutes."""
     minutes = F.floor(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0))).cast("long")
-    return events.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("start"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + minutes * 60).alias("end"), (minutes * 60).cast("double").alias("seconds"), F.col("user_id").alias("client"))
+    return events.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("start"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + minutes * 60_000_000).alias("end"), (minutes * 60).cast("double").alias("seconds"), F.col("user_id").alias("client"))
