@@ -8,8 +8,8 @@ the first tier they have a posting in, so a search of the first tiers reads only
 A search goes from tier to tier.  The postings read so far give each document a lower bound; what is left of each term is
 bounded by the highest impact below its tier, its residual.  The 50th best lower bound is the bar.  Once the residuals of
 an item's terms add up to less than its bar, no document that hasn't been met can enter: the item is proven, the documents whose upper
-bound reaches the bar are scored in all tiers, and the best are its answer.  Items without that proof go on to the next tier,
-at the last of which nothing is left.  The answers are exact.
+bound reaches the bar are scored in all tiers, and the best are its answer.  Items without that proof, or with more than 20 times as many
+such documents as answers, go on to the next tier, at the last of which nothing is left.  The answers are exact.
 
 Searches are made for batches of items with some 250,000 terms together; the index of a batch holds the postings of its terms, of
 every document.  Terms are told apart by two independent 64-bit hashes.  Nothing is grouped by term: a posting stays with its
@@ -36,8 +36,9 @@ from pageloom.llm.store import Workspace
 #: Bytes that are in no term: all of ASCII but letters and digits.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
-#: Answers an item; size of a term's first tier, and how much larger each next one is; impacts of a step; terms of a batch.
-BEST, FIRST, GROWTH, STEP, BATCH = 50, 1024, 16, 1 << 14, 250_000
+#: Answers an item; size of a term's first tier, and how much larger each next one is; impacts of a step; terms of a batch; times the
+#: answers that an item's candidates may be, to be scored in all tiers at once.
+BEST, FIRST, GROWTH, STEP, BATCH, MANY = 50, 1024, 16, 1 << 14, 250_000, 20
 #: Bytes of text handled together; cells of a table of scores (documents x items) made at a time; rows that may be broadcast.
 PART, CELLS, FEW = 1 << 22, 1 << 20, 500_000
 
@@ -258,15 +259,39 @@ def _bars(index: DataFrame, sums: Sums, tiers: int, best: int) -> dict[int, floa
     return {r["item"]: r["bar"] for r in reached.collect()}  # a number an item of the batch
 
 
-def _candidates(index: DataFrame, sums: Sums, tiers: int, bar: np.ndarray, left: np.ndarray) -> DataFrame:
-    """item, row, doc_id, score: documents whose upper bound reaches their item's bar; score is the lower bound."""
+def _met(index: DataFrame, sums: Sums, tiers: int, bar: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each item how many documents reach its bar by their upper bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(sums.n_items, np.int64)
         for batch in bh.tidy(batches):
+            for _, _, low, met in sums.tables(batch, tiers):
+                n += ((low > 0) & (low + left - met >= bar)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["item", "n"])
+
+    out = np.zeros(sums.n_items, np.int64)
+    for r in index.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).collect():  # a number an item of the batch
+        out[r["item"]] = r["n"]
+    return out
+
+
+def _candidates(index: DataFrame, sums: Sums, tiers: int, bar: np.ndarray, left: np.ndarray, best: int) -> DataFrame:
+    """item, row, doc_id, score: documents whose upper bound reaches their item's bar; score is the lower bound.
+
+    Where nothing is left that is the score, and of documents read together only the best of an item are given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bh.tidy(batches):
+            ids = batch.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
             for a, _, low, met in sums.tables(batch, tiers):
                 row, item = np.nonzero((low > 0) & (low + left - met >= bar))
-                rows = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(low[row, item].astype(np.int64))], names=["item", "row", "doc_id", "score"])
+                score = low[row, item]
+                order = np.lexsort((row, ids[row + a], -score, item))
+                row, item, score = row[order], item[order], score[order]
+                k = (np.arange(len(item)) - np.searchsorted(item, item) < best) | (left[item] > 0)
+                rows = pa.array(row[k] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(item[k].astype(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(score[k].astype(np.int64))], names=["item", "row", "doc_id", "score"])
 
     return index.mapInArrow(run, "item long, row long, doc_id long, score long")
 
@@ -310,11 +335,15 @@ def _batch(documents: DataFrame, wanted: list, best: int, at: Workspace, name: s
         bars = _bars(index.upto(t), sums, t + 1, best)
         bar = np.array([bars.get(i, 1.0) for i in range(len(active))])
         proven = (left < bar) | (left == 0)
+        if (left[proven] > 0).any():
+            # Scoring them in all tiers shall cost less than the next tier does.
+            few = _met(index.upto(t), sums, t + 1, bar, left) <= MANY * best
+            proven &= few | (left == 0)
         if proven.any():
             own = np.flatnonzero(proven)
             k = np.isin(mine, own)
             sums = Sums(np.searchsorted(own, mine[k]), terms[k], len(own), len(vocabulary.x), index.weights, index.rest[t])
-            found = _candidates(index.upto(t), sums, t + 1, bar[own], left[own])
+            found = _candidates(index.upto(t), sums, t + 1, bar[own], left[own], best)
             if left[own].any():
                 found = _exact(index, at.keep(found, f"{name}-candidates-{t}"), sums, f"{name}-asked-{t}")
             out.append(at.keep(named(found, active[own]), f"{name}-found-{t}"))
@@ -339,6 +368,6 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST, batch: int
             out = out.unionByName(found)
     # The best of a part of the documents first, so that no task sorts all of an item's.
     order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row")]
-    part = out.withColumn("r", F.row_number().over(Window.partitionBy("item", F.pmod(F.xxhash64("row"), F.lit(32))).orderBy(*order))).filter(F.col("r") <= best)
+    part = out.withColumn("r", F.row_number().over(Window.partitionBy("item", F.pmod(F.xxhash64("row"), F.lit(8))).orderBy(*order))).filter(F.col("r") <= best)
     ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).filter(F.col("rank") <= best)
     return asked.select("item", "item_id").join(ranked.drop("r"), "item").select("item_id", "rank", "doc_id", "score")
