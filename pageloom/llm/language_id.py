@@ -7,9 +7,8 @@ the mean of their log frequencies.  A text's score is the posterior of the best
 for the dependence between words.
 
 The model is fitted on at most about ``sample`` labelled rows, drawn by a hash of doc_id
-(all of them while there are fewer), and holds each language's ``words`` most frequent words and ``grams`` most frequent
-n-grams (ties by name), with their counts in all languages; so the size of what is broadcast is bounded and a language of few
-documents keeps its own words.  Every text is then scored whole, however long.
+(all of them while there are fewer), and holds every word and n-gram of theirs: the bound on rows bounds the size of what is
+broadcast.  Every text is then scored whole, however long.
 
 A null text, or one without a letter, is ``und`` with score 0; with no labelled rows every
 text is.  A null lang is not learned from; rows are judged one by one, so repeated
@@ -27,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm import bytehash as bh
@@ -93,7 +93,13 @@ class Model:
         return self.languages[best], float(1 / share.sum())
 
 
-def fit(docs: DataFrame, sample: int = 20_000, words: int = 20_000, grams: int = 12_000) -> Model:
+def _grams(word: Column, size: int) -> Column:
+    """As grams_of, of a word with its ends marked."""
+    places = F.sequence(F.lit(1), F.length(word) - size + 1)
+    return F.when(F.length(word) >= size, F.transform(places, lambda i: word.substr(i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def fit(docs: DataFrame, sample: int = 20_000) -> Model:
     """A model of the rows of docs (text, lang) whose lang isn't null."""
     d = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = d.count()
@@ -110,32 +116,33 @@ def fit(docs: DataFrame, sample: int = 20_000, words: int = 20_000, grams: int =
 
     at = Workspace(docs.sparkSession, "language-id")
     counted = d.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = at.keep(counted, "counted")  # of at most about ``sample`` rows
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    chosen = counted.withColumn("k", first).filter(F.col("k") <= words).select("word").distinct()
-    known = [(r["lang"], r["word"], r["n"]) for r in counted.join(chosen, "word", "left_semi").collect()]  # at most ``words`` a language, each in all languages
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    counted = at.keep(counted, "counted")  # the words of at most about ``sample`` rows
+    # Each distinct word once: unseen words are like rare ones.
+    held = [_grams(F.col("word") if size == 1 else F.concat(F.lit("<"), F.col("word"), F.lit(">")), size) for size in range(1, LONGEST + 1)]
+    pieces = counted.select("lang", F.explode(F.concat(*held)).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
+    known, parts = (x.toArrow() for x in (counted.withColumnRenamed("word", "key"), pieces))
+    languages = sorted(set(known.column("lang").to_pylist()))
     at.drop("counted")
-    pieces: Counter = Counter()
-    for lang, word, _ in known:  # each distinct word once: unseen words are like rare ones
-        for size in range(1, LONGEST + 1):
-            pieces.update((lang, g) for g in grams_of(word, size))
-    top = {g for lang in languages for _, g in sorted((-k, g) for (x, g), k in pieces.items() if x == lang)[:grams]}
-    return Model(languages, *logs(known, languages), *logs([(x, g, k) for (x, g), k in pieces.items() if g in top], languages))
-
-
-def logs(rows: list[tuple[str, str, int]], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Of counts (language, key, n): the keys' rows, and their smoothed log frequencies by language."""
-    index = {k: i for i, k in enumerate(sorted({k for _, k, _ in rows}))}
-    seen, at = np.zeros((len(index), len(languages))), {x: i for i, x in enumerate(languages)}
-    for lang, key, k in rows:
-        seen[index[key], at[lang]] += k
+    return Model(languages, *logs(known, languages), *logs(parts, languages))
+
+
+def logs(rows: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Of counts (lang, key, n): the keys' rows, and their smoothed log frequencies by language."""
+    if not rows.num_rows:
+        return {}, np.zeros((0, len(languages)))
+    keys = rows.column("key").combine_chunks().dictionary_encode()
+    which = {x: i for i, x in enumerate(languages)}
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([which[x] for x in langs.dictionary.to_pylist()])[langs.indices.to_numpy()]
+    seen = np.zeros((len(keys.dictionary), len(languages)))
+    np.add.at(seen, (keys.indices.to_numpy(), lang), rows.column("n").to_numpy())
+    index = {k: i for i, k in enumerate(keys.dictionary.to_pylist())}
     return index, np.log(seen + SMOOTH) - np.log(seen.sum(axis=0, keepdims=True) + SMOOTH * max(1, len(index)))
 
 
 def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most words + grams rows a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words and n-grams of at most about ``sample`` rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, cache = shared.value, {}

@@ -52,14 +52,24 @@ DIGITS = {
 }
 _SPELLED = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe)", r"(?:dot|punkt|point|punto)"
-#: Between labels of a spaced address; what its last label must be after a point, as "at" and "dot" are also plain words.
-_STOP = r"(?:\.|[ \t]{1,3}" + _DOT + r"[ \t]{1,3})"
-_TOP = r"(?:com|org|net|edu|gov|info|io|co|ai|dev|app|de|fr|es|it|nl|ch|at|eu|uk|us|ca|example)"
-#: After a spelled dot, any letters may be the last label, but for words that are no top-level domain ("at the dot of noon");
-#: nor may a determiner be the label before ("at some point in March").
-_NO_TOP = r"(?:of|for|and|or|the|a|an|that|this|these|those|was|were|when|where|which|who|with|from|on|if|but|then|than|he|she|they|we)"
-_NO_LABEL = r"(?:the|a|an|this|that|these|those|some|any|one|each|every|what|which|no|my|your|his|her|its|our|their|another|certain|same)"
-_SPELLED_TOP = r"[ \t]{1,3}" + _DOT + r"[ \t]{1,3}(?!" + _NO_TOP + r"\b)[A-Za-z]{2,63}(?![A-Za-z0-9-])"
+_SPACE = r"[ \t]{1,3}"
+#: "at" and "dot" are plain words too, and a site is often named after "at" (look at example.com).  So a bare "at" stands for the sign only with a second sign
+#: of disguise: a name that is no word (anna.b, anna7) or is one of an office, or a name that isn't among the words that usually stand before a place
+#: (verbs, pronouns, adverbs, and all that ends in -ing, -ed or -ly) before an address with a known ending.
+#: Endings; endings that are words as well; domains of mailboxes; offices; words that stand before "at" in plain text.
+_TOP = r"(?:com|org|net|edu|gov|mil|info|biz|name|museum|travel|mobi|aero|coop|asia|email|blog|news|wiki|agency|pro|io|co|ai|dev|app|xyz|online|site|tech|cloud|shop|test|example|ae|ar|br|ca|ch|cl|cn|cz|de|dk|ee|es|eu|fi|fr|gr|hk|hr|hu|id|ie|il|ir|jp|ke|kr|li|lt|lu|lv|mx|my|ng|nl|nz|ph|pk|pl|pt|ro|rs|ru|sa|se|sg|si|sk|th|tr|tv|tw|ua|uk|vn|za)"
+_WORDLY = r"(?:it|in|is|be|at|us|me|no|as|so)"
+_MAILBOX = r"(?:gmail|googlemail|yahoo|ymail|hotmail|outlook|live|msn|aol|icloud|protonmail|proton|gmx|web|posteo|mailbox|t-online|freenet|orange|wanadoo|laposte|free|terra|telefonica|libero|mail|yandex|qq|163|zoho|fastmail)"
+_OFFICE = r"(?:info|sales|support|admin|office|help|helpdesk|press|jobs|careers|billing|abuse|webmaster|postmaster|privacy|legal|service|enquiries|inquiries|feedback|newsletter|noreply|kontakt|presse|vertrieb|contacto|ventas)"
+_BEFORE = r"(?:look|looks|live|lives|arrive|arrives|arrival|available|visible|present|find|found|buy|bought|sell|sold|meet|meets|met|see|seen|read|visit|shop|host|start|starts|stop|stops|stay|stays|work|works|study|point|points|aim|laugh|good|bad|best|worst|least|most|last|early|late|open|closed|free|here|there|home|us|me|him|her|them|it|you|out|up|down|in|on|off|all|not|and|or|but|only|even|also|just|still|is|are|was|were|be|been|am|more|download|downloads|page|site|blog|store|today|now|then|online|read|docs|documentation|one|two|that|this|these|those|what|back|away|code|source|project|demo|order|sign|log|join|play|mirror|website|homepage|apply|register|check|click|search|browse|ask|chat|enroll|subscribe|donate|vote|book|shows|news|people|everyone|everything|something|nothing|it's|located|price|prices|again|yesterday|tonight|tomorrow|later|earlier|soon|always|never|often|once|twice|around|together|alone|inside|outside|above|below|as|to|for|of|with|by|from|so|yes|no|first|website|link|links|form|list|archive|archives|forum|community|team|users|hosting|us|we|they|he|she|i|who|which|watch|listen|learn|try|get|got|eat|ate|sat|sit|stand|stood|sleep|slept|wait|waits|spend|spent|gone|go|went|years|hours|time|much|little|\w+(?:ing|ed|ly))"
+_NO_LABEL = r"(?:the|a|an|this|that|these|those|some|any|one|each|every|what|which|no|my|your|his|her|its|our|their|another|certain|same|home|all|least|last|first|most|best)"
+_LABELS = r"[A-Za-z0-9-]+(?:(?:\.|" + _SPACE + _DOT + _SPACE + r")[A-Za-z0-9-]+){0,4}?"
+_END = r"(?![A-Za-z0-9-])"
+_SPELLED_END = _SPACE + _DOT + _SPACE
+_ANY_END = r"(?:\.|" + _SPELLED_END + r")"
+#: What may follow a bare "at", by the name before it.
+_AFTER_ANY = r"(?!" + _NO_LABEL + r"[ \t])(?:" + _LABELS + _SPELLED_END + r"(?:" + _TOP + "|" + _WORDLY + ")" + _END + "|" + _LABELS + r"\." + _TOP + _END + "|" + _MAILBOX + _ANY_END + _TOP + _END + ")"
+_AFTER_NAME = _LABELS + _ANY_END + r"(?:" + _TOP + "|" + _WORDLY + ")" + _END
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 
 
@@ -68,17 +78,40 @@ def _folded(text: str) -> str:
     return text.replace("İ", "i").lower().replace("ſ", "s").replace("ı", "i")
 
 
-#: Rewriting rules in order: pattern -> what stands in its place.
+_BEFORE_AT, _OFFICE_NAME, _AFTER_PLAIN = re.compile(_BEFORE, re.I), re.compile(_OFFICE, re.I), re.compile(_AFTER_ANY, re.I)
+
+
+def _addressed(m: re.Match) -> bool:
+    """Whether a bare "at" stands for the sign, by the name before it and what follows."""
+    before = m.string[max(0, m.start() - 80) : m.start()]
+    name = before[len(before.rstrip(LOCAL)) :]
+    if not name.isalpha():
+        return any(c.isalpha() for c in name)
+    if _OFFICE_NAME.fullmatch(name):
+        return True
+    return not _BEFORE_AT.fullmatch(name) and bool(_AFTER_PLAIN.match(m.string, m.end()))
+
+
+#: Rewriting rules in order: pattern -> what stands in its place (or a function of the match).
 _RULES: list[tuple[re.Pattern, object]] = [
+    (re.compile(r"&(?:#0*64|#x0*40|commat);", re.I), "@"),
+    (re.compile(r"&(?:#0*46|#x0*2e|period);", re.I), "."),
     (re.compile(_OPEN + r"(?:" + _AT + r"|@)" + _CLOSE, re.I), "@"),
     (re.compile(_OPEN + r"(?:" + _DOT + r"|\.)" + _CLOSE, re.I), "."),
-    (re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}" + _AT + r"[ \t]{1,3}(?=[A-Za-z0-9-]+(?:" + _STOP + r"[A-Za-z0-9-]+){0,4}?" + _STOP + _TOP + r"\b|(?!" + _NO_LABEL + r"[ \t])[A-Za-z0-9-]+(?:" + _STOP + r"[A-Za-z0-9-]+){0,4}?" + _SPELLED_TOP + r")", re.I), "@"),
+    (re.compile(r"(?<=[A-Za-z0-9])_" + _AT + r"_(?=[A-Za-z0-9-]+(?:_" + _DOT + r"_[A-Za-z0-9-]+)+)", re.I), "@"),
+    (re.compile(r"(?<=[A-Za-z0-9])_" + _DOT + r"_(?=[A-Za-z0-9])", re.I), "."),
+    (re.compile(r"(?<=[A-Za-z0-9._%+-])" + _SPACE + _AT + _SPACE + "(?=" + _AFTER_NAME + ")", re.I), "@"),
+    (re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}@[ \t]{1,3}(?=[A-Za-z0-9-]+(?:[ \t]{0,2}\.[ \t]{0,2}[A-Za-z0-9-]+){0,3}?[ \t]{0,2}\.[ \t]{0,2}(?:com|org|net|edu|gov|info|example)\b)"), "@"),
+    (re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,2}\.[ \t]{1,2}(?=(?:com|org|net|edu|gov|info|example)\b)"), "."),
     (re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}" + _DOT + r"[ \t]{1,3}(?=[A-Za-z0-9])", re.I), "."),
     (re.compile(r"\b" + _SPELLED + r"(?:[ \t,-]{1,3}" + _SPELLED + r"){2,}\b", re.I), lambda m: "".join(DIGITS[_folded(w)] for w in re.findall(_SPELLED, m, re.I))),
     (re.compile(r"\bplus[ \t]{1,3}(?=[0-9])", re.I), "+"),
 ]
-#: Words of which a text must hold one for the rules of at, dot and plus.
+#: For each rule, what the folded text must hold one of; None: one of the words of digits.
 _AT_WORDS, _DOT_WORDS, _DIGIT_WORDS = ("at ", "at\t", "arroba", "arobase", "klammeraffe"), ("dot", "punkt", "point", "punto"), frozenset(DIGITS)
+#: The rule whose matches are looked at again.
+_BARE_AT = 6
+_SIGNS: list[tuple[str, ...] | None] = [("&",), ("&",), tuple("[({<"), tuple("[({<"), ("_",), ("_",), _AT_WORDS, (" @", "\t@"), (" .", "\t."), _DOT_WORDS, None, ("plus",)]
 
 
 def luhn(digits: str) -> bool:
@@ -156,9 +189,11 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
         end.append(i + 1)
         new.append(x != c)
     said = "".join(chars)
-    for pattern, by in _RULES:
+    for k, (pattern, by) in enumerate(_RULES):
         parts, s, e, n, at = [], [], [], [], 0
         for m in pattern.finditer(said):
+            if k == _BARE_AT and not _addressed(m):
+                continue
             i, j = m.span()
             x = by(m[0]) if callable(by) else by
             parts += [said[at:i], x]
@@ -177,16 +212,14 @@ def suspicious(text: str) -> bool:
     if not text.isascii() and any(c > "\x7f" and _character(c) != c for c in set(text)):
         return True
     low = _folded(text)
-    at, dot, spaced_at, spaced_dot, digits, plus = (p for p, _ in _RULES)
-    if any(c in low for c in "[({<") and (at.search(text) or dot.search(text)):
-        return True
-    if any(w in low for w in _DOT_WORDS) and spaced_dot.search(text):
-        return True
-    if any(w in low for w in _AT_WORDS) and spaced_at.search(text):
-        return True
-    if "plus" in low and plus.search(text):
-        return True
-    return not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split()) and bool(digits.search(text))
+    for k, ((pattern, _), signs) in enumerate(zip(_RULES, _SIGNS, strict=True)):
+        if signs is None:
+            there = not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split())
+        else:
+            there = any(s in low for s in signs)
+        if there and (any(map(_addressed, pattern.finditer(text))) if k == _BARE_AT else pattern.search(text)):
+            return True
+    return False
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

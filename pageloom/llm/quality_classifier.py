@@ -9,7 +9,7 @@ numpy by Adam with a validation part, gives a logit; dividing it by a temperatur
 that part calibrates the probability.
 
 Labels are learned from at most about ``sample`` labelled rows, drawn by a hash of doc_id;
-the model holds at most ``words`` word vectors.  Sums over the sample are of integers, so the model doesn't depend on the
+the model holds a vector for every word that stands in them three times or more.  Sums over the sample are of integers, so the model doesn't depend on the
 layout of the rows.  Every text is then scored whole, however long.  A score of just ``threshold`` counts as good.
 
 A null or empty text has features too (zeros) and a score; null labels are not learned
@@ -36,6 +36,7 @@ from pageloom.llm import bytehash as bh
 
 WORD = re.compile(r"[^\x01\x20\x09-\x0D]+")
 SIZE, ONES = 32, 4
+NONE = np.zeros((0, SIZE), np.float32)
 
 
 def index_vectors(keys: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -68,9 +69,9 @@ def spelled(words: list[str]) -> np.ndarray:
 class Vectors:
     """Word vectors: how a word is spelled, and its neighbours in the training sample if it was there."""
 
-    def __init__(self, context: dict[str, np.ndarray]):
-        self.rows = {w: i for i, w in enumerate(context, 1)}
-        self.context = np.array([np.zeros(SIZE, np.float32), *context.values()], np.float32)
+    def __init__(self, words: list[str], context: np.ndarray):
+        self.rows = {w: i for i, w in enumerate(words, 1)}
+        self.context = np.concatenate([np.zeros((1, SIZE), np.float32), context])
 
     def of(self, words: list[str]) -> np.ndarray:
         get = self.rows.get
@@ -159,10 +160,14 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 40, seed
 
 @dataclass
 class Model:
-    context: dict[str, np.ndarray]
+    words: list[str]
+    context: np.ndarray
     network: Network | None
     share: float
 
+    def vectors(self) -> Vectors:
+        return Vectors(self.words, self.context)
+
     def score(self, texts: list[str | None], vectors: Vectors) -> np.ndarray:
         if self.network is None or not texts:
             return np.full(len(texts), self.share)
@@ -180,11 +185,14 @@ def draw(labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
     return d.filter(keep), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int = 20_000, reach: int = 2) -> Model:
-    """A model of labels (doc_id, quality: 0 or 1) of docs (doc_id, text)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, least: int = 3, reach: int = 2) -> Model:
+    """A model of labels (doc_id, quality: 0 or 1) of docs (doc_id, text).
+
+    least: how often a word must stand in the sample to have a vector of its neighbours; one seen less has hardly met any.
+    """
     drawn, sizes = draw(labels, sample)
     if len(sizes) < 2:
-        return Model({}, None, float(next(iter(sizes), 0.5)))
+        return Model([], NONE, None, float(next(iter(sizes), 0.5)))
     d = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about sample rows
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,12 +219,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int = 20
 
     summed = d.select("text").mapInPandas(neighbours, "word string, n long, v array<bigint>")
     summed = summed.groupBy("word").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(SIZE)]).alias("v"))
-    top = summed.filter("n >= 3").orderBy(F.desc("n"), "word").limit(words).collect()
-    context = {r["word"]: (v / max(1e-6, float(np.linalg.norm(v)))).astype(np.float32) * np.float32(0.5) for r in top if (v := np.array(r["v"], np.float32)) is not None}
-    shared = docs.sparkSession.sparkContext.broadcast(context)
+    found = summed.filter(F.col("n") >= least).select("word", "v").toArrow()  # of words of at most about sample rows
+    order = np.argsort(np.array(found.column("word").to_pylist(), object), kind="stable") if found.num_rows else np.zeros(0, np.int64)
+    words = [found.column("word")[int(i)].as_py() for i in order]
+    sums = found.column("v").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)[order].astype(np.float32) if words else NONE
+    context = sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True)).astype(np.float32) * np.float32(0.5)
+    shared = docs.sparkSession.sparkContext.broadcast((words, context))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors = Vectors(shared.value)
+        vectors = Vectors(*shared.value)
         for b in bh.tidy(batches):
             x = [features(t if isinstance(t, str) else None, vectors) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "x": pd.Series([r.tobytes() for r in x], dtype=object)})
@@ -227,22 +238,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, words: int = 20
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64)
     y = np.array([r["quality"] for r in rows], np.float64)
     if len(set(y)) < 2:
-        return Model(context, None, float(y.mean()) if len(y) else 0.5)
+        return Model(words, context, None, float(y.mean()) if len(y) else 0.5)
     network = train(x, y)
     # The classes were drawn evenly: their true odds move the logit.
     odds = np.log(sizes[1] / sizes[0]) - np.log(max(1.0, (y == 1).sum()) / max(1.0, (y == 0).sum()))
     network.b2 += float(odds) * network.temperature
-    return Model(context, network, 0.5)
+    return Model(words, context, network, 0.5)
 
 
 def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The kept columns of docs and score, for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``words`` vectors and the network
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vectors of words of the sample, and the network
     d = docs.select(*keep, F.col("text").alias("__text")) if keep else docs.select(F.col("text").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        vectors = Vectors(m.context)
+        vectors = m.vectors()
         for b in bh.tidy(batches):
             said = m.score([t if isinstance(t, str) else None for t in b["__text"]], vectors)
             yield b.drop(columns="__text").assign(score=said)
@@ -275,7 +286,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        vectors = Vectors(m.context)
+        vectors = m.vectors()
         for b in bh.tidy(batches):
             yield b.filter(pa.array(m.score(b.column(at).to_pylist(), vectors) >= threshold))
 

@@ -379,7 +379,9 @@ def _giants(docs: DataFrame, model: str, chunk: int, schema: T.StructType) -> Da
     """As encode, by the scan over chunks that many tasks share."""
     reach = pieces_of(model).reach
     at = Workspace(docs.sparkSession, "encoding")
-    keyed = docs.withColumn("__key", F.sha2("text", 256))
+    # Other columns go along in one struct, so no name of theirs can clash.
+    named = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "ids"]
+    keyed = docs.select(F.sha2("text", 256).alias("key"), F.struct(*named).alias("row"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bh.tidy(batches):
@@ -389,7 +391,7 @@ def _giants(docs: DataFrame, model: str, chunk: int, schema: T.StructType) -> Da
                     yield pa.RecordBatch.from_pydict({"key": [key], "i": pa.array([i], pa.int32()), "u": [u[k : k + chunk + reach - 1]], "n": pa.array([min(chunk, len(u) - k)], pa.int32())})
 
     # Giants are read once and equal texts encoded once.
-    chunks = keyed.select("__key", "text").dropDuplicates(["__key"]).mapInArrow(split, "key string, i int, u string, n int")
+    chunks = keyed.select("key", F.col("row.text").alias("text")).dropDuplicates(["key"]).mapInArrow(split, "key string, i int, u string, n int")
     chunks = at.keep(chunks.repartition("key", "i"), "chunks")
 
     def each(columns: str, f) -> object:
@@ -419,10 +421,10 @@ def _giants(docs: DataFrame, model: str, chunk: int, schema: T.StructType) -> Da
     f = each("f binary", lambda p, u, n, r: p.enters(u, n, line(r.v)).tobytes())(chunks.join(v, ["key", "i"]))
     s = group(lambda x: followed([line(b) for b in x]), "f", "int")(f).withColumnRenamed("x", "end")
     done = each("ids array<int>", lambda p, u, n, r: np.frombuffer(p.trace(u, n, r.end, line(r.v)), np.int32))(chunks.join(v, ["key", "i"]).join(s, ["key", "i"]))
-    done = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts")).select("key", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("__ids"))
-    d = keyed.join(at.keep(done, "ids"), F.col("__key") == F.col("key"), "left")
+    done = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts")).select("key", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    d = keyed.join(at.keep(done, "ids"), "key", "left")
     at.drop("chunks", "arrived")
-    return d.select(*[F.col(c) for c in schema.names if c != "ids"], F.col("__ids").alias("ids"))
+    return d.select(*[F.col("row").getField(c).alias(c) for c in schema.names if c != "ids"], "ids")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
