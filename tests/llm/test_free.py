@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -274,7 +275,7 @@ def test_language_id(spark):
     assert und == {None: ("und", 0.0), -5: ("und", 0.0), -6: ("und", 0.0)}
 
 
-def plain_languages(rows, query, words=20_000, grams=12_000):
+def plain_languages(rows, query):
     """Predictions by counts in plain dictionaries; rows: (lang, text)."""
     letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
     parts = lambda w, n: [x[i : i + n] for x in [f"<{w}>" if n > 1 else w] for i in range(len(x) - n + 1)]
@@ -284,8 +285,7 @@ def plain_languages(rows, query, words=20_000, grams=12_000):
             seen.setdefault(lang, {}).setdefault(w, 0)
             seen[lang][w] += 1
     langs = sorted(seen)
-    top = lambda c, n: {k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]}
-    known = set().union(*(top(seen[x], words) for x in langs))
+    known = set().union(*seen.values())
     word = {x: {w: seen[x].get(w, 0) for w in known} for x in langs}
     gram = {x: {} for x in langs}
     for x in langs:
@@ -293,7 +293,7 @@ def plain_languages(rows, query, words=20_000, grams=12_000):
             for n in (1, 2, 3, 4):
                 for g in parts(w, n):
                     gram[x][g] = gram[x].get(g, 0) + 1
-    kept = set().union(*(top(gram[x], grams) for x in langs))
+    kept = set().union(*gram.values())
     gram = {x: {g: gram[x].get(g, 0) for g in kept} for x in langs}
     log = lambda c, k: math.log(c[k] + 0.5) - math.log(sum(c.values()) + 0.5 * len(c))
     out = []
@@ -317,9 +317,9 @@ def test_language_id_equals_counts(spark):
     rows = [(k, x, said(x, rng.randint(1, 20))) for k in range(90) for x in [rng.choice(["aa", "aa", "aa", "bb", "cc"])]]
     query = [said("bb", 3), said("cc", 1) + " zzz", "½ ² Ⅷ", "Ⅷka½to", "xyz", "", None, "KATO", "katoÉ m²ra"]
     d = spark.createDataFrame([(k, t, x) for k, x, t in rows] + [(1000 + k, t, None) for k, t in enumerate(query)], "doc_id long, text string, lang string")
-    want = plain_languages([(x, t) for _, x, t in rows], query, 60, 40)
+    want = plain_languages([(x, t) for _, x, t in rows], query)
     for layout in (d.coalesce(1), d.repartition(64)):
-        m = language_id.fit(layout, words=60, grams=40)
+        m = language_id.fit(layout)
         got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(layout, m, F.lit(False)).filter("doc_id >= 1000").collect()}
         for k, (lang, score) in enumerate(want):
             assert got[1000 + k] == (lang, pytest.approx(score, rel=1e-9)), query[k]
@@ -432,3 +432,177 @@ def test_encoding_frames(spark, pieces):
     got = sorted(((r["doc_id"], r["source"], r["text"]) for r in back.collect()), key=str)
     assert got == sorted(((k, t, t) for k, t in rows), key=str)
     assert sentencepiece_scan.encode(spark.createDataFrame([], DOCS), queries.MODEL).count() == 0
+
+
+#: Plain sentences that hold no address, and addresses in disguise.
+NO_ADDRESS = [
+    "look at example.com for more", "it is available at github.com", "Buy it at amazon.com today", "live at home dot honestly", "they arrive at berlin dot germany", "We met at stackoverflow.com", "read the docs at python.org", "the code is hosted at gitlab.com", "visit us at example.org", "more at bbc.co.uk",
+    "see it at nasa.gov", "look at the dot in the corner", "at this point in time", "a talk at some point com", "he stared at every dot in it", "They looked at home. It was late", "working at openai.com since May", "she works at web.de", "download it at kernel.org", "find them here at heise.de",
+    "shop online at ikea.com", "at one point or another", "I read about it at lemonde.fr", "the site is down at archive.org", "sign up at example.com", "Meet me at noon. Is it ok", "posted yesterday at reddit.com", "try it out at example.net", "you can apply at jobs.example.com", "we sat at a punkt concert",
+    "log in at portal.example.edu", "prices start at 10 dot com", "me @ work . Then we left", "a dog @ home . It barked",
+]
+ADDRESSES = [
+    "anna at gmail dot com", "bob.smith at mail dot example dot com", "anna7 at example.com", "info at example.com", "bob [at] example [dot] com", "bob (at) example.com", "bob&#64;example&#46;com", "anna&commat;example.com", "anna_at_example_dot_com", "user @ example . com",
+    "carl at mail dot ru", "dora at yahoo.com", "eva-maria at example dot org", "fritz at posteo.de", "greta arroba example punto es", "hans at web dot de", "ida at gmx dot net", "jan <at> example <dot> org", "kai {at} example {dot} org", "lea@ехample.com",
+    "ｍａｘ＠example.com", "nina at uni dot example dot edu", "otto at outlook.com", "paul at t-online.de", "rita at protonmail dot com", "sven(at)example(dot)net", "tom at example dot co dot uk", "uwe arobase orange point fr", "vera at icloud.com", "support at shop.example.com",
+]
+
+
+def test_pii_disguises_and_plain_sentences():
+    invented = [t for t in NO_ADDRESS if pii.find(t)[1]]
+    missed = [t for t in ADDRESSES if [k for k, i, j in pii.find(t)[1] if (i, j) == (0, len(t))] != [0]]
+    assert not invented and not missed, (invented, missed)
+    assert all(pii.masked(t, pii.find(t)[1]) == t for t in NO_ADDRESS)
+
+
+def test_language_id_keeps_every_word(spark):
+    """A vocabulary of over 20,000 words a language, each of which decides a text alone."""
+    rng = random.Random(5)
+    words = [f"{''.join(rng.choice('abcdefghij') for _ in range(9))}" for _ in range(50_000)]
+    rows = [(k, " ".join(words[k * 100 : k * 100 + 100]), "aa" if k < 250 else "bb") for k in range(500)]
+    asked = [(1000 + k, words[k], None) for k in (0, 24_999, 25_000, 49_999, 7_777)]
+    d = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    m = language_id.fit(d)
+    assert len(m.words) == len(set(words)) and m.word_logs.shape == (len(m.words), 2)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d, m, F.lit(False)).filter("doc_id >= 1000").collect()}
+    assert got == {1000: "aa", 1000 + 24_999: "aa", 1000 + 25_000: "bb", 1000 + 49_999: "bb", 1000 + 7_777: "aa"}
+
+
+def plain_index(key, size=32):
+    out, h = [0.0] * size, key
+    for _ in range(4):
+        h = (h * 0x5851F42D4C957F2D + 0x14057B7EF767814F) % 2**64
+        out[(h >> 33) % size] += 1 if h >> 63 else -1
+    return out
+
+
+def plain_features(text, context, size=32):
+    """Figures of a text, word by word."""
+    words = re.findall(r"[^\x01\x20\x09-\x0D]+", text)
+
+    def vector(w):
+        b, v = b"\x01" + w.encode() + b"\x01", [0.0] * size
+        for i in range(len(b) - 2):
+            code = ((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 17
+            v = [x + y for x, y in zip(v, plain_index(code + 1), strict=True)]
+        length = max(1e-6, math.sqrt(sum(x * x for x in v)))
+        return [x / length + y for x, y in zip(v, context.get(w, [0.0] * size), strict=True)]
+
+    vs, n = [vector(w) for w in words], len(words)
+    mean = [sum(v[i] for v in vs) / n for i in range(size)]
+    spread = [math.sqrt(max(0.0, sum(v[i] ** 2 for v in vs) / n - mean[i] ** 2)) for i in range(size)]
+    pairs = [(a, b) for a in range(n) for b in range(n) if a != b]
+    same = sum(words[a] == words[b] for a, b in pairs) / max(1, len(pairs))
+    different = [(a, b) for a, b in pairs if words[a] != words[b]]
+    alike = sum(sum(x * y for x, y in zip(vs[a], vs[b], strict=True)) for a, b in different) / max(1, len(different))
+    most = max(words.count(w) for w in words) / n - 1 / math.sqrt(n)
+    return [*(x * math.sqrt(min(n, 30)) for x in mean), *spread, math.log1p(n) / 5, 1 / math.sqrt(n), len(set(words)) / n, math.sqrt(same), alike, most]
+
+
+def plain_context(texts, least=3, reach=2, size=32):
+    """Unit vectors (halved) of the sums of each word's neighbours' index vectors."""
+    sums, times = {}, {}
+    for t in texts:
+        words = re.findall(r"[^\x01\x20\x09-\x0D]+", t)
+        for i, w in enumerate(words):
+            times[w] = times.get(w, 0) + 1
+            near = [words[j] for j in range(max(0, i - reach), min(len(words), i + reach + 1)) if j != i]
+            for x in near:
+                v = plain_index((zlib.crc32(x.encode()) & 0x7FFF) + (1 << 20))
+                sums[w] = [a + b for a, b in zip(sums.get(w, [0.0] * size), v, strict=True)]
+    halved = lambda v: [x / max(1e-6, math.sqrt(sum(y * y for y in v))) * 0.5 for x in v]
+    return {w: halved(sums.get(w, [0.0] * size)) for w, n in times.items() if n >= least}
+
+
+def plain_training(x, y, hidden, rounds, seed):
+    """The network of quality_classifier.train, number by number: parameters after Adam's steps, and the temperature."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(x))
+    cut = max(1, len(x) // 5)
+    held, rest = order[:cut], order[cut:]
+    width = len(x[0])
+    mean = [sum(x[i][k] for i in rest) / len(rest) for k in range(width)]
+    scale = [math.sqrt(sum((x[i][k] - mean[k]) ** 2 for i in rest) / len(rest)) for k in range(width)]
+    z = [[(r[k] - mean[k]) / (scale[k] if scale[k] > 1e-6 else 1.0) for k in range(width)] for r in x]
+    w1, w2 = rng.normal(0, 0.1, (width, hidden)).tolist(), rng.normal(0, 0.1, hidden).tolist()
+    p = {("w1", k, h): w1[k][h] for k in range(width) for h in range(hidden)} | {("b1", h): 0.0 for h in range(hidden)} | {("w2", h): w2[h] for h in range(hidden)} | {"b2": 0.0}
+    m, v, step = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0), 0
+    hid = lambda i: [math.tanh(sum(z[i][k] * p["w1", k, h] for k in range(width)) + p["b1", h]) for h in range(hidden)]
+    logit = lambda i: sum(a * p["w2", h] for h, a in enumerate(hid(i))) + p["b2"]
+    softplus = lambda a: max(a, 0.0) + math.log1p(math.exp(-abs(a)))
+    loss = lambda t=1.0: sum(softplus(logit(i) / t) - y[i] * logit(i) / t for i in held) / len(held)
+    best, kept = math.inf, None
+    for _ in range(rounds):
+        rng.shuffle(rest)
+        for part in np.array_split(rest, max(1, len(rest) // 64)):
+            g = dict.fromkeys(p, 0.0)
+            for i in part:
+                a, d = hid(i), (1 / (1 + math.exp(-logit(i))) - y[i]) / len(part)
+                g["b2"] += d
+                for h in range(hidden):
+                    g["w2", h] += d * a[h]
+                    back = d * p["w2", h] * (1 - a[h] ** 2)
+                    g["b1", h] += back
+                    for k in range(width):
+                        g["w1", k, h] += back * z[i][k]
+            step += 1
+            for key in p:
+                if key[0] in ("w1", "w2"):
+                    g[key] += 1e-4 * p[key]
+            for key in p:
+                m[key] += 0.1 * (g[key] - m[key])
+                v[key] += 0.001 * (g[key] ** 2 - v[key])
+                p[key] -= 0.003 * (m[key] / (1 - 0.9**step)) / (math.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
+        if (now := loss()) < best:
+            best, kept = now, dict(p)
+    p.update(kept)
+    return p, min(np.geomspace(0.25, 8, 60), key=loss)
+
+
+def test_quality_classifier_equals_plain(spark):
+    rng = random.Random(6)
+    vocabulary = [*("the of and to in is on it".split()), *(f"wörd{k}" for k in range(40))]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    labels = [k % 3 > 0 for k in range(60)]
+    d = docs(spark, *enumerate(texts))
+    model = quality_classifier.fit(d, spark.createDataFrame([(k, int(x)) for k, x in enumerate(labels)], "doc_id long, quality int"))
+    context = plain_context(texts)
+    assert set(model.words) == set(context)
+    for w, got in zip(model.words, model.context, strict=True):
+        assert got.tolist() == pytest.approx(context[w], abs=1e-6)
+    x = [quality_classifier.features(t, model.vectors()) for t in texts]
+    for t, got in zip(texts, x, strict=True):
+        assert got.tolist() == pytest.approx(plain_features(t, context), abs=2e-5)
+    rows, y = np.array(x, np.float64)[:, :5], np.array(labels, np.float64)
+    p, temperature = plain_training(rows.tolist(), y.tolist(), 3, 4, 7)
+    net = quality_classifier.train(rows, y, 3, 4, 7)
+    assert net.w1.tolist() == pytest.approx(np.array([[p["w1", k, h] for h in range(3)] for k in range(5)]), rel=1e-6)
+    assert net.w2.tolist() == pytest.approx([p["w2", h] for h in range(3)], rel=1e-6) and net.b2 == pytest.approx(p["b2"], rel=1e-6) and net.temperature == temperature
+
+
+def test_encoding_with_any_names(spark, pieces):
+    kind = "doc_id long, text string, `key` string, `__key` int, `__ids` int, u string, `row` string, i int, n int, parts int"
+    rows = [(k, t, "k", 1, 2, "u", "r", 3, 4, 5) for k, t in enumerate(["short", "long " * 500, None, "long " * 500])]
+    e = sentencepiece_scan.encode(spark.createDataFrame(rows, kind), queries.MODEL, giant=100, chunk=64)
+    got = {r["doc_id"]: r for r in e.collect()}
+    assert e.columns == ["doc_id", "text", "key", "__key", "__ids", "u", "row", "i", "n", "parts", "ids"] and got[1]["ids"] == got[3]["ids"] and got[2]["ids"] is None
+    assert all(pieces.decode(got[k]["ids"]) == t and tuple(got[k])[2:-1] == ("k", 1, 2, "u", "r", 3, 4, 5) for k, t, *_ in rows if t is not None)
+
+
+def test_scratch_folders_go(spark):
+    from pageloom.llm import store
+
+    def left():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.shared_dir(spark))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return {x.getPath().getName() for x in fs.listStatus(path)} if fs.exists(path) else set()
+
+    store.release()
+    before = left()
+    with store.scratch():
+        n = near_duplicates.near_duplicates(docs(spark, (1, "a b c d e f"), (2, "a b c d e f"))).count()
+        assert n == 2 and left() > before
+    assert left() == before
+    assert repeats.remove_repeats(docs(spark, (1, "x" * 60))).count() == 1 and left() > before
+    store.release()
+    assert left() == before
