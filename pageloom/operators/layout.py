@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import geometry as g
 from pageloom.functions import metrics as m
 from pageloom.functions.columns import let, once
+from pageloom.functions.text import font_family
 
 #: Labels that are planned; penalties; candidate steps.
 PLANNED = ("paragraph", "heading", "caption", "list item")
@@ -78,10 +79,15 @@ def overlap_spacing(blocks: DataFrame) -> DataFrame:
     Every block meets the earlier ones of its page: an equi-join on the page with a residual condition.
     """
     b = blocks.withColumn("__r", g.render_rect(F.col("rect"), F.col("font_size")))
-    earlier = b.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), F.col("block_id").alias("__b"), F.col("__r").alias("__e"))
-    mine = b.filter(planned(F.col("label"), F.col("toc_page"))).select("doc_id", "page", "block_id", "__r")
-    p = overlap_penalty(F.col("__r"), F.col("__e"))
-    worst = mine.join(earlier, (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & (number(F.col("__b")) < number(F.col("block_id"))) & (p > 0)).groupBy("doc_id", "page", "block_id").agg((-F.round(F.max(p), 3)).alias("penalty"))
+    reach = F.greatest(g.rect_height(F.col("__r")) * NEAR["height"], F.lit(NEAR["least"]))
+    sides = F.struct(number(F.col("block_id")).alias("nr"), "__r.x0", "__r.y0", "__r.x1", "__r.y1", reach.alias("reach"))
+    earlier = b.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), sides.alias("__e"))
+    mine = b.filter(planned(F.col("label"), F.col("toc_page"))).select("doc_id", "page", "block_id", sides.alias("__m"))
+    a, e = F.col("__m"), F.col("__e")
+    # What a pair must meet to have a penalty at all is cheap, and is the join's; the penalty itself is worked out once for the pairs left.
+    near = (e["nr"] < a["nr"]) & (e["x0"] < a["x1"]) & (a["x0"] < e["x1"]) & (F.greatest(a["y0"], e["y0"]) - F.least(a["y1"], e["y1"]) <= a["reach"])
+    met = mine.join(earlier, (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & near)
+    worst = met.groupBy("doc_id", "page", "block_id").agg(F.max(overlap_penalty(a, e)).alias("__p")).filter("__p > 0").withColumn("penalty", -F.round("__p", 3)).drop("__p")
     out = b.drop("__r").join(worst, ["doc_id", "page", "block_id"], "left")
     return out.withColumn("adjusted", F.when(F.col("penalty").isNotNull(), m.combined_spacing(F.col("spacing"), F.col("penalty"))).otherwise(F.col("spacing")))
 
@@ -112,41 +118,85 @@ def scale_ladder(font: Column) -> Column:
     return F.when(font >= 16, a("large")).when(font <= 11.5, a("small")).otherwise(a("middle"))
 
 
-def with_candidates(blocks: DataFrame) -> DataFrame:
-    """Planned blocks with ``candidates``: array of structs by cost, in the order of making where costs are equal (L1-L3, O3).
+#: An estimator gets (font, spacing or null, characters, width) and says how many lines a text takes.
+Estimator = Callable[[Column, Column, Column, Column], Column]
+
+
+def analytic(font: Column, letter: Column, characters: Column, width: Column) -> Column:
+    """An approximation of a renderer: characters a line = width / ((0.55 + spacing) font)."""
+    room = F.greatest(F.floor(width / F.greatest((F.lit(m.GLYPH_WIDTH) + F.coalesce(letter, F.lit(0.0))) * font, F.lit(0.1))), F.lit(1))
+    return F.greatest(F.ceil(characters / room), F.lit(1)).cast("int")
+
+
+def _sized(blocks: DataFrame) -> Column:
+    """What a block's candidates are made of."""
+    return F.struct(F.col("font_size").alias("font"), "line_height", "spacing", F.greatest(F.col("line_height"), F.round(F.col("font_size") * LEAST_LINE, 3)).alias("line"), F.length("text").alias("n"), g.rect_width(F.col("rect")).alias("w"))
+
+
+def _priced(b: Column, c: Column, gen: Column, estimate: Estimator) -> Column:
+    s, h, x = c["scale"], c["line"], c["letter"]
+    base = F.coalesce(b["spacing"], F.lit(0.0))
+    cost = F.round((F.lit(1.0) - s) * COST["scale"] + F.greatest(F.lit(0.0), b["line"] * s - h) * COST["line"] + F.abs(F.coalesce(x, F.lit(0.0)) - base) * COST["spacing"], 6)
+    return F.struct(cost.alias("cost"), gen.alias("gen"), s.alias("scale"), c["font"].alias("font"), h.alias("line"), x.alias("letter"), estimate(c["font"], x, b["n"], b["w"]).alias("lines"))
+
+
+def _lines_of(b: Column, s: Column) -> Column:
+    f = F.round(b["font"] * s, 3)
+    h = F.array_distinct(F.transform(F.array(*map(F.lit, LINE_RATIOS)), lambda r: F.round(F.greatest(f * LEAST_LINE, b["line"] * s * r), 3)))
+    return F.transform(h, lambda x: F.struct(s.alias("scale"), f.alias("font"), x.alias("line")))
+
+
+def candidates_of(b: Column, estimate: Estimator = analytic) -> Column:
+    """All candidates of a block (_sized), by cost, in the order of making where costs are equal (L1-L3, O3)."""
+    a = lambda v: F.array(*map(F.lit, v))
+    tight = F.transform(a(TIGHTER), lambda d: F.round(F.greatest(F.coalesce(b["spacing"], F.lit(0.0)) - d, F.lit(TIGHTEST)), 3))
+    letters = F.array_distinct(F.concat(F.array(b["spacing"]), F.transform(tight, lambda x: F.when(F.abs(x) >= NO_SPACING, x))))
+    scales = F.when((b["font"] >= 16) | (b["font"] <= 11.5), a(SCALES["outer"])).otherwise(a(SCALES["middle"]))
+    made = F.flatten(F.transform(scales, lambda s: _lines_of(b, s)))
+    with_letters = lambda xs: F.flatten(F.transform(made, lambda c: F.transform(xs, lambda x: F.struct(c["scale"].alias("scale"), c["font"].alias("font"), c["line"].alias("line"), x.alias("letter")))))
+    return let(letters, lambda xs: F.sort_array(F.transform(with_letters(xs), lambda c, k: _priced(b, c, k, estimate))))
+
+
+def cheapest_of(b: Column, estimate: Estimator = analytic) -> Column:
+    """The first of candidates_of: the block as it is, which costs nothing."""
+    f = F.round(b["font"] * 1.0, 3)
+    as_is = F.struct(F.lit(1.0).alias("scale"), f.alias("font"), F.round(F.greatest(f * LEAST_LINE, b["line"]), 3).alias("line"), b["spacing"].alias("letter"))
+    return let(as_is, lambda c: _priced(b, c, F.lit(0), estimate))
+
+
+def enough_of(b: Column, fits: Callable[[Column], Column], estimate: Estimator = analytic) -> Column:
+    """The candidates of a block, or only the cheapest if that fits: no other is asked for then."""
+    return let(cheapest_of(b, estimate), lambda c: F.when(fits(c), F.array(c)).otherwise(candidates_of(b, estimate)))
+
+
+def with_candidates(blocks: DataFrame, estimate: Estimator = analytic) -> DataFrame:
+    """Planned blocks with ``candidates``: array of structs by cost (L1-L3, O3).
 
     Scales x line heights x spacings are made, made distinct, measured, priced and sorted inside the row, so nothing is
-    shuffled.  Measuring is an analytic approximation of a renderer: characters a line = width / ((0.55 + spacing) font),
-    height = lines * line height.
+    shuffled; height = lines * line height.
     """
-    a = lambda v: F.array(*map(F.lit, v))
-    font, base = F.col("font_size"), F.coalesce("spacing", F.lit(0.0))
     b = blocks.filter(planned(F.col("label"), F.col("toc_page")))
-    b = b.withColumn("__line", F.greatest(F.col("line_height"), F.round(font * LEAST_LINE, 3))).withColumn("__n", F.length("text")).withColumn("__w", g.rect_width(F.col("rect")))
-    b = b.withColumn("__scales", F.when((font >= 16) | (font <= 11.5), a(SCALES["outer"])).otherwise(a(SCALES["middle"])))
-    tight = F.transform(a(TIGHTER), lambda d: F.round(F.greatest(base - d, F.lit(TIGHTEST)), 3))
-    b = once(b, __letters=F.array_distinct(F.concat(F.array(F.col("spacing")), F.transform(tight, lambda x: F.when(F.abs(x) >= NO_SPACING, x)))))
-    line = F.col("__line")
-
-    def lines_of(s: Column) -> Column:
-        f = F.round(font * s, 3)
-        h = F.array_distinct(F.transform(a(LINE_RATIOS), lambda r: F.round(F.greatest(f * LEAST_LINE, line * s * r), 3)))
-        return F.transform(h, lambda x: F.struct(s.alias("scale"), f.alias("font"), x.alias("line")))
-
-    b = once(b, __made=F.flatten(F.transform("__scales", lines_of)))
-    every = F.flatten(F.transform("__made", lambda c: F.transform("__letters", lambda x: F.struct(c["scale"].alias("scale"), c["font"].alias("font"), c["line"].alias("line"), x.alias("letter")))))
-
-    def priced(c: Column, gen: Column) -> Column:
-        s, h, x = c["scale"], c["line"], c["letter"]
-        cost = F.round((F.lit(1.0) - s) * COST["scale"] + F.greatest(F.lit(0.0), line * s - h) * COST["line"] + F.abs(F.coalesce(x, F.lit(0.0)) - base) * COST["spacing"], 6)
-        room = F.greatest(F.floor(F.col("__w") / F.greatest((F.lit(m.GLYPH_WIDTH) + F.coalesce(x, F.lit(0.0))) * c["font"], F.lit(0.1))), F.lit(1))
-        n = F.greatest(F.ceil(F.col("__n") / room), F.lit(1)).cast("int")
-        return F.struct(cost.alias("cost"), gen.alias("gen"), s.alias("scale"), c["font"].alias("font"), h.alias("line"), x.alias("letter"), n.alias("lines"))
-
-    b = once(b, candidates=F.sort_array(F.transform(every, priced)))
+    b = once(b.withColumn("__b", _sized(b)), candidates=candidates_of(F.col("__b"), estimate))
     return b.select(*blocks.columns, "candidates")
 
 
+def measured_candidates(blocks: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """with_candidates, each text, width, size, line height and spacing measured once by ``measure`` (sources/helpers.py); a missing answer is an error.
+
+    height: of the candidate as measured, in points.
+    """
+    c = with_candidates(blocks)
+    rows = c.select("doc_id", "page", "block_id", "text", "font_name", g.rect_width(F.col("rect")).alias("w"), F.explode("candidates").alias("c"))
+    family = font_family(F.col("font_name"))
+    wanted = rows.select("doc_id", "page", "block_id", "c", F.struct("text", family.alias("font_family_css"), (F.col("c.font") * PX).alias("font_size_px"), (F.col("c.line") * PX).alias("line_height_px"), (F.col("w") * PX).alias("max_width_px"), F.col("c.letter").alias("letter_spacing_em")).alias("r"))
+    wanted = wanted.withColumn("request_id", F.concat(F.sha2(F.to_json("r"), 256), F.lit(":"), F.format_string("%.3f", F.col("c.scale"))))
+    asked = wanted.select("request_id", "r.*").dropDuplicates(["request_id"])
+    told = measured(asked.select("request_id"), measure(asked)).select("request_id", "line_count", (F.col("height") / PX).alias("height"))
+    new = F.struct("c.cost", "c.gen", "c.scale", "c.font", "c.line", "c.letter", F.col("line_count").alias("lines"), "height")
+    back = wanted.join(told, "request_id").groupBy("doc_id", "page", "block_id").agg(F.sort_array(F.collect_list(new)).alias("candidates"))
+    return c.drop("candidates").join(back, ["doc_id", "page", "block_id"])
+
+
 def reason(c: Column, line_height: Column, spacing: Column) -> Column:
     """What a candidate changes (L3): by more than rounding may, and against the block's own line height."""
     apart = F.abs(F.coalesce(c["letter"], F.lit(0.0)) - F.coalesce(spacing, F.lit(0.0))) >= NO_SPACING
@@ -158,6 +208,22 @@ def height(c: Column) -> Column:
     return F.round(c["lines"] * c["line"], 3)
 
 
+def first_scale(fits: Callable[[Column], Column], ladder: Column) -> Column:
+    """The first scale of a ladder that fits, and whether any does; else the last (O7).  Scales after the first fit aren't asked for."""
+    tried = F.aggregate(ladder, F.lit(None).cast("double"), lambda found, s: F.when(found.isNotNull(), found).when(fits(s), s))
+    return let(tried, lambda s: F.struct(F.coalesce(s, F.element_at(ladder, -1)).alias("scale"), s.isNotNull().alias("fits")))
+
+
+def drawn_scale(blocks: DataFrame, ladder: Column | None = None, estimate: Estimator = analytic) -> DataFrame:
+    """blocks with scale and fits: the first scale of their ladder (L8) at which their text is no taller than its rectangle.
+
+    A scale of 0 stands for "as small as it takes" and fits whatever it is.
+    """
+    tall = lambda s: estimate(F.col("font_size") * s, F.col("spacing"), F.length("text"), g.rect_width(F.col("rect"))) * F.col("line_height") * s
+    s = first_scale(lambda s: (s == 0.0) | (tall(s) <= g.rect_height(F.col("rect"))), scale_ladder(F.col("font_size")) if ladder is None else ladder)
+    return once(blocks, __s=s).select(*blocks.columns, "__s.scale", "__s.fits")
+
+
 def typography_candidates(blocks: DataFrame) -> DataFrame:
     """A row for each candidate of each planned block, with its rank by cost."""
     b = with_candidates(blocks).select("doc_id", "page", "block_id", "line_height", "font_size", "spacing", F.posexplode("candidates").alias("rank", "c"))
@@ -167,13 +233,18 @@ def typography_candidates(blocks: DataFrame) -> DataFrame:
 
 def first_feasible(blocks: DataFrame) -> DataFrame:
     """The cheapest candidate of each block that fits its own height, else the last one, marked as overflow (O6 without running positions)."""
-    b = with_candidates(blocks.withColumns({"__room": g.rect_height(F.col("rect")), "__safe": m.safety(F.col("line_height"))}))
-    b = once(b, __fits=F.get(F.filter("candidates", lambda c: height(c) + F.col("__safe") <= F.col("__room")), 0))
+    b = blocks.filter(planned(F.col("label"), F.col("toc_page"))).withColumns({"__room": g.rect_height(F.col("rect")), "__safe": m.safety(F.col("line_height")), "__b": _sized(blocks)})
+    fits = lambda c: height(c) + F.col("__safe") <= F.col("__room")
+    b = once(b, candidates=enough_of(F.col("__b"), fits))
+    b = once(b, __fits=F.get(F.filter("candidates", fits), 0))
     b = once(b, c=F.coalesce("__fits", F.element_at("candidates", -1)))
     c = F.col("c")
     return b.select("doc_id", "page", "block_id", "c.scale", "c.font", "c.line", "c.letter", "c.lines", height(c).alias("height"), reason(c, F.col("line_height"), F.col("spacing")).alias("reason"), F.col("__fits").isNull().alias("overflow"))
 
 
+#: Fixed value: pixels a point.
+PX = 96 / 72
+
 #: A validator gets (block, x0, y0, x1, y1, candidate) and says (fits, y0, y1 of what it drew, scale used).
 Validator = Callable[[dict, float, float, float, float, dict], tuple[bool, float, float, float]]
 #: How far below its column's end a trial may reach.
@@ -193,34 +264,56 @@ def legacy_plan(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "page", "block_id", r.alias("planned"), F.greatest(F.lit(0.0), F.round(r["y0"] - F.col("rect.y0"), 3)).alias("shift"))
 
 
-def _columns_of(blocks: DataFrame) -> DataFrame:
-    """doc_id, page, column, floor, bs: the blocks of each column from top to bottom, with all that planning them takes."""
-    c = with_candidates(blocks)
-    pick = F.transform("candidates", lambda x: F.struct(x["scale"].alias("scale"), x["font"].alias("font"), x["line"].alias("line"), x["letter"].alias("letter"), x["lines"].alias("lines"), height(x).alias("height"), reason(x, F.col("line_height"), F.col("spacing")).alias("reason")))
-    b = column_clusters(blocks).join(c.select("doc_id", "page", "block_id", pick.alias("candidates")), ["doc_id", "page", "block_id"], "left")
-    row = F.struct(F.col("rect.y0").alias("y0"), F.col("rect.x0").alias("x0"), number(F.col("block_id")).alias("nr"), "block_id", F.col("rect.y1").alias("y1"), F.col("rect.x1").alias("x1"), g.rect_height(F.col("rect")).alias("own"), F.col("candidates").isNotNull().alias("planned"), (F.coalesce("toc_page", F.lit("")) != "").alias("toc"), m.gap(F.col("line_height")).alias("gap"), m.safety(F.col("line_height")).alias("safe"), F.col("font_size").alias("font"), F.col("line_height").alias("line"), F.col("spacing").alias("letter"), "text", "candidates")
+def _columns_of(blocks: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, column, floor, bs: the blocks of each column from top to bottom, with all that planning them takes.
+
+    Candidates aren't among it (they are made where they are tried), unless they are given: as they were measured.
+    """
+    b = column_clusters(blocks)
+    more = []
+    if candidates is not None:
+        b = b.join(candidates.select("doc_id", "page", "block_id", "candidates"), ["doc_id", "page", "block_id"], "left")
+        more = ["candidates"]
+    row = F.struct(F.col("rect.y0").alias("y0"), F.col("rect.x0").alias("x0"), number(F.col("block_id")).alias("nr"), "block_id", F.col("rect.y1").alias("y1"), F.col("rect.x1").alias("x1"), g.rect_height(F.col("rect")).alias("own"), planned(F.col("label"), F.col("toc_page")).alias("planned"), (F.coalesce("toc_page", F.lit("")) != "").alias("toc"), m.gap(F.col("line_height")).alias("gap"), m.safety(F.col("line_height")).alias("safe"), F.col("font_size").alias("font"), F.col("line_height").alias("line"), F.col("spacing").alias("letter"), "text", _sized(b).alias("b"), *more)
     return b.groupBy("doc_id", "page", "column").agg(F.max("rect.y1").alias("floor"), F.array_sort(F.collect_list(row)).alias("bs"))
 
 
+def _picked(x: Column, c: Column, tall: Column | None = None) -> Column:
+    return F.struct(c["scale"].alias("scale"), c["font"].alias("font"), c["line"].alias("line"), c["letter"].alias("letter"), c["lines"].alias("lines"), (height(c) if tall is None else tall).alias("height"), reason(c, x["line"], x["letter"]).alias("reason"))
+
+
 PLACED = "block_id string, plan_y0 double, plan_y1 double, actual_y0 double, actual_y1 double, shift double, fallback string, scale double, font double, line double, letter double, lines int, height double, reason string, used double, overlap double, top_delta double, bottom_delta double"
 
 
-def page_plan(blocks: DataFrame, validator: Validator | None = None, adjust: bool = True) -> DataFrame:
+def page_plan(blocks: DataFrame, validator: Validator | None = None, adjust: bool = True, estimate: Estimator = analytic, measure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The plan of every block (L4, W6, O6), column by column from top to bottom.
 
     A block stands below what stands above it, in its cheapest candidate that ends within its column; if none does, in the last
     one, as an overflow.  Blocks that aren't planned keep their height.  Without a validator that is a fold over the column's
-    blocks, candidates and all; with one, the trials of a column are made by a worker in order.
+    blocks, which makes a block's candidates as it comes to it, and only if the block doesn't fit as it is; with one, the trials of a
+    column are made by a worker in order.  estimate: how many lines a text takes; measure: asks an external program instead.
     """
-    d = _columns_of(to_plan(blocks, adjust))
+    ready = to_plan(blocks, adjust)
+    d = _columns_of(ready, measured_candidates(ready, measure) if measure else None)
+    given = measure is not None
+    of = lambda x, cs: F.transform(cs, lambda c: _picked(x, c, F.round(c["height"], 3) if given else None))
     if validator is not None:
+        every = lambda x: F.when(x["planned"], of(x, x["candidates"] if given else candidates_of(x["b"], estimate)))
+        d = d.withColumn("bs", F.transform("bs", lambda x: x.withField("candidates", every(x)).dropFields("b")))
         return _validated(d, validator)
     kind = F.array().cast(f"array<struct<{PLACED.replace(' ', ':').replace(',:', ',')}>>")
 
     def step(s: Column, x: Column) -> Column:
         def place(y: Column) -> Column:
-            first = F.get(F.filter(x["candidates"], lambda c: F.greatest(x["own"], c["height"] + x["safe"]) <= s["floor"] - y), 0)
-            return let(F.struct(first.alias("chosen"), F.coalesce(first, F.get(x["candidates"], F.size(x["candidates"]) - 1)).alias("last")), lambda t: row(y, t["chosen"], t["last"]))
+            tall = lambda c: F.round(c["height"], 3) if given else height(c)
+            fits = lambda c: F.greatest(x["own"], tall(c) + x["safe"]) <= s["floor"] - y
+            tried = F.when(x["planned"], x["candidates"] if given else enough_of(x["b"], fits, estimate))
+
+            def found(cs: Column) -> Column:
+                first = F.get(F.filter(cs, fits), 0)
+                return let(F.struct(first.alias("chosen"), F.coalesce(first, F.get(cs, F.size(cs) - 1)).alias("last")), lambda t: let(F.struct(F.when(t["chosen"].isNotNull(), _picked(x, t["chosen"], tall(t["chosen"]))).alias("chosen"), F.when(t["last"].isNotNull(), _picked(x, t["last"], tall(t["last"]))).alias("last")), lambda p: row(y, p["chosen"], p["last"])))
+
+            return let(tried, found)
 
         def row(y: Column, chosen: Column, last: Column) -> Column:
             end = y + F.greatest(F.when(x["planned"], F.greatest(x["own"], last["height"] + x["safe"])).otherwise(x["own"]), F.lit(1.0))

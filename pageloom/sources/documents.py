@@ -40,43 +40,48 @@ def structured(spark: SparkSession, path: str) -> DataFrame:
     return p.select("job_id", F.col("p.page").alias("page"), F.posexplode("p.elements").alias("pos", "e")).select("job_id", "page", "pos", "e.*")
 
 
+def _row(node: dict) -> tuple | None:
+    def key(name: str):
+        first, other = KEYS[name]  # a key that is there hides its alias, even if it is null
+        return node[first] if first in node else node.get(other)
+
+    page, bbox, text = key("page"), key("bbox"), key("content")
+    if not isinstance(page, int) or not isinstance(bbox, list) or len(bbox) != 4:
+        return None
+    try:
+        sides = [float(x) for x in bbox]
+    except (TypeError, ValueError):
+        return None
+    size, font, label = key("font_size"), key("font"), key("label")
+    number = isinstance(size, (int, float)) and not isinstance(size, bool)
+    return (int(page), str(label) if label is not None else None, *sides, text if isinstance(text, str) else None, float(size) if number else None, font if isinstance(font, str) else "")
+
+
+def tree_rows(root: object) -> Iterator[tuple]:
+    """Every object of a JSON tree with a page and a box, depth first, parents before children."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, dict):
+            row = _row(node)
+            if row is not None:
+                yield row
+            stack.extend(reversed(list(node.values())))
+        elif isinstance(node, list):
+            stack.extend(reversed(node))
+
+
 @udtf(returnType="ord int, page int, label string, left double, bottom double, right double, top double, text string, font_size double, font_name string")
 class Walk:
-    """Every object of a JSON tree with a page and a box, depth first, parents before children."""
+    """tree_rows of a tree, numbered."""
 
     def eval(self, tree: str) -> Iterator[tuple]:
         try:
             root = json.loads(tree) if tree else None
         except ValueError:
             return
-        stack, n = [root], 0
-        while stack:
-            node = stack.pop()
-            if isinstance(node, dict):
-                row = self.row(node)
-                if row is not None:
-                    yield (n, *row)
-                    n += 1
-                stack.extend(reversed(list(node.values())))
-            elif isinstance(node, list):
-                stack.extend(reversed(node))
-
-    @staticmethod
-    def row(node: dict) -> tuple | None:
-        def key(name: str):
-            first, other = KEYS[name]  # a key that is there hides its alias, even if it is null
-            return node[first] if first in node else node.get(other)
-
-        page, bbox, text = key("page"), key("bbox"), key("content")
-        if not isinstance(page, int) or not isinstance(bbox, list) or len(bbox) != 4:
-            return None
-        try:
-            sides = [float(x) for x in bbox]
-        except (TypeError, ValueError):
-            return None
-        size, font, label = key("font_size"), key("font"), key("label")
-        number = isinstance(size, (int, float)) and not isinstance(size, bool)
-        return (int(page), str(label) if label is not None else None, *sides, text if isinstance(text, str) else None, float(size) if number else None, font if isinstance(font, str) else "")
+        for n, row in enumerate(tree_rows(root)):
+            yield (n, *row)
 
 
 def walked(trees: DataFrame, key: str, tree: str) -> DataFrame:
