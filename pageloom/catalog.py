@@ -622,4 +622,4 @@ def html_blocks(spark, sf_dir):
     return x.select("doc_id", "page", "block_id", t.html_block(F.col("text"), t.font_family(F.col("font_name")), F.col("font_size"), F.col("line_height"), F.col("spacing")).alias("html"))
 
 
-from pageloom import catalog_time, catalog_values  # noqa: E402, F401  (they register their queries)
+from pageloom import catalog_sql, catalog_time, catalog_values  # noqa: E402, F401  (they register their queries)
