@@ -110,18 +110,22 @@ PUBLIC = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "20
 
 
 _FOUR = r"(?:(?:0|[1-9]\d{0,2})\.){3}(?:0|[1-9]\d{0,2})$"
+#: How an IPv4 address stands among IPv6 ones.
+_MAPPED = "00000000000000000000ffff"
 
 
 def address(c: Column) -> Column:
-    """The eight 16-bit numbers of an IPv6 address, an IPv4 one as ::ffff:a.b.c.d; null if it is neither."""
-    hex_ = lambda a, b: F.lower(F.hex(a * 256 + b))
+    """The 32 hexadecimal digits of an IPv6 address, an IPv4 one as ::ffff:a.b.c.d; null if it is neither.  Texts in that form order as addresses do."""
+
+    def octets(x: Column) -> Column:
+        """The eight digits of the four decimal parts at the end of x; null if one is too large."""
+        parts = F.transform(F.split(F.regexp_extract(x, f"({_FOUR})", 1), r"\."), lambda p: p.try_cast("int"))
+        return let(parts, lambda o: F.when(F.forall(o, lambda v: v <= 255), F.lower(F.array_join(F.transform(o, lambda v: F.lpad(F.hex(v), 2, "0")), ""))))
 
     def colons(x: Column) -> Column:
         """With the four decimal parts, if there are, as two groups."""
-        octets = F.transform(F.split(F.regexp_extract(x, f"({_FOUR})", 1), r"\."), lambda p: p.try_cast("int"))
-        before = F.when(F.contains(x, F.lit(":")), F.regexp_replace(x, _FOUR, "")).otherwise("::ffff:")
-        four = lambda o: F.when(x.rlike(f"(?:^|:){_FOUR}") & F.forall(o, lambda v: v <= 255), F.concat(before, hex_(F.get(o, 0), F.get(o, 1)), F.lit(":"), hex_(F.get(o, 2), F.get(o, 3))))
-        return F.when(F.contains(x, F.lit(".")), let(octets, four)).otherwise(x)
+        before = F.regexp_replace(x, _FOUR, "")
+        return F.when(~F.contains(x, F.lit(".")), x).when(x.rlike(f":{_FOUR}"), let(octets(x), lambda o: F.concat(before, F.substring(o, 1, 4), F.lit(":"), F.substring(o, 5, 4))))
 
     def filled(halves: Column) -> Column:
         """All eight groups, the gap filled with zeros."""
@@ -130,25 +134,35 @@ def address(c: Column) -> Column:
         return F.when((n == 1) & (there == 8), F.get(halves, 0)).when((n == 2) & (there <= 7), F.concat(F.get(halves, 0), gap, F.get(halves, 1)))
 
     halves = lambda y: F.transform(F.split(y, "::"), lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":")))
-    numbers = lambda a: F.when(F.forall(a, lambda h: h.rlike("^[0-9a-f]{1,4}$")), F.transform(a, lambda h: F.conv(h, 16, 10).cast("int")))
-    x = F.regexp_replace(F.lower(stripped(c)), r"%[^%:]+$", "")
-    return let(x, lambda x: let(colons(x), lambda y: let(halves(y), lambda h: let(filled(h), numbers))))
+    digits = lambda a: F.when(F.forall(a, lambda h: h.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(a, lambda h: F.lpad(h, 4, "0")), ""))
+    six = lambda x: let(colons(x), lambda y: let(halves(y), lambda h: let(filled(h), digits)))
+    four = lambda x: F.concat(F.lit(_MAPPED), octets(x))
+    # An IPv4 address, by far the commonest, takes the short way.
+    return let(F.regexp_replace(F.lower(stripped(c)), r"%[^%:]+$", ""), lambda x: F.when(x.rlike(f"^{_FOUR}"), four(x)).when(F.contains(x, F.lit(":")), six(x)))
 
 
-def within(groups: Column, network: str) -> Column:
-    """Whether an address is in a network."""
+def _bounds(network: str) -> tuple[str, str]:
+    """First and last address of a network, in digits."""
     n = ipaddress.ip_network(network)
-    shift = 96 if n.version == 4 else 0
-    value, bits = int(n.network_address) + (0xFFFF << 32 if shift else 0), n.prefixlen + shift
-    out = F.lit(True)
-    for k in range((bits + 15) // 16):
-        mask = (0xFFFF << max(0, 16 * (k + 1) - bits)) & 0xFFFF
-        out = out & (F.get(groups, k).bitwiseAND(F.lit(mask)) == (value >> 16 * (7 - k)) & mask)
-    return out
+    low, high = int(n.network_address), int(n.broadcast_address)
+    mapped = (0xFFFF << 32) if n.version == 4 else 0
+    return f"{low + mapped:032x}", f"{high + mapped:032x}"
+
+
+def within(digits: Column, network: str) -> Column:
+    """Whether an address (its digits) is in a network."""
+    return digits.between(*_bounds(network))
 
 
-def _any(groups: Column, networks: list[str]) -> Column:
-    return F.coalesce(functools.reduce(lambda a, b: a | b, [within(groups, n) for n in networks]), F.lit(False))
+def _any(digits: Column, networks: list[str]) -> Column:
+    """Whether an address is in one of the networks; ranges that touch are one."""
+    ranges: list[list[str]] = []
+    for low, high in sorted(map(_bounds, networks)):
+        if ranges and int(low, 16) <= int(ranges[-1][1], 16) + 1:
+            ranges[-1][1] = max(ranges[-1][1], high)
+        else:
+            ranges.append([low, high])
+    return F.coalesce(functools.reduce(lambda a, b: a | b, [digits.between(a, b) for a, b in ranges]), F.lit(False))
 
 
 def public_ip(c: Column) -> Column:
