@@ -1,11 +1,12 @@
-"""Queries over time and groups: as-of and interval joins, range frames, ranks, cubes, mergeable sketches."""
+"""Queries over time and groups: as-of and interval joins, range frames, ranks, cubes, mergeable sketches; and texts in boxes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.catalog import INTERVALS, query
-from pageloom.operators import measures, quota, temporal
+from pageloom import catalog
+from pageloom.catalog import BLOCKS, BOXES, INTERVALS, query
+from pageloom.operators import dedup, layout, measures, models, quota, temporal
 from pageloom.plans import bridges as b
 
 
@@ -97,3 +98,57 @@ def sketch_rollup(spark, sf_dir):
     # (With few values a quantile is one of them: its own rank is all there is.)
     few = F.col("n") < 50
     return ranks.select(F.col("day").cast("string").alias("day"), "status", "level", "n", F.col("total").cast("double").alias("total"), "people", (F.abs(F.col("distinct") - F.col("people")) <= 0.03 * F.col("people") + 1).alias("people_close"), (few | (close("q50", 0.5) & close("q90", 0.9))).alias("quantiles_close"))
+
+
+#: What boxes say, by turns: nothing, equal texts in other spacing and case, texts that hold others, and others.
+_SAID = ["", "Figure 1", " figure\t 1 ", "Figure 1 shows the wing", "Table 2", "wing"]
+_SAYING = "saying AS (SELECT *, [" + ", ".join(f"'{x}'" for x in _SAID) + "][ord % 6 + 1] AS said FROM boxes)"
+
+
+def _saying(spark, sf_dir):
+    x = b.vector_boxes(b.table(spark, sf_dir, "embeddings"))
+    return x.withColumn("text", F.get(F.array(*map(F.lit, _SAID)), (F.col("ord") % 6).cast("int")))
+
+
+@query(
+    rf"""WITH {BOXES}, {_SAYING},
+plain AS (SELECT *, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) AS bare FROM saying),
+pairs AS (
+  SELECT a.doc_id, a.page, a.label, a.ord AS ord_a, b.ord AS ord_b, (a.r - a.l) * (a.t - a.b) AS sa, (b.r - b.l) * (b.t - b.b) AS sb, a.bare AS xa, b.bare AS xb,
+    greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.t, b.t) - greatest(a.b, b.b)) AS common
+  FROM plain a JOIN plain b ON a.doc_id = b.doc_id AND a.page = b.page AND a.label = b.label AND a.ord < b.ord)
+SELECT doc_id, page, label, ord_a, ord_b, round(common / (sa + sb - common), 6) AS iou, round(common / least(sa, sb), 6) AS iom FROM pairs
+WHERE least(sa, sb) / greatest(sa, sb) >= 0.8 AND (common / (sa + sb - common) >= 0.85 OR (common / least(sa, sb) >= 0.9 AND (xa = '' OR xb = '' OR contains(xa, xb) OR contains(xb, xa))))"""
+)
+def saying_box_pairs(spark, sf_dir):
+    """Duplicate pairs of boxes with texts, of which some agree."""
+    p = dedup.duplicate_pairs(_saying(spark, sf_dir))
+    return p.withColumns({"iou": F.round("iou", 6), "iom": F.round("iom", 6)})
+
+
+@query(
+    f"""WITH {BLOCKS}, marked AS (SELECT *, CASE ord % 9 WHEN 1 THEN ' Paragraph ' WHEN 4 THEN 'table' WHEN 6 THEN 'LIST ITEM' ELSE label END AS kind, CASE WHEN ord % 4 = 2 THEN CAST(ord AS VARCHAR) ELSE '' END AS toc FROM blocks)
+SELECT doc_id, page, block_id, lower(trim(kind)) IN ('paragraph', 'heading', 'caption', 'list item') AS paragraph_box, toc = '' AND lower(trim(kind)) IN ('paragraph', 'heading', 'caption', 'list item') AS planned FROM marked"""
+)
+def planned_blocks(spark, sf_dir):
+    """blocks of other labels, in other spelling, and of tables of contents."""
+    label = F.when(F.col("ord") % 9 == 1, " Paragraph ").when(F.col("ord") % 9 == 4, "table").when(F.col("ord") % 9 == 6, "LIST ITEM").otherwise(F.col("label"))
+    x = catalog.blocks(spark, sf_dir).withColumns({"label": label, "toc_page": F.when(F.col("ord") % 4 == 2, F.col("ord").cast("string")).otherwise("")})
+    return x.select("doc_id", "page", "block_id", layout.paragraph_box(F.col("label")).alias("paragraph_box"), layout.planned(F.col("label"), F.col("toc_page")).alias("planned"))
+
+
+_NAMES = {"ko": "Korean", "ja": "Japanese", "zh": "Simplified Chinese", "en": "English"}
+
+
+@query(
+    f"""WITH said AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - i AS doc_id, s AS text FROM (SELECT unnest(range(0, {len(catalog._SAMPLES)})) AS i, unnest({catalog._SAMPLES!r}) AS s))
+SELECT doc_id, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'kor_Hang' WHEN regexp_matches(text, '[぀-ヿ]') THEN 'jpn_Jpan' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'zho_Hans' ELSE 'eng_Latn' END AS tag FROM said"""
+)
+def language_tags(spark, sf_dir):
+    """The model tag of each text's language, by name."""
+    from pageloom.functions import text as t
+
+    d = catalog.documents(spark, sf_dir).select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, s) for i, s in enumerate(catalog._SAMPLES)], d.schema)
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair]), t.detected_language(F.col("text")))
+    return d.unionByName(more).select("doc_id", models.tags(name).alias("tag"))

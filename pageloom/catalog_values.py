@@ -271,8 +271,26 @@ _GIVEN = [
 ]
 
 
-@query("SELECT k, engine, font::DOUBLE AS font, jobs, iom::DOUBLE AS iom, rate_limit, provider FROM (VALUES " + ", ".join(f"({k}, '{e}', {f!r}, {n}, {i!r}, {r}, '{p}')" for k, (_, e, f, n, i, r, p) in enumerate(_GIVEN)) + ") AS s(k, engine, font, jobs, iom, rate_limit, provider)")
+@query(
+    "WITH s(k, engine, font, jobs, iom, rate_limit, provider) AS (VALUES "
+    + ", ".join(f"({k}, '{e}', {f!r}, {n}, {i!r}, {r}, '{p}')" for k, (_, e, f, n, i, r, p) in enumerate(_GIVEN))
+    + """)
+SELECT e.event_id, s.engine, CASE WHEN e.value IS NULL THEN s.font::DOUBLE ELSE e.value END AS font, s.jobs, s.iom::DOUBLE AS iom, s.rate_limit, s.provider, CAST(greatest(trunc(coalesce(e.value, 500.0)), 1) AS INTEGER) AS daily FROM events e JOIN s ON s.k = e.event_id % 3"""
+)
 def settings_resolved(spark, sf_dir):
-    """Defaults, aliases, clamps."""
-    rows = [(k, x["layout_engine"], x["base_font_size"], x["running_jobs"], x["iom_threshold"], x["rate_limit"], x["default_provider"]) for k, x in enumerate(st.settings(given) for given, *_ in _GIVEN)]
-    return spark.createDataFrame(rows, "k int, engine string, font double, jobs int, iom double, rate_limit boolean, provider string")
+    """Defaults, aliases, clamps; each event is a job with settings of its own, as its table row gives them."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def resolved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = []
+            for k, v in zip(x["event_id"], x["value"], strict=True):
+                own = {} if v != v else {"PAGELOOM_BASE_FONT_SIZE": repr(float(v)), "PAGELOOM_RATE_LIMIT_DAILY_SECONDS": str(int(v))}
+                s = st.settings({**_GIVEN[k % 3][0], **own})
+                rows.append((k, s["layout_engine"], s["base_font_size"], s["running_jobs"], s["iom_threshold"], s["rate_limit"], s["default_provider"], s["daily_seconds"]))
+            yield pd.DataFrame(rows, columns=["event_id", "engine", "font", "jobs", "iom", "rate_limit", "provider", "daily"])
+
+    e = b.table(spark, sf_dir, "events").select("event_id", "value")
+    return e.mapInPandas(resolved, "event_id long, engine string, font double, jobs int, iom double, rate_limit boolean, provider string, daily int")

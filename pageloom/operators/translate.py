@@ -149,8 +149,10 @@ STRUCTURE = {"en": ("Chapter {n}", "Part", "Part {n}"), "de": ("Kapitel {n}", "T
 
 
 def structural(original: Column, toc_page: Column, target: str) -> Column:
-    """Chapter and part headings by template; null for other texts."""
-    chapter, bare, part = STRUCTURE.get(target, STRUCTURE["en"])
+    """Chapter and part headings by template; null for other texts (T7).  A target without templates is an error."""
+    if target not in STRUCTURE:
+        raise ValueError(f"no headings in {target!r}; there are: {', '.join(STRUCTURE)}")
+    chapter, bare, part = STRUCTURE[target]
     x = collapsed(original)
     number = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
     fill = lambda t, n: F.concat(*[F.lit(s) if i == 0 else F.concat(n, F.lit(s)) for i, s in enumerate(t.split("{n}"))])
