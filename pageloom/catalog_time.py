@@ -8,6 +8,7 @@ from pageloom import catalog
 from pageloom.catalog import BLOCKS, BOXES, INTERVALS, query
 from pageloom.operators import dedup, layout, measures, models, quota, temporal
 from pageloom.plans import bridges as b
+from pageloom.plans import reports
 
 
 def _jobs(spark, sf_dir):
@@ -152,3 +153,14 @@ def language_tags(spark, sf_dir):
     more = spark.createDataFrame([(-1 - i, s) for i, s in enumerate(catalog._SAMPLES)], d.schema)
     name = F.element_at(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair]), t.detected_language(F.col("text")))
     return d.unionByName(more).select("doc_id", models.tags(name).alias("tag"))
+
+
+@query(
+    f"""WITH {catalog.LINES}, pages AS (SELECT doc_id, CAST(unnest(range(1, doc_id % 3 + 2)) AS INTEGER) AS page FROM documents)
+SELECT u.doc_id, u.page, u.ord, u.label, l AS x0, 800 - t AS y0, l + w AS x1, 800 - t + h AS y1, CASE label WHEN 'paragraph' THEN 0.12 WHEN 'heading' THEN 0.87 WHEN 'caption' THEN 0.14 ELSE 0.78 END AS red, 1.1 AS width
+FROM units u JOIN pages p ON p.doc_id = u.doc_id AND p.page = u.page"""
+)
+def box_preview(spark, sf_dir):
+    """What to outline on the pages that are there (one to three of each document)."""
+    pages = catalog.documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int"))).alias("page"), F.lit(b.PAGE_HEIGHT).alias("height"))
+    return reports.box_preview(catalog.units(spark, sf_dir), pages).drop("green", "blue")

@@ -137,27 +137,27 @@ def polls(jobs: DataFrame, every: float = POLL_S) -> DataFrame:
 def sweep(spark: SparkSession, root: str, now: float, seconds: int = RETENTION_S) -> list[str]:
     """Deletes workspaces under root whose newest file is older, and their published folders (B6, F15, J11); gives their names.
 
-    A scheduled job calls it each ``CLEANUP_S``.  Names are a directory's listing, not data.
+    A scheduled job calls it each ``CLEANUP_S``.  Names of workspaces are a directory's listing, not data.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def newest(p: object) -> int:
-        at = [fs.getFileStatus(p).getModificationTime()]
-        files = fs.listFiles(p, True)
-        while files.hasNext():
-            at.append(files.next().getModificationTime())
-        return max(at)
-
-    gone = []
-    for s in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName()) if fs.exists(path) and seconds > 0 else []:
-        name = s.getPath().getName()
-        if s.isDirectory() and name != "public" and newest(s.getPath()) / 1000 < now - seconds:
-            for p in (s.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/public/{name}")):
-                if fs.exists(p):
-                    fs.delete(p, True)
-            gone.append(name)
+    if seconds <= 0 or not fs.exists(path):
+        return []
+    folders = [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(path) if s.isDirectory()]
+    base = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().getPath().rstrip("/")
+    # Files are listed by Spark (in tasks where they are many), as their names and times only; a folder counts with its own time.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
+    inside = F.substring_index(F.substring(F.regexp_replace("path", r"^\w+:(//[^/]*)?", ""), len(base) + 2, 1 << 20), "/", 1)
+    times = files.select(F.url_decode(inside).alias("workspace"), F.col("modificationTime").alias("modified"))
+    if folders:
+        own = spark.createDataFrame(folders, "workspace string, t long").select("workspace", F.timestamp_millis("t").alias("modified"))
+        times = times.join(own.select("workspace"), "workspace", "left_semi").unionByName(own)
+    gone = sorted(r["workspace"] for r in expired(times, F.timestamp_seconds(F.lit(now)), seconds).select("workspace").collect())
+    for name in gone:
+        for p in (jvm.org.apache.hadoop.fs.Path(path, name), jvm.org.apache.hadoop.fs.Path(f"{root}/public/{name}")):
+            if fs.exists(p):
+                fs.delete(p, True)
     return gone
 
 

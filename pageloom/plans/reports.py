@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions import geometry as g
+from pageloom.functions import metrics as m
 from pageloom.operators.layout import PREVIEW
 
 
@@ -54,6 +56,28 @@ def write_markdown(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select(F.col("markdown").alias("value"), "doc_id").write.mode(mode).partitionBy("doc_id").text(path)
 
 
+def write_markdown_batches(df: DataFrame, path: str, buckets: int = 64, mode: str = "error") -> None:
+    """JSON lines of doc_id and markdown, in ``buckets`` folders by a hash of doc_id (K2).
+
+    For many documents: as many files as buckets, not as documents; a document is found by its bucket, pmod(xxhash64(doc_id), buckets).
+    """
+    d = df.select("doc_id", "markdown", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    d.repartition(buckets, "bucket").write.mode(mode).partitionBy("bucket").json(path)
+
+
+#: Fixed value: the width of an outline in a preview.
+OUTLINE = 1.1
+
+
+def box_preview(boxes: DataFrame, pages: DataFrame) -> DataFrame:
+    """What to outline on each page (K6): boxes (doc_id, page, ord, label, box) of pages (doc_id, page, height) that are there, as
+    rectangles from the top with colour (red, green, blue) and width; boxes of other pages are skipped."""
+    x = boxes.join(pages.select("doc_id", "page", F.col("height").alias("__height")), ["doc_id", "page"])
+    r, c = g.to_rect(F.col("box"), F.col("__height")), m.colour(F.lower(m.stripped(F.col("label"))))
+    x = x.withColumns({"__r": r, "__c": c})
+    return x.select("doc_id", "page", "ord", "label", "__r.x0", "__r.y0", "__r.x1", "__r.y1", *[F.get("__c", k).alias(n) for k, n in enumerate(("red", "green", "blue"))], F.lit(OUTLINE).alias("width"))
+
+
 def append_log(messages: DataFrame, path: str) -> None:
     """messages (ts, message) as ``[ts] message`` lines (K7)."""
     messages.select(F.format_string("[%s] %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "message").alias("value")).write.mode("append").text(path)

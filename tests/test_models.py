@@ -119,3 +119,30 @@ def test_tags(spark):
 def test_structure_needs_a_known_target():
     with pytest.raises(ValueError, match="Klingon"):
         translate.structural(F.lit("Part"), F.lit(""), "Klingon")
+
+
+def test_markdown_in_batches(spark, tmp_path):
+    from pageloom.plans import reports
+
+    d = spark.createDataFrame([(k, f"## Page 1\n\ntext {k}") for k in range(300)], "doc_id long, markdown string")
+    reports.write_markdown_batches(d, str(tmp_path / "md"), 8)
+    back = spark.read.json(str(tmp_path / "md"))
+    assert {(r["doc_id"], r["markdown"]) for r in back.collect()} == {(k, f"## Page 1\n\ntext {k}") for k in range(300)}
+    assert len([f for _, _, fs in os.walk(tmp_path / "md") for f in fs if f.endswith(".json")]) == 8
+
+
+def test_sweep_counts_folders_and_odd_names(spark, tmp_path):
+    from pageloom.operators import jobs
+
+    for name in ("old and odd%20name", "empty old", "deep", "new"):
+        (tmp_path / name / "a" / "b").mkdir(parents=True)
+    for name in ("old and odd%20name", "deep", "new"):
+        (tmp_path / name / "a" / "b" / "f.txt").write_text("x")
+    for name in ("old and odd%20name", "empty old", "deep"):
+        for p in (tmp_path / name).rglob("*"):
+            os.utime(p, (1_000, 1_000))
+        os.utime(tmp_path / name, (1_000, 1_000))
+    os.utime(tmp_path / "deep" / "a" / "b" / "f.txt")  # one file deep inside is new
+    assert jobs.sweep(spark, str(tmp_path), 10_000_000, 3600) == ["empty old", "old and odd%20name"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["deep", "new"]
+    assert jobs.sweep(spark, str(tmp_path / "nowhere"), 10_000_000, 3600) == []
