@@ -357,7 +357,36 @@ def quota_rollover_split(spark, sf_dir):
     return quota.by_day(b.job_intervals(b.table(spark, sf_dir, "events")).select("client", "start", "seconds")).withColumn("day", F.col("day").cast("string"))
 
 
-@query()
+def _charged(spent: str, day: str, seconds: str) -> str:
+    return f"list_append(list_filter({spent}, lambda u: u.day <> {day}), {{'day': {day}, 's': least(500.0, coalesce(list_filter({spent}, lambda u: u.day = {day})[1].s, 0.0) + greatest(0.0, {seconds}))::DOUBLE}})"
+
+
+#: Event by event of each client: ``spent`` is its use by day, ``held`` its open leases.
+_REPLAY = f"""WITH RECURSIVE {INTERVALS.lstrip()},
+ev AS (SELECT client, start AS ts, CAST(job_id AS VARCHAR) AS lease, 'start' AS action, 0 AS k FROM intervals UNION ALL SELECT client, stop, CAST(job_id AS VARCHAR), 'end', 2 FROM intervals),
+e AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, row_number() OVER (PARTITION BY client ORDER BY ts, lease, k) AS n FROM ev),
+run AS (
+  SELECT client, 0::BIGINT AS n, NULL::VARCHAR AS result, 0.0::DOUBLE AS used, []::STRUCT(day DATE, s DOUBLE)[] AS spent, []::STRUCT(lease VARCHAR, day DATE, began TIMESTAMP, reserved DOUBLE)[] AS held FROM (SELECT DISTINCT client FROM e)
+  UNION ALL
+  SELECT client, n, result, coalesce(list_filter(spent, lambda u: u.day = day)[1].s, 0.0)::DOUBLE AS used, spent, held
+  FROM (
+    SELECT client, n, day, result, CASE WHEN result IN ('ended', 'expired') AND NOT (crossing AND remains <= 0) THEN {_charged("spent", "day", "least(passed, reserved)")} ELSE spent END AS spent,
+      CASE result WHEN 'granted' THEN list_append(held, {{'lease': lease, 'day': day, 'began': ts, 'reserved': remains}}) WHEN 'running' THEN list_append(others, {{'lease': lease, 'day': day, 'began': began, 'reserved': reserved}}) WHEN 'refused' THEN held WHEN 'ignored' THEN held ELSE others END AS held
+    FROM (
+      SELECT *, CASE WHEN action = 'start' THEN CASE WHEN remains > 0 THEN 'granted' ELSE 'refused' END WHEN hit IS NULL THEN 'ignored' WHEN crossing AND remains <= 0 THEN 'expired' WHEN passed + 1e-6 >= reserved THEN 'expired' WHEN action = 'end' THEN 'ended' ELSE 'running' END AS result
+      FROM (
+        SELECT *, greatest(0.0, (epoch_us(ts) - epoch_us(began)) / 1e6)::DOUBLE AS passed, CASE WHEN crossing THEN remains ELSE hit.reserved END AS reserved
+        FROM (
+          SELECT *, CASE WHEN crossing THEN midnight ELSE hit.began END AS began, greatest(0.0, 500.0 - coalesce(list_filter(spent, lambda u: u.day = day)[1].s, 0.0) - coalesce(list_sum(list_transform(list_filter(others, lambda h: h.day = day), lambda h: h.reserved)), 0.0))::DOUBLE AS remains
+          FROM (
+            SELECT client, n, ts, lease, action, day, held, hit, others, midnight, crossing, CASE WHEN crossing THEN {_charged("spent", "hit.day", "least(epoch_us(ts) - epoch_us(hit.began), epoch_us(midnight) - epoch_us(hit.began)) / 1e6")} ELSE spent END AS spent
+            FROM (
+              SELECT *, coalesce(action <> 'start' AND hit.day <> day, false) AS crossing, CAST(hit.day + 1 AS TIMESTAMP) - INTERVAL 9 HOUR AS midnight
+              FROM (SELECT e.client, e.n, e.ts, e.lease, e.action, e.day, r.spent, r.held, list_filter(r.held, lambda h: h.lease = e.lease)[1] AS hit, list_filter(r.held, lambda h: h.lease <> e.lease) AS others FROM run r JOIN e ON e.client = r.client AND e.n = r.n + 1))))))))
+SELECT e.client, e.ts, e.lease, e.action, e.day, r.result, r.used FROM run r JOIN e ON e.client = r.client AND e.n = r.n"""
+
+
+@query(_REPLAY)
 def quota_lease_replay(spark, sf_dir):
     """Q2-Q5: leases as events start, check and end them (facts are in the tests)."""
     i = b.job_intervals(b.table(spark, sf_dir, "events"))
