@@ -1,7 +1,8 @@
 """Licence scan by sentence rules (DataFrame functions only).
 
 A text is normalised (A-Z lower-cased, other runs than letters and digits become one space, so marks of comments vanish)
-and searched for the sentences of a catalogue.  A sentence starts and ends at a line end or
+and searched for the sentences of a catalogue: titles, notices by name, headers and sentences of whole texts.  Links are read as their text; each
+operand of an SPDX expression, and each licence of a notice's choice, is a sentence of its own.  A sentence starts and ends at a line end or
 after . ! ? ; : with white space, and may be wrapped over lines; empty lines (and lines of a
 comment's frame only) end it.  Where several start, the longest is taken.  n_sentences counts
 pieces as cut at line ends too.  The identifiers a text holds, in order, are matched against
@@ -76,6 +77,24 @@ TEXTS = {
     "reserved": "All rights reserved",
     "spdx": "SPDX-License-Identifier",
 }
+#: Titles at the start of a text.  A title says what the text is only if no other rule does.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Apache License 2.0", "Apache License, Version 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+    "GPL-2.0": ["GNU General Public License Version 2, June 1991"],
+    "GPL-3.0": ["GNU General Public License Version 3, 29 June 2007"],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "AGPL-3.0": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License 2.0"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"],
+    "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"],
+}
 
 #: Licences by identifier, with the names that notices give them.
 NAMES = {
@@ -118,6 +137,8 @@ TAGS = ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
 #: normalised sentence -> identifier.
 SENTENCES: dict[str, str] = {
     **{normal(n): f"tag.{n}" for n in [*NAMES, *TAGS]},
+    **{normal(t): f"title.{k}" for k, titles in TITLES.items() for t in titles},
+    **{normal(f.format(k)): f"notice.{k}" for k in NAMES if k != "Unlicense" for f in FORMS},
     **{normal(f.format(n)): f"notice.{k}" for k, names in NAMES.items() for n in names for f in FORMS},
     **{normal(t): k for k, t in TEXTS.items()},
 }
@@ -155,6 +176,7 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("cc0-text", "CC0-1.0", ["cc0.dedicated"]),
     ("ofl-text", "OFL-1.1", ["ofl.font"]),
     *((f"{k}-notice", k, [f"notice.{k}"]) for k in NAMES),
+    *((f"{k}-title", k, [f"title.{k}"]) for k in TITLES),
     *((f"{k}-tag", k, ["spdx", f"tag.{k}"]) for k in [*NAMES, *TAGS]),
 ]
 
@@ -168,9 +190,25 @@ def cut(text: Column) -> Column:
 END, WRAP = "|", "~"
 
 
+#: Rewritings before sentences are cut (as RE2 and Java read them): a Markdown link is its text; "- see the LICENSE" begins a sentence.
+LINK, SEE = r"\[([^\[\]\n]*)\]\([^()\n]*\)", r"[ \t]*[-–—,(][ \t]*([Ss]ee the )"
+#: In a line with a tag each operand of an expression has the tag; in a notice each licence of a choice has one of its own.
+TAG, OPERAND, ANEW = "spdx-license-identifier:", r"[ \t]+(?:OR|AND|WITH|or|and|with)[ \t]+", ". SPDX-License-Identifier: "
+NOTICE, CHOICE, AGAIN = r"(?:licensed|released|distributed|available) under ", r"[ \t]+(?:or|OR)[ \t]+(the |MIT|Apache|GPL|LGPL|AGPL|BSD|MPL|ISC|CC)", ". Licensed under "
+
+
+def spelt_out(text: Column) -> Column:
+    """The text with links, expressions of tags and choices of notices as sentences of their own."""
+    t = F.when(F.contains(text, F.lit("](")), F.regexp_replace(text, LINK, "$1")).otherwise(text)
+    t = F.when(F.contains(t, F.lit("ee the ")), F.regexp_replace(t, SEE, ". $1")).otherwise(t)
+    line = lambda x: F.when(F.contains(F.lower(x), F.lit(TAG)), F.regexp_replace(x, OPERAND, ANEW)).when(F.regexp_like(F.lower(x), F.lit(NOTICE)), F.regexp_replace(x, CHOICE, f"{AGAIN}$1")).otherwise(x)
+    few = F.contains(F.lower(t), F.lit(TAG)) | F.contains(F.lower(t), F.lit("d under ")) | F.contains(F.lower(t), F.lit("available under "))
+    return F.when(few, F.array_join(F.transform(F.split(t, "\n"), line), "\n")).otherwise(t)
+
+
 def flat(text: Column) -> Column:
     """The text in one line: words between single blanks, line ends as WRAP, sentence ends as END."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"[|~]", " "), r"([.!?;:])[\x20\x09-\x0D]+", f" {END} ")
+    t = F.regexp_replace(F.regexp_replace(F.lower(spelt_out(text)), r"[|~]", " "), r"([.!?;:])[\x20\x09-\x0D]+", f" {END} ")
     t = F.regexp_replace(F.regexp_replace(t, "\n", f" {WRAP} "), f"[^a-z0-9{END}{WRAP}]+", " ")
     # Lines without letters or digits (empty, or a comment's frame) end a sentence.
     return F.concat(F.lit(f"{END} "), F.trim(F.regexp_replace(t, rf"{WRAP} ?(?:{WRAP} ?)+", f"{END} ")), F.lit(f" {END}"))
@@ -181,13 +219,19 @@ def _pattern(sentences: dict[str, str]) -> str:
 
     Those with the same first word share it, so that few are tried at a place.
     """
-    by: dict[str, list[list[str]]] = {}
-    for x in sorted(sentences, key=lambda x: -len(x)):
-        by.setdefault(x.split()[0], []).append(x.split()[1:])
     gap = f" (?:{WRAP} )?"
     after = rf"(?= [{END}{WRAP}])"
-    parts = [first + "(?:" + "|".join("".join(gap + w for w in rest) + after for rest in rests) + ")" for first, rests in by.items()]
-    return rf"(?<=[{END}{WRAP}] )(?:" + "|".join(parts) + ")"
+
+    def any_of(xs: list[str]) -> str:
+        by: dict[str, list[list[str]]] = {}
+        for x in sorted(xs, key=lambda x: -len(x)):
+            by.setdefault(x.split()[0], []).append(x.split()[1:])
+        return "(?:" + "|".join(first + "(?:" + "|".join("".join(gap + w for w in rest) + after for rest in rests) + ")" for first, rests in by.items()) + ")"
+
+    titles = [x for x, k in sentences.items() if k.startswith("title.")]
+    others = any_of([x for x in sentences if x not in titles])
+    start = rf"(?<=^\{END} |^\{END} {WRAP} )" + any_of(titles) + "|" if titles else ""
+    return rf"{start}(?<=[{END}{WRAP}] ){others}"
 
 
 def known_sentences(docs: DataFrame, sentences: dict[str, str] = SENTENCES) -> DataFrame:
@@ -222,4 +266,6 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
 
     named = F.array_compact(F.array(*[F.when(matches(i), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("license"))) for i, r in enumerate(rules)]))
     d = once(d, named=F.when(F.size("known") > 0, named).otherwise(F.array().cast("array<struct<rule: string, license: string>>")))
+    more = F.filter("named", lambda x: ~F.endswith(x["rule"], F.lit("-title")))
+    d = d.withColumn("named", F.when(F.size(more) > 0, more).otherwise(F.col("named")))
     return d.select("doc_id", "n_sentences", "known", F.transform("named", lambda x: x["rule"]).alias("rules"), F.array_sort(F.array_distinct(F.transform("named", lambda x: x["license"]))).alias("licenses"))

@@ -52,20 +52,22 @@ def _license_sql() -> str:
     rules = ", ".join(f"({k}, '{rule}', '{license_}', {ids!r}::VARCHAR[])" for k, (rule, license_, ids) in enumerate(licenses.RULES))
     return rf"""
 WITH catalogue(sentence, size, first, id) AS (VALUES {rows}), rules(k, rule, license, ids) AS (VALUES {rules}),
-pieces AS (SELECT doc_id, lower(coalesce(text, '')) AS t, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS ps FROM documents),
+linked AS (SELECT doc_id, text, regexp_replace(regexp_replace(coalesce(text, ''), '{licenses.LINK}', '\1', 'g'), '{licenses.SEE}', '. \1', 'g') AS x FROM documents),
+pieces AS (SELECT doc_id, lower(array_to_string(list_transform(string_split(x, chr(10)), lambda l: CASE WHEN contains(lower(l), '{licenses.TAG}') THEN regexp_replace(l, '{licenses.OPERAND}', '{licenses.ANEW}', 'g') WHEN regexp_matches(lower(l), '{licenses.NOTICE}') THEN regexp_replace(l, '{licenses.CHOICE}', '{licenses.AGAIN}\1', 'g') ELSE l END), chr(10))) AS t, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS ps FROM linked),
 counted AS (SELECT doc_id, t, len(list_filter(ps, lambda x: regexp_matches(lower(x), '[a-z0-9]')))::BIGINT AS n_sentences FROM pieces),
 tokens AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(t, '[|~]', ' ', 'g'), '[.!?;:][\x20\x09-\x0D]+', ' | ', 'g'), '[a-z0-9]+|[|]|\n')) AS token, generate_subscripts(regexp_extract_all(regexp_replace(regexp_replace(t, '[|~]', ' ', 'g'), '[.!?;:][\x20\x09-\x0D]+', ' | ', 'g'), '[a-z0-9]+|[|]|\n'), 1) AS p FROM counted),
 beside AS (SELECT doc_id, p, token, lag(token, 1, '|') OVER w AS before, lead(token, 1, '|') OVER w AS after FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 placed AS (SELECT *, token NOT IN ('|', chr(10)) AS is_word, sum((token = '|' OR (token = chr(10) AND before = chr(10)))::INT) OVER (PARTITION BY doc_id ORDER BY p) AS part FROM beside),
 words AS (SELECT doc_id, token, part, before IN ('|', chr(10)) AS opens, after IN ('|', chr(10)) AS closes, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM placed WHERE is_word),
 texts AS (SELECT doc_id, list(token ORDER BY i) AS ws FROM words GROUP BY doc_id),
-starts AS (SELECT w.doc_id, w.i, w.i + c.size - 1 AS j, w.part, c.id, c.size FROM words w JOIN catalogue c ON c.first = w.token JOIN texts t ON t.doc_id = w.doc_id WHERE w.opens AND array_to_string(t.ws[w.i:w.i + c.size - 1], ' ') = c.sentence),
+starts AS (SELECT w.doc_id, w.i, w.i + c.size - 1 AS j, w.part, c.id, c.size FROM words w JOIN catalogue c ON c.first = w.token JOIN texts t ON t.doc_id = w.doc_id WHERE w.opens AND (c.id NOT LIKE 'title.%' OR w.i = 1) AND array_to_string(t.ws[w.i:w.i + c.size - 1], ' ') = c.sentence),
 fit AS (SELECT s.* FROM starts s JOIN words e ON e.doc_id = s.doc_id AND e.i = s.j AND e.closes AND e.part = s.part),
 longest AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY size DESC) AS r FROM fit),
 found AS (SELECT l.doc_id, l.i, l.id FROM longest l WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM longest o WHERE o.doc_id = l.doc_id AND o.r = 1 AND o.i < l.i AND o.j >= l.i)),
 listed AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM found GROUP BY doc_id),
 held AS (SELECT doc_id, k, rule, license, r.ids AS said, unnest(list_filter(range(1, len(l.ids) + 1), lambda i: l.ids[i:i + len(r.ids) - 1] = r.ids)) AS at FROM listed l CROSS JOIN rules r),
-named AS (SELECT DISTINCT doc_id, k, rule, license FROM held h WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.doc_id = h.doc_id AND len(o.said) > len(h.said) AND o.at <= h.at AND h.at + len(h.said) <= o.at + len(o.said)))
+matched AS (SELECT DISTINCT doc_id, k, rule, license FROM held h WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.doc_id = h.doc_id AND len(o.said) > len(h.said) AND o.at <= h.at AND h.at + len(h.said) <= o.at + len(o.said))),
+named AS (SELECT * FROM matched m WHERE rule NOT LIKE '%-title' OR NOT EXISTS (SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.rule NOT LIKE '%-title'))
 SELECT c.doc_id, c.n_sentences, coalesce(array_to_string(l.ids, ','), '') AS known, coalesce(string_agg(rule, ',' ORDER BY k), '') AS rules, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT license AS x FROM named m WHERE m.doc_id = c.doc_id)), '') AS licenses
 FROM counted c LEFT JOIN listed l ON l.doc_id = c.doc_id LEFT JOIN named n ON n.doc_id = c.doc_id GROUP BY c.doc_id, c.n_sentences, l.ids"""
 

@@ -288,3 +288,37 @@ def test_read_back_of_control_strings(spark):
     x = queries.CONTROL
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{x}\nassistant\n{x}\n".encode()).hexdigest()
     assert (r["loss_chars"], r["loss_sha256"]) == (len(x), hashlib.sha256(x.encode()).hexdigest())
+
+
+#: The commonest ways in which a licence is named, and what they name.
+NAMED = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+    ("// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND MIT\n", "GPL-2.0-only,MIT"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+    ("This project is licensed under the MIT License, see the LICENSE file for details.", "MIT"),
+    ("Some words. Released under the [MIT License](LICENSE).", "MIT"),
+    ("Licensed under MIT or Apache-2.0.", "Apache-2.0,MIT"),
+    ("Licensed under the Apache License, Version 2.0 or the MIT License.", "Apache-2.0,MIT"),
+    ("MIT License\n\nCopyright (c) 2020 Somebody", "MIT"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0"),
+    ("I have an MIT License here", ""),
+    ("see the MIT building - see the map, or the license office", ""),
+    ("[[[[](](a)", ""),
+    (None, ""),
+]
+
+
+def test_common_forms_of_licences(spark):
+    import duckdb
+
+    from pageloom.llm import sql
+
+    d = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(NAMED)], "doc_id long, text string, known string")
+    got = {r["doc_id"]: (r["n_sentences"], ",".join(r["known"]), ",".join(r["rules"]), ",".join(r["licenses"])) for r in licenses.scan_licenses(d).collect()}
+    assert {k: x[3] for k, x in got.items()} == {k: want for k, (_, want) in enumerate(NAMED)}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (t, _) in enumerate(NAMED)])
+    assert {r[0]: r[1:] for r in c.execute(f"SELECT doc_id, n_sentences, known, rules, licenses FROM ({sql.SQL['op4_license_scan']})").fetchall()} == got
