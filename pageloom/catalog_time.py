@@ -127,6 +127,24 @@ def saying_box_pairs(spark, sf_dir):
     return p.withColumns({"iou": F.round("iou", 6), "iom": F.round("iom", 6)})
 
 
+#: The greedy fold of bbox_dedup_greedy over boxes that say something: 'said' must agree where boxes hold each other, and of equal areas the longer text is better.
+_FOLD_SAYING = (
+    catalog._FOLD.replace("'t': t, 'hits': []::BIGINT[]} AS c FROM boxes", "'t': t, 'hits': []::BIGINT[], 'said': lower(trim(regexp_replace(said, '\\s+', ' ', 'g'))), 'len': length(said)} AS c FROM saying")
+    .replace("'t': f.t, 'hits': []::BIGINT[]}", "'t': f.t, 'hits': []::BIGINT[], 'said': f.said, 'len': f.len}")
+    .replace("'t': a.t, 'hits': list_append(a.hits, k.slot)}", "'t': a.t, 'hits': list_append(a.hits, k.slot), 'said': a.said, 'len': a.len}")
+    .replace("'t': k.t, 'hits': list_append(a.hits, k.slot)}", "'t': k.t, 'hits': list_append(a.hits, k.slot), 'said': k.said, 'len': k.len}")
+    .replace(">= 0.9)) THEN a", ">= 0.9 AND (contains(a.said, k.said) OR contains(k.said, a.said)))) THEN a")
+    .replace("WHEN (a.r - a.l) * (a.t - a.b) > (k.r - k.l) * (k.t - k.b) THEN", "WHEN (a.r - a.l) * (a.t - a.b) > (k.r - k.l) * (k.t - k.b) OR ((a.r - a.l) * (a.t - a.b) = (k.r - k.l) * (k.t - k.b) AND a.len > k.len) THEN")
+)
+
+
+@query(f"WITH RECURSIVE {BOXES.lstrip()}, {_SAYING}, {_FOLD_SAYING} SELECT doc_id, page, label, k.slot AS ord, k.l AS \"left\", k.b AS bottom, k.r AS \"right\", k.t AS top, k.len AS length FROM ends")
+def saying_box_dedup(spark, sf_dir):
+    """What the greedy rule keeps of boxes with texts; of equal areas the longer text, blanks counted."""
+    d = dedup.deduplicated(_saying(spark, sf_dir), raw_length=True)
+    return d.select("doc_id", "page", "label", "ord", "box.left", "box.bottom", "box.right", "box.top", F.length("text").cast("long").alias("length"))
+
+
 @query(
     f"""WITH {BLOCKS}, marked AS (SELECT *, CASE ord % 9 WHEN 1 THEN ' Paragraph ' WHEN 4 THEN 'table' WHEN 6 THEN 'LIST ITEM' ELSE label END AS kind, CASE WHEN ord % 4 = 2 THEN CAST(ord AS VARCHAR) ELSE '' END AS toc FROM blocks)
 SELECT doc_id, page, block_id, lower(trim(kind)) IN ('paragraph', 'heading', 'caption', 'list item') AS paragraph_box, toc = '' AND lower(trim(kind)) IN ('paragraph', 'heading', 'caption', 'list item') AS planned FROM marked"""
