@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,23 @@ def test_repeats(spark):
     assert got == plain_repeats(rows)
 
 
+def test_repeats_shuffle_a_share_of_the_anchors_at_a_time(spark):
+    """No stage writes more than six tenths as many rows as there are anchors: what lies on disk at once is a slice of a round."""
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice("abcdefghij ") for _ in range(2000))) for k in range(400)]
+    anchors = sum(b.num_rows for b in repeats._anchors(iter([pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]})])))
+    sc = spark.sparkContext
+    none, some = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(listed.apply, range(listed.size()))}
+    listed = sc._jsc.sc().statusStore().stageList(some, False, False, none, some)
+    before = max(stages(), default=(-1, 0))
+    repeats.remove_repeats(docs(spark, *rows)).count()
+    time.sleep(1)  # for the listener
+    listed = sc._jsc.sc().statusStore().stageList(some, False, False, none, some)
+    wrote = [n for k, n in stages().items() if k > before]
+    assert anchors > 20_000 and anchors // 10 < max(wrote) < 0.6 * anchors
+
+
 def test_repeats_in_long_texts(spark, monkeypatch):
     rng = random.Random(4)
     a, b = ("".join(rng.choice("abcdefghij ") for _ in range(700_000)) for _ in range(2))
