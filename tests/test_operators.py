@@ -477,3 +477,36 @@ def test_walks_and_slugs_take_whole_texts(spark, tmp_path):
     got = [r["text"] for r in catalog.QUERIES["json_walk_units"](spark, str(tmp_path)).orderBy("ord").collect()]
     assert got == [long, "user", "late", "assistant"]
     assert catalog.QUERIES["text_slugs"](spark, str(tmp_path)).first()["slug"] == "word-" * 40 + "end"
+
+
+def test_few_scales_are_tried_and_the_outcome_is_that_of_all_candidates(spark):
+    """Sizes, rooms and spacings of all kinds: the first candidate that fits and the last one are those of the whole list."""
+    rng = random.Random(3)
+    rows = [(rng.choice([6.0, 8.0, 11.5, 12.0, 15.9, 16.0, 20.0, 33.3]), rng.choice([0.0, 9.5, 14.4, 24.0, 80.0, 700.0]), rng.choice([None, 0.12, 0.004, -0.05, -0.22, -0.6]), rng.randrange(0, 300), rng.choice([0.0, 40.0, 120.0, 460.0]), rng.uniform(0, 90)) for _ in range(400)]
+    d = spark.createDataFrame(rows, "font double, line_height double, spacing double, n int, w double, room double")
+    d = d.withColumn("b", F.struct("font", "line_height", "spacing", F.greatest("line_height", F.round(F.col("font") * layout.LEAST_LINE, 3)).alias("line"), "n", "w"))
+    fits = lambda c: layout.height(c) + 1.0 <= F.col("room")
+    some = layout.enough_of(F.col("b"), fits).alias("some")
+    got = d.select("room", some, layout.candidates_of(F.col("b")).alias("every")).collect()
+    plain = lambda c: {k: v for k, v in c.asDict().items() if k != "gen"}
+    kinds = {"first": 0, "later": 0, "none": 0}
+    for r in got:
+        ok = lambda cs: [plain(c) for c in cs if round(c["lines"] * c["line"], 3) + 1.0 <= r["room"]][:1]  # noqa: B023, E731
+        assert ok(r["some"]) == ok(r["every"])
+        first = ok(r["every"]) == [plain(r["every"][0])]
+        assert first or plain(r["some"][-1]) == plain(r["every"][-1])
+        kinds["first" if first else "later" if ok(r["every"]) else "none"] += 1
+    assert min(kinds.values()) > 30
+    # A block that nothing fits asks for the candidates of one scale, not of all.
+    none = [r for r in got if not ok_any(r)]
+    assert sum(len(r["some"]) for r in none) < sum(len(r["every"]) for r in none) / 4
+
+
+def ok_any(r):
+    return any(round(c["lines"] * c["line"], 3) + 1.0 <= r["room"] for c in r["every"])
+
+
+def test_sizes_of_candidates_are_those_of_the_candidates(spark):
+    b = blocks(spark, *[block(k, (0.0, 0.0, 100.0, 30.0), font=f) for k, f in enumerate([6.0, 11.5, 12.0, 16.0, 33.3], 1)])
+    sizes = {r["block_id"]: (r["candidates"], r["largest"], r["smallest"]) for r in layout.candidate_sizes(b).collect()}
+    assert sizes == {r["block_id"]: (len(r["candidates"]), max(c["font"] for c in r["candidates"]), min(c["font"] for c in r["candidates"])) for r in layout.with_candidates(b).collect()}
